@@ -66,7 +66,7 @@ def indicators(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         ok = row[2:] == row[:-2]
         code = (low[:-2] | low[1:-1] << np.uint32(8) | low[2:] << np.uint32(16))[ok]
         rows.append(row[2:][ok])
-        feats.append(_tri()[code])
+        feats.append(_spread(code))
     row = np.concatenate(rows).astype(np.uint64)
     feat = np.concatenate([f >> U(64 - BITS) if f.dtype == np.uint64 else f for f in feats]).astype(np.uint64)
     key = row << U(BITS) | feat
@@ -77,14 +77,12 @@ def indicators(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (key >> key.dtype.type(BITS)).astype(np.int64), (key & key.dtype.type((1 << BITS) - 1)).astype(np.int64)
 
 
-_TRI: list[np.ndarray] = []
-
-
-def _tri() -> np.ndarray:
-    """Bucket of every run of three bytes."""
-    if not _TRI:
-        _TRI.append((mix(np.arange(1 << 24, dtype=np.uint64) + U(9 << 40)) >> U(64 - BITS)).astype(np.uint32))
-    return _TRI[0]
+def _spread(code: np.ndarray) -> np.ndarray:
+    """Buckets of 24-bit codes."""
+    code = code * np.uint32(2654435761)
+    code ^= code >> np.uint32(15)
+    code *= np.uint32(0x85EBCA77)
+    return code >> np.uint32(32 - BITS)
 
 
 @dataclass
