@@ -196,7 +196,7 @@ def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, cost: float
     p, q = counts[1] + 1, counts[0] + 1
     ratio = np.log(p / (docs[1] + 2)) - np.log(q / (docs[0] + 2))
     chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = labelled.join(chosen, "doc_id", "left_semi").select("text", F.col("label").cast("int")).mapInArrow(_features, "label int, feats array<int>").toArrow()
+    rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", F.col("label").cast("int")).mapInArrow(_features, "label int, feats array<int>").toArrow()
     y = np.where(rows["label"].to_numpy() == 1, 1.0, -1.0)
     feats = [np.asarray(f) for f in rows["feats"].to_numpy()]
     order = np.lexsort(([len(f) for f in feats], [int(f.astype(np.int64).sum()) for f in feats]))  # reruns agree whatever the order of arrival
@@ -234,4 +234,5 @@ def _with(df: DataFrame, name: str):
 def labelled_rows(docs: DataFrame, labels: DataFrame, keep: Column) -> DataFrame:
     """doc_id, text, label of the documents whose label is 0 or 1 and whose id meets ``keep``."""
     quality = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isin(0, 1) & keep).groupBy("doc_id").agg(F.min("label").alias("label"))
-    return docs.filter(keep).select("doc_id", "text").join(quality, "doc_id")
+    # merged at every size: the labels grow with the documents, so they are never broadcast
+    return docs.filter(keep).select("doc_id", "text").join(quality.hint("merge"), "doc_id")
