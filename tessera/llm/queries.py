@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fold, table
+from .decontaminate import find_contamination
 from .langid import fit_language, predict_language
+from .licenses import default_templates, oracle as license_oracle, scan_licenses
+from .mixing import mix_sources, mixture_digest
 from .quality import fit_quality, labelled_rows, quality_scores
 from .secrets import scan_secrets
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), default_templates(spark))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_digest(mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_language(docs.filter(fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
@@ -33,8 +48,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_language_id, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_license_scan, op3_decontamination, op5_mixing, op6_language_id, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_oracle()}
