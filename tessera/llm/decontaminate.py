@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
-from .native import bit_table, screened, shingles, words
+from .native import bit_table, rows_with_hits, shingles, words
 
 RADIUS, K, SIMILARITY = 19, 5, 0.75
 
@@ -59,8 +59,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
         at = own.select("m", F.posexplode("own").alias("item_pos", "h")).distinct()
         least = own.agg(F.min(F.ceil(F.size("own") * F.lit(similarity)))).first()[0]
         table, bits = bit_table(at, "h")
-        flagged = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingles(F.col("w"), kk).alias("sh")).withColumn("hits", screened(F.col("sh"), table, bits)).filter(F.size("hits") >= least)
-        flagged = stored(flagged.withColumn("rid", F.monotonically_increasing_id()))
+        flagged = stored(rows_with_hits(docs, kk, table, bits, least))
         hits = flagged.select("rid", F.size("sh").alias("n"), F.explode("hits").alias("p")).select("rid", "n", "p.pos", "p.h")
         span = F.col("m") - kk + 1
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.col("n") - span))
@@ -79,7 +78,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, n_words int")
     best = F.min_by(F.struct("similarity", F.col("start").alias("start_word"), F.col("m").alias("n_words")), F.struct((-F.col("similarity")).alias("s"), "start"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = K) -> DataFrame:

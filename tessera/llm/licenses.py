@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import stored
-from .native import bit_table, screened, shingles, words
+from .native import bit_table, rows_with_hits, shingles, words
 
 BANDS, K, CONTAINMENT = 64, 5, 0.75
 
@@ -67,8 +67,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
     for kk in sizes:
         own = stored(t.filter(F.col("kk") == kk).select("license", "m", F.array_distinct(shingles(F.col("w"), kk)).alias("own")))
         table, bits = bit_table(own.select(F.explode("own").alias("h")), "h")
-        flagged = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("sh", shingles(F.col("w"), kk)).withColumn("hits", screened(F.col("sh"), table, bits)).filter(F.size("hits") > 0)
-        flagged = stored(flagged.select("doc_id", "sh", "hits").withColumn("rid", F.monotonically_increasing_id()))
+        flagged = stored(rows_with_hits(docs, kk, table, bits, 1))
         hits = flagged.select("rid", F.explode("hits").alias("p")).select("rid", "p.pos", "p.h")
         spots = hits.join(own.select("m", F.explode("own").alias("h")).distinct(), "h").select("rid", "m", "pos")
         # a shingle at pos lies in windows pos div m and, unless it crosses the end, the one before
@@ -93,7 +92,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
 def oracle() -> str:
     """DuckDB SQL for the rows of op1: the same windows, every template tried on each."""
     rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
-    split = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '')"
+    split = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
     return f"""
     WITH t AS (SELECT license, {split} AS w FROM (VALUES {rows}) v(license, text)),
     tm AS (SELECT license, len(w) AS m, list_distinct([w[i:i+{K - 1}] for i in range(1, len(w) - {K - 2})]) AS own FROM t),
