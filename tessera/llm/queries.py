@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .ann import nearest
 from .common import fold, table
 from .decontaminate import find_contamination
 from .langid import fit_language, predict_language
@@ -32,6 +33,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -48,7 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op3_decontamination, op5_mixing, op6_language_id, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_license_scan, op3_decontamination, op5_mixing, op6_language_id, op8_nearest_neighbours, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
