@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .ann import nearest
 from .common import fold, table
 from .decontaminate import find_contamination
+from .jaccard import jaccard_components
 from .langid import fit_language, predict_language
 from .licenses import default_templates, oracle as license_oracle, scan_licenses
 from .mixing import mix_sources, mixture_digest
@@ -18,6 +19,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), default_templates(spark))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op3_decontamination, op5_mixing, op6_language_id, op8_nearest_neighbours, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op5_mixing, op6_language_id, op8_nearest_neighbours, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
