@@ -10,6 +10,7 @@ from .decontaminate import find_contamination
 from .jaccard import jaccard_components
 from .langid import fit_language, predict_language
 from .licenses import default_templates, oracle as license_oracle, scan_licenses
+from .lm import score_texts
 from .mixing import mix_sources, mixture_digest
 from .quality import fit_quality, labelled_rows, quality_scores
 from .secrets import scan_secrets
@@ -38,6 +39,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 7) != 2)
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
@@ -58,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op5_mixing, op6_language_id, op8_nearest_neighbours, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op5_mixing, op6_language_id, op7_lm_scoring, op8_nearest_neighbours, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
