@@ -14,6 +14,7 @@ from .lm import score_texts
 from .mixing import mix_sources, mixture_digest
 from .quality import fit_quality, labelled_rows, quality_scores
 from .secrets import scan_secrets
+from .suffix import cut_repeats
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_digest(mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
@@ -63,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op5_mixing, op6_language_id, op7_lm_scoring, op8_nearest_neighbours, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_mixing, op6_language_id, op7_lm_scoring, op8_nearest_neighbours, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
