@@ -30,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored, text_bytes
+from .common import text_bytes
 from .textkit import U, Words, column_bytes, mix, pieces
 
 ORDER = 5
 END, BLANK = 10, 32
 #: Bytes of text in a batch.
 BATCH_BYTES = 12 << 20
+PIECE = 1 << 20
 END_TOKEN = 0x5EED0E2D0C2B1A29
 
 
@@ -136,7 +137,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.2))))
-        self.keys, self.values = np.full(1 << self.bits, U(2**64 - 1)), np.zeros(1 << self.bits, np.float32)
+        self.keys, self.values = np.full(1 << self.bits, U(2**64 - 1)), np.zeros(1 << self.bits, values.dtype)
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             free = self.keys[slot[left]] == U(2**64 - 1)
@@ -160,24 +161,74 @@ class Table:
         return out
 
 
-def _dealt(kind: int, place: np.ndarray, keys: np.ndarray, counts: np.ndarray, batch: int):
-    """Rows (kind, place, batch, keys, counts), one for each place."""
+def packed(values: np.ndarray) -> bytes:
+    """Integers, sorted ones as steps, with bytes of equal weight together: most are 0, which shuffle files compress away."""
+    return np.ascontiguousarray(np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
+
+
+def unpacked(column, kind) -> tuple[np.ndarray, list[int]]:
+    """The integers of every row of a column of ``packed``, and how many each row had."""
+    size, parts = np.dtype(kind).itemsize, []
+    for x in column.to_pylist():
+        planes = np.frombuffer(x, np.uint8).reshape(size, -1)
+        parts.append(np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind))
+    return np.concatenate(parts) if parts else np.zeros(0, kind), [len(x) for x in parts]
+
+
+def _dealt(kind: int, place: np.ndarray, keys: np.ndarray, values: np.ndarray, batch: int):
+    """Rows (kind, place, batch, keys, values), one for each place; keys are sorted within each."""
     by = np.argsort(place, kind="stable")
-    place, keys, counts = place[by], keys[by], counts[by]
+    place, keys, values = place[by], keys[by], values[by]
     ids, cut = np.unique(place, return_index=True)
     cut = [*cut, len(place)]
-    return [(kind, int(p), batch, keys[a:z].tobytes(), counts[a:z].tobytes()) for p, a, z in zip(ids, cut, cut[1:])]
+    whole = values.dtype != np.float32
+    return [(kind, int(p), batch, packed(keys[a:z]), packed(values[a:z]) if whole else values[a:z].tobytes()) for p, a, z in zip(ids, cut, cut[1:])]
 
 
 _SCHEMA = pa.schema([("kind", pa.int32()), ("place", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+#: kinds of rows: words, runs, and the sums of a place (training tokens, training types).
+WORDS, RUNS, SUMS = range(3)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _SCHEMA)], schema=_SCHEMA)
 
 
-def _joined(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def short_contexts(docs: DataFrame, places: int) -> list[Level]:
+    """The levels of no byte and one byte of context, from docs (text, train): 65,792 entries at most."""
+    schema = "place long, keys binary, counts binary"
+
+    def threes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct runs of three bytes of a task's training texts."""
+        seen = np.zeros(1 << 24, bool)
+        for batch in batches:
+            for _, b, o in pieces(*column_bytes(batch.column("text")), PIECE):
+                seen[normal_form(Words(b, o), 2)[0].astype(np.int64)] = True
+        keys = np.flatnonzero(seen).astype(np.uint64)
+        rows = _dealt(RUNS, (mix(keys) % U(places)).astype(np.int64), keys, keys, 0)
+        yield pa.record_batch({"place": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[3] for r in rows], pa.binary()), "counts": pa.array([None] * len(rows), pa.binary())})
+
+    def twos(key, t):
+        keys = np.unique(unpacked(t["keys"], np.uint64)[0])
+        keys, counts = counted(keys & U(0xFFFF), np.ones(len(keys), np.int64))
+        return pa.table({"place": pa.array([0], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                np.add.at(sums, np.frombuffer(k, np.uint64).astype(np.int64), np.frombuffer(c, np.int64))
+        keys = np.flatnonzero(sums)
+        yield pa.record_batch({"place": pa.array([0], pa.int64()), "keys": pa.array([keys.astype(np.uint64).tobytes()], pa.binary()), "counts": pa.array([sums[keys].tobytes()], pa.binary())})
+
+    total = np.zeros(1 << 16, np.int64)
+    for r in docs.filter("train").select("text").mapInArrow(threes, schema).groupBy("place").applyInArrow(twos, schema).mapInArrow(add, schema).collect():
+        total[np.frombuffer(r["keys"], np.uint64).astype(np.int64)] += np.frombuffer(r["counts"], np.int64)
+    keys = np.flatnonzero(total)
+    first = Level(keys.astype(np.uint64), total[keys])
+    root = Level(*one_shorter(first, 1))
+    first.link(root, 1)
+    return [root, first]
 
 
 def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
@@ -188,12 +239,14 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
     places = 6 + nbytes // BATCH_BYTES
     docs = docs.select("doc_id", "text", training.alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"))
 
+    small = spark.sparkContext.broadcast(short_contexts(docs, places))
+
     def name(key, t):
-        """What a batch holds: distinct runs (kind 1) and words (kind 0), with training counts."""
+        """What a batch holds: distinct runs and words, with training counts."""
         train = t["train"].to_numpy().astype(bool)
         buf, off = column_bytes(t["text"])
-        parts = {0: [], 1: []}
-        for i, b, o in pieces(buf, off):
+        parts = {WORDS: [], RUNS: []}
+        for i, b, o in pieces(buf, off, PIECE):
             w = Words(b, o)
             mine = train[i:i + w.rows]
             runs, row = normal_form(w, order)
@@ -201,66 +254,27 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
             flagged.sort()
             head = np.flatnonzero(np.concatenate([[True], flagged[1:] != flagged[:-1]]))
             many = np.diff(np.append(head, len(flagged))) * (flagged[head] & U(1)).astype(np.int64)
-            parts[1].append(counted(flagged[head] >> U(1), many))
-            parts[0].append(counted(np.append(w.hash, U(END_TOKEN)), np.append(mine[w.row].astype(np.int64), mine.sum())))
+            parts[RUNS].append(counted(flagged[head] >> U(1), many))
+            parts[WORDS].append(counted(np.append(w.hash, U(END_TOKEN)), np.append(mine[w.row].astype(np.int64), mine.sum())))
         rows = []
         for kind, found_ in parts.items():
             keys, counts = counted(np.concatenate([k for k, _ in found_]), np.concatenate([c for _, c in found_]))
-            place = mix(keys) if kind == 0 else mix(keys >> U(8) & U(0xFFFF))
+            place = mix(keys) if kind == WORDS else mix(keys >> U(8) & U(0xFFFF))
             rows += _dealt(kind, (place % U(places)).astype(np.int64), keys, counts.astype(np.int32), key[0].as_py())
         return _rows(rows)
 
     schema = "kind int, place long, batch long, keys binary, counts binary"
-    named = stored(docs.groupBy("batch").applyInArrow(name, schema))
-
-    def totals(key, t):
-        """Of one place: training tokens and types (kind 0), or the counts of the contexts of one byte (kind 1)."""
-        keys, counts = counted(_joined(t["keys"], np.uint64), _joined(t["counts"], np.int32).astype(np.int64))
-        keys, counts = keys[counts > 0], counts[counts > 0]
-        kind = key[0].as_py()
-        if kind == 0:
-            keys, counts = np.array([0, 1], np.uint64), np.array([counts.sum(), len(counts)])
-        else:
-            for k in range(order, 1, -1):
-                keys, counts = one_shorter(Level(keys, counts), k)
-        return _rows([(kind, 0, 0, keys.tobytes(), counts.astype(np.int64).tobytes())])
-
-    got = named.select("kind", "place", "batch", "keys", "counts").groupBy("kind", "place").applyInArrow(totals, schema)
-    tokens = types = 0
-    pairs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-
-    def fold_pairs(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sum the small tables of a task's places: 65,536 entries at most."""
-        sums = {}
-        for b in batches_:
-            for kind, keys, counts in zip(b.column("kind").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-                sums.setdefault(kind, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
-        rows = []
-        for kind, found_ in sums.items():
-            keys, counts = counted(np.concatenate([k for k, _ in found_]), np.concatenate([c for _, c in found_]))
-            rows.append((kind, 0, 0, keys.tobytes(), counts.tobytes()))
-        yield from _rows(rows).to_batches()
-
-    for r in got.mapInArrow(fold_pairs, schema).collect():
-        keys, counts = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)
-        if r["kind"] == 0:
-            tokens, types = tokens + int(counts[0]), types + int(counts[1])
-        else:
-            pairs.append((keys, counts))
-    keys, counts = counted(np.concatenate([k for k, _ in pairs]), np.concatenate([c for _, c in pairs]))
-    first = Level(keys, counts)
-    root = Level(*one_shorter(first, 1))
-    first.link(root, 1)
-    small = spark.sparkContext.broadcast([root, first])
+    named = docs.groupBy("batch").applyInArrow(name, schema)
 
     def answer(key, t):
         """The code length of each run, or the training count of each word, for every batch that named it."""
-        batch = np.concatenate([np.full(len(x) // 8, b) for b, x in zip(t["batch"].to_pylist(), t["keys"].to_pylist())])
-        named_ = _joined(t["keys"], np.uint64)
-        keys, counts = counted(named_, _joined(t["counts"], np.int32).astype(np.int64))
-        kind = key[0].as_py()
-        if kind == 0:
-            values = counts.astype(np.float64)
+        named_, sizes = unpacked(t["keys"], np.uint64)
+        batch = np.repeat(t["batch"].to_numpy(), sizes)
+        keys, counts = counted(named_, unpacked(t["counts"], np.int32)[0].astype(np.int64))
+        kind, rows = key[0].as_py(), []
+        if kind == WORDS:
+            values = counts
+            rows = [(SUMS, 0, b, np.array([counts.sum(), (counts > 0).sum()]).tobytes(), b"") for b in range(batches)]
         else:
             levels = {order: Level(keys[counts > 0], counts[counts > 0])}
             for k in range(order, 2, -1):
@@ -268,12 +282,9 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
             levels[0], levels[1] = small.value
             for k in range(order, 1, -1):
                 levels[k].link(levels[k - 1], k)
-            values = code_lengths(keys, [levels[k] for k in range(order + 1)])
+            values = code_lengths(keys, [levels[k] for k in range(order + 1)]).astype(np.float32)
         place, _ = found(keys, named_)
-        return _rows([(kind, 0, b, k, v) for _, b, _, k, v in _dealt_by(batch, named_, values[place])])
-
-    def _dealt_by(batch, keys, values):
-        return [(0, p, 0, k, v) for _, p, _, k, v in _dealt(0, batch, keys, values.astype(np.float32), 0)]
+        return _rows(rows + [(kind, 0, b, k, v) for _, b, _, k, v in _dealt(kind, batch, named_, values[place], 0)])
 
     answers = named.groupBy("kind", "place").applyInArrow(answer, schema)
 
@@ -281,14 +292,16 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
         buf, off = column_bytes(left["text"])
         kind = right["kind"].to_numpy()
         tables = []
-        for k in (0, 1):
+        for k in (WORDS, RUNS):
             mine = right.filter(pa.array(kind == k))
-            tables.append(Table(_joined(mine["keys"], np.uint64), _joined(mine["counts"], np.float32)))
+            values = unpacked(mine["counts"], np.int64)[0].astype(np.float64) if k == WORDS else np.frombuffer(b"".join(mine["counts"].to_pylist()), np.float32)
+            tables.append(Table(unpacked(mine["keys"], np.uint64)[0], values))
+        tokens, types = np.frombuffer(b"".join(right.filter(pa.array(kind == SUMS))["keys"].to_pylist()), np.int64).reshape(-1, 2).sum(0)
         size = len(off) - 1
         n, known, base, total = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
         end = tables[0][np.array([END_TOKEN], np.uint64)][0] if size else 0
         level = np.log10(tokens + types + 1)
-        for i, b, o in pieces(buf, off):
+        for i, b, o in pieces(buf, off, PIECE):
             w = Words(b, o)
             at = slice(i, i + w.rows)
             c = tables[0][w.hash].astype(np.float64)
@@ -299,4 +312,5 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
             total[at] = np.bincount(row, tables[1][runs], w.rows)
         return pa.table({"doc_id": left["doc_id"], "held_out": pa.array(~left["train"].to_numpy().astype(bool)), "n_tokens": n, "n_known": known, "train_tokens": np.full(size, tokens), "base_score": base, "score": total})
 
+    # the texts are dealt to their batches once: both uses of docs.groupBy("batch") read the same exchange
     return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
