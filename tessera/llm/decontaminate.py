@@ -83,5 +83,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = K) -> DataFrame:
     """docs without the documents in which an item is found."""
-    bad = stored(find_contamination(docs, benchmark, similarity, k).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti")
+    bad = stored(find_contamination(docs, benchmark, similarity, k).select(F.col("doc_id").alias("_bad")).distinct())
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")

@@ -342,5 +342,5 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> D
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
     """docs with one document of each component, the one that names it; documents without a shingle all stay."""
-    stay = jaccard_components(docs, percent, k).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stored(stay), "doc_id", "left_semi")
+    stay = jaccard_components(docs, percent, k).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stored(stay), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
