@@ -28,7 +28,7 @@ def bit_table(hashes: DataFrame, column: str) -> tuple[Column, int]:
     """
     bits = 1 << 12
     n = hashes.select(column).distinct().count()
-    while bits < 256 * n and bits < TABLE_BITS:
+    while bits < 4096 * n and bits < TABLE_BITS:
         bits *= 2
     at = F.pmod(F.col(column), F.lit(bits))
     groups = hashes.select(F.expr(f"cast(pmod({column}, {bits}) div 64 as int)").alias("g"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("v")).groupBy("g").agg(F.bit_or("v").alias("v"))
