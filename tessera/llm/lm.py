@@ -186,49 +186,73 @@ def _dealt(kind: int, place: np.ndarray, keys: np.ndarray, values: np.ndarray, b
 
 
 _SCHEMA = pa.schema([("kind", pa.int32()), ("place", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-#: kinds of rows: words, runs, and the sums of a place (training tokens, training types).
-WORDS, RUNS, SUMS = range(3)
+#: kinds of rows.
+WORDS, RUNS = range(2)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _SCHEMA)], schema=_SCHEMA)
 
 
-def short_contexts(docs: DataFrame, places: int) -> list[Level]:
-    """The levels of no byte and one byte of context, from docs (text, train): 65,792 entries at most."""
-    schema = "place long, keys binary, counts binary"
+def corpus_sums(docs: DataFrame, places: int) -> tuple[list[Level], int, int]:
+    """The levels of no byte and one byte of context (65,792 entries at most), training tokens and training types, from docs (text, train)."""
+    schema = "kind int, place long, keys binary, n long"
+    fields = pa.schema([("kind", pa.int32()), ("place", pa.int64()), ("keys", pa.binary()), ("n", pa.int64())])
 
-    def threes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct runs of three bytes of a task's training texts."""
-        seen = np.zeros(1 << 24, bool)
+    def table(rows: list[tuple]) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, fields)], schema=fields)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's distinct runs of three bytes and distinct words; n of the words' rows: its tokens, once."""
+        seen, words, tokens = np.zeros(1 << 24, bool), [np.zeros(0, np.uint64)], 0
         for batch in batches:
             for _, b, o in pieces(*column_bytes(batch.column("text")), PIECE):
-                seen[normal_form(Words(b, o), 2)[0].astype(np.int64)] = True
-        keys = np.flatnonzero(seen).astype(np.uint64)
-        rows = _dealt(RUNS, (mix(keys) % U(places)).astype(np.int64), keys, keys, 0)
-        yield pa.record_batch({"place": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[3] for r in rows], pa.binary()), "counts": pa.array([None] * len(rows), pa.binary())})
-
-    def twos(key, t):
+                w = Words(b, o)
+                seen[normal_form(w, 2)[0].astype(np.int64)] = True
+                words.append(np.unique(w.hash))
+                tokens += len(w.hash) + w.rows
+            words = [np.unique(np.concatenate(words))]
+        rows = []
+        for kind, keys in ((WORDS, np.append(words[0], U(END_TOKEN)) if tokens else words[0]), (RUNS, np.flatnonzero(seen).astype(np.uint64))):
+            for _, place, _, k, _ in _dealt(kind, (mix(keys) % U(places)).astype(np.int64), keys, keys, 0):
+                rows.append((kind, place, k, tokens))
+                tokens = 0
+        yield from table(rows).to_batches()
+
+    def merge(key, t):
+        """Of one place: how many words there are, or in how many contexts of two bytes each pair was seen."""
         keys = np.unique(unpacked(t["keys"], np.uint64)[0])
+        if key[0].as_py() == WORDS:
+            return table([(WORDS, len(keys), None, sum(t["n"].to_pylist()))])
         keys, counts = counted(keys & U(0xFFFF), np.ones(len(keys), np.int64))
-        return pa.table({"place": pa.array([0], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+        return table([(RUNS, 0, keys.tobytes() + counts.tobytes(), 0)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << 16, np.int64)
+        """Sums over a task's places."""
+        sums, types, tokens = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                np.add.at(sums, np.frombuffer(k, np.uint64).astype(np.int64), np.frombuffer(c, np.int64))
-        keys = np.flatnonzero(sums)
-        yield pa.record_batch({"place": pa.array([0], pa.int64()), "keys": pa.array([keys.astype(np.uint64).tobytes()], pa.binary()), "counts": pa.array([sums[keys].tobytes()], pa.binary())})
-
-    total = np.zeros(1 << 16, np.int64)
-    for r in docs.filter("train").select("text").mapInArrow(threes, schema).groupBy("place").applyInArrow(twos, schema).mapInArrow(add, schema).collect():
-        total[np.frombuffer(r["keys"], np.uint64).astype(np.int64)] += np.frombuffer(r["counts"], np.int64)
+            for row in batch.to_pylist():
+                tokens += row["n"]
+                if row["kind"] == WORDS:
+                    types += row["place"]
+                else:
+                    half = len(row["keys"]) // 2
+                    np.add.at(sums, np.frombuffer(row["keys"][:half], np.uint64).astype(np.int64), np.frombuffer(row["keys"][half:], np.int64))
+        yield from table([(WORDS, types, None, tokens), (RUNS, 0, np.arange(1 << 16, dtype=np.uint64).tobytes() + sums.tobytes(), 0)]).to_batches()
+
+    total, types, tokens = np.zeros(1 << 16, np.int64), 0, 0
+    merged = docs.filter("train").select("text").mapInArrow(distinct, schema).groupBy("kind", "place").applyInArrow(merge, schema)
+    for r in merged.mapInArrow(add, schema).coalesce(64).mapInArrow(add, schema).collect():  # 64 rows of half a megabyte at most
+        tokens += r["n"]
+        if r["kind"] == WORDS:
+            types += r["place"]
+        else:
+            total += np.frombuffer(r["keys"], np.int64)[1 << 16:]
     keys = np.flatnonzero(total)
     first = Level(keys.astype(np.uint64), total[keys])
     root = Level(*one_shorter(first, 1))
     first.link(root, 1)
-    return [root, first]
+    return [root, first], tokens, types
 
 
 def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
@@ -239,7 +263,8 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
     places = 6 + nbytes // BATCH_BYTES
     docs = docs.select("doc_id", "text", training.alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"))
 
-    small = spark.sparkContext.broadcast(short_contexts(docs, places))
+    short, tokens, types = corpus_sums(docs, places)
+    small = spark.sparkContext.broadcast(short)
 
     def name(key, t):
         """What a batch holds: distinct runs and words, with training counts."""
@@ -271,10 +296,9 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
         named_, sizes = unpacked(t["keys"], np.uint64)
         batch = np.repeat(t["batch"].to_numpy(), sizes)
         keys, counts = counted(named_, unpacked(t["counts"], np.int32)[0].astype(np.int64))
-        kind, rows = key[0].as_py(), []
+        kind = key[0].as_py()
         if kind == WORDS:
             values = counts
-            rows = [(SUMS, 0, b, np.array([counts.sum(), (counts > 0).sum()]).tobytes(), b"") for b in range(batches)]
         else:
             levels = {order: Level(keys[counts > 0], counts[counts > 0])}
             for k in range(order, 2, -1):
@@ -284,7 +308,7 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
                 levels[k].link(levels[k - 1], k)
             values = code_lengths(keys, [levels[k] for k in range(order + 1)]).astype(np.float32)
         place, _ = found(keys, named_)
-        return _rows(rows + [(kind, 0, b, k, v) for _, b, _, k, v in _dealt(kind, batch, named_, values[place], 0)])
+        return _rows([(kind, 0, b, k, v) for _, b, _, k, v in _dealt(kind, batch, named_, values[place], 0)])
 
     answers = named.groupBy("kind", "place").applyInArrow(answer, schema)
 
@@ -296,7 +320,6 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
             mine = right.filter(pa.array(kind == k))
             values = unpacked(mine["counts"], np.int64)[0].astype(np.float64) if k == WORDS else np.frombuffer(b"".join(mine["counts"].to_pylist()), np.float32)
             tables.append(Table(unpacked(mine["keys"], np.uint64)[0], values))
-        tokens, types = np.frombuffer(b"".join(right.filter(pa.array(kind == SUMS))["keys"].to_pylist()), np.int64).reshape(-1, 2).sum(0)
         size = len(off) - 1
         n, known, base, total = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
         end = tables[0][np.array([END_TOKEN], np.uint64)][0] if size else 0
