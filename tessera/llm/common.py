@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,3 +43,26 @@ def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """(rows, bytes of text): one aggregate that sizes partitions."""
     row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     return int(row[0]), int(row[1])
+
+
+#: Rows of counters that one task adds up.
+SUM_ROWS = 64
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Counters added up in rounds of SUM_ROWS rows a group, so no group grows with the number of tasks that counted.
+
+    rows: slice, part (a number of the task, from 0 without large gaps), counts (int64 as bytes).  Returns one row a slice.
+    """
+    schema = "slice int, part int, counts binary"
+
+    def add(key, t):
+        total = np.sum([np.frombuffer(x, np.int64) for x in t["counts"].to_pylist()], axis=0)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    left = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        left = -(-left // SUM_ROWS)
+        rows = rows.select("slice", (F.col("part") % left).alias("part"), "counts").groupBy("slice", "part").applyInArrow(add, schema)
+        if left == 1:
+            return rows

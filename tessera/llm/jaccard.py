@@ -33,9 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored, text_bytes
+from .common import stored, summed, text_bytes
 from .components import components
 from .native import bit_table
 from .textkit import U, Words, column_bytes, mix, per_row_distinct, pieces
@@ -217,22 +218,19 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> D
                 counts += np.bincount((h >> U(64 - FREQUENCY_BITS)).astype(np.int64), minlength=size).astype(np.int32)
                 m = len(n)
                 mh = sketches(row, h, n)
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, m), "n": pa.array(n, pa.int64()), "sig": pa.array(sig), "sketch": pa.array([x.tobytes() for x in mh], pa.binary()), "slice": empty(m, pa.int32()), "counts": empty(m, pa.binary())})
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, m), "n": pa.array(n, pa.int64()), "sig": pa.array(sig), "sketch": pa.array([x.tobytes() for x in mh], pa.binary()), "slice": empty(m, pa.int32()), "part": empty(m, pa.int32()), "counts": empty(m, pa.binary())})
         parts = [(s, counts[s * SLICE:(s + 1) * SLICE]) for s in range(size // SLICE)]
         parts = [(s, c) for s, c in parts if c.any()]
         m = len(parts)
-        yield pa.record_batch({"doc_id": empty(m, pa.int64()), "n": empty(m, pa.int64()), "sig": empty(m, pa.int64()), "sketch": empty(m, pa.binary()), "slice": pa.array([s for s, _ in parts], pa.int32()), "counts": pa.array([c.tobytes() for _, c in parts], pa.binary())})
+        yield pa.record_batch({"doc_id": empty(m, pa.int64()), "n": empty(m, pa.int64()), "sig": empty(m, pa.int64()), "sketch": empty(m, pa.binary()), "slice": pa.array([s for s, _ in parts], pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * m, pa.int32()), "counts": pa.array([c.astype(np.int64).tobytes() for _, c in parts], pa.binary())})
 
-    described = stored(docs.mapInArrow(describe, "doc_id long, n long, sig long, sketch binary, slice int, counts binary"))
+    described = stored(docs.mapInArrow(describe, "doc_id long, n long, sig long, sketch binary, slice int, part int, counts binary"))
     members = described.filter("slice is null").select("doc_id", "n", "sig", "sketch")
 
-    def add(key, t):
-        total = np.sum([np.frombuffer(x, np.int32) for x in t["counts"].to_pylist()], axis=0, dtype=np.int64)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-    frequency = np.zeros(size, np.int32)
-    for s, c in described.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
-        frequency[s * SLICE:(s + 1) * SLICE] = np.frombuffer(c, np.int32)
+    frequency = np.zeros(size, np.int64)
+    for s, _, c in summed(described.filter("slice is not null").select("slice", "part", "counts")).collect():
+        frequency[s * SLICE:(s + 1) * SLICE] = np.frombuffer(c, np.int64)
+    frequency = np.minimum(frequency, 2**31 - 1).astype(np.int32)
     rare = spark.sparkContext.broadcast(frequency)  # a fixed 8 MB
     _, nbytes = text_bytes(docs)
     buckets = 12 + nbytes // BUCKET_BYTES

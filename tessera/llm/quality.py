@@ -23,8 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import stored, summed
 from .textkit import SPACE, U, Words, column_bytes, mix, pieces
 
 BITS = 18
@@ -114,19 +116,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y = label[i + row]
             for c in (0, 1):
                 sums[c] += np.bincount(feat[y == c], minlength=1 << BITS)
-    for c in (0, 1):
-        if docs[c]:
-            ids = np.arange(1 << BITS) // SLICE
-            yield pa.record_batch({
-                "label": pa.array(np.full(ids[-1] + 1, c, np.int32)), "slice": pa.array(np.arange(ids[-1] + 1, dtype=np.int32)),
-                "docs": pa.array(np.full(ids[-1] + 1, docs[c])), "held": pa.array(list(sums[c].reshape(-1, SLICE)), pa.list_(pa.int64())),
-            })
-
-
-def _add(key, t):
-    held = np.sum(np.stack(t["held"].to_numpy()), axis=0)
-    return pa.table({"label": pa.array([key[0].as_py()], pa.int32()), "slice": pa.array([key[1].as_py()], pa.int32()),
-                     "docs": pa.array([sum(t["docs"].to_pylist())], pa.int64()), "held": pa.array([held], pa.list_(pa.int64()))})
+    # slices 0.. hold class 0, the next as many class 1, the last the documents of either
+    parts = [*sums.reshape(-1, SLICE), docs]
+    yield pa.record_batch({"slice": pa.array(range(len(parts)), pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +177,11 @@ def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, cost: float
     Ratios come from all of these rows; the hinge-loss model from the
     ``sample_rows`` of them with the smallest hash of doc_id.
     """
-    counts = np.zeros((2, 1 << BITS))
-    docs = np.zeros(2)
-    for r in labelled.select("text", F.col("label").cast("int")).mapInArrow(_count, "label int, slice int, docs long, held array<long>").groupBy("label", "slice").applyInArrow(_add, "label int, slice int, docs long, held array<long>").collect():
-        counts[r.label, r.slice * SLICE:(r.slice + 1) * SLICE] = r.held
-        docs[r.label] = r.docs
+    rows = labelled.select("text", F.col("label").cast("int")).mapInArrow(_count, "slice int, part int, counts binary")
+    parts = {s: np.frombuffer(c, np.int64) for s, _, c in summed(stored(rows)).collect()}
+    last = 2 * (1 << BITS) // SLICE
+    counts = np.concatenate([parts.get(s, np.zeros(SLICE)) for s in range(last)]).reshape(2, -1).astype(float)
+    docs = parts.get(last, np.zeros(2)).astype(float)
     if not docs.all():
         share = 0.5 if not docs.any() else float(docs[1] > 0)
         return QualityModel(np.zeros(1 << BITS), 0.0, 1.0, 30.0 * (2 * share - 1))
