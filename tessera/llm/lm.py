@@ -36,7 +36,7 @@ from .textkit import U, Words, column_bytes, mix, pieces
 ORDER = 5
 END, BLANK = 10, 32
 #: Bytes of text in a batch.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 PIECE = 1 << 20
 END_TOKEN = 0x5EED0E2D0C2B1A29
 
@@ -220,34 +220,19 @@ def corpus_sums(docs: DataFrame, places: int) -> tuple[list[Level], int, int]:
         yield from table(rows).to_batches()
 
     def merge(key, t):
-        """Of one place: how many words there are, or in how many contexts of two bytes each pair was seen."""
+        """Of one place: in how many contexts of two bytes each pair was seen, or how many words (-1) and tokens (-2) there are."""
         keys = np.unique(unpacked(t["keys"], np.uint64)[0])
         if key[0].as_py() == WORDS:
-            return table([(WORDS, len(keys), None, sum(t["n"].to_pylist()))])
+            return pa.table({"key": pa.array([-1, -2], pa.int64()), "n": pa.array([len(keys), sum(t["n"].to_pylist())], pa.int64())})
         keys, counts = counted(keys & U(0xFFFF), np.ones(len(keys), np.int64))
-        return table([(RUNS, 0, keys.tobytes() + counts.tobytes(), 0)])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums over a task's places."""
-        sums, types, tokens = np.zeros(1 << 16, np.int64), 0, 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens += row["n"]
-                if row["kind"] == WORDS:
-                    types += row["place"]
-                else:
-                    half = len(row["keys"]) // 2
-                    np.add.at(sums, np.frombuffer(row["keys"][:half], np.uint64).astype(np.int64), np.frombuffer(row["keys"][half:], np.int64))
-        yield from table([(WORDS, types, None, tokens), (RUNS, 0, np.arange(1 << 16, dtype=np.uint64).tobytes() + sums.tobytes(), 0)]).to_batches()
-
-    total, types, tokens = np.zeros(1 << 16, np.int64), 0, 0
-    merged = docs.filter("train").select("text").mapInArrow(distinct, schema).groupBy("kind", "place").applyInArrow(merge, schema)
-    for r in merged.mapInArrow(add, schema).coalesce(64).mapInArrow(add, schema).collect():  # 64 rows of half a megabyte at most
-        tokens += r["n"]
-        if r["kind"] == WORDS:
-            types += r["place"]
-        else:
-            total += np.frombuffer(r["keys"], np.int64)[1 << 16:]
+        return pa.table({"key": keys.astype(np.int64), "n": counts})
+
+    merged = docs.filter("train").select("text").mapInArrow(distinct, schema).groupBy("kind", "place").applyInArrow(merge, "key long, n long")
+    got = dict(merged.groupBy("key").agg(F.sum("n")).collect())  # 65,538 rows at most
+    types, tokens = got.pop(-1, 0), got.pop(-2, 0)
+    total = np.zeros(1 << 16, np.int64)
+    for key, n in got.items():
+        total[key] = n
     keys = np.flatnonzero(total)
     first = Level(keys.astype(np.uint64), total[keys])
     root = Level(*one_shorter(first, 1))
