@@ -5,9 +5,9 @@ a line end; the ORDER line ends before it are its first context.  The model is t
 all training texts up to ORDER bytes of context: the deepest nodes count
 occurrences, the others in how many one byte longer contexts a symbol was seen
 (update exclusion).  A symbol not seen in a context escapes to the next
-shorter one with the estimate of method D, d / 2n, and the symbols seen in
-the longer context are excluded there; below the empty context every byte is
-as likely.
+shorter one with probability ESCAPE times d / n (d symbols seen n times, each
+giving up ESCAPE of its count), and the symbols seen in the longer context
+are excluded there; below the empty context every byte is as likely.
 
 The trie grows with the corpus, so no task and no broadcast holds it.
 Batches of documents name the distinct runs of ORDER + 1 bytes and the
@@ -34,6 +34,8 @@ from .common import text_bytes
 from .textkit import U, Words, column_bytes, mix, pieces
 
 ORDER = 5
+#: What a symbol gives up of its count to symbols not seen; 0.2 to 0.4 score held-out texts best.
+ESCAPE = 0.3
 END, BLANK = 10, 32
 #: Bytes of text in a batch.
 BATCH_BYTES = 8 << 20
@@ -122,9 +124,9 @@ def code_lengths(runs: np.ndarray, levels: list[Level]) -> np.ndarray:
         n, d = level.n[node] - ex_n, level.d[node] - ex_d
         active = open_ & seen & (n > 0)
         hit = active & there
-        out[hit] += np.log10((2 * level.counts[place[hit]] - 1) / (2 * n[hit]))
+        out[hit] += np.log10((level.counts[place[hit]] - ESCAPE) / n[hit])
         miss = active & ~there
-        out[miss] += np.log10(d[miss] / (2 * n[miss]))
+        out[miss] += np.log10(ESCAPE * d[miss] / n[miss])
         open_ &= ~hit
         ex_n, ex_d = np.where(seen, level.shorter[node], 0), np.where(seen, level.d[node], 0)
     rest = 256 - (levels[0].d[0] if len(levels[0].d) else 0)

@@ -239,9 +239,9 @@ def _ppm_score(levels, text, order):
             n = sum(left.values())
             if n:
                 if b[i] in left:
-                    total += math.log10((2 * left[b[i]] - 1) / (2 * n))
+                    total += math.log10((left[b[i]] - lm.ESCAPE) / n)
                     break
-                total += math.log10(len(left) / (2 * n))
+                total += math.log10(lm.ESCAPE * len(left) / n)
             gone = set(node)
         else:
             total -= math.log10(256 - len(gone))
