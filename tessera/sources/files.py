@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -20,9 +21,9 @@ def scan(spark: SparkSession, root: str, source_id: str) -> DataFrame:
     Files that can't be read fail the scan rather than look deleted.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", False).option("ignoreCorruptFiles", False).load(root)
-    base = F.regexp_replace(F.lit(root), r"^file:/*|/+$", "")
     # the listing names files with a scheme in front; what follows the root is the relative path
-    path = F.element_at(F.split(F.col("path"), F.concat(F.lit("\\Q"), F.ltrim(F.lit("/"), base), F.lit("/\\E")), 2), -1)
+    base = re.sub(r"^file:/*|/+$", "", root).lstrip("/")
+    path = F.element_at(F.split(F.col("path"), re.escape(f"{base}/"), 2), -1)
     out = raw.select(F.lit(source_id).alias("source_id"), path.alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
     return out.filter(is_eligible(F.col("relative_path"), F.col("size_bytes")))
 
