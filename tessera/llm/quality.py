@@ -31,7 +31,7 @@ from .textkit import SPACE, U, Words, column_bytes, mix, pieces
 
 BITS = 18
 #: Labelled rows that the hinge-loss model is fitted on, and the share of them kept for calibration.
-SAMPLE_ROWS, CALIBRATE = 5000, 0.25
+SAMPLE_ROWS, CALIBRATE = 4000, 0.25
 SLICE = 1 << 12
 
 
@@ -121,6 +121,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"slice": pa.array(range(len(parts)), pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
+class Rows:
+    """The buckets of some rows in one array, in an order that doesn't depend on how the rows arrived."""
+
+    def __init__(self, column):
+        column = column.combine_chunks()
+        self.flat, self.cut = np.asarray(column.flatten()), np.asarray(column.offsets).astype(np.int64) - (column.offsets[0].as_py() if len(column) else 0)
+        sums = np.append(0, np.cumsum(self.flat, dtype=np.int64))[self.cut]
+        self.order = np.lexsort((np.diff(self.cut), np.diff(sums)))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        i = self.order[i]
+        return self.flat[self.cut[i]:self.cut[i + 1]]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = column_bytes(batch.column("text"))
@@ -130,20 +144,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"label": batch.column("label").slice(i, len(o) - 1), "feats": pa.array([feat[x:y].astype(np.int32) for x, y in zip(cut, cut[1:])], pa.list_(pa.int32()))})
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, size: int, cost: float, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: Rows, values: np.ndarray, y: np.ndarray, train: np.ndarray, cost: float, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:
     """L2-regularised hinge loss, dual form: one variable per row, each solved exactly in turn (Hsieh et al. 2008).
 
     values: the value of each bucket's indicator; cost: of either class, balanced by the classes' counts.
     """
-    w, bias = np.zeros(size), 0.0
-    x = [values[r] for r in rows]
-    diag = np.array([v @ v + 1 for v in x])
-    top = cost * len(y) / (2 * np.maximum(1, np.where(y > 0, (y > 0).sum(), (y < 0).sum())))
+    w, bias = np.zeros(len(values)), 0.0
+    squares = values * values
+    diag = {i: squares[rows[i]].sum() + 1 for i in train}
+    label = y[train]
+    top = {i: cost * len(train) / (2 * max(1, (label == y[i]).sum())) for i in train}
     alpha, rng = np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(y)):
-            r, v = rows[i], x[i]
+        for i in rng.permutation(train):
+            r = rows[i]
+            v = values[r]
             gradient = y[i] * (w[r] @ v + bias) - 1
             new = min(max(alpha[i] - gradient / diag[i], 0.0), top[i])
             if new != alpha[i]:
@@ -189,17 +205,14 @@ def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, cost: float
     ratio = np.log(p / (docs[1] + 2)) - np.log(q / (docs[0] + 2))
     chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", F.col("label").cast("int")).mapInArrow(_features, "label int, feats array<int>").toArrow()
-    y = np.where(rows["label"].to_numpy() == 1, 1.0, -1.0)
-    feats = [np.asarray(f) for f in rows["feats"].to_numpy()]
-    order = np.lexsort(([len(f) for f in feats], [int(f.astype(np.int64).sum()) for f in feats]))  # reruns agree whatever the order of arrival
-    feats, y = [feats[i] for i in order], y[order]
-    values = ratio / np.sqrt(np.median([max(1, len(f)) for f in feats]) if feats else 1)
+    feats = Rows(rows["feats"])
+    y = np.where(rows["label"].to_numpy() == 1, 1.0, -1.0)[feats.order]
+    values = ratio / np.sqrt(max(1.0, np.median(np.diff(feats.cut))))
     held = np.random.default_rng(1).random(len(y)) < CALIBRATE
-    train = [i for i in range(len(y)) if not held[i]]
-    w, bias = dual_coordinate_descent([feats[i] for i in train], values, y[train], 1 << BITS, cost, epochs)
+    w, bias = dual_coordinate_descent(feats, values, y, np.flatnonzero(~held), cost, epochs)
     w = (1 - blend) * np.abs(w[w != 0]).mean() + blend * w if (w != 0).any() else w
     weight = w * values
-    margin = np.array([weight[f].sum() + bias for f in feats])
+    margin = np.array([weight[feats[i]].sum() + bias for i in range(len(y))])
     slope, shift = _calibrate(margin[held], y[held]) if len(set(y[held])) == 2 else (1.0, 0.0)
     return QualityModel(weight, bias, slope, shift)
 
