@@ -59,9 +59,9 @@ def a_page_assembly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{ctes('files')} SELECT {_LANGUAGE} AS language, sha256(content) AS content_hash, sha256(source_id || chr(10) || relative_path) AS file_id, sha256(upper('/data/' || source_id)) AS root_hash,
- 2 + length(regexp_replace(content, '\\s', '', 'g')) AS tokens, length(content) - length(replace(content, chr(10), '')) + 1 AS n_lines, string_split(content, chr(10))[1] AS first_line,
+ (2 + length(regexp_replace(content, '\\s', '', 'g')))::INT AS tokens, (length(content) - length(replace(content, chr(10), '')) + 1)::INT AS n_lines, string_split(content, chr(10))[1] AS first_line,
  sha256(concat_ws(chr(10), source_id, relative_path, 'lines:1-1', string_split(content, chr(10))[1], 'generic', '1', 'p1')) AS chunk_id,
- len(regexp_extract_all(lower(content), '[a-z0-9_]+|[^\\s]')) AS pre_tokens FROM files""")
+ len(regexp_extract_all(lower(content), '[a-z0-9_]+|[^\\s]'))::INT AS pre_tokens FROM files""")
 def b_identities(spark: SparkSession, sf: str) -> DataFrame:
     """A5, B1 to B5, B7, B9 to B11."""
     c, p, s = F.col("content"), F.col("relative_path"), F.col("source_id")
