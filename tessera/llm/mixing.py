@@ -30,6 +30,8 @@ from .common import stored
 BLOCK, SHARD_SLOTS, ROUNDS = 32, 1 << 16, 12
 #: Documents whose running sums one task makes.
 CHUNK_ROWS = 50_000
+#: Slots that one task numbers and permutes, about.
+TASK_SLOTS = 200_000
 #: Cells of the table that maps a draw to its source.
 CELLS = 1 << 12
 
@@ -109,7 +111,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     per_source = sources.filter("quota > 0").join(drawn.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").select("sid", "quota", F.coalesce("n", F.lit(0)).alias("n"))
     per_source = per_source.withColumn("over", F.greatest(F.lit(0), F.col("n") - F.col("quota"))).withColumn("under", F.greatest(F.lit(0), F.col("quota") - F.col("n")))
     per_source = per_source.withColumn("over_at", F.coalesce(F.sum("over").over(upto), F.lit(0))).withColumn("under_at", F.coalesce(F.sum("under").over(upto), F.lit(0)))
-    numbered = drawn.join(per_source.select("sid", "quota", "over_at"), "sid").withColumn("j", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
+    spread = drawn.join(per_source.select("sid", "quota", "over_at"), "sid").repartition(1 + slots // TASK_SLOTS, "shard", "sid")
+    numbered = spread.withColumn("j", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
     kept = numbered.filter("j < quota").select("shard", "sid", "j")
     spare = numbered.filter("j >= quota").select("shard", (F.col("over_at") + F.col("j") - F.col("quota")).alias("e"))
     need = per_source.filter("under > 0").withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("under") - 1))).select("sid", (F.col("under_at") + F.col("d")).alias("e"), (F.col("n") + F.col("d")).alias("j"))
