@@ -1,9 +1,12 @@
 """Benchmark decontamination, in DataFrame functions only.
 
 For each benchmark item, windows of the item's size are laid over the
-documents: wherever a document has one of the item's shingles, the window
-starts so that the shingle stands where it does in the item.  Windows without a shared
-shingle have similarity 0 and are skipped; a screen over all shingles, which
+documents: wherever a document has one of the item's shingles, one window
+starts so that the shingle stands where it does in the item, and one starts with
+the shingle (or ends with the document).  A window whose first shingle is not
+shared holds no more than the next window, so these starts reach the best
+similarity of all windows; of the latter kind, those with fewer shared places than the
+similarity needs are skipped.  A screen over all shingles, which
 lets every benchmark shingle through, and the least number of shared shingles
 that the similarity needs, pick the documents.  The window's 64-bit SimHash
 (every shingle counted as often as it occurs) is cut into RADIUS + 1 blocks;
@@ -48,6 +51,14 @@ def common_count(a: str, b: str) -> Column:
     return F.expr(f"aggregate(array_distinct({a}), 0, (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))")
 
 
+def begun(spots: Column, n: Column, span: Column, similarity: float) -> Column:
+    """Starts, of windows of ``span`` among n shingles, at one of the sorted spots or at the last place, that have as many spots as the similarity needs."""
+    need = F.ceil((span + F.least(span, n)) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)).cast("int")
+    last = F.greatest(F.lit(0), n - span)
+    full = F.filter(spots, lambda p, i: (p <= last) & (F.get(spots, i + need - 1) < p + span))
+    return F.concat(full, F.when(F.get(spots, F.size(spots) - need) >= last, F.array(last)).otherwise(F.array().cast("array<int>")))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = K) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words: the best window of each document and item that reach ``similarity``."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -63,7 +74,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
         hits = flagged.select("rid", F.size("sh").alias("n"), F.explode("hits").alias("p")).select("rid", "n", "p.pos", "p.h")
         span = F.col("m") - kk + 1
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.col("n") - span))
-        windows = hits.join(at, "h").select("rid", "m", start.alias("start")).distinct().groupBy("rid").agg(F.collect_list(F.struct("m", "start")).alias("at"))
+        laid = hits.join(at, "h").groupBy("rid", "m", "n").agg(F.collect_set(start).alias("aligned"), F.array_sort(F.collect_set("pos")).alias("spots"))
+        windows = laid.select("rid", "m", F.explode(F.array_union("aligned", begun(F.col("spots"), F.col("n"), span, similarity))).alias("start"))
+        windows = windows.groupBy("rid").agg(F.collect_list(F.struct("m", "start")).alias("at"))
         windows = flagged.select("rid", "doc_id", "sh").join(windows, "rid").select("doc_id", "sh", F.explode("at").alias("x"))
         windows = windows.select("doc_id", "x.m", "x.start", F.slice("sh", F.col("x.start") + 1, F.col("x.m") - kk + 1).alias("here"))
         windows = stored(windows.withColumn("f", simhash("here")))

@@ -125,6 +125,32 @@ def test_decontamination(spark, docs, none, rows):
     assert decontaminate.find_contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_moved_parts(spark):
+    r = random.Random(8)
+    pool = [f"w{i}" for i in range(4000)]
+    item = r.sample(pool, 40)
+    parts = {"swapped": item[20:] + item[:20], "turned": item[13:] + item[:13], "thirds": item[26:] + item[13:26] + item[:13], "half": item[:20]}
+    texts = []
+    for part in parts.values():
+        for before, after in ((50, 50), (0, 30), (30, 0), (0, 0), (3, 2)):
+            texts.append([*r.sample(pool, before), *part, *r.sample(pool, after)])
+    texts.append([*item[20:], *item[:20]] * 3)
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    grams = lambda w: [tuple(w[x:x + 5]) for x in range(len(w) - 4)]
+    own, want = collections.Counter(grams(item)), {}
+    for i, t in enumerate(texts):
+        here = grams(t)
+        windows = [collections.Counter(here[s:s + 36]) for s in range(max(1, len(here) - 35))]
+        best = max(sum((own & b).values()) / sum((own | b).values()) for b in windows)
+        if best >= 0.75:
+            want[i] = best
+    got = {x.doc_id: x.similarity for x in decontaminate.find_contamination(docs, items).collect()}
+    assert got.keys() == want.keys() and {0, 1, 2, 3, 4} <= got.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert {x.doc_id for x in decontaminate.drop_contaminated(docs, items).collect()} == set(range(len(texts))) - want.keys()
+
+
 def test_licenses(spark, docs, none):
     assert min(licenses.collision_probability(m) for m in range(5, 200)) > 0.9999
     mit = licenses.TEMPLATES["MIT"]
