@@ -21,8 +21,11 @@ within their groups by how many pointers they get.  Then every group holds suffi
 Lyndon prefix, and one ascending pass emits each group's order: a suffix comes
 when the suffix behind its Lyndon prefix has come.  Nothing is renamed or sorted again.
 
-Contexts that are open and share a gram meet in one task (about 400 bytes
-each); equal contexts meet once for each input batch.
+Open contexts of a gram meet in one task (about 400 bytes each) where the gram
+has at most GRAM_MOST contexts.  Beyond that no context travels: each batch hashes the
+strings of LENGTH bytes of its own contexts at every offset, and what it has not found twice
+is dealt by (gram, offset, string), each once for every CHUNK contexts.  Marks (40
+bytes each) still meet by gram; equal contexts meet once for each input batch.
 
 Edge cases: null and empty texts have no byte and the SHA-256 of nothing; texts
 under LENGTH bytes keep all; matches never cross documents; repeated rows
@@ -46,6 +49,8 @@ WINDOW = LENGTH - RUN + 1
 LEFT, BLOCK = WINDOW - 1, 32
 POSITION_BITS = 31
 BATCH_BYTES = 12 << 20
+#: Contexts of a gram that may meet in one task, and contexts whose strings are hashed at a time.
+GRAM_MOST, CHUNK = 4096, 8192
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _inverse = np.ones(1, np.uint64)
 
@@ -193,10 +198,25 @@ def repeated_offsets(gram: np.ndarray, text: np.ndarray, offsets: np.ndarray, le
     return spans
 
 
+def offset_keys(gram: np.ndarray, text: np.ndarray, offsets: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A key of (gram, offset, string) for every string of LENGTH bytes around the marks, each once: key, context, offset before the mark; and contexts x offsets, whether the string is there twice."""
+    m, h, mark = len(gram), Hashes(text), offsets[:-1] + left
+    right = offsets[1:] - mark
+    twice = np.zeros((m, LEFT + 1), bool)
+    parts = []
+    for t in range(LEFT + 1):
+        c = np.flatnonzero((left >= t) & (right >= LENGTH - t))
+        key, first, back, times = np.unique(mix(h(mark[c] - t, LENGTH) + mix(gram[c] + U(t))), return_index=True, return_inverse=True, return_counts=True)
+        twice[c, t] = times[back] > 1
+        parts.append((key, c[first], np.full(len(key), t)))
+    key, context, offset = (np.concatenate(x) for x in zip(*parts))
+    return key, context, offset, twice
+
+
 _SCHEMA = "kind int, place long, a binary, b binary, c binary, d binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("place", pa.int64()), *((x, pa.binary()) for x in "abcd")])
-#: kind: marks to gather; spans of a batch (row key, start, end); contexts that a batch is asked for (row key, place, gram, 1 if open); contexts.
-MARKS, SPANS, ASKED, CONTEXTS = range(4)
+#: kind: marks to gather; spans of a batch (row key, start, end); contexts that a batch is asked for (row key, place, gram, 1 if open and 2 if of a large gram); contexts; keys of strings (key, row key, place and offset and 1 if open and 2 if known to be repeated).
+MARKS, SPANS, ASKED, CONTEXTS, KEYS = range(5)
 
 
 def _dealt(kind: int, place: np.ndarray, *columns: np.ndarray) -> list[tuple]:
@@ -220,6 +240,7 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     _, nbytes = text_bytes(docs)
     batches = places = 6 + nbytes // BATCH_BYTES
+    most = GRAM_MOST
     docs = docs.withColumn("batch", F.pmod("row", F.lit(batches)))
 
     def batch_of(row: np.ndarray) -> np.ndarray:
@@ -270,16 +291,16 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         contexts, closed = np.bincount(group), np.bincount(group, full)
         asked = start[(contexts[group] > 1) & (closed[group] < contexts[group])]
         rows = _dealt(SPANS, batch_of(row[spans]), row[spans], np.stack([at - left, at + right], 1)[spans])
-        rows += _dealt(ASKED, batch_of(row[asked]), row[asked], at[asked], gram[asked], (~full[number[asked]]).astype(np.int64))
+        rows += _dealt(ASKED, batch_of(row[asked]), row[asked], at[asked], gram[asked], (~full[number[asked]] + 2 * (contexts[group[number[asked]]] > most)).astype(np.int64))
         return _rows(rows)
 
     gathered = stored(marked.filter(F.col("kind") == MARKS).groupBy("place").applyInArrow(gather, _SCHEMA))
 
     def fetch(texts, asked):
-        """The contexts that were asked for: kind CONTEXTS, by gram."""
+        """The contexts that were asked for: kind CONTEXTS, by gram; of large grams the keys of their strings, and spans of what is repeated here."""
         key = texts["row"].to_numpy()
         buf, off = column_bytes(texts["text"])
-        row, at, gram, is_open = (_read(asked[c], k) for c, k in zip("abcd", (np.int64, np.int64, np.uint64, np.int64)))
+        row, at, gram, flags = (_read(asked[c], k) for c, k in zip("abcd", (np.int64, np.int64, np.uint64, np.int64)))
         by = np.argsort(key, kind="stable")
         found = by[np.minimum(np.searchsorted(key[by], row), max(0, len(key) - 1))] if len(key) else np.zeros(0, np.int64)
         if not len(row) or not len(key):
@@ -287,20 +308,50 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         begin, end = off[found], off[found + 1]
         left, right = np.minimum(LEFT, at), np.minimum(LENGTH, end - begin - at)
         place = (gram % U(places)).astype(np.int64)
+        is_open, large = flags % 2, flags > 1
+
+        def bytes_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            size = left[c] + right[c]
+            pick = np.repeat(begin[c] + at[c] - left[c] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            return size, buf[pick]
+
         rows = []
-        order = np.argsort(place, kind="stable")
+        order = np.flatnonzero(~large)
+        order = order[np.argsort(place[order], kind="stable")]
         ids, cut = np.unique(place[order], return_index=True)
-        for p, a, z in zip(ids, cut, [*cut[1:], len(place)]):
+        for p, a, z in zip(ids, cut, [*cut[1:], len(order)]):
             c = order[a:z]
-            size = left[c] + right[c]
-            pick = np.repeat(begin[c] + at[c] - left[c] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            rows.append((CONTEXTS, int(p), gram[c].tobytes(), np.stack([row[c], at[c], left[c], size, is_open[c]], 1).astype(np.int64).tobytes(), buf[pick].tobytes(), None))
+            size, text = bytes_of(c)
+            rows.append((CONTEXTS, int(p), gram[c].tobytes(), np.stack([row[c], at[c], left[c], size, is_open[c]], 1).astype(np.int64).tobytes(), text.tobytes(), None))
+        order = np.flatnonzero(large)
+        order = order[np.argsort(gram[order], kind="stable")]
+        for a in range(0, len(order), CHUNK):
+            c = order[a:a + CHUNK]
+            size, text = bytes_of(c)
+            keys, context, offset, twice = offset_keys(gram[c], text, np.concatenate([[0], np.cumsum(size)]), left[c])
+            rest = at[c][context] * 1024 + offset * 4 + is_open[c][context] + 2 * twice[context, offset]
+            rows += _dealt(KEYS, (keys % U(places)).astype(np.int64), keys, row[c][context], rest)
+            # runs of offsets whose strings are there twice, as spans
+            step = np.diff(np.pad(twice & (is_open[c] == 1)[:, None], ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            (i, low), (_, high) = np.nonzero(step == 1), np.nonzero(step == -1)
+            rows += _dealt(SPANS, batch_of(row[c][i]), row[c][i], np.stack([at[c][i] - high + 1, at[c][i] - low + LENGTH], 1))
         return _rows(rows)
 
     wanted = gathered.filter(F.col("kind") == ASKED).withColumnRenamed("place", "batch")
     contexts = docs.select("row", "text", "batch").filter(F.octet_length("text") >= LENGTH).groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(fetch, _SCHEMA)
 
     def sort(key, t):
+        kind = t["kind"].to_numpy()
+        keys = t.filter(pa.array(kind == KEYS))
+        value, owner, rest = _read(keys["a"], np.uint64), _read(keys["b"], np.int64), _read(keys["c"], np.int64)
+        _, back, times = np.unique(value, return_inverse=True, return_counts=True)
+        known = np.bincount(back, rest // 2 % 2, len(times)) > 0
+        again = ((times > 1) | known)[back] & (rest % 4 == 1)
+        owner, begin = owner[again], (rest // 1024 - rest // 4 % 256)[again]
+        found = [*t.filter(pa.array(kind == SPANS)).to_batches(), *_rows(_dealt(SPANS, batch_of(owner), owner, np.stack([begin, begin + LENGTH], 1))).to_batches()]
+        t = t.filter(pa.array(kind == CONTEXTS))
+        if not t.num_rows:
+            return pa.Table.from_batches(found, _ARROW)
         gram, facts = _read(t["a"], np.uint64), _read(t["b"], np.int64).reshape(-1, 5)
         text = _read(t["c"], np.uint8)
         row, at, left, size, is_open = facts.T
@@ -308,7 +359,7 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         spans = [s for s in repeated_offsets(gram, text, offsets, left) if is_open[s[0]]]
         c = np.array([s[0] for s in spans], np.int64)
         span = np.array([s[1:] for s in spans], np.int64).reshape(-1, 2) + at[c][:, None]
-        return _rows(_dealt(SPANS, batch_of(row[c]), row[c], span))
+        return pa.Table.from_batches([*found, *_rows(_dealt(SPANS, batch_of(row[c]), row[c], span)).to_batches()], _ARROW)
 
     sorted_ = contexts.groupBy("place").applyInArrow(sort, _SCHEMA)
     spans = marked.filter(F.col("kind") == SPANS).unionByName(gathered.filter(F.col("kind") == SPANS)).unionByName(sorted_).select(F.col("place").alias("batch"), "a", "b")

@@ -95,6 +95,30 @@ def test_suffix_dedup(spark, docs, none, rows):
     assert got == dict(enumerate(_repeats(odd)))
 
 
+def test_suffix_dedup_large_grams(spark, docs, rows, monkeypatch):
+    """Contexts of a gram with more than GRAM_MOST never meet, and the rows are the same."""
+    sort = suffix.repeated_offsets
+
+    def bounded(gram, text, offsets, left):
+        assert np.unique(gram, return_counts=True)[1].max() <= 3
+        return sort(gram, text, offsets, left)
+
+    r = random.Random(6)
+    odd = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage, tail = odd(420), odd(150)
+    texts = [odd(r.randrange(300)) + passage + (tail[:r.randrange(150)] if i % 3 else "") + odd(r.randrange(300)) for i in range(60)]
+    texts += [texts[0], "x" * 700, "xy" * 300, *(odd(250) + passage[60:250] + odd(200) for _ in range(9))]
+    frame_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(suffix, "repeated_offsets", bounded)
+    monkeypatch.setattr(suffix, "GRAM_MOST", 3)
+    assert {x.doc_id: tuple(x)[1:] for x in suffix.cut_repeats(frame_).collect()} == dict(enumerate(_repeats(texts)))
+    monkeypatch.setattr(suffix, "GRAM_MOST", 1)
+    monkeypatch.setattr(suffix, "CHUNK", 5)
+    assert {x.doc_id: tuple(x)[1:] for x in suffix.cut_repeats(frame_).collect()} == dict(enumerate(_repeats(texts)))
+    got = collections.Counter(tuple(x) for x in suffix.cut_repeats(docs).collect())
+    assert got == collections.Counter((x[0], *y) for x, y in zip(rows, _repeats([x[1] for x in rows])))
+
+
 def test_decontamination(spark, docs, none, rows):
     r = random.Random(4)
     items = [(i, t) for i, t in enumerate([rows[4][1][:300], " ".join(r.choices([f"w{i}" for i in range(300)], k=30)), None, "", "one two three", rows[64 % len(rows)][1]])]
