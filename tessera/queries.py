@@ -228,7 +228,7 @@ _LIMITS = Limits(target=60, most=90, overlap=16)
 
 
 def _chunked(spark: SparkSession, sf: str) -> DataFrame:
-    f = bound(spark, sf, "files").withColumn("file_id", F.col("doc_id").cast("string")).filter(F.col("doc_id") % 8 != 0)
+    f = bound(spark, sf, "files").withColumn("file_id", F.col("doc_id").cast("string"))
     return chunk_files(f.select("source_id", "file_id", "relative_path", "content"), "p1", _LIMITS)
 
 

@@ -110,6 +110,28 @@ def test_sections(spark):
     assert sections.invalid_files(d, u.withColumn("end_line", F.lit(99))).count() > 0
 
 
+def test_section_families_are_chunked(spark):
+    long = "\n".join("word " * 6 for _ in range(12))
+    cases = {"a.md": f"intro\n# A\n## B\n{long}\n# C\nend", "b.json": '{\n  "k": 1,\n  "l": 2\n}', "c.yaml": "# note\nk: 1\nl:\n  - a: 2", "d.yml": "\tx", "e.toml": "[t]\r\nx = 1\r\n[[u]]\r\ny = 2", "f.json": "{", "g.toml": "x = [1", "h.md": None, "i.txt": "x", "j.md": "# A\nx\n# A\ny"}
+    d = spark.createDataFrame([("s", k, k, v) for k, v in cases.items()], "source_id string, file_id string, relative_path string, content string")
+    limits = chunker.Limits(60, 90, 16)
+    rows = chunker.chunk_files(d, "p", limits)
+    got = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.file_id, r.ordinal)):
+        got.setdefault(r.file_id, []).append(r)
+    ids = {k: {(r.chunker_id, r.outcome) for r in v} for k, v in got.items()}
+    bad = {("generic", "invalid-or-malformed")}
+    assert ids == {"a.md": {("markdown", "structural")}, "b.json": {("json", "structural")}, "c.yaml": {("yaml", "structural")}, "d.yml": bad, "e.toml": {("toml", "structural")}, "f.json": bad, "g.toml": bad, "i.txt": {("generic", "unsupported")}, "j.md": {("markdown", "structural")}}
+    spans = {k: [(r.chunk_kind, r.qualified_symbol_name, r.start_line, r.end_line) for r in v] for k, v in got.items()}
+    assert spans["b.json"] == [("text", None, 1, 1), ("property", "k", 2, 2), ("property", "l", 3, 4)]
+    assert spans["c.yaml"] == [("text", None, 1, 1), ("key", "k", 2, 2), ("key", "l", 3, 4)] and spans["e.toml"] == [("table", "t", 1, 2), ("table", "u", 3, 4)]
+    # whole-file brute force for Markdown: every line is in one piece, large sections go on as continuations
+    md = got["a.md"]
+    assert [r.chunk_kind for r in md] == ["section", "section", *["section"], *["section-continuation"] * (len(md) - 4), "section"] and len(md) > 5
+    assert "\n".join(r.content for r in md) == cases["a.md"] and {r.qualified_symbol_name for r in md} == {None, "A", "A / B", "C"}
+    assert sections.chunk_violations(rows, limits.most).count() == 0
+
+
 def test_diff_and_upsert(spark):
     cols = "source_id string, relative_path string, size_bytes long, modified long"
     old = spark.createDataFrame([("s", "a", 1, 1), ("s", "b", 1, 1), ("s", "c", 1, 1)], cols)
