@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored
+from .common import Shared, stored
 
 #: Rows that the tree is fitted and calibrated on.
 SAMPLE_ROWS, SAMPLE_QUERIES = 12_000, 200
@@ -161,7 +161,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     x = np.unique(_matrix(sample["embedding"], dim), axis=0)
     tree = fit_tree(x)
     tree.visits = calibrate(tree, x, k, recall)
-    held = spark.sparkContext.broadcast(tree)  # fitted on the sample: bounded
+    held = Shared(spark, tree)  # fitted on the sample: bounded
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,10 +8,15 @@ are scaled by a temperature, and the rejection threshold is the quantile of
 the winning probability that accepts ``accept`` of the calibration rows that
 were predicted rightly.
 
+The sample has about SAMPLE_ROWS rows in all and SAMPLE_PER_LANGUAGE of a
+language: a language's rows are picked by hash, at the rate that gives so many
+different ones, so no task gathers a language.  Every language is learned; what is
+broadcast is the embeddings (2**BITS x DIM numbers) and DIM + 1 numbers a language.
+
 Edge cases: a null text and a text without a letter are ``und`` with score
 0; with no training row everything is ``und``; null languages are not
 learned; a text of one byte has no subword and gets the classes' priors;
-repeated rows each get a row.
+repeated rows each get a row, and are one row of the sample.
 """
 
 from __future__ import annotations
@@ -22,14 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from .common import Shared
 from .textkit import LOWER, SPACE, column_bytes, pieces
 
 BITS, DIM, ORDERS = 16, 16, (2, 3, 4)
-#: Rows that the model is trained on: at most so many of each language, of at most so many languages (the most frequent).
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 800, 400
+#: Rows that the model is trained on: about so many of each language, and about so many in all.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 800, 12_000
 
 
 def subwords(buf: np.ndarray, offsets: np.ndarray):
@@ -51,26 +57,29 @@ def subwords(buf: np.ndarray, offsets: np.ndarray):
 
 @dataclass
 class LanguageModel:
-    """languages; logits of each bucket (embedding times softmax); bias; temperature; rejection threshold."""
+    """languages; embedding of each bucket; softmax weights and bias; temperature; rejection threshold."""
 
     languages: list[str]
-    logits: np.ndarray
+    embed: np.ndarray
+    out: np.ndarray
     bias: np.ndarray
     temperature: float
     reject_below: float
 
     def probabilities(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n, k = len(offsets) - 1, len(self.languages)
-        out = np.zeros((n, k))
+        # an average of logits is the logit of the average: the narrower of the two is summed up
+        parts, last = (np.ascontiguousarray((self.embed @ self.out).T), np.eye(k)) if k <= DIM else (np.ascontiguousarray(self.embed.T), self.out)
+        z = np.zeros((n, k))
         for i, b, o in pieces(buf, offsets):
             rows = len(o) - 1
-            sums, count = np.zeros((rows, k)), np.zeros(rows)
+            sums, count = np.zeros((rows, len(parts))), np.zeros(rows)
             for row, bucket in subwords(b, o):
                 count += np.bincount(row, minlength=rows)
-                for c in range(k):
-                    sums[:, c] += np.bincount(row, self.logits[c][bucket], minlength=rows)
-            out[i:i + rows] = sums / np.maximum(count, 1)[:, None]
-        z = (out + self.bias) / self.temperature
+                for c, part in enumerate(parts):
+                    sums[:, c] += np.bincount(row, part[bucket], minlength=rows)
+            z[i:i + rows] = sums / np.maximum(count, 1)[:, None] @ last
+        z = (z + self.bias) / self.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True)) if n else z
         return p / p.sum(axis=1, keepdims=True)
 
@@ -90,17 +99,26 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def fit_language(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, epochs: int = 6, rate: float = 2.0, accept: float = 0.995) -> LanguageModel:
-    """training: doc_id, text, lang.  The sample of each language is its rows of smallest hash."""
-    known = training.filter(F.col("lang").isNotNull())
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language).select("doc_id").distinct()
-    rows = known.select("doc_id", "text", "lang").join(chosen, "doc_id", "left_semi").select("text", "lang").mapInArrow(_counts, "lang string, feats array<int>, times array<float>").toArrow()
+def language_sample(training: DataFrame, per_language: int, total: int) -> DataFrame:
+    """lang, text: about ``per_language`` different rows of each language, fewer where that makes more than ``total``."""
+    known = training.filter(F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    held = known.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n"))
+    share = held.agg(F.count(F.lit(1)).alias("languages"))
+    wanted = F.greatest(F.lit(1.0), F.least(F.lit(float(per_language)), F.lit(float(total)) / F.col("languages")))
+    # of n different rows, the wanted share: hashes below it; a few rows are all taken
+    rate = held.join(share).select("lang", F.when(F.col("n") <= 1.1 * wanted, 1.0).otherwise(wanted / F.col("n")).alias("rate"))
+    place = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    picked = known.join(rate, "lang").filter(place < F.col("rate"))
+    return picked.groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def fit_language(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, total: int = SAMPLE_ROWS, epochs: int = 6, rate: float = 2.0, accept: float = 0.995) -> LanguageModel:
+    """training: doc_id, text, lang."""
+    rows = language_sample(training, per_language, total).select("text", "lang").mapInArrow(_counts, "lang string, feats array<int>, times array<float>").toArrow()
     lang = np.array(rows["lang"].to_pylist(), object)
     languages = sorted(set(lang))
     if not languages:
-        return LanguageModel([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0), 1.0, 0.0)
+        return LanguageModel([], np.zeros((1 << BITS, DIM)), np.zeros((DIM, 0)), np.zeros(0), 1.0, 0.0)
     feats, times = [np.asarray(x) for x in rows["feats"].to_numpy()], [np.asarray(x) for x in rows["times"].to_numpy()]
     order = sorted(range(len(lang)), key=lambda i: (lang[i], len(feats[i]), float(times[i].sum()), int(feats[i].sum())))
     x = [(feats[i], times[i] / max(1.0, times[i].sum())) for i in order]
@@ -125,9 +143,8 @@ def fit_language(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, e
             bias -= 0.01 * step * p
             if len(f):
                 embed[f] -= step * len(f) ** 0.5 * np.outer(t, back)
-    logits = np.ascontiguousarray((embed @ out).T)
     check = np.flatnonzero(held) if held.any() else train
-    z = np.array([logits[:, x[i][0]] @ x[i][1] + bias for i in check])
+    z = np.array([(x[i][1] @ embed[x[i][0]]) @ out + bias if len(x[i][0]) else bias for i in check])
 
     def loss(temperature: float) -> float:
         s = z / temperature
@@ -140,12 +157,12 @@ def fit_language(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, e
     p /= p.sum(axis=1, keepdims=True)
     right = p.max(axis=1)[p.argmax(axis=1) == y[check]]
     reject = float(np.quantile(right, 1 - accept)) if len(right) else 0.0
-    return LanguageModel(languages, logits, bias, float(temperature), reject)
+    return LanguageModel(languages, embed, out, bias, float(temperature), reject)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Every row of docs with lang_pred, score (probability of that language, 0 for und) and rejected (below the calibrated threshold, or und)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**BITS numbers
+    shared = Shared(docs.sparkSession, model)  # an 8 MB table, and 17 numbers a language
     docs = docs.drop("lang_pred", "score", "rejected")
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import text_bytes
+from .common import Shared, text_bytes
 from .textkit import U, Words, column_bytes, mix, pieces
 
 ORDER = 5
@@ -251,7 +251,7 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
     docs = docs.select("doc_id", "text", training.alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"))
 
     short, tokens, types = corpus_sums(docs, places)
-    small = spark.sparkContext.broadcast(short)
+    small = Shared(spark, short)
 
     def name(key, t):
         """What a batch holds: distinct runs and words, with training counts."""

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import stored, summed
+from .common import Shared, stored, summed
 from .textkit import SPACE, U, Words, column_bytes, mix, pieces
 
 BITS = 18
@@ -190,8 +191,8 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, cost: float = 0.1, epochs: int = 20, blend: float = 0.25) -> QualityModel:
     """labelled: columns doc_id, text, label (0 or 1), training rows only.
 
-    Ratios come from all of these rows; the hinge-loss model from the
-    ``sample_rows`` of them with the smallest hash of doc_id.
+    Ratios come from all of these rows; the hinge-loss model from ``sample_rows``
+    different ones, those of smallest hash.
     """
     rows = labelled.select("text", F.col("label").cast("int")).mapInArrow(_count, "slice int, part int, counts binary")
     parts = {s: np.frombuffer(c, np.int64) for s, _, c in summed(stored(rows)).collect()}
@@ -203,8 +204,10 @@ def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, cost: float
         return QualityModel(np.zeros(1 << BITS), 0.0, 1.0, 30.0 * (2 * share - 1))
     p, q = counts[1] + 1, counts[0] + 1
     ratio = np.log(p / (docs[1] + 2)) - np.log(q / (docs[0] + 2))
-    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", F.col("label").cast("int")).mapInArrow(_features, "label int, feats array<int>").toArrow()
+    keyed = labelled.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", "text", "label").alias("key"))
+    chosen = keyed.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample_rows)
+    picked = keyed.join(F.broadcast(chosen), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    rows = picked.select("text", "label").mapInArrow(_features, "label int, feats array<int>").toArrow()
     feats = Rows(rows["feats"])
     y = np.where(rows["label"].to_numpy() == 1, 1.0, -1.0)[feats.order]
     values = ratio / np.sqrt(max(1.0, np.median(np.diff(feats.cut))))
@@ -217,23 +220,17 @@ def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, cost: float
     return QualityModel(weight, bias, slope, shift)
 
 
-def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """Every row of ``docs`` with a score column, the probability of label 1; a ``score`` column of docs is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 2 MB
+def quality_scores(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
+    """Every row of ``docs`` with a column ``name``, the probability of label 1; a column of docs by that name is replaced."""
+    shared = Shared(docs.sparkSession, model)  # a fixed 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = shared.value.scores(*column_bytes(batch.column("text")))
-            yield pa.record_batch([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            yield pa.record_batch([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
-    docs = docs.drop("score")
-    return docs.mapInArrow(run, _with(docs, "score"))
-
-
-def _with(df: DataFrame, name: str):
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return StructType([*df.schema.fields, StructField(name, DoubleType())])
+    docs = docs.drop(name)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, keep: Column) -> DataFrame:
