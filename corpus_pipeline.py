@@ -16,7 +16,7 @@ from tessera.llm.secrets import redact_secrets
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled rows of its own input outside fold 0 of 5."""
     model = fit_quality(labelled_rows(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0))
-    return quality_scores(docs, model).filter(F.col("score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    return quality_scores(docs, model, "_quality").filter(F.col("_quality") >= QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
