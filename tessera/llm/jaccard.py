@@ -2,7 +2,7 @@
 
 Documents link when the Jaccard similarity of their sets of distinct k-word
 shingles is at least ``percent`` hundredths.  Equal sets collapse to one set, known
-by a hash of its members, so copies cost nothing further.
+by a 64-bit hash of its members, so copies cost nothing further.
 
 1. Every set puts its rarest shingles, as many as a linked partner can't all
    lack, into inverted lists.  Rarity comes from a table of FREQUENCY_SIZE counters over
@@ -10,14 +10,16 @@ by a hash of its members, so copies cost nothing further.
    result.  Lists of one set are dropped and lists of equal members collapse.
 2. In a list, pairs whose 64-value MinHash sketches agree in fewer than SKETCH_LEAST
    places are no partners (a linked pair falls below with probability under 1e-11); what remains
-   connected forms candidate groups.  Longer lists than LIST_MOST are not screened.
+   connected forms candidate groups.  A list of more than LIST_MOST sets is first divided
+   by bands of two sketch values (a linked pair shares none of the 32 with probability 3e-12).
 3. Inside a group each set looks for its partners by T-occurrence search over
-   the inverted lists of all shingles of the group: short lists are merged by
-   a heap, long ones are probed by bisection for the sets that can still
-   reach T (DivideSkip).  In a group of more than HEAP_MOST sets the same merge and
-   probes run as array operations.  Sets already connected are not compared again.
-4. A group of more than GROUP_MOST sets is dealt into blocks, and every two
-   blocks meet in a task.
+   inverted lists of shingles: short lists are merged by a heap, long ones are
+   probed by bisection for what can still reach T (DivideSkip).  The lists name
+   the sets found connected so far as one, so a family of near copies takes one place in
+   each; what reaches T is then compared set by set.
+4. A group of more than GROUP_MOST sets is dealt into blocks.  The sets that most
+   resemble the whole group visit every block, which connects most of it; then what is
+   not yet connected with the group's largest component meets all blocks.
 
 Edge cases: null and empty texts have no shingle and link with nothing; a
 text of fewer than k words is one shingle; repeated rows of a doc_id with
@@ -28,15 +30,15 @@ row; a null doc_id never is a component's name unless all are null; an empty tab
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored, summed, text_bytes
+from .common import stored, summed
 from .components import components
 from .native import bit_table
 from .textkit import U, Words, column_bytes, mix, per_row_distinct, pieces
@@ -44,7 +46,9 @@ from .textkit import U, Words, column_bytes, mix, per_row_distinct, pieces
 FREQUENCY_BITS = 21
 SLICE = 1 << 16
 SKETCH, SKETCH_LEAST = 64, 20
-LIST_MOST, GROUP_MOST, HEAP_MOST = 2048, 4096, 12
+LIST_MOST, GROUP_MOST, HUBS = 2048, 1024, 16
+#: Members of a component that are compared one by one before all are at once.
+SINGLY = 12
 PERCENT, K = 75, 5
 #: Bytes of text whose lists one task makes, and sets whose links one task looks for.
 BUCKET_BYTES, PACK_SETS = 8 << 20, 1500
@@ -115,75 +119,89 @@ def divide_skip(lists: list[list[int]], t: int) -> dict[int, int]:
     return found
 
 
-class _Sets:
-    """Union-find over 0..n-1."""
+def group_links(row: np.ndarray, token: np.ndarray, n: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is linked among the sets of one group.
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def group_links(row: np.ndarray, token: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among the sets of one group.  row, token: their postings; n: set sizes."""
+    row, token: their postings; n: set sizes; known: a number for each set, equal where sets are connected already.
+    """
     order = np.argsort(n, kind="stable")
     place = np.empty(len(n), np.int64)
     place[order] = np.arange(len(n))
-    size = n[order]
+    size = n[order].tolist()
     _, token, count = np.unique(token, return_inverse=True, return_counts=True)
     keep = count[token] > 1
     at, token = place[row[keep]], token[keep]
     by = np.lexsort((token, at))
     at, token = at[by], token[by]
     cut = np.searchsorted(at, np.arange(len(n) + 1))
-    joined, links = _Sets(len(n)), []
-    if len(n) <= HEAP_MOST:
-        index: dict[int, list[int]] = {}
-        for q in range(len(n)):
-            own = token[cut[q]:cut[q + 1]].tolist()
-            t = -(-percent * int(size[q]) // 100)
-            for y, both in divide_skip([index[x] for x in own if x in index], t).items():
-                if 100 * both >= percent * (size[q] + size[y] - both) and joined.join(q, y):
-                    links.append((int(order[q]), int(order[y])))
-            for x in own:
-                index.setdefault(x, []).append(q)
-        return links
-    # the same search on arrays: postings sorted by (token, set), so a list is a range and a probe a bisection
-    m = np.int64(len(n))
-    keys = np.sort(token * m + at)
-    member, start = keys % m, np.searchsorted(keys, np.arange(int(token.max()) + 2 if len(token) else 1) * m)
-    root = np.arange(len(n))
-    for q in range(1, len(n)):
-        own = token[cut[q]:cut[q + 1]]
-        t = -(-percent * int(size[q]) // 100)
-        if len(own) < t:
-            continue
-        length = start[own + 1] - start[own]
-        own = own[np.argsort(length, kind="stable")]
-        length = np.sort(length)
-        long = min(t - 1, int(t / (0.01 * np.log2(max(2, int(length[-1]))) + 1)))
-        short = own[:len(own) - long]
-        size_of = length[:len(own) - long]
-        pick = np.repeat(start[short] - (np.cumsum(size_of) - size_of), size_of) + np.arange(int(size_of.sum()))
-        seen = np.bincount(member[pick], minlength=len(n))[:q]
-        c = np.flatnonzero((seen >= t - long) & (root[:q] != root[q]) & (100 * size[:q] >= percent * size[q]))
-        if not len(c):
-            continue
-        probe = (own[len(own) - long:, None] * m + c).ravel()
-        hit = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
-        both = seen[c] + (keys[hit] == probe).reshape(long, len(c)).sum(0)
-        for y in c[100 * both >= percent * (size[q] + size[c] - both)]:
-            if root[y] != root[q]:
-                links.append((int(order[q]), int(order[y])))
-                root[root == max(root[y], root[q])] = min(root[y], root[q])
+    postings: list[np.ndarray] = []
+
+    def overlaps(q: int, own: list[int]) -> np.ndarray:
+        """How many shingles of q every set before it holds."""
+        if not postings:
+            postings.extend([at[np.argsort(token, kind="stable")], np.append(0, np.cumsum(np.bincount(token, minlength=len(count))))])
+        member, start = postings
+        return np.bincount(np.concatenate([member[start[x]:start[x + 1]] for x in own]), minlength=len(n))[:q]
+
+    label = np.unique(known[order], return_inverse=True)[1].tolist() if known is not None else list(range(len(n)))
+    lists: dict[int, list[int]] = {}  # of each shingle, the components that hold it
+    members: dict[int, list[int]] = {}
+    held: dict[int, set[int]] = {}
+    sets: list[set[int]] = []
+    joined: dict[int, int] = {}
+
+    def named(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    def partner(q: int, c: int, t: int, counts: list) -> int:
+        """A member of component c that is linked with q, or -1."""
+        for turn, y in enumerate(members[c]):
+            if turn == SINGLY:
+                break
+            both = len(sets[q] & sets[y]) if size[y] >= t else 0
+            if 100 * both >= percent * (size[q] + size[y] - both):
+                if turn:  # who has partners is asked first
+                    members[c].insert(0, members[c].pop(turn))
+                return y
+        else:
+            return -1
+        if not counts:
+            counts.append(overlaps(q, list(sets[q])))
+        rest = np.array(members[c][SINGLY:])
+        both = counts[0][rest]
+        good = np.flatnonzero(100 * both >= percent * (size[q] + n[order[rest]] - both))
+        if len(good):
+            members[c].insert(0, members[c].pop(SINGLY + int(good[0])))
+            return members[c][0]
+        return -1
+
+    links = []
+    for q in range(len(n)):
+        own = token[cut[q]:cut[q + 1]].tolist()
+        sets.append(set(own))
+        mine, t, counts = named(label[q]), -(-percent * size[q] // 100), []
+        for c in sorted(divide_skip([lists[x] for x in own if x in lists], t)) if len(own) >= t else ():
+            c = named(c)
+            if c == mine or (y := partner(q, c, t, counts)) < 0:
+                continue
+            links.append((int(order[q]), int(order[y])))
+            small, large = sorted((mine, c), key=lambda x: len(held.get(x, ())))
+            joined[small] = mine = large
+            for x in held.pop(small, ()):
+                at_ = lists[x]
+                del at_[bisect_left(at_, small)]
+                if x not in held[large]:
+                    insort(at_, large)
+                    held[large].add(x)
+            members.setdefault(large, []).extend(members.pop(small, []))
+        members.setdefault(mine, []).append(q)
+        shown = held.setdefault(mine, set())
+        for x in own:
+            if x not in shown:
+                shown.add(x)
+                insort(lists.setdefault(x, []), mine)
     return links
 
 
@@ -202,11 +220,31 @@ def _connected(sig: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+def bands(sketch: Column) -> Column:
+    """(band, value) of every two neighbouring sketch values."""
+    return F.transform(F.sequence(F.lit(0), F.lit(SKETCH // 2 - 1)), lambda i: F.struct(i.alias("band"), F.substring(sketch, 2 * i + 1, F.lit(2)).alias("value")))
+
+
+def central(large: DataFrame) -> DataFrame:
+    """root, node: of each group of large (root, node, sketch), the HUBS sets whose sketches agree most with the group's commonest values."""
+    values = F.transform(F.sequence(F.lit(1), F.lit(SKETCH)), lambda i: F.struct(i.alias("place"), F.substring(F.col("sketch"), i, F.lit(1)).alias("value")))
+    seen = large.select("root", F.explode(values).alias("x")).groupBy("root", "x.place", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    common = seen.groupBy("root", "place").agg(F.max_by("value", F.struct("n", "value")).alias("value")).groupBy("root").agg(F.collect_list(F.struct("place", "value")).alias("common"))
+    agree = F.size(F.filter("common", lambda x: F.substring(F.col("sketch"), x["place"], F.lit(1)) == x["value"]))
+    order = Window.partitionBy("root").orderBy(F.desc("agree"), "node")
+    return large.join(common, "root").select("root", "node", agree.alias("agree")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS).select("root", "node")
+
+
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def named_components(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """doc_id, key (of doc_id and text), n (size of the set), class for each row of docs (doc_id, text); rows of a class are linked or have equal sets."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
     size = 1 << FREQUENCY_BITS
+    schema = "doc_id long, key long, n long, sig long, sketch binary, bytes long, slice int, part int, counts binary"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int32)
@@ -218,22 +256,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> D
                 counts += np.bincount((h >> U(64 - FREQUENCY_BITS)).astype(np.int64), minlength=size).astype(np.int32)
                 m = len(n)
                 mh = sketches(row, h, n)
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, m), "n": pa.array(n, pa.int64()), "sig": pa.array(sig), "sketch": pa.array([x.tobytes() for x in mh], pa.binary()), "slice": empty(m, pa.int32()), "part": empty(m, pa.int32()), "counts": empty(m, pa.binary())})
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, m), "key": batch.column("key").slice(i, m), "n": pa.array(n, pa.int64()), "sig": pa.array(sig), "sketch": pa.array([x.tobytes() for x in mh], pa.binary()), "bytes": pa.array(np.diff(o)), "slice": empty(m, pa.int32()), "part": empty(m, pa.int32()), "counts": empty(m, pa.binary())})
         parts = [(s, counts[s * SLICE:(s + 1) * SLICE]) for s in range(size // SLICE)]
         parts = [(s, c) for s, c in parts if c.any()]
         m = len(parts)
-        yield pa.record_batch({"doc_id": empty(m, pa.int64()), "n": empty(m, pa.int64()), "sig": empty(m, pa.int64()), "sketch": empty(m, pa.binary()), "slice": pa.array([s for s, _ in parts], pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * m, pa.int32()), "counts": pa.array([c.astype(np.int64).tobytes() for _, c in parts], pa.binary())})
+        none = {name: empty(m, kind) for name, kind in (("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sketch", pa.binary()), ("bytes", pa.int64()))}
+        yield pa.record_batch(none | {"slice": pa.array([s for s, _ in parts], pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * m, pa.int32()), "counts": pa.array([c.astype(np.int64).tobytes() for _, c in parts], pa.binary())})
 
-    described = stored(docs.mapInArrow(describe, "doc_id long, n long, sig long, sketch binary, slice int, part int, counts binary"))
-    members = described.filter("slice is null").select("doc_id", "n", "sig", "sketch")
+    described = stored(docs.mapInArrow(describe, schema))
+    members = described.filter("slice is null").select("doc_id", "key", "n", "sig", "sketch", "bytes")
+    buckets = 12 + (members.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES
 
-    frequency = np.zeros(size, np.int64)
+    frequency = np.zeros(size, np.int32)
     for s, _, c in summed(described.filter("slice is not null").select("slice", "part", "counts")).collect():
-        frequency[s * SLICE:(s + 1) * SLICE] = np.frombuffer(c, np.int64)
-    frequency = np.minimum(frequency, 2**31 - 1).astype(np.int32)
+        frequency[s * SLICE:(s + 1) * SLICE] = np.minimum(np.frombuffer(c, np.int64), 2**31 - 1)
     rare = spark.sparkContext.broadcast(frequency)  # a fixed 8 MB
-    _, nbytes = text_bytes(docs)
-    buckets = 12 + nbytes // BUCKET_BYTES
+    del frequency
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +312,20 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> D
         pick = pick[length[pick] > 1]
         return pa.table({"list": pa.array(name[pick].view(np.int64)), "sigs": pa.array([sig[head[i]:head[i] + length[i]] for i in pick], pa.list_(pa.int64()))})
 
-    posted = docs.mapInArrow(post, "bucket long, token binary, sig binary")
-    lists = stored(posted.groupBy("bucket").applyInArrow(gather, "list long, sigs array<long>")).dropDuplicates(["list"])
-    lists = stored(lists)
-    sets = stored(members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")))
-    rows = lists.filter(F.size("sigs") <= LIST_MOST).select("list", F.explode("sigs").alias("sig")).join(sets.select("sig", "sketch"), "sig")
+    posted = docs.select("text").mapInArrow(post, "bucket long, token binary, sig binary")
+    lists = stored(posted.groupBy("bucket").applyInArrow(gather, "list long, sigs array<long>").dropDuplicates(["list"]))
+    rare.unpersist()
+    sets = stored(members.filter("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch")))
+    sketched = sets.select("sig", "sketch")
+    rows = lists.filter(F.size("sigs") <= LIST_MOST).select("list", F.explode("sigs").alias("sig")).join(sketched, "sig")
+    whole = None
+    if not (long := lists.filter(F.size("sigs") > LIST_MOST)).isEmpty():
+        parts = long.select("list", F.explode("sigs").alias("sig")).join(sketched, "sig").select("list", "sig", F.explode(bands(F.col("sketch"))).alias("x"))
+        parts = stored(parts.select(F.xxhash64("list", "x.band", "x.value").alias("list"), "sig"))
+        held = parts.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("least")).filter("n > 1")
+        parts = parts.join(held, "list")
+        rows = rows.unionByName(parts.filter(F.col("n") <= LIST_MOST).select("list", "sig").join(sketched, "sig"))
+        whole = parts.filter(F.col("n") > LIST_MOST).select(F.col("least").alias("a"), F.col("sig").alias("b"))
     rows = rows.groupBy("list").agg(F.collect_list(F.struct("sig", "sketch")).alias("m")).select("m.sig", "m.sketch")
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,20 +337,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> D
             yield pa.record_batch({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     near = rows.mapInArrow(screen, "a long, b long")
-    whole = lists.filter(F.size("sigs") > LIST_MOST).select(F.get("sigs", F.lit(0)).alias("a"), F.explode("sigs").alias("b"))
-    groups = stored(components(near.unionByName(whole)))
+    groups = components(near if whole is None else near.unionByName(whole))
     held = groups.groupBy("root").agg(F.count(F.lit(1)).alias("held"))
-    live = stored(groups.join(held, "root").join(sets.withColumnRenamed("sig", "node"), "node").select("node", "root", "held", "doc_id"))
-    packs = 1 + live.count() // PACK_SETS
-    blocks = F.ceil(F.col("held") / (GROUP_MOST // 2)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.when(F.col("held") <= GROUP_MOST, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), blocks - 1)))
-    placed = live.select("node", "root", "doc_id", "held", mine.alias("mine"), other.alias("other"))
-    pack = F.when(F.col("held") <= GROUP_MOST, F.struct(F.pmod(F.xxhash64("root"), F.lit(packs)).alias("p"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("root").alias("p"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-    placed = placed.select("node", "root", "doc_id", pack.alias("pack"))
-    table, bits = bit_table(live.select(F.xxhash64("doc_id").alias("h")), "h")
-    wanted = F.getbit(F.get(table, F.floor(F.pmod(F.xxhash64("doc_id"), F.lit(bits)) / 64).cast("int")), F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")) == 1
-    texts = docs.filter(wanted & F.col("text").isNotNull()).join(placed.hint("merge"), "doc_id").select("node", "root", "pack", "text")
+    live = stored(groups.join(held, "root").join(sets.withColumnRenamed("sig", "node"), "node").select("node", "root", "held", "key", "sketch"))
+    sums = live.agg(F.count(F.lit(1)), F.max("held")).first()
+    table, bits = bit_table(live.select("key"), "key", sums[0])
+    mine = F.pmod(F.col("key"), F.lit(bits))
+    wanted = F.getbit(F.get(table, F.floor(mine / 64).cast("int")), F.pmod(F.col("key"), F.lit(64)).cast("int")) == 1
+    packs = 1 + sums[0] // PACK_SETS
 
     def search(key, t):
         t = t.sort_by("root").combine_chunks()
@@ -316,29 +357,62 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> D
             n.append(m)
             sig.append(s)
         row, h, n, sig = map(np.concatenate, (row, h, n, sig))
-        node, root = t["node"].to_numpy(), t["root"].to_numpy()
+        node, root, known = t["node"].to_numpy(), t["root"].to_numpy(), t["known"].to_numpy()
         heads = np.cumsum(n) - n
         links = []
         bounds = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]]))
         for a, z in zip(bounds, bounds[1:]):
-            # rows of another text under the same doc_id are not the set that was asked for
-            _, mine = np.unique(np.where(sig[a:z] == node[a:z], node[a:z], 0), return_index=True)
-            mine = np.sort(mine[sig[a:z][mine] == node[a:z][mine]]) + a
+            _, mine = np.unique(node[a:z], return_index=True)
+            mine = np.sort(mine) + a
+            mine = mine[sig[mine] == node[mine]]
             if len(mine) > 1:
                 at = np.concatenate([np.arange(heads[r], heads[r] + n[r]) for r in mine])
-                links += [(int(node[mine[x]]), int(node[mine[y]])) for x, y in group_links(np.repeat(np.arange(len(mine)), n[mine]), h[at], n[mine], percent)]
+                links += [(int(node[mine[x]]), int(node[mine[y]])) for x, y in group_links(np.repeat(np.arange(len(mine)), n[mine]), h[at], n[mine], percent, known[mine])]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    links = texts.groupBy("pack").applyInArrow(search, "a long, b long")
-    linked = components(links).withColumnRenamed("node", "sig")
-    named = members.select("doc_id", "n", "sig").join(linked, "sig", "left").withColumn("class", F.coalesce("root", "sig"))
-    named = stored(named.select("doc_id", "n", "class"))
+    def links_of(placed: DataFrame) -> DataFrame:
+        """Links among the sets that share a pack.  placed: node, root, key, known, pack."""
+        texts = docs.filter(wanted & F.col("text").isNotNull()).select("key", "text").dropDuplicates(["key"])
+        return texts.join(placed.hint("merge"), "key").select("node", "root", "known", "pack", "text").groupBy("pack").applyInArrow(search, "a long, b long")
+
+    def pack(p: Column, i: Column, j: Column) -> Column:
+        return F.struct(p.cast("long").alias("p"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+    none = F.lit(-1)
+    placed = live.filter(F.col("held") <= GROUP_MOST).select("node", "root", "key", F.col("node").alias("known"), pack(F.pmod(F.xxhash64("root"), F.lit(packs)), none, none).alias("pack"))
+    if sums[1] is None or sums[1] <= GROUP_MOST:
+        linked = components(links_of(placed))
+    else:
+        blocks = F.ceil(F.col("held") / GROUP_MOST).cast("int")
+        large = live.filter(F.col("held") > GROUP_MOST).withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+        hubs = large.join(central(large), ["root", "node"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = large.unionByName(hubs).select("node", "root", "key", F.col("node").alias("known"), pack(F.col("root"), F.col("block"), none).alias("pack"))
+        first = components(links_of(placed.unionByName(spread)))
+        # sets outside their group's largest component, dealt into parts, meet all blocks of the group
+        now = stored(large.drop("sketch").join(first.withColumnsRenamed({"root": "_part"}), "node", "left").withColumn("known", F.coalesce("_part", "node")).drop("_part"))
+        per = now.groupBy("root", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("known", F.struct("n", "known")).alias("main"), (F.sum("n") - F.max("n")).alias("loose"))
+        now = now.join(per.filter("loose > 0"), "root").withColumn("parts", F.ceil(F.col("loose") / GROUP_MOST).cast("int"))
+        here = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        loose = now.filter("known <> main").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        again = here.unionByName(loose).select("node", "root", "key", "known", pack(F.col("root"), F.col("block"), F.col("part")).alias("pack"))
+        linked = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links_of(again)))
+    linked = linked.withColumnRenamed("node", "sig")
+    return members.select("doc_id", "key", "n", "sig").join(linked, "sig", "left").select("doc_id", "key", "n", F.coalesce("root", "sig").alias("class"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    named = stored(named_components(docs, percent, k))
     least = named.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
-    """docs with one document of each component, the one that names it; documents without a shingle all stay."""
-    stay = jaccard_components(docs, percent, k).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stored(stay), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """docs with one document of each component, the one of the smallest id; documents without a shingle all stay.  Rows that repeat doc_id and text are one document: one of them stays."""
+    named = named_components(docs, percent, k)
+    own = F.when(F.col("n") > 0, F.struct(F.lit(0).alias("kind"), F.col("class").alias("c"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("key").alias("c")))
+    first = F.min_by("key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
+    stay = stored(named.groupBy(own.alias("own")).agg(first.alias("_key")).select("_key"))
+    keyed = docs.withColumn("_key", row_key()).dropDuplicates(["_key"])
+    return keyed.join(stay, "_key", "left_semi").drop("_key").select(*docs.columns)

@@ -30,12 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import Shared
+from .common import Shared, stored
 from .textkit import LOWER, SPACE, column_bytes, pieces
 
 BITS, DIM, ORDERS = 16, 16, (2, 3, 4)
 #: Rows that the model is trained on: about so many of each language, and about so many in all.
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 800, 12_000
+#: Languages whose rates (two values each) are broadcast; those of more are joined by shuffle.
+BROADCAST_LANGUAGES = 50_000
 
 
 def subwords(buf: np.ndarray, offsets: np.ndarray):
@@ -102,11 +104,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def language_sample(training: DataFrame, per_language: int, total: int) -> DataFrame:
     """lang, text: about ``per_language`` different rows of each language, fewer where that makes more than ``total``."""
     known = training.filter(F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
-    held = known.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n"))
-    share = held.agg(F.count(F.lit(1)).alias("languages"))
-    wanted = F.greatest(F.lit(1.0), F.least(F.lit(float(per_language)), F.lit(float(total)) / F.col("languages")))
+    held = stored(known.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")))
+    languages = held.count()
+    wanted = max(1.0, min(float(per_language), total / max(1, languages)))
     # of n different rows, the wanted share: hashes below it; a few rows are all taken
-    rate = held.join(share).select("lang", F.when(F.col("n") <= 1.1 * wanted, 1.0).otherwise(wanted / F.col("n")).alias("rate"))
+    rate = held.select("lang", F.when(F.col("n") <= 1.1 * wanted, 1.0).otherwise(wanted / F.col("n")).alias("rate"))
+    rate = F.broadcast(rate) if languages <= BROADCAST_LANGUAGES else rate
     place = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     picked = known.join(rate, "lang").filter(place < F.col("rate"))
     return picked.groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text")

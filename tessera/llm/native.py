@@ -20,14 +20,14 @@ def shingles(word_array: Column, k: int = 5) -> Column:
     return F.when(F.size(word_array) >= k, F.transform(F.sequence(F.lit(0), F.size(word_array) - k), lambda i: F.xxhash64(*(F.get(word_array, i + j) for j in range(k))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def bit_table(hashes: DataFrame, column: str) -> tuple[Column, int]:
+def bit_table(hashes: DataFrame, column: str, most: int | None = None) -> tuple[Column, int]:
     """(literal array of 64-bit groups, number of bits) with the bit of every hash in ``column`` set.
 
     The number of bits grows with the hashes up to TABLE_BITS, so what the driver gathers has a fixed bound;
-    beyond that the table screens less and stays complete.
+    beyond that the table screens less and stays complete.  most: how many hashes there are, where that is known.
     """
     bits = 1 << 12
-    n = hashes.select(column).distinct().count()
+    n = hashes.select(column).distinct().count() if most is None else most
     while bits < 4096 * n and bits < TABLE_BITS:
         bits *= 2
     at = F.pmod(F.col(column), F.lit(bits))

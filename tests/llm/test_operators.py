@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontaminate, jaccard, langid, licenses, lm, mixing, quality, secrets, suffix
+from tessera.llm import ann, components, decontaminate, jaccard, langid, licenses, lm, mixing, quality, secrets, suffix
 from tessera.llm.common import fold
 
 from .cases import SCHEMA, corpus, frame, words_of
@@ -57,10 +57,71 @@ def test_jaccard_blocks_and_unscreened_lists(docs, monkeypatch):
     want = {tuple(r) for r in jaccard.jaccard_components(docs).collect()}
     monkeypatch.setattr(jaccard, "GROUP_MOST", 2)
     monkeypatch.setattr(jaccard, "LIST_MOST", 2)
-    monkeypatch.setattr(jaccard, "HEAP_MOST", 1)
+    monkeypatch.setattr(jaccard, "HUBS", 1)
     assert {tuple(r) for r in jaccard.jaccard_components(docs).collect()} == want
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    r = random.Random(9)
+    names = [f"w{i}" for i in range(500)]
+    base = r.choices(names, k=80)
+    near, odd = " ".join([*base[:40], "zz", *base[41:]]), " ".join(r.choices(names, k=50))
+    d = spark.createDataFrame([(None, near, 1), (5, " ".join(base), 2), (5, " ".join(base), 3), (7, odd, 4), (7, odd, 5), (9, None, 6), (None, "", 7), (8, near, 8), (5, odd, 9)], "doc_id long, text string, key long")
+    got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in jaccard.jaccard_components(d).collect())
+    assert got == sorted([("None", 76, "5"), ("5", 76, "5"), ("5", 76, "5"), ("8", 76, "5"), ("7", 46, "5"), ("7", 46, "5"), ("5", 46, "5"), ("9", 0, "9"), ("None", 0, "None")])
+    kept = jaccard.keep_one(d)
+    assert kept.columns == d.columns and sorted((str(x.doc_id), x.text) for x in kept.collect()) == sorted([("5", " ".join(base)), ("5", odd), ("9", None), ("None", "")], key=str)
+
+
+def _linked(sets, percent=75):
+    up = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    return up
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_group_links(known):
+    """The search with merged components gives the components of all pairs, for families, chains and strangers."""
+    r = random.Random(11)
+    for turn in range(12):
+        sets = []
+        for _ in range(r.randrange(2, 6)):
+            sets.append(set(r.sample(range(400), r.randrange(8, 60))))
+            for _ in range(r.randrange(30)):
+                own = list(r.choice(sets[-9:]))
+                for _ in range(r.randrange(6)):
+                    own[r.randrange(len(own))] = r.randrange(400)
+                sets.append(set(own))
+        want = _linked(sets)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        token = np.concatenate([np.array(sorted(x), np.uint64) for x in sets])
+        given = np.array([want[i] if i % 3 else -i - 1 for i in range(len(sets))]) if known else None
+        links = jaccard.group_links(row, token, np.array([len(x) for x in sets]), 75, given)
+        up = list(range(len(sets)))
+        groups = [(i, j) for i in range(len(sets)) for j in range(i) if known and given[i] == given[j]]
+        for i, j in links + groups:
+            a, b = up[i], up[j]
+            up = [min(a, b) if x in (a, b) else x for x in up]
+        assert up == want, turn
+
+
+def test_components_of_chains_and_cycles(spark):
+    r = random.Random(12)
+    links = [(i, i + 1) for i in range(0, 300)] + [(1000 + i, 1000 + (i + 1) % 50) for i in range(50)] + [(r.randrange(2000, 2400), r.randrange(2000, 2400)) for _ in range(250)] + [(7, 7), (5000, 4999), (4999, 5000), (None, 3)]
+    up = {}
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = up.setdefault(a, a), up.setdefault(b, b)
+            up = {k: min(x, y) if v in (x, y) else v for k, v in up.items()}
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(13)).collect()
+    assert len(got) == len(up) and {x.node: x.root for x in got} == up
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_keep_one(docs, rows):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
