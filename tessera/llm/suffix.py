@@ -6,12 +6,12 @@
    within the LEFT bytes before the mark and the LENGTH bytes from it: the mark's context.
 2. Marks are gathered by gram.  A context that occurs twice is repeated
    throughout.  Contexts that occur once among others of the same gram are open.
-3. Open contexts, and one of each repeated context beside them, are cut into
-   blocks from the mark on; the blocks are symbols, the contexts of a place one
-   string.  Its suffix array, built by linear grouping (below), brings contexts that
-   agree from the mark on next to each other; inside each run of equal
-   first blocks, strings of LENGTH bytes at equal offset are compared by their
-   64-bit hashes, which gives the repeated ones.
+3. Open contexts, and one of each repeated context beside them, are sorted by two suffix
+   arrays, one over what follows the marks and one over what precedes them, read backwards.
+   Symbols are blocks of bytes, numbered in byte order, so the order is that of the bytes.
+   Contexts whose neighbours in an order agree in d bytes or more make an interval of
+   depth d.  A string of LENGTH bytes that starts t bytes before its mark is repeated
+   if another context shares its interval of depth LENGTH - t in the one order and of depth t in the other.
 4. Spans go back to their documents, are joined, and cut out.
 
 Suffix sorting (Baier 2016): suffixes start in groups by first symbol;
@@ -26,10 +26,12 @@ has at most GRAM_MOST contexts.  Beyond that no context travels: each batch hash
 strings of LENGTH bytes of its own contexts at every offset, and what it has not found twice
 is dealt by (gram, offset, string), each once for every CHUNK contexts.  Marks (40
 bytes each) still meet by gram; equal contexts meet once for each input batch.
+A row is known by two independent 64-bit hashes of doc_id and text: one picks its batch, one finds it there.
 
 Edge cases: null and empty texts have no byte and the SHA-256 of nothing; texts
 under LENGTH bytes keep all; matches never cross documents; repeated rows
-are documents of their own, so all their strings of LENGTH bytes are repeats; an empty table gives no row.
+are documents of their own, so all their strings of LENGTH bytes are repeats; a long text is
+marked in parts that overlap; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -46,9 +48,12 @@ from .textkit import _BASE, U, column_bytes, mix, pieces, powers
 
 LENGTH, RUN = 200, 32
 WINDOW = LENGTH - RUN + 1
-LEFT, BLOCK = WINDOW - 1, 32
+LEFT = WINDOW - 1
+#: Bytes of a symbol after the marks, and before them.
+BLOCK, LEFT_BLOCK = 40, 42
 POSITION_BITS = 31
-BATCH_BYTES = 12 << 20
+#: Bytes of text in a batch, and that are marked at a time.
+BATCH_BYTES, MARKED = 8 << 20, 1 << 20
 #: Contexts of a gram that may meet in one task, and contexts whose strings are hashed at a time.
 GRAM_MOST, CHUNK = 4096, 8192
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -98,31 +103,49 @@ def marks(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return rows, at - offsets[rows], gram[at], h(at - left, left + right) ^ mix((left * 1024 + right).astype(np.uint64)), np.stack([left, right], 1)
 
 
-def suffix_array(s: list[int]) -> list[int]:
+def mark_parts(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
+    """What ``marks`` gives for all rows, in parts; a long row is marked in stretches, each with the bytes around it that its marks depend on."""
+    for i, b, o in pieces(buf, offsets, MARKED):
+        if len(b) <= 2 * MARKED:
+            row, *rest = marks(b, o)
+            yield i + row, *rest
+            continue
+        for c in range(0, len(b), MARKED):
+            low = max(0, c - LEFT)
+            part = b[low:c + MARKED + LENGTH + WINDOW]
+            row, at, *rest = marks(part, np.array([0, len(part)]))
+            own = (at + low >= c) & (at + low < c + MARKED)
+            yield i + row[own], at[own] + low, *(x[own] for x in rest)
+
+
+UNSET = -2
+
+
+def suffix_array(s: np.ndarray) -> list[int]:
     """Starts of the suffixes of s in order.  s ends with a symbol that is smaller than all others."""
     n = len(s)
-    sa = sorted(range(n), key=s.__getitem__)
-    group, size, place = [0] * n, [0] * n, [0] * n
-    start = 0
-    for k, i in enumerate(sa):
-        place[i] = k
-        if k and s[i] != s[sa[k - 1]]:
-            start = k
-        group[i] = start
-        size[start] += 1
-    previous, jump, lyndon = [-1] * n, [-1] * n, [1] * n
+    start_order = np.argsort(s, kind="stable")
+    head = np.concatenate([[True], s[start_order][1:] != s[start_order][:-1]])
+    first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    groups, places = np.empty(n, np.int64), np.empty(n, np.int64)
+    groups[start_order], places[start_order] = first, np.arange(n)
+    sa, group, place = start_order.tolist(), groups.tolist(), places.tolist()
+    size = np.bincount(first, minlength=n).tolist()
+    previous, jump, lyndon = [-1] * n, [UNSET] * n, [1] * n
     high = n
     while high:
         start = group[sa[high - 1]]
         pointers: dict[int, int] = {}
-        for i in sorted(sa[start:high]):
-            j, path = i - 1, []
-            while j >= 0 and group[j] >= start:
-                path.append(j)
-                j = jump[j]
-            for x in path:
-                jump[x] = j
-            previous[i] = jump[i] = j
+        for i in sa[start:high]:
+            j = jump[i]
+            if j == UNSET:
+                path, j = [i], i - 1
+                while j >= 0 and group[j] >= start:
+                    path.append(j)
+                    j = jump[j] if jump[j] != UNSET else j - 1
+                for x in path:
+                    jump[x] = j
+            previous[i] = j
             if j >= 0:
                 lyndon[j] += lyndon[i]
                 pointers[j] = pointers.get(j, 0) + 1
@@ -159,37 +182,47 @@ def suffix_array(s: list[int]) -> list[int]:
     return out
 
 
-def repeated_offsets(gram: np.ndarray, text: np.ndarray, offsets: np.ndarray, left: np.ndarray) -> list[tuple[int, int, int]]:
+def sorted_rows(rows: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each row in the order of the suffix array over all rows, bytes that the row at each place shares with the one before it)."""
+    m, width = rows.shape
+    _, number = np.unique(rows.view(f"S{block}"), return_inverse=True)
+    number = number.reshape(m, width // block) + 2
+    order = np.array(suffix_array(np.append(np.concatenate([number, np.ones((m, 1), np.int64)], 1).ravel(), 0)))
+    step = width // block + 1
+    order = order[(order % step == 0) & (order < m * step)] // step
+    place = np.empty(m, np.int64)
+    place[order] = np.arange(m)
+    differs = rows[order[1:]] != rows[order[:-1]]
+    return place, np.append(0, np.where(differs.any(1), differs.argmax(1), width))
+
+
+def around(text: np.ndarray, mark: np.ndarray, step: int, length: np.ndarray, width: int) -> np.ndarray:
+    """For each mark the ``length`` bytes from it on (step 1) or before it backwards (step -1), filled up to ``width`` with zeros."""
+    out = np.zeros((len(mark), width), np.uint8)
+    for a in range(0, len(mark), CHUNK):
+        reach = np.arange(width)
+        there = reach < length[a:a + CHUNK, None]
+        at = mark[a:a + CHUNK, None] + (reach if step > 0 else -1 - reach)
+        out[a:a + CHUNK] = np.where(there, text[np.where(there, at, 0)], 0)
+    return out
+
+
+def repeated_offsets(text: np.ndarray, offsets: np.ndarray, left: np.ndarray) -> list[tuple[int, int, int]]:
     """(context, start, end) of repeated strings, joined where neighbours, relative to the mark; text: the contexts, one after the other."""
-    m = len(gram)
-    h = Hashes(text)
+    m = len(left)
     mark = offsets[:-1] + left
     right = offsets[1:] - mark
-    symbols, count = [], -(-LENGTH // BLOCK)
-    for j in range(count):
-        size = np.clip(right - j * BLOCK, 0, min(BLOCK, LENGTH - j * BLOCK))
-        symbols.append(np.where(size > 0, h(mark + np.minimum(j * BLOCK, right), size) ^ mix(size.astype(np.uint64)), U(0)))
-    table = np.stack(symbols, 1)
-    _, number = np.unique(table, return_inverse=True)
-    number = number.reshape(table.shape) + 2
-    string = np.concatenate([number, np.ones((m, 1), np.int64)], 1).ravel().tolist() + [0]
-    order = np.array(suffix_array(string))
-    order = order[(order % (count + 1) == 0) & (order < m * (count + 1))] // (count + 1)
-    first = number[order, 0]
-    run = np.cumsum(np.concatenate([[0], first[1:] != first[:-1]]))
-    many = np.bincount(run)[run] > 1
-    order, run = order[many], run[many]
+    after, agree_after = sorted_rows(around(text, mark, 1, right, LENGTH), BLOCK)
+    before, agree_before = sorted_rows(around(text, mark, -1, left, LEFT), LEFT_BLOCK)
     spans = []
     open_at = np.full(m, -1)
     for t in range(LEFT, -2, -1):
         here = np.zeros(m, bool)
         if t >= 0:
-            fits = (left[order] >= t) & (right[order] >= LENGTH - t)
-            c, r = order[fits], run[fits]
-            if len(c):
-                key = mix(h(mark[c] - t, LENGTH) + r.astype(np.uint64))
-                _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-                here[c[times[back] > 1]] = True
+            c = np.flatnonzero((left >= t) & (right >= LENGTH - t))
+            key = np.cumsum(agree_after < LENGTH - t)[after[c]] * (m + 1) + np.cumsum(agree_before < t)[before[c]]
+            _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+            here[c[times[back] > 1]] = True
         for c in np.flatnonzero(here & (open_at < 0)):
             open_at[c] = t
         for c in np.flatnonzero(~here & (open_at >= 0)):
@@ -215,7 +248,7 @@ def offset_keys(gram: np.ndarray, text: np.ndarray, offsets: np.ndarray, left: n
 
 _SCHEMA = "kind int, place long, a binary, b binary, c binary, d binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("place", pa.int64()), *((x, pa.binary()) for x in "abcd")])
-#: kind: marks to gather; spans of a batch (row key, start, end); contexts that a batch is asked for (row key, place, gram, 1 if open and 2 if of a large gram); contexts; keys of strings (key, row key, place and offset and 1 if open and 2 if known to be repeated).
+#: kind: marks to gather (gram, context; row, batch and packed place, sides and 1 if known to be repeated); spans of a batch (row, start and end); contexts that a batch is asked for (row, place, gram, 1 if open and 2 if of a large gram); contexts (gram, facts, bytes); keys of strings (key, row, batch, place and offset and 1 if open and 2 if known to be repeated).
 MARKS, SPANS, ASKED, CONTEXTS, KEYS = range(5)
 
 
@@ -237,48 +270,42 @@ def _read(column, kind) -> np.ndarray:
 
 def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text); with_text: and kept, the remaining bytes."""
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     _, nbytes = text_bytes(docs)
-    batches = places = 6 + nbytes // BATCH_BYTES
+    places = 6 + nbytes // BATCH_BYTES
     most = GRAM_MOST
-    docs = docs.withColumn("batch", F.pmod("row", F.lit(batches)))
-
-    def batch_of(row: np.ndarray) -> np.ndarray:
-        return row % batches
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.pmod(F.xxhash64(F.lit(1), "text", "doc_id"), F.lit(places)).alias("batch"))
 
     def mark(input_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in input_:
-            buf, off = column_bytes(batch.column("text"))
-            key = batch.column("row").to_numpy()
-            parts = []
-            for i, b, o in pieces(buf, off):
-                row, at, gram, context, sides = marks(b, o)
-                parts.append((key[i + row], at, gram, context, sides))
+        for arrived in input_:
+            buf, off = column_bytes(arrived.column("text"))
+            key, home = arrived.column("row").to_numpy(), arrived.column("batch").to_numpy()
+            parts = list(mark_parts(buf, off))
             if not parts:
                 continue
             row, at, gram, context, sides = (np.concatenate(x) for x in zip(*parts))
+            del parts
             by = np.lexsort((context, gram))
-            row, at, gram, context, sides = row[by], at[by], gram[by], context[by], sides[by]
+            row, batch, at, gram, context, sides = key[row[by]], home[row[by]], at[by], gram[by], context[by], sides[by]
             head = np.ones(len(row), bool)
             head[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
             start = np.flatnonzero(head)
             times = np.diff(np.append(start, len(row)))
             many = np.repeat(times, times) > 1
             span = np.stack([at - sides[:, 0], at + sides[:, 1]], 1).astype(np.int64)
-            rows = _dealt(SPANS, batch_of(row[many]), row[many], span[many])
+            rows = _dealt(SPANS, batch[many], row[many], span[many])
             # one of each context goes on, with whether it is known to be repeated
-            packed = np.stack([row[start], at[start], sides[start, 0] * 4096 + sides[start, 1] * 4 + (times > 1)], 1).astype(np.int64)
+            packed = np.stack([row[start], batch[start], at[start] << 17 | sides[start, 0] << 9 | sides[start, 1] << 1 | (times > 1)], 1).astype(np.int64)
             rows += _dealt(MARKS, (gram[start] % U(places)).astype(np.int64), gram[start], context[start], packed)
             yield from _rows(rows).to_batches()
 
-    marked = stored(docs.mapInArrow(mark, _SCHEMA))
+    marked = stored(docs.select("text", "row", "batch").mapInArrow(mark, _SCHEMA))
 
     def gather(key, t):
         gram, context, packed = _read(t["a"], np.uint64), _read(t["b"], np.uint64), _read(t["c"], np.int64).reshape(-1, 3)
         by = np.lexsort((context, gram))
         gram, context, packed = gram[by], context[by], packed[by]
-        row, at, rest = packed.T
-        left, right, known = rest // 4096, rest % 4096 // 4, rest % 2 == 1
+        row, batch, rest = packed.T
+        at, left, right, known = rest >> 17, rest >> 9 & 255, rest >> 1 & 255, rest & 1 == 1
         head = np.ones(len(gram), bool)
         head[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
         start = np.flatnonzero(head)
@@ -290,21 +317,21 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         group = np.cumsum(new) - 1
         contexts, closed = np.bincount(group), np.bincount(group, full)
         asked = start[(contexts[group] > 1) & (closed[group] < contexts[group])]
-        rows = _dealt(SPANS, batch_of(row[spans]), row[spans], np.stack([at - left, at + right], 1)[spans])
-        rows += _dealt(ASKED, batch_of(row[asked]), row[asked], at[asked], gram[asked], (~full[number[asked]] + 2 * (contexts[group[number[asked]]] > most)).astype(np.int64))
+        rows = _dealt(SPANS, batch[spans], row[spans], np.stack([at - left, at + right], 1)[spans])
+        rows += _dealt(ASKED, batch[asked], row[asked], at[asked], gram[asked], (~full[number[asked]] + 2 * (contexts[group[number[asked]]] > most)).astype(np.int64))
         return _rows(rows)
 
     gathered = stored(marked.filter(F.col("kind") == MARKS).groupBy("place").applyInArrow(gather, _SCHEMA))
 
-    def fetch(texts, asked):
+    def fetch(key_, texts, asked):
         """The contexts that were asked for: kind CONTEXTS, by gram; of large grams the keys of their strings, and spans of what is repeated here."""
-        key = texts["row"].to_numpy()
+        home, key = key_[0].as_py(), texts["row"].to_numpy()
         buf, off = column_bytes(texts["text"])
         row, at, gram, flags = (_read(asked[c], k) for c, k in zip("abcd", (np.int64, np.int64, np.uint64, np.int64)))
-        by = np.argsort(key, kind="stable")
-        found = by[np.minimum(np.searchsorted(key[by], row), max(0, len(key) - 1))] if len(key) else np.zeros(0, np.int64)
         if not len(row) or not len(key):
             return _rows([])
+        by = np.argsort(key, kind="stable")
+        found = by[np.minimum(np.searchsorted(key[by], row), len(key) - 1)]
         begin, end = off[found], off[found + 1]
         left, right = np.minimum(LEFT, at), np.minimum(LENGTH, end - begin - at)
         place = (gram % U(places)).astype(np.int64)
@@ -322,7 +349,7 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         for p, a, z in zip(ids, cut, [*cut[1:], len(order)]):
             c = order[a:z]
             size, text = bytes_of(c)
-            rows.append((CONTEXTS, int(p), gram[c].tobytes(), np.stack([row[c], at[c], left[c], size, is_open[c]], 1).astype(np.int64).tobytes(), text.tobytes(), None))
+            rows.append((CONTEXTS, int(p), np.stack([row[c], np.full(len(c), home), at[c], left[c], size, is_open[c]], 1).astype(np.int64).tobytes(), text.tobytes(), None, None))
         order = np.flatnonzero(large)
         order = order[np.argsort(gram[order], kind="stable")]
         for a in range(0, len(order), CHUNK):
@@ -330,11 +357,11 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             size, text = bytes_of(c)
             keys, context, offset, twice = offset_keys(gram[c], text, np.concatenate([[0], np.cumsum(size)]), left[c])
             rest = at[c][context] * 1024 + offset * 4 + is_open[c][context] + 2 * twice[context, offset]
-            rows += _dealt(KEYS, (keys % U(places)).astype(np.int64), keys, row[c][context], rest)
+            rows += _dealt(KEYS, (keys % U(places)).astype(np.int64), keys, row[c][context], np.full(len(keys), home), rest)
             # runs of offsets whose strings are there twice, as spans
             step = np.diff(np.pad(twice & (is_open[c] == 1)[:, None], ((0, 0), (1, 1))).astype(np.int8), axis=1)
             (i, low), (_, high) = np.nonzero(step == 1), np.nonzero(step == -1)
-            rows += _dealt(SPANS, batch_of(row[c][i]), row[c][i], np.stack([at[c][i] - high + 1, at[c][i] - low + LENGTH], 1))
+            rows += _dealt(SPANS, np.full(len(i), home), row[c][i], np.stack([at[c][i] - high + 1, at[c][i] - low + LENGTH], 1))
         return _rows(rows)
 
     wanted = gathered.filter(F.col("kind") == ASKED).withColumnRenamed("place", "batch")
@@ -343,23 +370,21 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def sort(key, t):
         kind = t["kind"].to_numpy()
         keys = t.filter(pa.array(kind == KEYS))
-        value, owner, rest = _read(keys["a"], np.uint64), _read(keys["b"], np.int64), _read(keys["c"], np.int64)
+        value, owner, home, rest = _read(keys["a"], np.uint64), *(_read(keys[c], np.int64) for c in "bcd")
         _, back, times = np.unique(value, return_inverse=True, return_counts=True)
         known = np.bincount(back, rest // 2 % 2, len(times)) > 0
         again = ((times > 1) | known)[back] & (rest % 4 == 1)
-        owner, begin = owner[again], (rest // 1024 - rest // 4 % 256)[again]
-        found = [*t.filter(pa.array(kind == SPANS)).to_batches(), *_rows(_dealt(SPANS, batch_of(owner), owner, np.stack([begin, begin + LENGTH], 1))).to_batches()]
+        begin = (rest // 1024 - rest // 4 % 256)[again]
+        found = [*t.filter(pa.array(kind == SPANS)).to_batches(), *_rows(_dealt(SPANS, home[again], owner[again], np.stack([begin, begin + LENGTH], 1))).to_batches()]
         t = t.filter(pa.array(kind == CONTEXTS))
         if not t.num_rows:
             return pa.Table.from_batches(found, _ARROW)
-        gram, facts = _read(t["a"], np.uint64), _read(t["b"], np.int64).reshape(-1, 5)
-        text = _read(t["c"], np.uint8)
-        row, at, left, size, is_open = facts.T
-        offsets = np.concatenate([[0], np.cumsum(size)])
-        spans = [s for s in repeated_offsets(gram, text, offsets, left) if is_open[s[0]]]
+        text = _read(t["b"], np.uint8)
+        row, home, at, left, size, is_open = _read(t["a"], np.int64).reshape(-1, 6).T
+        spans = [s for s in repeated_offsets(text, np.concatenate([[0], np.cumsum(size)]), left) if is_open[s[0]]]
         c = np.array([s[0] for s in spans], np.int64)
         span = np.array([s[1:] for s in spans], np.int64).reshape(-1, 2) + at[c][:, None]
-        return pa.Table.from_batches([*found, *_rows(_dealt(SPANS, batch_of(row[c]), row[c], span)).to_batches()], _ARROW)
+        return pa.Table.from_batches([*found, *_rows(_dealt(SPANS, home[c], row[c], span)).to_batches()], _ARROW)
 
     sorted_ = contexts.groupBy("place").applyInArrow(sort, _SCHEMA)
     spans = marked.filter(F.col("kind") == SPANS).unionByName(gathered.filter(F.col("kind") == SPANS)).unionByName(sorted_).select(F.col("place").alias("batch"), "a", "b")
@@ -374,22 +399,18 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         n, removed, runs, digest, kept = np.diff(off), [], [], [], []
         for i in range(len(key)):
             a, z = np.searchsorted(row, key[i], "left"), np.searchsorted(row, key[i], "right")
-            text = buf[off[i]:off[i + 1]]
-            if a < z:
-                start, end = span[a:z, 0], np.maximum.accumulate(span[a:z, 1])
-                new = np.concatenate([[True], start[1:] > end[:-1]])
-                first = np.flatnonzero(new)
-                step = np.zeros(len(text) + 1, np.int8)
-                step[start[first]] += 1
-                step[end[np.append(first[1:] - 1, z - a - 1)]] -= 1
-                stay = np.cumsum(step[:-1]) == 0
-                runs.append(len(first))
-                text = text[stay]
-            else:
-                runs.append(0)
-            removed.append(int(n[i]) - len(text))
-            digest.append(hashlib.sha256(text.tobytes()).hexdigest())
-            kept.append(text.tobytes() if with_text else None)
+            text, rest = buf[off[i]:off[i + 1]], hashlib.sha256()
+            start, end = span[a:z, 0], np.maximum.accumulate(span[a:z, 1])
+            first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]])) if a < z else np.zeros(0, np.int64)
+            # what stays lies between the end of one run and the start of the next
+            begin = np.append(0, end[np.append(first[1:] - 1, z - a - 1)] if a < z else [])
+            stay = [text[x:y].tobytes() for x, y in zip(begin.astype(np.int64), np.append(start[first], len(text)).astype(np.int64))]
+            for x in stay:
+                rest.update(x)
+            runs.append(len(first))
+            removed.append(int(n[i]) - sum(map(len, stay)))
+            digest.append(rest.hexdigest())
+            kept.append(b"".join(stay) if with_text else None)
         out = {"doc_id": texts["doc_id"].cast(pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 

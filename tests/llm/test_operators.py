@@ -156,13 +156,57 @@ def test_suffix_dedup(spark, docs, none, rows):
     assert got == dict(enumerate(_repeats(odd)))
 
 
+def test_suffix_array():
+    r = random.Random(3)
+    for _ in range(200):
+        n, letters = r.randrange(1, 80), r.randrange(1, 5)
+        s = [*(r.randrange(1, letters + 1) for _ in range(n)), 0]
+        assert suffix.suffix_array(np.array(s)) == sorted(range(n + 1), key=lambda i: s[i:])
+
+
+def _contexts(seed=4, m=60):
+    """Contexts of one gram that leave a common text at different places on either side; and brute force over them."""
+    r = random.Random(seed)
+    letters = lambda k: bytes(r.choices(b"ab", k=k))
+    common, gram = [letters(168) for _ in range(3)], letters(32)
+    tails = [letters(168) for _ in range(3)]
+    rows = []
+    for _ in range(m):
+        a, b = r.choice([0, 40, 90, 168]), r.choice([0, 50, 100, 168])
+        rows.append((letters(r.randrange(168 - a + 1)) + r.choice(common)[168 - a:], gram + r.choice(tails)[:b] + letters(r.randrange(168 - b + 1))))
+    starts = collections.Counter((-t, (x[len(x) - t:] + y)[:200]) for x, y in rows for t in range(len(x) + 1) if len(y) >= 200 - t)
+    want = {(i, j) for i, (x, y) in enumerate(rows) for t in range(len(x) + 1) if len(y) >= 200 - t and starts[-t, (x[len(x) - t:] + y)[:200]] > 1 for j in range(-t, 200 - t)}
+    text = np.frombuffer(b"".join(x + y for x, y in rows), np.uint8)
+    return text, np.cumsum([0, *(len(x) + len(y) for x, y in rows)]), np.array([len(x) for x, _ in rows]), want
+
+
+def test_repeats_are_read_off_the_suffix_order(monkeypatch):
+    text, offsets, left, want = _contexts()
+    covered = lambda: {(i, j) for i, a, z in suffix.repeated_offsets(text, offsets, left) for j in range(a, z)}
+    assert want and covered() == want
+    # an order by the first symbol alone loses repeats
+    monkeypatch.setattr(suffix, "suffix_array", lambda s: np.argsort(s, kind="stable").tolist())
+    assert covered() != want
+
+
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    r = random.Random(13)
+    passage = "".join(r.choices("abcdefgh ", k=700))
+    texts = ["".join(r.choices("abcdefgh ", k=n)) + passage + "".join(r.choices("abcdefgh ", k=5000)) for n in (9000, 300, 40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(suffix, "MARKED", 600)
+    assert {x.doc_id: tuple(x)[1:] for x in suffix.cut_repeats(d).collect()} == dict(enumerate(_repeats(texts)))
+
+
 def test_suffix_dedup_large_grams(spark, docs, rows, monkeypatch):
     """Contexts of a gram with more than GRAM_MOST never meet, and the rows are the same."""
     sort = suffix.repeated_offsets
 
-    def bounded(gram, text, offsets, left):
-        assert np.unique(gram, return_counts=True)[1].max() <= 3
-        return sort(gram, text, offsets, left)
+    def bounded(text, offsets, left):
+        mark = offsets[:-1] + left
+        grams = collections.Counter(text[m:m + suffix.RUN].tobytes() for m in mark)
+        assert max(grams.values()) <= 3
+        return sort(text, offsets, left)
 
     r = random.Random(6)
     odd = lambda n: "".join(r.choices("abcdefgh ", k=n))
