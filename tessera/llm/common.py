@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +24,11 @@ def fold(column: str, folds: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def row_key() -> Column:
+    """A hash of doc_id and text: rows that repeat both are the same document, whatever the id is."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 _own: dict[str, str] = {}
 
 

@@ -1,36 +1,46 @@
 """Benchmark decontamination, in DataFrame functions only.
 
 For each benchmark item, windows of the item's size are laid over the
-documents: wherever a document has one of the item's shingles, one window
+documents.  Windows without any shingle of a benchmark have similarity 0 with all items, so
+they are never laid: a screen over all shingles, which
+lets every benchmark shingle through, and the least number of shared shingles
+that the similarity needs, pick the documents, and
+wherever a document has one of the item's shingles, one window
 starts so that the shingle stands where it does in the item, and one starts with
 the shingle (or ends with the document).  A window whose first shingle is not
 shared holds no more than the next window, so these starts reach the best
 similarity of all windows; of the latter kind, those with fewer shared places than the
-similarity needs are skipped.  A screen over all shingles, which
-lets every benchmark shingle through, and the least number of shared shingles
-that the similarity needs, pick the documents.  The window's 64-bit SimHash
-(every shingle counted as often as it occurs) is cut into RADIUS + 1 blocks;
-fingerprints within RADIUS bits agree in one block at least, so joining on
-(size, block, value) finds them all.  Candidates are verified by exact
+similarity needs are skipped.
+
+Windows and items are paired by fingerprint.  The 64-bit SimHash
+(every shingle counted as often as it occurs) is cut into BLOCKS blocks;
+fingerprints within RADIUS bits agree in one block but for FLIPS bits at most, so joining on
+(size, block, value) the windows' values with all values that near to the items' finds them all.
+Candidates are verified by exact
 weighted-shingle similarity: the sum of least counts over the sum of greatest counts.
 
 At similarity 0.75 a SimHash bit differs with probability 0.172, so the
-distance is 11.0 bits, give or take 3.0; RADIUS is 2.6 deviations above.
+distance is 11.0 bits, give or take 3.0; RADIUS is 4 deviations above.
 
 Edge cases: null and empty texts or items match nothing; an item of fewer
 words than a shingle is one shingle of its own length; a document shorter
-than the item is one window; rows that repeat a doc_id are scanned as one;
+than the item is one window; rows that share a doc_id, or have none, are scanned each by itself and
+give one row together, the best of any, and so are items that share an item_id; only rows
+that hold an item are dropped, others of their doc_id stay;
 other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import row_key, stored
 from .native import bit_table, rows_with_hits, shingles, words
 
-RADIUS, K, SIMILARITY = 19, 5, 0.75
+RADIUS, BLOCKS, FLIPS = 23, 6, 3
+K, SIMILARITY = 5, 0.75
 
 
 def simhash(column: str) -> Column:
@@ -39,16 +49,41 @@ def simhash(column: str) -> Column:
     return F.expr(f"aggregate(sequence(0, 63), 0L, (f, b) -> f | shiftleft(cast({vote} > 0 as bigint), b))")
 
 
+def _ranges() -> list[tuple[int, int]]:
+    """(first bit, bits) of each block."""
+    cut = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    return [(a, z - a) for a, z in zip(cut, cut[1:])]
+
+
+def _value(column: str, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(F.col(column), first).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
 def blocks(column: str) -> Column:
-    """(block, value): RADIUS + 1 neighbouring ranges of bits."""
-    n = RADIUS + 1
-    cut = [64 * i // n for i in range(n + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(column), a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("value")) for i, (a, z) in enumerate(zip(cut, cut[1:]))))
+    """(block, value) of every block of a fingerprint."""
+    return F.array(*(F.struct(F.lit(i).alias("block"), _value(column, a, n).alias("value")) for i, (a, n) in enumerate(_ranges())))
+
+
+def _flipped(block: int, value: Column, flips: list[int]) -> Column:
+    return F.transform(F.lit(flips), lambda x: F.struct(F.lit(block).alias("block"), value.bitwiseXOR(x).alias("value")))
 
 
-def common_count(a: str, b: str) -> Column:
-    """Sum over the distinct elements of the least of their counts in a and b."""
-    return F.expr(f"aggregate(array_distinct({a}), 0, (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))")
+def near_blocks(column: str) -> Column:
+    """(block, value) of every block of all fingerprints that differ in FLIPS bits of it at most."""
+    out = []
+    for i, (a, n) in enumerate(_ranges()):
+        flips = [sum(1 << x for x in bits) for size in range(FLIPS + 1) for bits in combinations(range(n), size)]
+        out.append(_flipped(i, _value(column, a, n), flips))
+    return F.concat(*out)
+
+
+def verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """pairs (rid, iid, start, m, own, here) with their exact similarity, where it is at least ``similarity``."""
+    sides = F.concat(F.transform("own", lambda h: F.struct(h.alias("h"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform("here", lambda h: F.struct(h.alias("h"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
+    ids = ["rid", "iid", "start", "m"]
+    counts = pairs.select(*ids, F.explode(sides).alias("x")).groupBy(*ids, "x.h").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
+    share = F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b"))
+    return counts.groupBy(*ids).agg(share.alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
 def begun(spots: Column, n: Column, span: Column, similarity: float) -> Column:
@@ -59,13 +94,13 @@ def begun(spots: Column, n: Column, span: Column, similarity: float) -> Column:
     return F.concat(full, F.when(F.get(spots, F.size(spots) - need) >= last, F.array(last)).otherwise(F.array().cast("array<int>")))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = K) -> DataFrame:
-    """doc_id, item_id, similarity, start_word, n_words: the best window of each document and item that reach ``similarity``."""
+def _found(docs: DataFrame, benchmark: DataFrame, similarity: float, k: int) -> DataFrame | None:
+    """doc_id, key, item_id, similarity, start, m of the windows that reach ``similarity``; None without an item."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    items = stored(items.select("item_id", F.size("w").alias("m"), F.least(F.size("w"), F.lit(k)).alias("kk"), "w"))
+    items = stored(items.select("item_id", F.size("w").alias("m"), F.least(F.size("w"), F.lit(k)).alias("kk"), "w", F.monotonically_increasing_id().alias("iid")))
     found = None
     for kk in sorted(r[0] for r in items.select("kk").distinct().collect()):  # at most k values
-        own = items.filter(F.col("kk") == kk).select("item_id", "m", shingles(F.col("w"), kk).alias("own"))
+        own = items.filter(F.col("kk") == kk).select("item_id", "iid", "m", shingles(F.col("w"), kk).alias("own"))
         own = stored(own.withColumn("f", simhash("own")))
         at = own.select("m", F.posexplode("own").alias("item_pos", "h")).distinct()
         least = own.agg(F.min(F.ceil(F.size("own") * F.lit(similarity)))).first()[0]
@@ -77,24 +112,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
         laid = hits.join(at, "h").groupBy("rid", "m", "n").agg(F.collect_set(start).alias("aligned"), F.array_sort(F.collect_set("pos")).alias("spots"))
         windows = laid.select("rid", "m", F.explode(F.array_union("aligned", begun(F.col("spots"), F.col("n"), span, similarity))).alias("start"))
         windows = windows.groupBy("rid").agg(F.collect_list(F.struct("m", "start")).alias("at"))
-        windows = flagged.select("rid", "doc_id", "sh").join(windows, "rid").select("doc_id", "sh", F.explode("at").alias("x"))
-        windows = windows.select("doc_id", "x.m", "x.start", F.slice("sh", F.col("x.start") + 1, F.col("x.m") - kk + 1).alias("here"))
+        windows = flagged.select("rid", "sh").join(windows, "rid").select("rid", "sh", F.explode("at").alias("x"))
+        windows = windows.select("rid", "x.m", "x.start", F.slice("sh", F.col("x.start") + 1, F.col("x.m") - kk + 1).alias("here"))
         windows = stored(windows.withColumn("f", simhash("here")))
-        a = windows.select("doc_id", "m", "start", "here", "f", F.explode(blocks("f")).alias("x")).select("doc_id", "m", "start", "here", "f", "x.*").alias("a")
-        b = own.select("item_id", "m", "own", "f", F.explode(blocks("f")).alias("x")).select("item_id", "m", "own", "f", "x.*").alias("b")
+        a = windows.select("rid", "m", "start", "f", F.explode(blocks("f")).alias("x")).select("rid", "m", "start", "f", "x.*").alias("a")
+        b = own.select("iid", "m", "f", F.explode(near_blocks("f")).alias("x")).select("iid", "m", "f", "x.*").alias("b")
         same = (F.col("a.m") == F.col("b.m")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value"))
-        near = a.join(b, same & (F.bit_count(F.col("a.f").bitwiseXOR(F.col("b.f"))) <= RADIUS))
-        near = near.groupBy("doc_id", "item_id", "start").agg(F.first("a.m").alias("m"), F.first("here").alias("here"), F.first("own").alias("own"))
-        both = near.withColumn("both", common_count("own", "here"))
-        pairs = both.select("doc_id", "item_id", "start", "m", (F.col("both") / (F.size("own") + F.size("here") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= similarity)
+        near = a.join(b, same & (F.bit_count(F.col("a.f").bitwiseXOR(F.col("b.f"))) <= RADIUS)).select("rid", "iid", "start", "a.m").distinct()
+        pairs = windows.select("rid", "m", "start", "here").join(near, ["rid", "m", "start"]).join(own.select("iid", "own"), "iid")
+        pairs = verified(pairs, similarity).join(own.select("iid", "item_id"), "iid").join(flagged.select("rid", "doc_id", "key"), "rid").select("doc_id", "key", "item_id", "similarity", "start", "m")
         found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = K) -> DataFrame:
+    """doc_id, item_id, similarity, start_word, n_words: the best window of each document and item that reach ``similarity``."""
+    found = _found(docs, benchmark, similarity, k)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, n_words int")
-    best = F.min_by(F.struct("similarity", F.col("start").alias("start_word"), F.col("m").alias("n_words")), F.struct((-F.col("similarity")).alias("s"), "start"))
+    best = F.min_by(F.struct("similarity", F.col("start").alias("start_word"), F.col("m").alias("n_words")), F.struct((-F.col("similarity")).alias("s"), "start", "m"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = K) -> DataFrame:
-    """docs without the documents in which an item is found."""
-    bad = stored(find_contamination(docs, benchmark, similarity, k).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the rows in which an item is found."""
+    found = _found(docs, benchmark, similarity, k)
+    if found is None:
+        return docs
+    bad = stored(found.select(F.col("key").alias("_bad")).distinct())
+    return docs.join(bad, row_key() == F.col("_bad"), "left_anti")

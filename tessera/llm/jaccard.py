@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored, summed
+from .common import row_key, stored, summed
 from .components import components
 from .native import bit_table
 from .textkit import U, Words, column_bytes, mix, per_row_distinct, pieces
@@ -235,10 +235,6 @@ def central(large: DataFrame) -> DataFrame:
     return large.join(common, "root").select("root", "node", agree.alias("agree")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS).select("root", "node")
 
 
-def row_key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), "text")
-
-
 def named_components(docs: DataFrame, percent: int, k: int) -> DataFrame:
     """doc_id, key (of doc_id and text), n (size of the set), class for each row of docs (doc_id, text); rows of a class are linked or have equal sets."""
     spark = docs.sparkSession

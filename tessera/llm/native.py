@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import row_key
+
 #: Most bits of the table that screens shingles: 256 KB, whatever the data.
 TABLE_BITS = 1 << 21
 
@@ -45,11 +47,11 @@ def screened(hashes: Column, table: Column, bits: int) -> Column:
 
 
 def rows_with_hits(docs: DataFrame, k: int, table: Column, bits: int, least: int) -> DataFrame:
-    """doc_id, sh, hits and a row id of the documents with ``least`` screened shingles or more.
+    """doc_id, key (of doc_id and text), sh, hits and a row id of the documents with ``least`` screened shingles or more.
 
     The row id is made in the same projection as the hits: a projection that isn't deterministic keeps the optimizer
     from pushing the filter below it, where it would make the shingles again for every word.
     """
-    split = docs.select("doc_id", words(F.col("text")).alias("w"))
-    made = split.select("doc_id", shingles(F.col("w"), k).alias("sh"))
-    return made.select("doc_id", "sh", screened(F.col("sh"), table, bits).alias("hits"), F.monotonically_increasing_id().alias("rid")).filter(F.size("hits") >= least)
+    split = docs.select("doc_id", row_key().alias("key"), words(F.col("text")).alias("w"))
+    made = split.select("doc_id", "key", shingles(F.col("w"), k).alias("sh"))
+    return made.select("doc_id", "key", "sh", screened(F.col("sh"), table, bits).alias("hits"), F.monotonically_increasing_id().alias("rid")).filter(F.size("hits") >= least)

@@ -254,6 +254,33 @@ def test_decontamination(spark, docs, none, rows):
     assert decontaminate.find_contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_repeated_and_null_ids(spark):
+    r = random.Random(14)
+    item, other = (" ".join(r.choices([f"w{i}" for i in range(900)], k=30)) for _ in range(2))
+    half = " ".join([*item.split()[:15], "x", "y", "z", *item.split()[18:]])
+    rows = [(1, half), (1, f"a {item} b"), (2, item), (2, half), (None, item), (None, "clean words"), (3, f"{other} c"), (4, "clean too"), (5, " ".join(["again and again"] * 40))]
+    items = [(7, item), (7, other), (None, other), (8, " ".join(["again and again"] * 12))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == {(1, 7): 1.0, (2, 7): 1.0, (None, 7): 1.0, (3, 7): 1.0, (3, None): 1.0, (5, 8): 1.0}
+    kept = collections.Counter((x.doc_id, x.text) for x in decontaminate.drop_contaminated(docs, bench).collect())
+    assert kept == collections.Counter([(1, half), (2, half), (None, "clean words"), (4, "clean too")])
+
+
+def test_blocks_find_every_fingerprint_within_the_radius(spark):
+    assert decontaminate.RADIUS < (decontaminate.FLIPS + 1) * decontaminate.BLOCKS
+    r = random.Random(15)
+    rows = []
+    for i in range(60):
+        f = r.getrandbits(64)
+        g = f
+        for bit in r.sample(range(64), r.randrange(decontaminate.RADIUS + 1)):
+            g ^= 1 << bit
+        rows.append((i, f - (f >> 63 << 64), g - (g >> 63 << 64)))
+    d = spark.createDataFrame(rows, "i int, f long, g long")
+    assert d.filter(F.arrays_overlap(decontaminate.blocks("f"), decontaminate.near_blocks("g"))).count() == 60
+
+
 def test_decontamination_moved_parts(spark):
     r = random.Random(8)
     pool = [f"w{i}" for i in range(4000)]
