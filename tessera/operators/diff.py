@@ -27,11 +27,16 @@ def content_diff(listing: DataFrame, snapshot_hashes: DataFrame, manifest_hashes
     return out.select(*KEYS, F.when(F.col("change") != "candidate", F.col("change")).when(F.col("s_hash") == F.col("m_hash"), "touched").otherwise("changed").alias("change"))
 
 
-def run_totals(changes: DataFrame) -> DataFrame:
+def run_totals(changes: DataFrame, embedded: DataFrame | None = None, upserted: DataFrame | None = None) -> DataFrame:
+    """Files by what happened to them, and the chunks embedded and upserted (tables with source_id), by source."""
     def count(*kinds: str) -> Column:
         return F.count_if(F.col("change").isin(*kinds))
 
-    return changes.groupBy("source_id").agg(count("new", "changed").alias("changed_files"), count("deleted").alias("deleted_files"), count("unchanged", "touched").alias("unchanged_files"))
+    out = changes.groupBy("source_id").agg(count("new", "changed").alias("changed_files"), count("deleted").alias("deleted_files"), count("unchanged", "touched").alias("unchanged_files"))
+    for name, rows in (("embeddings", embedded), ("upserts", upserted)):
+        if rows is not None:
+            out = out.join(rows.groupBy("source_id").agg(F.count(F.lit(1)).alias(name)), "source_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
 
 
 def to_embed(current: DataFrame, previous: DataFrame) -> DataFrame:

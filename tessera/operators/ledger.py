@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.states import CAUSES, backoff_seconds, bounded_outcome, cause_names, is_transient
+from ..functions.states import CAUSES, backoff_seconds, bounded_outcome, cause_names, is_transient, presentation, safe_error
+from ..functions.text import root_hash
 
 OPEN, TERMINAL = ["Pending", "Processing", "RetryScheduled"], ["Completed", "Failed", "Cancelled", "Superseded"]
 
@@ -156,6 +157,26 @@ def reindex_needed(profiles: DataFrame, configured: str) -> DataFrame:
     return profiles.select("source_id", need.alias("reindex_needed"))
 
 
+def with_status(sources: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """sources after status changes (source_id, to_status, to_error) of Active ones; scan and success times follow the status.
+
+    sources: source_id, status, lifecycle_state, last_error, last_scan, last_success, updated.
+    """
+    both = sources.join(changes, "source_id", "left")
+    hit = F.col("to_status").isNotNull() & (F.col("lifecycle_state") == "Active")
+    scanned = hit & F.col("to_status").isin("Indexing", "Ready", "Degraded")
+    new = {"status": (hit, F.col("to_status")), "last_error": (hit, F.col("to_error")), "last_scan": (scanned, now), "last_success": (hit & (F.col("to_status") == "Ready"), now), "updated": (hit, now)}
+    return both.withColumns({c: F.when(test, value).otherwise(F.col(c)) for c, (test, value) in new.items()}).drop("to_status", "to_error")
+
+
+def queued_sources(sources: DataFrame, queued: DataFrame, now: Column) -> DataFrame:
+    """sources when runs are requested for ``queued`` (source_id): Active and not Paused ones are Indexing from now on, but a Degraded one stays so."""
+    mark = queued.select("source_id").distinct().withColumn("_queued", F.lit(True))
+    hit = F.coalesce("_queued", F.lit(False)) & (F.col("lifecycle_state") == "Active") & (F.col("status") != "Paused")
+    both = sources.join(mark, "source_id", "left")
+    return both.withColumns({"status": F.when(hit & (F.col("status") != "Degraded"), "Indexing").otherwise(F.col("status")), "updated": F.when(hit, now).otherwise(F.col("updated"))}).drop("_queued")
+
+
 def completed_recovery(recovery: DataFrame, completions: DataFrame) -> DataFrame:
     """Recovery rows after completed runs.  completions: source_id, generation, changed, deleted, unchanged."""
     c = F.greatest("completed_generation", "generation")
@@ -164,6 +185,30 @@ def completed_recovery(recovery: DataFrame, completions: DataFrame) -> DataFrame
     return both.select("source_id", "desired_generation", F.col("done").alias("completed_generation"), state.alias("state"), *(F.greatest(F.lit(0), F.coalesce(n, F.lit(0))).alias(f"last_{n}_files") for n in ("changed", "deleted", "unchanged")))
 
 
+def completed_sources(sources: DataFrame, recovery: DataFrame, completions: DataFrame, now: Column) -> DataFrame:
+    """sources after completed runs of their own epoch: Ready, or Indexing where a later generation waits; Paused ones stay as they are.
+
+    recovery: as ``completed_recovery`` returns it.  completions: source_id, lifecycle_epoch.
+    """
+    done = completions.join(recovery.select("source_id", "state"), "source_id").join(sources.select("source_id", "lifecycle_epoch", F.col("status").alias("_now")), ["source_id", "lifecycle_epoch"]).filter(F.col("_now") != "Paused")
+    to = done.select("source_id", F.when(F.col("state") == "Queued", "Indexing").otherwise("Ready").alias("to_status"), F.lit(None).cast("string").alias("to_error"))
+    return with_status(sources, to, now)
+
+
+def source_list(sources: DataFrame, recovery: DataFrame) -> DataFrame:
+    """Sources by name with what may be shown of them: source_id, display_name, root_hash, status, label, detail, action, error, last_success."""
+    both = sources.join(recovery, "source_id", "left")
+    shown = presentation(F.col("state"), F.col("status"), F.col("completed_generation"), F.col("desired_generation"), F.col("code"))
+    error = safe_error(F.col("last_error"), F.col("code"))
+    out = both.select("source_id", "display_name", root_hash(F.col("root")).alias("root_hash"), "status", shown.alias("x"), error.alias("error"), "last_success")
+    return out.select("source_id", "display_name", "root_hash", "status", "x.label", "x.detail", "x.action", "error", "last_success").orderBy("display_name", "source_id")
+
+
+def source_status(sources: DataFrame, recovery: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``source_list`` that ``asked`` (source_id) names; unknown sources give no row."""
+    return source_list(sources.join(asked.select("source_id").distinct(), "source_id", "left_semi"), recovery)
+
+
 def tombstoned(sources: DataFrame, runs: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sources, runs) after removals: epoch one up, Removing, waiting runs Cancelled."""
     gone = removed.select("source_id").distinct().withColumn("_gone", F.lit(True))

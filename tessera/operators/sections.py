@@ -143,6 +143,13 @@ def chunk_violations(chunks: DataFrame, most_tokens: int) -> DataFrame:
     return rows.unionByName(files).distinct()
 
 
-def chunking_metrics(chunks: DataFrame) -> DataFrame:
-    """Files and chunks by chunker, version and outcome.  chunks: file_id, chunker_id, chunker_version, outcome."""
-    return chunks.groupBy("chunker_id", "chunker_version", "outcome").agg(F.countDistinct("file_id").alias("files"), F.count(F.lit(1)).alias("chunks"), F.countDistinct(F.when(F.col("outcome") != "structural", F.col("file_id"))).alias("fallbacks"))
+def chunking_metrics(chunks: DataFrame, timings: DataFrame | None = None) -> DataFrame:
+    """Files, chunks and fallbacks by chunker, version and outcome, with total and longest time where ``timings`` (file_id, ms) are given.
+
+    chunks: file_id, chunker_id, chunker_version, outcome.
+    """
+    by = ["chunker_id", "chunker_version", "outcome"]
+    files = chunks.groupBy("file_id", *by).agg(F.count(F.lit(1)).alias("n"))
+    timed = [] if timings is None else [F.sum("ms").alias("total_ms"), F.max("ms").alias("longest_ms")]
+    files = files if timings is None else files.join(timings.groupBy("file_id").agg(F.max("ms").alias("ms")), "file_id", "left")
+    return files.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("chunks"), F.count_if(F.col("outcome") != "structural").alias("fallbacks"), *timed)

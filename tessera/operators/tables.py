@@ -23,6 +23,22 @@ def without(table: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame
     return table.join(keys.select(*on).distinct(), on, "left_anti")
 
 
+def source_removed(tables: dict[str, DataFrame], removed: DataFrame) -> dict[str, DataFrame]:
+    """Every table (files, chunks, runs, profiles, dead letters) without the rows of removed sources (source_id).
+
+    A table without source_id goes by job_id, through the ``runs`` that are removed.
+    """
+    gone = removed.select("source_id").distinct()
+    jobs = tables["runs"].join(gone, "source_id", "left_semi").select("job_id") if "runs" in tables else None
+    return {name: without(t, gone, "source_id") if "source_id" in t.columns else without(t, jobs, "job_id") for name, t in tables.items()}
+
+
+def files_deleted(files: DataFrame, chunks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, chunks) without the files that ``gone`` (source_id, relative_path) names; their chunks go with them."""
+    ids = files.join(gone.select("source_id", "relative_path").distinct(), ["source_id", "relative_path"], "left_semi").select("file_id")
+    return without(files, ids, "file_id"), without(chunks, ids, "file_id")
+
+
 def evolved(table: DataFrame, schema: StructType, defaults: dict[str, object]) -> DataFrame:
     """table with the missing columns of schema, at their defaults; a column of another type is an error."""
     have = {f.name: f.dataType for f in table.schema.fields}

@@ -16,7 +16,7 @@ from .embed import embedded
 
 @dataclass
 class Pass:
-    """What one pass did: counts by source, and how many chunks were embedded and removed."""
+    """What one pass did: counts of files, embeddings and upserts by source, and how many chunks were embedded and removed in all."""
 
     totals: DataFrame
     embedded: int
@@ -40,12 +40,12 @@ def index_pass(spark: SparkSession, snapshot: DataFrame, base: str, fingerprint:
     changed = changes.filter(F.col("change").isin("new", "changed")).select(*KEYS)
     known = files.select(*KEYS, F.col("file_id").alias("known"))
     fresh = texts.join(changed, KEYS, "left_semi").join(known, KEYS, "left").withColumn("file_id", file_id(F.col("source_id"), F.col("relative_path"), F.col("known")))
-    new_chunks = chunk_files(fresh.withColumnRenamed("text", "content"), fingerprint, limits)
+    new_chunks = versions.staged(chunk_files(fresh.withColumnRenamed("text", "content"), fingerprint, limits), base)
     chunks = old("chunks", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new_chunks.schema.fields))
     gone = changes.filter(F.col("change") == "deleted").select(*KEYS)
     touched_files = fresh.select("file_id").unionByName(files.join(gone, KEYS, "left_semi").select("file_id"))
     before = chunks.join(touched_files, "file_id", "left_semi")
-    added, dropped = to_embed(new_chunks, before), stale(new_chunks, before)
+    added, dropped = versions.staged(to_embed(new_chunks, before), base), versions.staged(stale(new_chunks, before), base)
     vectors = old("vectors", "chunk_id string, content_hash string, vector array<float>, embedding_profile_id string")
     made = added.select("chunk_id", "content_hash").join(embedded(added.select("content_hash", "content")), "content_hash")
     next_vectors = upserted(without(vectors, dropped, "chunk_id"), made.select("chunk_id", "content_hash", "vector", "embedding_profile_id"), "chunk_id")
@@ -53,7 +53,8 @@ def index_pass(spark: SparkSession, snapshot: DataFrame, base: str, fingerprint:
     settled = texts.join(known, KEYS, "left").select(file_id(F.col("source_id"), F.col("relative_path"), F.col("known")).alias("file_id"), *KEYS, "content_hash", "size_bytes", "modified")
     next_files = upserted(without(files, gone, KEYS), settled, KEYS)
     counts = (added.count(), dropped.count())
+    totals = versions.staged(run_totals(changes, added, new_chunks), base)
     versions.publish(next_vectors, f"{base}/vectors")
     versions.publish(next_chunks, f"{base}/chunks", "source_id")
     versions.publish(next_files, f"{base}/files")
-    return Pass(run_totals(changes), *counts)
+    return Pass(totals, *counts)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .bindings import bound, ctes
 from .functions import states, text as tx, vectors as vx
 from .operators import diff, evaluate, ledger, search, sections, tables
-from .operators.chunker import Limits, chunk_files
+from .operators.chunker import Limits, Unit, chunk_files
 from .plans.embed import embedded
+from .plans.wordpiece import wordpiece
 from .sources.files import assembled_pages
 from .streaming.hints import debounced
 
@@ -167,6 +168,26 @@ def a_replace_and_delete(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("source_id").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file_id").alias("files"))
 
 
+@query(f"""{ctes('sources', 'runs')}, g AS (SELECT source_id FROM sources WHERE lifecycle_epoch % 4 = 1), r AS (SELECT * FROM runs WHERE source_id NOT IN (SELECT source_id FROM g))
+SELECT 'sources' AS what, count(*) AS n, bit_xor(hash_key)::BIGINT AS ids FROM (SELECT lifecycle_epoch AS hash_key FROM sources WHERE source_id NOT IN (SELECT source_id FROM g)) UNION ALL SELECT 'runs', count(*), bit_xor(generation)::BIGINT FROM r UNION ALL SELECT 'dead letters', count(*), bit_xor(generation)::BIGINT FROM r WHERE attempt = 5""")
+def a_source_removal(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of each table; dead letters go by their runs."""
+    sources, runs = bound(spark, sf, "sources"), bound(spark, sf, "runs")
+    letters = runs.filter("attempt = 5").select("job_id", "generation")
+    left = tables.source_removed({"sources": sources, "runs": runs, "dead letters": letters}, sources.filter("lifecycle_epoch % 4 = 1"))
+    out = [left[name].agg(F.lit(name).alias("what"), F.count(F.lit(1)).alias("n"), F.bit_xor(key).cast("long").alias("ids")) for name, key in (("sources", "lifecycle_epoch"), ("runs", "generation"), ("dead letters", "generation"))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"""{ctes('files', 'chunks')}, g AS (SELECT DISTINCT source_id, relative_path FROM files WHERE doc_id % 7 = 3) SELECT 'file' AS what, doc_id::VARCHAR AS id FROM files WHERE (source_id, relative_path) NOT IN (SELECT (source_id, relative_path) FROM g)
+UNION ALL SELECT 'chunk', chunk_id FROM chunks WHERE file_id NOT IN (SELECT doc_id::VARCHAR FROM files WHERE (source_id, relative_path) IN (SELECT (source_id, relative_path) FROM g))""")
+def a_file_deletion(spark: SparkSession, sf: str) -> DataFrame:
+    """Files named by source and path, their chunks with them."""
+    f = bound(spark, sf, "files").withColumn("file_id", F.col("doc_id").cast("string"))
+    files, chunks = tables.files_deleted(f, bound(spark, sf, "chunks"), f.filter("doc_id % 7 = 3"))
+    return files.select(F.lit("file").alias("what"), F.col("file_id").alias("id")).unionByName(chunks.select(F.lit("chunk").alias("what"), F.col("chunk_id").alias("id")))
+
+
 @query(f"""{ctes('chunks')} SELECT chunk_id, source_id, relative_path, ordinal FROM chunks WHERE source_id = 'src3' OR file_id = '8' OR chunk_id = '77' ORDER BY relative_path, ordinal""")
 def a_chunk_reads(spark: SparkSession, sf: str) -> DataFrame:
     """A9, G4."""
@@ -201,15 +222,59 @@ def c_markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
     return sections.ordered(sections.sections(_marked(spark, sf)))
 
 
-@query(rf"""WITH marked AS (SELECT doc_id AS file_id, doc_id || '.toml' AS relative_path, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 4 = 3 THEN '[part.' || i || ']' ELSE '' END), chr(10)) AS content FROM documents), {_LINES},
+_SAFE_DUCK = "regexp_replace(x, '[^A-Za-z0-9 ]+', ' ', 'g')"
+
+
+def _shaped(spark: SparkSession, sf: str, ext: str, line, glue: str, start: str = "", end: str = "") -> DataFrame:
+    """documents with every line, but for its marks, in a line of another kind of file."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    made = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x, i: line(F.regexp_replace(x, "[^A-Za-z0-9 ]+", " "), (i + 1).cast("string")))
+    content = F.concat(F.lit(start), F.array_join(made, glue), F.lit(end))
+    return d.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("file_id"), F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("relative_path"), content.alias("content"))
+
+
+def _json_files(spark: SparkSession, sf: str, end: str = "\n}") -> DataFrame:
+    return _shaped(spark, sf, ".json", lambda x, i: F.concat(F.lit('  "k'), i, F.lit('": "'), x, F.lit('"')), ",\n", "{\n", end)
+
+
+def _yaml_files(spark: SparkSession, sf: str, start: str = "") -> DataFrame:
+    return _shaped(spark, sf, ".yaml", lambda x, i: F.concat(F.lit("k"), i, F.lit(": "), x), "\n", start)
+
+
+def _toml_files(spark: SparkSession, sf: str, start: str = "") -> DataFrame:
+    return _shaped(spark, sf, ".toml", lambda x, i: F.concat(F.lit("[part."), i, F.lit(']\nv = "'), x, F.lit('"')), "\n", start)
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
+u AS (SELECT doc_id || '.json' AS file_id, 'property' AS kind, 'k' || i AS symbol, i + 1 AS a, CASE WHEN i = n THEN n + 2 ELSE i + 1 END AS z FROM l UNION ALL SELECT doc_id || '.yaml', 'key', 'k' || i, i, i FROM l UNION ALL SELECT doc_id || '.toml', 'table', 'part.' || i, 2 * i - 1, 2 * i FROM l)
+SELECT file_id, kind, symbol, symbol AS qualified, kind || ':' || symbol || '@lines:' || a || '-' || z AS locator, a::INT AS start_line, z::INT AS end_line FROM u""")
+def c_key_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of every document as a JSON property, a YAML key and a TOML table."""
+    f = _json_files(spark, sf).unionByName(_yaml_files(spark, sf)).unionByName(_toml_files(spark, sf))
+    return sections.sections(f.filter(~sections.malformed(f))).select("file_id", "kind", "symbol", "qualified", "locator", "start_line", "end_line")
+
+
+@query("""WITH u AS (SELECT doc_id::VARCHAR AS file_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents) SELECT file_id FROM u WHERE file_id::BIGINT % 3 = 0 OR (file_id::BIGINT % 3 = 1 AND n > 1)""")
+def c_unit_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Units that leave their file, and files whose units share a locator."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("file_id"), F.col("doc_id") % 3, F.coalesce("text", F.lit("")).alias("content")).toDF("file_id", "r", "content")
+    n = F.size(F.split("content", "\n", -1))
+    at = F.explode(F.sequence(F.lit(1), n)).alias("start_line")
+    u = d.select("file_id", "r", n.alias("n"), at)
+    locator = F.when(F.col("r") == 1, "same").otherwise(F.col("start_line").cast("string"))
+    u = u.select("file_id", F.lit("line").alias("kind"), locator.alias("locator"), "start_line", F.when((F.col("r") == 0) & (F.col("start_line") == F.col("n")), F.col("n") + 1).otherwise(F.col("start_line")).alias("end_line"))
+    return sections.invalid_files(d, u)
+
+
+@query(rf"""WITH marked AS (SELECT doc_id AS file_id, doc_id || '.toml' AS relative_path, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 4 = 3 THEN '[part.' || i || ']' ELSE 'v = "' || {_SAFE_DUCK} || '"' END), chr(10)) AS content FROM documents), {_LINES},
 k AS (SELECT file_id, pos, total, regexp_extract(line, '^\s*\[\[?([^\]]+)\]\]?\s*(?:#.*)?$', 1) AS name FROM l), h AS (SELECT * FROM k WHERE name <> ''), e AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY file_id ORDER BY pos) - 1, total) AS z FROM h)
 SELECT file_id, 'table' AS kind, name AS symbol, 'table:' || name || '@lines:' || pos || '-' || z AS locator, pos::INT AS start_line, z::INT AS end_line FROM e""")
 def c_toml_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """C8; C6 and C7 share the operator."""
+    """Every fourth line of every document heads a table, the others hold its values."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    made = F.transform(F.split("text", "\n", -1), lambda x, i: F.when((i + 1) % 4 == 3, F.concat(F.lit("[part."), (i + 1).cast("string"), F.lit("]"))).otherwise(""))
+    made = F.transform(F.split("text", "\n", -1), lambda x, i: F.when((i + 1) % 4 == 3, F.concat(F.lit("[part."), (i + 1).cast("string"), F.lit("]"))).otherwise(F.concat(F.lit('v = "'), F.regexp_replace(x, "[^A-Za-z0-9 ]+", " "), F.lit('"'))))
     f = d.select(F.col("doc_id").alias("file_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".toml")).alias("relative_path"), F.array_join(made, "\n").alias("content"))
-    return sections.sections(f.filter(~sections.malformed(f))).select("file_id", "kind", "symbol", "locator", "start_line", "end_line")
+    return sections.sections(f.filter(~sections.malformed(f))).filter("kind = 'table' and symbol is not null").select("file_id", "kind", "symbol", "locator", "start_line", "end_line")
 
 
 @query(rf"""WITH {_MARKED_DUCK}, {_LINES}, u AS (SELECT file_id, pos AS start_line, pos + 1 AS end_line FROM l WHERE pos % 7 = 3 AND pos < total),
@@ -238,10 +303,38 @@ def c_chunk_files(spark: SparkSession, sf: str) -> DataFrame:
     return _chunked(spark, sf).select("chunk_id", "file_id", "chunker_id", "outcome", "chunk_kind", "structural_locator", "start_line", "end_line", "ordinal", "token_count")
 
 
-@query("SELECT NULL::VARCHAR AS file_id, NULL::VARCHAR AS rule WHERE false")
+@query("""WITH l AS (SELECT doc_id::VARCHAR AS file_id, unnest(string_split(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10))) AS line FROM documents)
+SELECT file_id, count(*) AS lines, 0::BIGINT AS breaks FROM l WHERE regexp_matches(line, '\\S') GROUP BY file_id""".replace("\\\\", "\\"))
 def c_chunk_constraints(spark: SparkSession, sf: str) -> DataFrame:
-    """No chunk of the whole corpus breaks a rule."""
-    return sections.chunk_violations(_chunked(spark, sf), _LIMITS.most)
+    """No chunk of the whole corpus breaks a rule, and every line that isn't blank is in a chunk of its file."""
+    c = _chunked(spark, sf)
+    f = bound(spark, sf, "files").select(F.col("doc_id").cast("string").alias("file_id"), F.posexplode(tx.lines(F.col("content"))).alias("p", "line")).filter(F.col("line").rlike(r"\S"))
+    covered = c.select("file_id", F.explode(F.sequence("start_line", "end_line")).alias("at")).distinct().withColumn("p", F.col("at") - 1)
+    lines = f.join(covered, ["file_id", "p"], "left_semi").groupBy("file_id").agg(F.count(F.lit(1)).alias("lines"))
+    broken = sections.chunk_violations(c, _LIMITS.most).groupBy("file_id").agg(F.count(F.lit(1)).alias("breaks"))
+    return lines.join(broken, "file_id", "left").select("file_id", "lines", F.coalesce("breaks", F.lit(0)).alias("breaks"))
+
+
+_KINDS = {".md": "markdown", ".json": "json", ".yaml": "yaml", ".toml": "toml", ".cs": "csharp", ".ts": "typescript-javascript", ".py": "python", ".xml": "xml", ".txt": "generic"}
+
+
+@query(f"""WITH k(ext, chunker) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _KINDS.items())}) SELECT doc_id || ext AS file_id, CASE WHEN doc_id % 2 = 1 AND ext <> '.md' THEN 'generic' ELSE chunker END AS chunker_id, CASE WHEN ext = '.txt' THEN 'unsupported' WHEN doc_id % 2 = 1 AND ext <> '.md' THEN 'invalid-or-malformed' ELSE 'structural' END AS outcome,
+ CASE WHEN ext IN ('.txt', '.md') OR doc_id % 2 = 1 THEN NULL WHEN ext IN ('.json', '.yaml') THEN 'k1' WHEN ext = '.toml' THEN 'part.1' WHEN ext = '.xml' THEN 'a' ELSE 'Doc' || doc_id END AS symbol FROM documents, k""")
+def c_routing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a file of each kind; every second one is malformed and goes generic whole."""
+    def commented(ext: str, mark: str, start: str, end: str, bad: str) -> DataFrame:
+        f = _shaped(spark, sf, ext, lambda x, i: F.concat(F.lit(mark), x), "\n")
+        return f.withColumn("content", F.concat(F.when(F.col("doc_id") % 2 == 1, bad).otherwise(""), F.format_string(start.replace("#id", "%d"), "doc_id") if "#id" in start else F.lit(start), "content", F.lit(end)))
+
+    odd = F.col("doc_id") % 2 == 1
+    pairs = [(_json_files(spark, sf), _json_files(spark, sf, "")), (_yaml_files(spark, sf), _yaml_files(spark, sf, "k0: 'open\n")), (_toml_files(spark, sf), _toml_files(spark, sf, "x = [1\n"))]
+    files = [good.filter(~odd).unionByName(bad.filter(odd)) for good, bad in pairs]
+    files += [commented(".cs", "// ", "class Doc#id\n{\n", "\n}", "{ "), commented(".ts", "// ", "export class Doc#id {\n", "\n}", "( "), commented(".py", "    # ", "class Doc#id:\n    pass\n", "", "x = 'open\n"), commented(".xml", "", "<r>\n<a>", "</a>\n</r>", "<!DOCTYPE r>\n"), commented(".txt", "", "", ".", ""), commented(".md", "", "text ", "", "")]
+    every = files[0]
+    for f in files[1:]:
+        every = every.unionByName(f)
+    c = chunk_files(every.select(F.lit("s").alias("source_id"), "file_id", "relative_path", "content"), "p1", _LIMITS)
+    return c.groupBy("file_id").agg(F.first("chunker_id").alias("chunker_id"), F.first("outcome").alias("outcome"), F.min_by("symbol_name", F.when(F.col("symbol_name").isNotNull(), F.struct("ordinal"))).alias("symbol"))
 
 
 @query(f"""{ctes('chunks')}, b AS (SELECT chunk_id, file_id, start_line, end_line, CASE WHEN chunk_id::BIGINT % 6 = 0 THEN 0 ELSE 50 END AS t FROM chunks)
@@ -252,16 +345,19 @@ def c_constraint_breaks(spark: SparkSession, sf: str) -> DataFrame:
     return sections.chunk_violations(c, 90)
 
 
-@query(f"""{ctes('chunks')}, m AS (SELECT file_id, CASE WHEN file_id::BIGINT % 3 = 0 THEN 'python' ELSE 'generic' END AS chunker_id, '1' AS chunker_version, CASE WHEN file_id::BIGINT % 3 = 0 THEN 'structural' ELSE 'unsupported' END AS outcome FROM chunks)
-SELECT chunker_id, chunker_version, outcome, count(DISTINCT file_id) AS files, count(*) AS chunks, count(DISTINCT CASE WHEN outcome <> 'structural' THEN file_id END) AS fallbacks FROM m GROUP BY ALL""")
+@query(f"""{ctes('chunks')}, m AS (SELECT file_id, CASE WHEN file_id::BIGINT % 3 = 0 THEN 'python' ELSE 'generic' END AS chunker_id, '1' AS chunker_version, CASE WHEN file_id::BIGINT % 3 = 0 THEN 'structural' ELSE 'unsupported' END AS outcome FROM chunks), f AS (SELECT *, file_id::BIGINT % 97 AS ms FROM (SELECT DISTINCT file_id, chunker_id, chunker_version, outcome FROM m)),
+c AS (SELECT chunker_id, count(*) AS chunks FROM m GROUP BY 1) SELECT chunker_id, chunker_version, outcome, count(*) AS files, any_value(chunks) AS chunks, count(*) FILTER (outcome <> 'structural') AS fallbacks, sum(ms)::BIGINT AS total_ms, max(ms) AS longest_ms FROM f JOIN c USING (chunker_id) GROUP BY ALL""")
 def c_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """C16."""
     py = F.col("file_id").cast("long") % 3 == 0
-    return sections.chunking_metrics(bound(spark, sf, "chunks").select("file_id", F.when(py, "python").otherwise("generic").alias("chunker_id"), F.lit("1").alias("chunker_version"), F.when(py, "structural").otherwise("unsupported").alias("outcome")))
+    c = bound(spark, sf, "chunks").select("file_id", F.when(py, "python").otherwise("generic").alias("chunker_id"), F.lit("1").alias("chunker_version"), F.when(py, "structural").otherwise("unsupported").alias("outcome"))
+    return sections.chunking_metrics(c, c.select("file_id", (F.col("file_id").cast("long") % 97).alias("ms")).distinct())
 
 
 # ---- D: joins
 
+_CHUNK_SOURCES = "sk AS (SELECT source_id, min(chunk_id::BIGINT) AS k FROM chunks GROUP BY 1), sources AS (SELECT source_id, CASE WHEN k % 3 = 1 THEN 'Paused' ELSE 'Ready' END AS status FROM sk), profiles AS (SELECT source_id, CASE WHEN k % 5 = 2 THEN 'Reindexing' ELSE 'Ready' END AS state, CASE WHEN k % 5 = 2 THEN 'p9' END AS pending_fingerprint FROM sk)"
+
 _DIFF = """d AS (SELECT source_id, relative_path, CASE WHEN o.content IS NULL THEN 'new' WHEN n.content IS NULL THEN 'deleted' WHEN o.size_bytes = n.size_bytes AND o.modified = n.modified THEN 'unchanged' WHEN o.content = n.content THEN 'touched' ELSE 'changed' END AS change FROM files_new n FULL JOIN files_old o USING (source_id, relative_path))"""
 
 
@@ -278,10 +374,12 @@ def d_snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     return _changes(spark, sf)
 
 
-@query(f"{ctes('files_old', 'files_new')}, {_DIFF} SELECT source_id, count(*) FILTER (change IN ('new', 'changed')) AS changed_files, count(*) FILTER (change = 'deleted') AS deleted_files, count(*) FILTER (change IN ('unchanged', 'touched')) AS unchanged_files FROM d GROUP BY source_id")
+@query(f"""{ctes('files_old', 'files_new', 'chunks')}, {_DIFF}, {_OLD_NEW}, t AS (SELECT source_id, count(*) FILTER (change IN ('new', 'changed')) AS changed_files, count(*) FILTER (change = 'deleted') AS deleted_files, count(*) FILTER (change IN ('unchanged', 'touched')) AS unchanged_files FROM d GROUP BY source_id)
+SELECT t.*, (SELECT count(*) FROM n WHERE n.source_id = t.source_id AND chunk_id NOT IN (SELECT chunk_id FROM o)) AS embeddings, (SELECT count(*) FROM n WHERE n.source_id = t.source_id) AS upserts FROM t""")
 def e_run_totals(spark: SparkSession, sf: str) -> DataFrame:
     """E1."""
-    return diff.run_totals(_changes(spark, sf))
+    old, new = _old_new(spark, sf)
+    return diff.run_totals(_changes(spark, sf), diff.to_embed(new, old), new)
 
 
 @query(f"""{ctes('chunks')}, {_OLD_NEW} SELECT 'embed' AS what, chunk_id FROM n WHERE chunk_id NOT IN (SELECT chunk_id FROM o) UNION ALL SELECT 'stale', chunk_id FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM n)""")
@@ -303,22 +401,58 @@ def e_removed_by_path(spark: SparkSession, sf: str) -> DataFrame:
     return diff.removed_by_path(bound(spark, sf, "files").filter("doc_id % 3 = 0"))
 
 
-@query(f"""{ctes('sources', 'profiles')}, r(query_id, source_ids) AS (VALUES ('all', NULL), ('none', []::VARCHAR[]), ('one', ['s1', 's1']), ('bad', ['s1', 'zz'])), v AS (SELECT source_id FROM sources WHERE status <> 'Paused' AND source_id IN (SELECT source_id FROM profiles WHERE state = 'Ready' AND pending_fingerprint IS NULL)),
+_VISIBLE = "v AS (SELECT source_id FROM sources WHERE status <> 'Paused' AND source_id IN (SELECT source_id FROM profiles WHERE state = 'Ready' AND pending_fingerprint IS NULL))"
+
+
+@query(f"""{ctes('sources', 'profiles', 'runs')}, {_VISIBLE}, r AS (SELECT job_id AS query_id, CASE generation % 4 WHEN 0 THEN NULL WHEN 1 THEN []::VARCHAR[] WHEN 2 THEN [source_id, source_id] ELSE [source_id, 's' || (generation % 45)] END AS source_ids FROM runs),
 n AS (SELECT DISTINCT query_id, unnest(source_ids) AS source_id FROM r), x AS (SELECT DISTINCT query_id FROM n WHERE source_id NOT IN (SELECT source_id FROM v))
-SELECT query_id, source_id, 'allowed' AS verdict FROM n WHERE query_id NOT IN (SELECT query_id FROM x) UNION ALL SELECT query_id, source_id, 'allowed' FROM r, v WHERE source_ids IS NULL UNION ALL SELECT query_id, NULL, 'rejected' FROM x""")
+SELECT query_id, source_id, 'allowed' AS verdict FROM n WHERE query_id NOT IN (SELECT query_id FROM x) UNION ALL SELECT query_id, NULL, CASE WHEN source_ids IS NULL THEN 'all visible' ELSE 'none' END FROM r WHERE source_ids IS NULL OR len(source_ids) = 0 UNION ALL SELECT query_id, NULL, 'rejected' FROM x""")
 def d_visibility(spark: SparkSession, sf: str) -> DataFrame:
-    """D6, D7, H1."""
+    """A request for each run, with no list of sources, an empty one, a repeated source, or two."""
     visible = search.visible_sources(bound(spark, sf, "sources"), bound(spark, sf, "profiles"))
-    r = spark.createDataFrame([("all", None), ("none", []), ("one", ["s1", "s1"]), ("bad", ["s1", "zz"])], "query_id string, source_ids array<string>")
-    allowed, rejected = search.request_scopes(r, visible)
-    return allowed.withColumn("verdict", F.lit("allowed")).unionByName(rejected.select("query_id", F.lit(None).cast("string").alias("source_id"), F.lit("rejected").alias("verdict")))
+    g, s = F.col("generation"), F.col("source_id")
+    ids = F.when(g % 4 == 1, F.array().cast("array<string>")).when(g % 4 == 2, F.array(s, s)).when(g % 4 == 3, F.array(s, F.concat(F.lit("s"), (g % 45).cast("string"))))
+    allowed, rejected = search.request_scopes(bound(spark, sf, "runs").select(F.col("job_id").alias("query_id"), ids.alias("source_ids")), visible)
+    verdict = F.when(F.col("source_ids").isNull(), "all visible").when(F.size("source_ids") == 0, "none").otherwise("allowed")
+    out = allowed.select("query_id", F.explode_outer("source_ids").alias("source_id"), verdict.alias("verdict"))
+    return out.unionByName(rejected.select("query_id", F.lit(None).cast("string").alias("source_id"), F.lit("rejected").alias("verdict")))
+
+
+@query(f"""{ctes('chunks')}, {_CHUNK_SOURCES}, {_VISIBLE} SELECT chunk_id, source_id, relative_path, sha256(content) AS h FROM chunks WHERE chunk_id::BIGINT % 20 = 0 AND source_id IN (SELECT source_id FROM v)""")
+def d_chunk_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks by id, of visible sources only; some sources are paused, some reindexing."""
+    c = bound(spark, sf, "chunks")
+    s = c.groupBy("source_id").agg(F.min(F.col("chunk_id").cast("long")).alias("k"))
+    sources = s.select("source_id", F.when(F.col("k") % 3 == 1, "Paused").otherwise("Ready").alias("status"))
+    profiles = s.select("source_id", F.when(F.col("k") % 5 == 2, "Reindexing").otherwise("Ready").alias("state"), F.when(F.col("k") % 5 == 2, "p9").alias("pending_fingerprint"))
+    asked = c.filter(F.col("chunk_id").cast("long") % 20 == 0).select("chunk_id").union(c.select(F.concat("chunk_id", F.lit("x"))))
+    return search.visible_chunks(asked, c, search.visible_sources(sources, profiles)).select("chunk_id", "source_id", "relative_path", F.sha2(F.col("content").cast("binary"), 256).alias("h"))
+
 
+@query(f"""{ctes('sources', 'recovery')} SELECT source_id, 'Source ' || source_id AS display_name, sha256(upper(root)) AS root_hash, status, CASE state WHEN 'Running' THEN 'Recovering' WHEN 'Queued' THEN 'Recovery queued' WHEN 'Degraded' THEN 'Recovery degraded' ELSE status END AS label, CASE WHEN state = 'Degraded' THEN 'Queue recovery' END AS action,
+ CASE WHEN last_error IS NULL THEN NULL WHEN last_error = '{states.SUMMARIES['SourceMissing']}' THEN last_error WHEN code IS NOT NULL THEN '{states.SUMMARIES['FileUnstable']}' ELSE 'The source is degraded.' END AS error, coalesce(last_success, -1) AS last_success, row_number() OVER (ORDER BY 'Source ' || source_id)::INT AS place FROM sources LEFT JOIN recovery USING (source_id)""")
+def i_source_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources by name, with what may be shown of them."""
+    s = bound(spark, sf, "sources").withColumn("display_name", F.concat(F.lit("Source "), "source_id"))
+    listed = ledger.source_list(s, bound(spark, sf, "recovery")).drop("detail").withColumn("last_success", F.coalesce("last_success", F.lit(-1)))
+    return listed.withColumn("place", F.row_number().over(Window.orderBy("display_name")))
 
-@query("""WITH r AS (SELECT DISTINCT url, lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/+$', '')) AS p FROM pages), a AS (SELECT p, unnest([array_to_string(string_split(p, '/')[1:i], '/') for i in range(1, len(string_split(p, '/')))]) AS up FROM r)
+
+@query(f"""{ctes('sources', 'recovery')} SELECT source_id, status, CASE WHEN state = 'Degraded' THEN 'Queue recovery' END AS action, last_success FROM sources LEFT JOIN recovery USING (source_id) WHERE lifecycle_epoch % 3 = 1""")
+def i_source_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The status of the sources that are asked for; one that isn't known gives no row."""
+    s = bound(spark, sf, "sources").withColumn("display_name", F.col("source_id"))
+    asked = s.filter("lifecycle_epoch % 3 = 1").select("source_id").union(s.select(F.concat("source_id", F.lit("x"))))
+    return ledger.source_status(s, bound(spark, sf, "recovery"), asked).select("source_id", "status", "action", "last_success")
+
+
+@query("""WITH r AS (SELECT DISTINCT lower(CASE WHEN page_id % 5 = 0 THEN regexp_replace(p, '/[^/]*$', '') ELSE p END) AS p FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/+$', '') AS p FROM pages)), a AS (SELECT p, unnest([array_to_string(string_split(p, '/')[1:i], '/') for i in range(1, len(string_split(p, '/')))]) AS up FROM r)
 SELECT DISTINCT a.p AS inner_root, r.p AS outer_root FROM a JOIN r ON r.p = a.up""")
 def d_overlapping_roots(spark: SparkSession, sf: str) -> DataFrame:
-    """Each root's ancestors meet the roots by equality."""
-    r = spark.read.parquet(f"{sf}/pages.parquet").select(F.lower(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "/+$", "")).alias("p")).distinct()
+    """The pages' addresses, every fifth of them without its last part, as roots; each root's ancestors meet the roots by equality."""
+    p = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "/+$", "")
+    p = F.when(F.col("page_id") % 5 == 0, F.regexp_replace(p, "/[^/]*$", "")).otherwise(p)
+    r = spark.read.parquet(f"{sf}/pages.parquet").select(F.lower(p).alias("p")).distinct()
     parts = F.split("p", "/")
     up = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), lambda x: x != F.col("p"))
     return r.select(F.col("p").alias("inner_root"), F.explode(up).alias("outer_root")).join(r.select(F.col("p").alias("outer_root")), "outer_root", "left_semi").distinct()
@@ -464,12 +598,50 @@ def k_reindex_needed(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{ctes('recovery')}, c AS (SELECT source_id, desired_generation AS generation FROM recovery WHERE desired_generation % 3 <> 1), x AS (SELECT r.*, c.generation AS g, coalesce(greatest(completed_generation, c.generation), completed_generation) AS done FROM recovery r LEFT JOIN c USING (source_id))
 SELECT source_id, desired_generation, done AS completed_generation, CASE WHEN g IS NULL THEN state WHEN done >= desired_generation THEN 'Clean' ELSE 'Queued' END AS state, CASE WHEN g IS NULL THEN 0 ELSE 4 END::BIGINT AS last_changed_files, 0::BIGINT AS last_deleted_files, CASE WHEN g IS NULL THEN 0 ELSE g END AS last_unchanged_files FROM x""")
 def k_completed_recovery(spark: SparkSession, sf: str) -> DataFrame:
-    """K4, K5."""
+    """K5."""
     r = bound(spark, sf, "recovery")
     c = r.filter("desired_generation % 3 <> 1").select("source_id", F.col("desired_generation").alias("generation"), F.lit(4).cast("long").alias("changed"), F.lit(-1).cast("long").alias("deleted"), F.col("desired_generation").alias("unchanged"))
     return ledger.completed_recovery(r.drop("changed"), c)
 
 
+_SOURCE_TIMES = "s AS (SELECT source_id, status, lifecycle_state, lifecycle_epoch, last_error, last_success, since AS last_scan, since AS updated FROM sources)"
+
+
+def _timed_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return bound(spark, sf, "sources").select("source_id", "status", "lifecycle_state", "lifecycle_epoch", "last_error", "last_success", F.col("since").alias("last_scan"), F.col("since").alias("updated"))
+
+
+@query(f"""{ctes('sources')}, {_SOURCE_TIMES}, c AS (SELECT *, CASE lifecycle_epoch % 4 WHEN 0 THEN 'Ready' WHEN 1 THEN 'Failed' WHEN 2 THEN 'Degraded' END AS t FROM s), x AS (SELECT *, t IS NOT NULL AND lifecycle_state = 'Active' AS hit FROM c)
+SELECT source_id, CASE WHEN hit THEN t ELSE status END AS status, CASE WHEN hit THEN CASE WHEN t = 'Ready' THEN NULL ELSE 'went wrong' END ELSE last_error END AS last_error, CASE WHEN hit AND t IN ('Ready', 'Degraded') THEN 99000 ELSE last_scan END AS last_scan, coalesce(CASE WHEN hit AND t = 'Ready' THEN 99000 ELSE last_success END, -1) AS last_success, CASE WHEN hit THEN 99000 ELSE updated END AS updated FROM x""")
+def k_source_status(spark: SparkSession, sf: str) -> DataFrame:
+    """K4: three of four sources change their status; those that are being removed don't."""
+    s = _timed_sources(spark, sf)
+    e = F.col("lifecycle_epoch") % 4
+    to = F.when(e == 0, "Ready").when(e == 1, "Failed").otherwise("Degraded")
+    changes = s.filter(e != 3).select("source_id", to.alias("to_status"), F.when(e != 0, "went wrong").alias("to_error"))
+    return ledger.with_status(s, changes, F.lit(99_000).cast("long")).drop("lifecycle_state", "lifecycle_epoch").withColumn("last_success", F.coalesce("last_success", F.lit(-1)))
+
+
+@query(f"""{ctes('sources', 'runs')}, {_SOURCE_TIMES}, q AS (SELECT DISTINCT source_id FROM runs WHERE status = 'Pending' AND generation % 3 = 0), x AS (SELECT *, source_id IN (SELECT source_id FROM q) AND lifecycle_state = 'Active' AND status <> 'Paused' AS hit FROM s)
+SELECT source_id, CASE WHEN hit AND status <> 'Degraded' THEN 'Indexing' ELSE status END AS status, CASE WHEN hit THEN 99000 ELSE updated END AS updated FROM x""")
+def k_queued_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """K4 at request time."""
+    queued = bound(spark, sf, "runs").filter("status = 'Pending' and generation % 3 = 0")
+    return ledger.queued_sources(_timed_sources(spark, sf), queued, F.lit(99_000).cast("long")).select("source_id", "status", "updated")
+
+
+@query(f"""{ctes('sources', 'recovery')}, {_SOURCE_TIMES}, x AS (SELECT s.*, CASE WHEN desired_generation % 2 = 0 THEN desired_generation ELSE desired_generation - 1 END >= desired_generation AS clean, r.source_id IS NOT NULL AND desired_generation % 5 <> 0 AND lifecycle_state = 'Active' AND status <> 'Paused' AS hit, completed_generation >= desired_generation AS was FROM s LEFT JOIN recovery r USING (source_id))
+SELECT source_id, CASE WHEN NOT coalesce(hit, false) THEN status WHEN clean OR was THEN 'Ready' ELSE 'Indexing' END AS status, CASE WHEN coalesce(hit, false) THEN NULL ELSE last_error END AS last_error, CASE WHEN hit THEN 99000 ELSE last_scan END AS last_scan, coalesce(CASE WHEN hit AND (clean OR was) THEN 99000 ELSE last_success END, -1) AS last_success FROM x""")
+def k_completed_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """K5: the sources of completed runs; a completion of an older epoch (every fifth) is ignored."""
+    s, r = _timed_sources(spark, sf), bound(spark, sf, "recovery")
+    d, zero = F.col("desired_generation"), F.lit(0).cast("long")
+    done = r.select("source_id", F.when(d % 2 == 0, d).otherwise(d - 1).alias("generation"), zero.alias("changed"), zero.alias("deleted"), zero.alias("unchanged"))
+    after = ledger.completed_recovery(r, done)
+    completions = r.join(s.select("source_id", "lifecycle_epoch"), "source_id").select("source_id", (F.col("lifecycle_epoch") - (d % 5 == 0).cast("long")).alias("lifecycle_epoch"))
+    return ledger.completed_sources(s, after, completions, F.lit(99_000).cast("long")).select("source_id", "status", "last_error", "last_scan", F.coalesce("last_success", F.lit(-1)).alias("last_success"))
+
+
 @query(f"""{ctes('sources', 'runs')} SELECT 'source' AS what, source_id AS id, CASE WHEN source_id IN ('s1', 's2') THEN 'Removing' ELSE lifecycle_state END AS state, lifecycle_epoch + (source_id IN ('s1', 's2'))::INT AS epoch FROM sources UNION ALL SELECT 'run', job_id, CASE WHEN source_id IN ('s1', 's2') AND status IN ('Pending', 'RetryScheduled') THEN 'Cancelled' ELSE status END, 0 FROM runs""")
 def k_tombstone(spark: SparkSession, sf: str) -> DataFrame:
     """K6."""
@@ -516,12 +688,12 @@ def i_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", "score", "rank")
 
 
-_VEC = "vs AS (SELECT q.chunk_id AS query_id, c.chunk_id, round(list_dot_product(c.vector::DOUBLE[], q.vector::DOUBLE[]), 6) AS score FROM vectors c JOIN (SELECT * FROM vectors WHERE chunk_id::BIGINT % 50 = 0) q USING (embedding_profile_id)), vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs) WHERE rank <= 50)"
+_VEC = "vs AS (SELECT q.chunk_id AS query_id, c.chunk_id, round(list_dot_product(c.vector::DOUBLE[], q.vector::DOUBLE[]), 6) AS score FROM vectors c JOIN (SELECT * FROM vectors WHERE chunk_id::BIGINT % 20 = 0) q USING (embedding_profile_id)), vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs) WHERE rank <= 50)"
 
 
 def _vector_leg(spark: SparkSession, sf: str, **more) -> DataFrame:
     v = bound(spark, sf, "vectors")
-    q = v.filter(F.col("chunk_id").cast("long") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "vector", "embedding_profile_id")
+    q = v.filter(F.col("chunk_id").cast("long") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "vector", "embedding_profile_id")
     return search.vector(q, v, **more)
 
 
@@ -538,12 +710,12 @@ def m_similar_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hybrid_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    r = bound(spark, sf, "chunks").filter(F.col("chunk_id").cast("long") % 50 == 0)
-    r = r.join(bound(spark, sf, "vectors").select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.substring("content", 1, 60).alias("query"), F.when(F.col("chunk_id").cast("long") % 150 == 0, "Lexical").when(F.col("chunk_id").cast("long") % 100 == 0, "Vector").otherwise("Hybrid").alias("mode"), F.lit(0.65).alias("alpha"), F.lit(12).alias("limit"))
+    r = bound(spark, sf, "chunks").filter(F.col("chunk_id").cast("long") % 20 == 0)
+    r = r.join(bound(spark, sf, "vectors").select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("query"), F.when(F.col("chunk_id").cast("long") % 60 == 0, "Lexical").when(F.col("chunk_id").cast("long") % 40 == 0, "Vector").otherwise("Hybrid").alias("mode"), F.lit(0.65).alias("alpha"), F.lit(12).alias("limit"))
     return r, search.lexical(r, search.postings(bound(spark, sf, "chunks"))), _vector_leg(spark, sf)
 
 
-_HYBRID = f"""hq AS (SELECT chunk_id AS query_id, substr(content, 1, 60) AS query, CASE WHEN chunk_id::BIGINT % 150 = 0 THEN 0.0 WHEN chunk_id::BIGINT % 100 = 0 THEN 1.0 ELSE 0.65 END AS a FROM chunks WHERE chunk_id::BIGINT % 50 = 0 AND chunk_id IN (SELECT chunk_id FROM vectors)), {_VEC}, {_bm25('hq')},
+_HYBRID = f"""hq AS (SELECT chunk_id AS query_id, content AS query, CASE WHEN chunk_id::BIGINT % 60 = 0 THEN 0.0 WHEN chunk_id::BIGINT % 40 = 0 THEN 1.0 ELSE 0.65 END AS a FROM chunks WHERE chunk_id::BIGINT % 20 = 0 AND chunk_id IN (SELECT chunk_id FROM vectors)), {_VEC}, {_bm25('hq')},
 vn AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS v FROM vec WINDOW w AS (PARTITION BY query_id)),
 ln AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS l FROM lex WINDOW w AS (PARTITION BY query_id)),
 fu AS (SELECT query_id, chunk_id, round(a * coalesce(v, 0) + (1 - a) * coalesce(l, 0), 6) AS score FROM (vn FULL JOIN ln USING (query_id, chunk_id)) JOIN hq USING (query_id)),
@@ -617,32 +789,50 @@ def m_evidence_set(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- evaluation
 
-_EVAL = "hits AS (SELECT i.s AS system, q.chunk_id AS query_id, c.chunk_id, row_number() OVER (PARTITION BY i.s, q.chunk_id ORDER BY round(list_dot_product(c.vector::DOUBLE[], q.vector::DOUBLE[]), CASE i.s WHEN 'candidate' THEN 6 ELSE 1 END) DESC, c.chunk_id) AS rank FROM vectors c JOIN (SELECT * FROM vectors WHERE chunk_id::BIGINT % 50 = 0) q ON c.chunk_id <> q.chunk_id, (VALUES ('candidate'), ('baseline')) i(s)), rel AS (SELECT q.chunk_id AS query_id, c.chunk_id, 3 AS grade FROM vectors c JOIN vectors q ON c.label = q.label AND c.chunk_id <> q.chunk_id WHERE q.chunk_id::BIGINT % 50 = 0), nr AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1), got AS (SELECT system, query_id, min(rank) AS first, sum(grade / log2(rank + 1)) AS dcg FROM hits JOIN rel USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY ALL), m AS (SELECT s.system, q.query_id, CASE WHEN first IS NULL THEN 0 ELSE 1 END AS recall, coalesce(1 / first, 0) AS reciprocal_rank, coalesce(dcg / list_sum([3 / log2(i + 1) for i in range(1, least(n, 10) + 1)]), 0) AS ndcg FROM (SELECT chunk_id AS query_id FROM vectors WHERE chunk_id::BIGINT % 50 = 0) q CROSS JOIN (VALUES ('candidate'), ('baseline')) s(system) LEFT JOIN got ON got.query_id = q.query_id AND got.system = s.system LEFT JOIN nr ON nr.query_id = q.query_id), fm AS (SELECT system, 'f' || label AS family, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS reciprocal_rank, round(avg(ndcg), 6) AS ndcg FROM m JOIN vectors ON chunk_id = query_id GROUP BY ALL), om AS (SELECT system, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS reciprocal_rank, round(avg(ndcg), 6) AS ndcg FROM m GROUP BY system)"
+def _hits_duck(name: str, rows: str) -> str:
+    """CTEs that end in {name}_h: the ten best of ``rows`` (chunk_id, path, content) for every judged query."""
+    return rf"""{name}_p AS (SELECT chunk_id, unnest(regexp_extract_all(lower(concat_ws(' ', path, 'markdown', kind, content)), '[\p{{L}}\p{{N}}]+')) AS term FROM {rows}), {name}_n AS (SELECT chunk_id, count(*) AS len FROM {name}_p GROUP BY 1), {name}_t AS (SELECT chunk_id, term, count(*) AS tf FROM {name}_p GROUP BY ALL), {name}_d AS (SELECT term, count(*) AS df FROM {name}_t GROUP BY 1), {name}_s AS (SELECT count(*) AS nn, avg(len) AS mean FROM {name}_n),
+{name}_c AS (SELECT query_id, chunk_id, round(sum(ln(1 + (nn - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM qt JOIN {name}_d USING (term) JOIN {name}_t USING (term) JOIN {name}_n USING (chunk_id), {name}_s GROUP BY ALL),
+{name}_h AS (SELECT * FROM (SELECT query_id, path || ':' || a || '-' || z AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path || ':' || a || '-' || z) AS rank FROM {name}_c JOIN {rows} USING (chunk_id)) WHERE rank <= 10)"""
+
+
+_EVAL = rf"""WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), f AS (SELECT *, doc_id || '.md' AS path, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
+candidate AS (SELECT path || ':' || i || '-' || i AS chunk_id, path, 'line' AS kind, content, i AS a, i AS z FROM f WHERE regexp_matches(content, '\S')), baseline AS (SELECT doc_id || '.md:1-' || len(string_split(text, chr(10))) AS chunk_id, doc_id || '.md' AS path, 'text' AS kind, text AS content, 1 AS a, len(string_split(text, chr(10))) AS z FROM documents WHERE regexp_matches(text, '\S')),
+j AS (SELECT doc_id::VARCHAR AS query_id, path, content AS query, i, coalesce(lang, '-') AS family FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f WHERE doc_id % 20 = 0 AND regexp_matches(content, '\S')) WHERE r = 1),
+qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+')) AS term FROM j), {_hits_duck('candidate', 'candidate')}, {_hits_duck('baseline', 'baseline')},
+hits AS (SELECT 'candidate' AS system, * FROM candidate_h UNION ALL SELECT 'baseline', * FROM baseline_h), rel AS (SELECT 'candidate' AS system, query_id, chunk_id, 3 AS grade FROM candidate c JOIN j ON c.path = j.path AND z >= i AND a <= i UNION ALL SELECT 'baseline', query_id, chunk_id, 3 FROM baseline c JOIN j ON c.path = j.path AND z >= i AND a <= i),
+nr AS (SELECT system, query_id, count(*) AS n FROM rel GROUP BY ALL), got AS (SELECT system, query_id, min(rank) AS first, sum(grade / log2(rank + 1)) AS dcg FROM hits JOIN rel USING (system, query_id, chunk_id) GROUP BY ALL),
+m AS (SELECT system, query_id, CASE WHEN first IS NULL THEN 0 ELSE 1 END AS recall, coalesce(1 / first, 0) AS reciprocal_rank, coalesce(dcg / list_sum([3 / log2(x + 1) for x in range(1, least(n, 10) + 1)]), 0) AS ndcg FROM (SELECT query_id FROM j) CROSS JOIN (VALUES ('candidate'), ('baseline')) s(system) LEFT JOIN got USING (system, query_id) LEFT JOIN nr USING (system, query_id)),
+fm AS (SELECT system, family, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS reciprocal_rank, round(avg(ndcg), 6) AS ndcg FROM m JOIN j USING (query_id) GROUP BY ALL), om AS (SELECT system, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS reciprocal_rank, round(avg(ndcg), 6) AS ndcg FROM m GROUP BY system)"""
 
 
 def _evaluated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(metrics by system and query, families): vectors of a query's label are relevant; the baseline's scores are blunter."""
-    v = bound(spark, sf, "vectors").withColumn("embedding_profile_id", F.lit("main"))
-    q = v.filter(F.col("chunk_id").cast("long") % 50 == 0).select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("q"), F.col("label").alias("family_label"))
-    pairs = v.join(search.small(q.withColumn("embedding_profile_id", F.lit("main")), 20_000), "embedding_profile_id").filter(F.col("chunk_id") != F.col("query_id"))
-    score = vx.dot(F.col("vector"), F.col("q"))
-    relevance = v.join(q, v["label"] == q["family_label"]).filter(F.col("chunk_id") != F.col("query_id")).select("query_id", "chunk_id", F.lit(3).alias("grade"))
+    """(metrics by system and query, families): all documents under two chunkers, an adapter that makes a unit of every line and whole files; judged are the first lines of the documents whose id is divisible by 20."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
+    files = d.select(F.lit("s").alias("source_id"), path.alias("file_id"), path.alias("relative_path"), F.col("text").alias("content"))
+    lines = d.filter("doc_id % 20 = 0").select("doc_id", "lang", path.alias("path"), F.posexplode(F.split("text", "\n", -1)).alias("p", "query")).filter(F.col("query").rlike(r"\S"))
+    first = lines.groupBy("doc_id", "lang", "path").agg(F.min_by("query", "p").alias("query"), (F.min("p") + 1).alias("start_line"))
+    j = first.select(F.col("doc_id").cast("string").alias("query_id"), "path", "query", "start_line", F.col("start_line").alias("end_line"), F.lit(3).alias("relevance_grade"), F.coalesce("lang", F.lit("-")).alias("family"))
+    by_line = {"lines": ((".md",), lambda text: [Unit("line", None, None, f"line:{i}", i, i) for i, x in enumerate(text, 1) if x.strip()])}
     out = None
-    for system, digits in (("candidate", 6), ("baseline", 1)):
-        hits = search.ranked(pairs.select("query_id", "chunk_id", F.round(score, digits).alias("score")), 10)
-        m = evaluate.query_metrics(hits, relevance, q).withColumn("system", F.lit(system))
+    for system, adapters, limits in (("candidate", by_line, Limits(most=1 << 30)), ("baseline", {}, Limits(target=1 << 30, most=1 << 30))):
+        c = chunk_files(files, "p1", limits, adapters)
+        c = c.withColumn("chunk_id", F.concat("relative_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))).drop("symbol_name", "qualified_symbol_name")
+        hits = search.ranked(search.lexical(j.select("query_id", "query"), search.postings(c), pool=10), 10)
+        m = evaluate.query_metrics(hits, evaluate.relevant(c, j), j).withColumn("system", F.lit(system))
         out = m if out is None else out.unionByName(m)
-    return out, q.select("query_id", F.concat(F.lit("f"), F.col("family_label").cast("string")).alias("family"))
+    return out, j.select("query_id", "family")
 
 
-@query(f"{ctes('vectors')}, {_EVAL} SELECT * FROM fm UNION ALL SELECT system, 'all', recall, reciprocal_rank, ndcg FROM om")
+@query(f"{_EVAL} SELECT * FROM fm UNION ALL SELECT system, 'all', recall, reciprocal_rank, ndcg FROM om")
 def i_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """E10, E11, F3, F4, I8."""
     m, families = _evaluated(spark, sf)
     return evaluate.family_metrics(m, families).unionByName(evaluate.overall_metrics(m).withColumn("family", F.lit("all")))
 
 
-@query(f"{ctes('vectors')}, {_EVAL} SELECT c.recall >= 0.85 AS recall_ok, c.reciprocal_rank >= 0.75 AS mrr_ok, c.ndcg >= b.ndcg * 1.1 AS gain_ok, (SELECT max(y.ndcg - x.ndcg) FROM fm x JOIN fm y USING (family) WHERE x.system = 'candidate' AND y.system = 'baseline') <= 0.02 AS families_ok FROM om c, om b WHERE c.system = 'candidate' AND b.system = 'baseline'")
+@query(f"{_EVAL} SELECT c.recall >= 0.85 AS recall_ok, c.reciprocal_rank >= 0.75 AS mrr_ok, c.ndcg >= b.ndcg * 1.1 AS gain_ok, (SELECT max(y.ndcg - x.ndcg) FROM fm x JOIN fm y USING (family) WHERE x.system = 'candidate' AND y.system = 'baseline') <= 0.02 AS families_ok FROM om c, om b WHERE c.system = 'candidate' AND b.system = 'baseline'")
 def i_gates(spark: SparkSession, sf: str) -> DataFrame:
     """I9."""
     m, families = _evaluated(spark, sf)
@@ -666,14 +856,15 @@ def e_throughput(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.throughput(bound(spark, sf, "runs").select("job_id", F.greatest(F.lit(1), "ms").alias("ms"), F.col("attempt").alias("chunks")))
 
 
-@query(f"""{ctes('chunks')}, s AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) AS r FROM chunks), z AS (SELECT source_id || ':' || r AS query_id, source_id, substr(content, 1, 12) AS expected, chunk_id FROM s WHERE r <= 2)
-SELECT source_id, count(*) AS checked, count(*) FILTER (chunk_id::BIGINT % 3 <> 0) AS matched, CASE WHEN count(*) FILTER (chunk_id::BIGINT % 3 <> 0) = count(*) THEN 'verified' WHEN count(*) FILTER (chunk_id::BIGINT % 3 <> 0) > 0 THEN 'partial' ELSE 'failed' END AS verdict FROM z GROUP BY source_id""")
+@query(f"""{ctes('chunks')}, s AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) AS r FROM chunks), z AS (SELECT source_id || ':' || r AS query_id, source_id, content AS query, content AS expected FROM s WHERE r <= 2), {_bm25('z')},
+ok AS (SELECT DISTINCT query_id FROM lex JOIN z USING (query_id) JOIN chunks USING (chunk_id) WHERE rank <= 5 AND contains(content, expected))
+SELECT source_id, count(*) AS checked, count(ok.query_id) AS matched, CASE WHEN count(ok.query_id) = count(*) THEN 'verified' WHEN count(ok.query_id) > 0 THEN 'partial' ELSE 'failed' END AS verdict FROM z LEFT JOIN ok USING (query_id) GROUP BY source_id""")
 def i_searchability(spark: SparkSession, sf: str) -> DataFrame:
-    """Each sentinel finds its chunk within or beyond the places that count."""
+    """Two chunks of each source are searched for by their whole text."""
     c = bound(spark, sf, "chunks")
-    s = c.withColumn("r", F.row_number().over(Window.partitionBy("source_id").orderBy("chunk_id"))).filter("r <= 2").select(F.concat_ws(":", "source_id", F.col("r").cast("string")).alias("query_id"), "source_id", F.substring("content", 1, 12).alias("expected"), "chunk_id")
-    hits = s.select("query_id", "chunk_id", F.when(F.col("chunk_id").cast("long") % 3 == 0, 9).otherwise(1).alias("rank"))
-    return search.searchability(s.drop("chunk_id"), hits, c)
+    s = c.withColumn("r", F.row_number().over(Window.partitionBy("source_id").orderBy("chunk_id"))).filter("r <= 2").select(F.concat_ws(":", "source_id", F.col("r").cast("string")).alias("query_id"), "source_id", F.col("content").alias("query"), F.col("content").alias("expected"))
+    hits = search.ranked(search.lexical(s.select("query_id", "query"), search.postings(c)), 5)
+    return search.searchability(s.drop("query"), hits, c)
 
 
 @query()
@@ -683,6 +874,16 @@ def i_embedding_job(spark: SparkSession, sf: str) -> DataFrame:
     return embedded(d).select("content_hash", F.size("vector").alias("dimension"), F.round(vx.norm(F.col("vector")), 4).alias("norm"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+|[^\s]')) AS t FROM documents), n AS (SELECT doc_id, sum(CASE WHEN regexp_full_match(t, '[a-z0-9]+') THEN length(t) ELSE 1 END) AS n, count(*) FILTER (NOT regexp_full_match(t, '[a-z0-9]+')) AS unknown FROM w GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) + 2 AS n_tokens, coalesce(unknown, 0) AS n_unknown FROM documents LEFT JOIN n USING (doc_id)""")
+def b_wordpiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids by a vocabulary of single letters and digits, first and inner."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *(f"##{c}" for c in letters)]
+    ids = wordpiece(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text"), {w: i for i, w in enumerate(words)}, 1 << 30)
+    return ids.select(F.col("id").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), F.size(F.filter("ids", lambda i: i == 1)).cast("long").alias("n_unknown"))
+
+
 @query("""SELECT doc_id::VARCHAR AS id, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-5' || substr(h, 16, 1) || substr(h, 13, 2) || '-' || (['8', '9', 'a', 'b'])[(instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1] || substr(h, 18, 1) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT doc_id, sha256(doc_id::VARCHAR) AS h FROM documents)""")
 def b_object_uuid(spark: SparkSession, sf: str) -> DataFrame:
     """B6."""

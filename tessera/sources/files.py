@@ -5,13 +5,13 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import extension, is_eligible, normalise_newlines
+from ..functions.text import TEXT_EXTENSIONS, extension, is_eligible, normalise_newlines
 from ..schemas import JUDGMENTS
 
 
@@ -72,23 +72,45 @@ def _runs(node) -> Iterator[str]:
             yield from _runs(child)
 
 
-def docx_texts(files: DataFrame) -> DataFrame:
-    """source_id, relative_path, text, error of .docx files; a broken file gives an error, not a failed task."""
+#: kind of file: (extensions, function from bytes to text).  Every extension belongs to one kind.
+EXTRACTORS: dict[str, tuple[list[str], Callable[[bytes], str]]] = {
+    "plain": ([*TEXT_EXTENSIONS, ""], lambda data: data.decode("utf-8-sig", "replace")),
+    "word": ([".docx"], docx_text),
+}
+
+
+def extracted(files: DataFrame, extractors: dict[str, tuple[list[str], Callable[[bytes], str]]] | None = None) -> DataFrame:
+    """source_id, relative_path, text, error of scanned files; newlines normalised.
+
+    A file that no extractor takes or that breaks its own gives an error, not a failed task; two extractors of one extension are refused.
+    """
+    known = EXTRACTORS if extractors is None else extractors
+    owner: dict[str, Callable[[bytes], str]] = {}
+    for ends, extract in known.values():
+        for end in ends:
+            if end in owner:
+                raise ValueError(f"two extractors take {end or 'files without extension'}")
+            owner[end] = extract
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, errors = [], []
-            for data in batch.column("content"):
+            for end, data in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    texts.append(docx_text(data.as_py() or b""))
+                    texts.append(owner[end](data or b""))
                     errors.append(None)
-                except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError) as e:
+                except Exception as e:  # an extractor may fail on a file in any way
                     texts.append(None)
-                    errors.append(type(e).__name__)
+                    errors.append("Unsupported" if end not in owner else type(e).__name__)
             yield pa.record_batch({"source_id": batch.column("source_id"), "relative_path": batch.column("relative_path"), "text": pa.array(texts, pa.string()), "error": pa.array(errors, pa.string())})
 
-    word = files.filter(extension(F.col("relative_path")) == ".docx").select("source_id", "relative_path", "content")
-    return word.mapInArrow(run, "source_id string, relative_path string, text string, error string")
+    out = files.select("source_id", "relative_path", extension(F.col("relative_path")).alias("ext"), "content").mapInArrow(run, "source_id string, relative_path string, text string, error string")
+    return out.withColumn("text", normalise_newlines(F.col("text")))
+
+
+def docx_texts(files: DataFrame) -> DataFrame:
+    """source_id, relative_path, text, error of .docx files."""
+    return extracted(files.filter(extension(F.col("relative_path")) == ".docx"), {"word": EXTRACTORS["word"]})
 
 
 def assembled_pages(pages: DataFrame, most_pages: int = 1_000, most_chars: int = 10_000_000) -> DataFrame:
@@ -97,9 +119,12 @@ def assembled_pages(pages: DataFrame, most_pages: int = 1_000, most_chars: int =
     pages: doc, page, text.
     """
     trimmed = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
-    per = pages.select("doc", "page", trimmed.alias("t")).groupBy("doc").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("t")).alias("chars"), F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("page", "t")))).alias("p"))
+    rows = pages.select("doc", "page", trimmed.alias("t"))
+    sizes = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("t")).alias("chars"))
     error = F.when(F.col("pages") > most_pages, "pages").when(F.col("chars") > most_chars, "characters")
-    return per.select("doc", F.when(error.isNull(), F.array_join(F.col("p.t"), "\n\n")).alias("text"), "pages", "chars", error.alias("error"))
+    # only documents within the caps are gathered
+    per = rows.join(sizes.filter(error.isNull()).select("doc"), "doc", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("page", "t")))).alias("p"))
+    return sizes.join(per, "doc", "left").select("doc", F.array_join(F.col("p.t"), "\n\n").alias("text"), "pages", "chars", error.alias("error"))
 
 
 def judgments(spark: SparkSession, path: str) -> DataFrame:

@@ -110,6 +110,72 @@ def test_sections(spark):
     assert sections.invalid_files(d, u.withColumn("end_line", F.lit(99))).count() > 0
 
 
+def test_sections_in_files_are_those_of_the_operations(spark):
+    cases = {"a.md": "intro\n# A\n### B\nx\n## C #\n\n#\n# D", "b.md": "plain\n\ntext", "c.md": "\n\n# A", "d.md": "", "c.json": '{\n  "k": 1,\n  "l": {\n    "m": 2\n  }\n}', "d.json": "[1,\n2]", "d.yaml": "k: 1\n# x\nl:\n  - a: 2\n", "e.yaml": "# only", "f.yml": "---\nk: [a, {b: c}] # ]", "e.toml": "# c\n[t]\nx = 1\n[[u]]\n", "f.toml": "x = 1", "g.json": "{", "g.yaml": "k: 'open", "h.yaml": "just text", "i.toml": "x = [1", "j.yaml": "\tk: 1", "k.json": '{"x": NaN}'}
+    d = spark.createDataFrame([(k, k, v) for k, v in cases.items()], "file_id string, relative_path string, content string")
+    good = d.filter(~sections.malformed(d))
+    u = sections.sections(good)
+    want = {}
+    for r in u.unionByName(sections.gaps(good, u)).collect():
+        want.setdefault(r.file_id, set()).add(tuple(r)[1:])
+    for name, text in cases.items():
+        units = chunker.ADAPTERS[sections_of(name)][1](text.split("\n"))
+        got = None if units is None else {(x.kind, x.symbol, x.qualified, x.locator, x.start, x.end) for x in units}
+        assert got == (None if name in ("g.json", "g.yaml", "h.yaml", "i.toml", "j.yaml", "k.json") else want.get(name, set())), name
+
+
+def sections_of(name):
+    return {"md": "markdown", "yml": "yaml"}.get(name.split(".")[1], name.split(".")[1])
+
+
+def test_declaration_quirks():
+    # blank and comment lines before a declaration belong to it; a type token makes any call-like head a member
+    rows = _units("a.cs", "using X;\n\n// note\npublic class A\n{\n    Dictionary<string, int> Run(int x)\n    {\n        else if (y) {\n        }\n    }\n}")[2]
+    assert [(r[1], r[2], r[5], r[6]) for r in rows] == [(None, None, 1, 3), ("A", "A", 4, 11), ("Run", "A.Run", 6, 10), ("if", "A.Run.if", 8, 9)]
+    assert [(r[0], r[1], r[5], r[6]) for r in _units("a.ts", "const f = ({a}) => {\n  return a;\n}")[2]] == [("member", "f", 1, 1), ("text", None, 2, 3)]
+    assert _units("a.cs", "interface I { int P { get; } }")[2][0][:3] == ("interface", "I", "I")
+    assert _units("a.cs", 'class A { string s = "\\\n"; }')[1] == "structural"
+    text = "class A:\n    def f(self):\n        x = 1\n\n        def g():\n            pass\n    y = 2\nasync def h() -> int:  # c\n    pass\n"
+    assert [(r[2], r[5], r[6]) for r in _units("a.py", text)[2]] == [("A", 1, 7), ("A.f", 2, 6), ("A.f.g", 5, 6), ("h", 8, 10)]
+    assert _units("a.py", "x = 'a\\\nb'")[1] == "invalid-or-malformed"
+
+
+def test_other_token_counters(spark):
+    words = lambda text: len(text.split())
+    text = "\n".join(f"line {i} of words" for i in range(20)) + "\n" + "w " * 30
+    for path in ("a.txt", "a.md"):
+        rows = chunker.chunk_text(path, text, chunker.Limits(6, 9, 0), count=words)[2]
+        assert len(rows) > 9 and all(words(r[4]) <= 9 for r in rows) and "".join("".join(r[4].split()) for r in rows) == "".join(text.split())
+    chunker.register_chunk_table(spark)
+    spark.createDataFrame([("a.py", "def f():\n  pass"), ("b.txt", None)], "path string, text string").createOrReplaceTempView("some_files")
+    got = spark.sql("SELECT path, c.chunker_id, c.symbol_name FROM some_files, LATERAL chunk_text(path, text) c").collect()
+    assert [tuple(r) for r in got] == [("a.py", "python", "f")]
+
+
+def test_extractors(spark, tmp_path):
+    (tmp_path / "a.md").write_text("x\r\ny")
+    (tmp_path / "b.py").write_bytes(b"\xff")
+    found = files.scan(spark, str(tmp_path), "s")
+    own = {"upper": ([".md"], lambda data: data.decode().upper())}
+    assert {r.relative_path: (r.text, r.error) for r in files.extracted(found, own).collect()} == {"a.md": ("X\nY", None), "b.py": (None, "Unsupported")}
+    assert {r.relative_path for r in files.extracted(found).collect()} == {"a.md", "b.py"}
+    with pytest.raises(ValueError):
+        files.extracted(found, {**own, "again": ([".md"], bytes.decode)})
+
+
+def test_report(spark, tmp_path):
+    versions.write_report(spark.createDataFrame([("all", 0.5)], "family string, recall double"), str(tmp_path / "r"))
+    assert one(spark.read.json(str(tmp_path / "r"))).recall == 0.5
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(f"c{i}", [float(i % 7), float(i % 5)], "p") for i in range(60)], "chunk_id string, vector array<float>, embedding_profile_id string")
+    q = v.withColumnRenamed("chunk_id", "query_id")
+    want = sorted(map(tuple, search.vector(q, v, pool=4).collect()))
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 3000)
+    assert sorted(map(tuple, search.vector(q, v, pool=4).collect())) == want and len(want) == 240
+
+
 def test_section_families_are_chunked(spark):
     long = "\n".join("word " * 6 for _ in range(12))
     cases = {"a.md": f"intro\n# A\n## B\n{long}\n# C\nend", "b.json": '{\n  "k": 1,\n  "l": 2\n}', "c.yaml": "# note\nk: 1\nl:\n  - a: 2", "d.yml": "\tx", "e.toml": "[t]\r\nx = 1\r\n[[u]]\r\ny = 2", "f.json": "{", "g.toml": "x = [1", "h.md": None, "i.txt": "x", "j.md": "# A\nx\n# A\ny"}
