@@ -30,24 +30,35 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[up]
 
 
+class Contraction:
+    """Links taken in one after the other; what they connect is kept as one link from every node to the least one that it reaches."""
+
+    def __init__(self):
+        self.u = self.v = np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.waiting.append((a, b))
+        self.pending += len(a)
+        if self.pending >= PENDING + len(self.u):
+            self.links()
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        nodes, root = roots(*(np.concatenate(x) for x in zip((self.u, self.v), *self.waiting)))
+        own = nodes != root
+        self.u, self.v, self.waiting, self.pending = nodes[own], root[own], [], 0
+        return self.u, self.v
+
+
 def contracted(links: DataFrame) -> DataFrame:
     """u, v: for the links (u, v) of each task, one from every node to the least node that it reaches by them."""
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = v = np.zeros(0, np.int64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            nodes, root = roots(*(np.concatenate(x) for x in zip((u, v), *waiting)))
-            waiting.clear()
-            own = nodes != root
-            return nodes[own], root[own]
-
+        held = Contraction()
         for batch in batches:
-            waiting.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
-            if sum(len(x) for x, _ in waiting) >= PENDING + len(u):
-                u, v = merge()
-        u, v = merge()
+            held.add(batch.column("u").to_numpy(), batch.column("v").to_numpy())
+        u, v = held.links()
         yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
 
     return links.mapInArrow(contract, "u long, v long")
@@ -67,7 +78,8 @@ def components(links: DataFrame) -> DataFrame:
     ones, at the least neighbour, and contracts what then lies in one task; it ends when only stars are left.
     Self-links and nulls are left out; repeated links count once.
     """
-    e = stored(contracted(links.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    e = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = stored(contracted(e.repartition("u")))  # all links of a node from here on: no more are left than there are nodes, about
     for _ in range(MOST_ROUNDS):
         if are_stars(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

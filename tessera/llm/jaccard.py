@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import row_key, stored, summed
-from .components import components
+from .components import Contraction, components
 from .native import bit_table
 from .textkit import U, Words, column_bytes, mix, per_row_distinct, pieces
 
@@ -325,12 +325,13 @@ def named_components(docs: DataFrame, percent: int, k: int) -> DataFrame:
     rows = rows.groupBy("list").agg(F.collect_list(F.struct("sig", "sketch")).alias("m")).select("m.sig", "m.sketch")
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Contraction()
         for batch in batches:
-            links = []
             for sig, sketch in zip(batch.column("sig"), batch.column("sketch")):
-                links += _connected(sig.values.to_numpy(), np.frombuffer(b"".join(sketch.as_py()), np.uint8).reshape(-1, SKETCH))
-            links = sorted(set(links))
-            yield pa.record_batch({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+                links = np.array(_connected(sig.values.to_numpy(), np.frombuffer(b"".join(sketch.as_py()), np.uint8).reshape(-1, SKETCH)), np.int64).reshape(-1, 2)
+                found.add(links[:, 0], links[:, 1])
+        a, b = found.links()
+        yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
     near = rows.mapInArrow(screen, "a long, b long")
     groups = components(near if whole is None else near.unionByName(whole))
