@@ -191,8 +191,8 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, cost: float = 0.1, epochs: int = 20, blend: float = 0.25) -> QualityModel:
     """labelled: columns doc_id, text, label (0 or 1), training rows only.
 
-    Ratios come from all of these rows; the hinge-loss model from ``sample_rows``
-    different ones, those of smallest hash.
+    Ratios come from all of these rows; the hinge-loss model from one text of each of the ``sample_rows``
+    ids of smallest hash.
     """
     rows = labelled.select("text", F.col("label").cast("int")).mapInArrow(_count, "slice int, part int, counts binary")
     parts = {s: np.frombuffer(c, np.int64) for s, _, c in summed(stored(rows)).collect()}
@@ -204,9 +204,8 @@ def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, cost: float
         return QualityModel(np.zeros(1 << BITS), 0.0, 1.0, 30.0 * (2 * share - 1))
     p, q = counts[1] + 1, counts[0] + 1
     ratio = np.log(p / (docs[1] + 2)) - np.log(q / (docs[0] + 2))
-    keyed = labelled.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", "text", "label").alias("key"))
-    chosen = keyed.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample_rows)
-    picked = keyed.join(F.broadcast(chosen), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    picked = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("label").cast("int").alias("label"))
     rows = picked.select("text", "label").mapInArrow(_features, "label int, feats array<int>").toArrow()
     feats = Rows(rows["feats"])
     y = np.where(rows["label"].to_numpy() == 1, 1.0, -1.0)[feats.order]

@@ -17,7 +17,7 @@ LOWER[65:91] += 32
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes worked on at once; temporaries take about 60 times as much.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
