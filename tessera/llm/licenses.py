@@ -2,22 +2,22 @@
 
 A template of m words is looked for in windows of 2m words at every m-th
 word, so any run of m words lies whole in one window.  MinHash bands of one
-row retrieve the templates of a window: with BANDS bands, a window that holds
+row retrieve the templates of a window, by equality of (size, band, value): with BANDS bands, a window that holds
 the least containment asked for collides with probability above
 ``collision_probability``.  Exact containment of the template's distinct
-shingles in the window then verifies.  Windows without any shingle of a
-template have containment 0; they are skipped before they are hashed, by a
-screen over the shingles that lets all template shingles through.
+shingles in the window then verifies.  Which windows are hashed is settled by a screen
+over all shingles that lets every template shingle through, and does not tell templates apart: a window
+with fewer screened places than the shortest of its size needs shingles holds none.
 
 Edge cases: null and empty texts match nothing; a template of fewer words
 than a shingle is one shingle of its own length; ties between windows go to
-the earliest; rows that repeat a doc_id are scanned as one (the best window
-of any); other columns are ignored; an empty table gives no row.
+the earliest; rows that share a doc_id, or have none, are scanned each by itself and give one row together (the best window
+of any); templates that share a name count as one; other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import stored
 from .native import bit_table, rows_with_hits, shingles, words
@@ -35,6 +35,10 @@ TEMPLATES = {
     "BSD-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-3-Clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Unlicense-text": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
@@ -67,25 +71,30 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
     for kk in sizes:
         own = stored(t.filter(F.col("kk") == kk).select("license", "m", F.array_distinct(shingles(F.col("w"), kk)).alias("own")))
         table, bits = bit_table(own.select(F.explode("own").alias("h")), "h")
+        # the sizes of the templates, with the fewest shingles that a window of each must hold
+        least = own.groupBy("m").agg(F.min(F.ceil(F.size("own") * F.lit(containment) - F.lit(1e-9))).cast("int").alias("least"))
         flagged = stored(rows_with_hits(docs, kk, table, bits, 1))
-        hits = flagged.select("rid", F.explode("hits").alias("p")).select("rid", "p.pos", "p.h")
-        spots = hits.join(own.select("m", F.explode("own").alias("h")).distinct(), "h").select("rid", "m", "pos")
+        by_size = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(n).alias("least")) for m, n in least.orderBy("m").collect()))  # a row for each size of a template
+        spots = flagged.select("rid", F.explode("hits.pos").alias("pos"), by_size.alias("sizes"))
         # a shingle at pos lies in windows pos div m and, unless it crosses the end, the one before
+        spots = spots.select("rid", "pos", F.explode("sizes").alias("x")).select("rid", "pos", "x.*")
         at = F.floor(F.col("pos") / F.col("m"))
         inside = F.filter(F.array(at, at - 1), lambda i: (i >= 0) & (F.col("pos") + kk <= (i + 2) * F.col("m")))
-        windows = spots.select("rid", "m", F.explode(inside).alias("i")).distinct().groupBy("rid").agg(F.collect_list(F.struct("m", "i")).alias("at"))
+        windows = spots.select("rid", "m", "least", F.explode(inside).alias("i")).groupBy("rid", "m", "i").agg(F.count(F.lit(1)).alias("held"), F.first("least").alias("least")).filter(F.col("held") >= F.col("least"))
+        windows = windows.groupBy("rid").agg(F.collect_list(F.struct("m", "i")).alias("at"))
         windows = flagged.select("rid", "doc_id", "sh").join(windows, "rid").select("rid", "doc_id", "sh", F.explode("at").alias("x"))
-        windows = windows.select("doc_id", "x.m", (F.col("x.i") * F.col("x.m")).alias("start_word"), F.slice("sh", (F.col("x.i") * F.col("x.m") + 1).cast("int"), 2 * F.col("x.m") - kk + 1).alias("in_window"))
+        windows = windows.select("rid", "doc_id", "x.m", (F.col("x.i") * F.col("x.m")).alias("start_word"), F.slice("sh", (F.col("x.i") * F.col("x.m") + 1).cast("int"), 2 * F.col("x.m") - kk + 1).alias("in_window"))
         windows = stored(windows)
-        bands = windows.select("doc_id", "m", "start_word", "in_window", F.explode(_minhashes(F.col("in_window"))).alias("b")).select("doc_id", "m", "start_word", "in_window", "b.*")
-        keys = own.select("license", "m", "own", F.explode(_minhashes(F.col("own"))).alias("b")).select("license", "m", "own", "b.*")
-        pairs = bands.join(keys, ["m", "band", "value"])
+        bands = windows.select("rid", "m", "start_word", F.explode(_minhashes(F.col("in_window"))).alias("b")).select("rid", "m", "start_word", "b.*")
+        keys = own.select("license", "m", F.explode(_minhashes(F.col("own"))).alias("b")).select("license", "m", "b.*")
+        pairs = bands.join(keys, ["m", "band", "value"]).select("rid", "m", "start_word", "license").distinct()
+        pairs = windows.join(pairs, ["rid", "m", "start_word"]).join(own, ["license", "m"])
         share = F.size(F.array_intersect("in_window", "own")) / F.size("own")
         pairs = pairs.select("doc_id", "license", share.alias("containment"), "start_word", (2 * F.col("m")).alias("n_words")).filter(F.col("containment") >= containment)
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, license string, containment double, start_word long, n_words int")
-    best = F.min_by(F.struct("containment", "start_word", "n_words"), F.struct((-F.col("containment")).alias("c"), "start_word"))
+    best = F.min_by(F.struct("containment", "start_word", "n_words"), F.struct((-F.col("containment")).alias("c"), "start_word", "n_words"))
     return found.groupBy("doc_id", "license").agg(best.alias("b")).select("doc_id", "license", "b.*")
 
 
