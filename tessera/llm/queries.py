@@ -67,9 +67,56 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def s5_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 fixes before it draws: doc_id, size, source_size, target."""
+    mixture = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    both = mixture.sizes.join(mixture.sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    return both.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def s9_secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op9."""
+    return op9_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+#: Components of all pairs that share a shingle and link, by reachability.
+JACCARD_SQL = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i+4], chr(31)) for i in range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, chr(31))] ELSE [] END) AS g FROM d),
+n AS (SELECT r, doc_id, len(g) AS n FROM s), u AS (SELECT r, unnest(g) AS x FROM s),
+l AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.x = b.x AND a.r <> b.r JOIN n p ON p.r = a.r JOIN n q ON q.r = b.r WHERE 100 * least(p.n, q.n) >= 75 * greatest(p.n, q.n) GROUP BY a.r, b.r HAVING 100 * count(*) >= 75 * (any_value(p.n) + any_value(q.n) - count(*))),
+c(r, t) AS (SELECT r, r FROM n UNION SELECT c.r, l.b FROM c JOIN l ON l.a = c.t)
+SELECT n.doc_id, any_value(n.n)::BIGINT AS n_shingles, min(m.doc_id) AS component_id FROM c JOIN n ON n.r = c.r JOIN n m ON m.r = c.t GROUP BY n.r, n.doc_id"""
+
+#: Every string of 200 bytes of every text, as hexadecimal digits, by how often it starts; then the covered bytes.
+REPEATS_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+f AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1), e AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM p SEMI JOIN f USING (k)),
+g AS (SELECT r, i, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS n FROM e), s AS (SELECT r, n, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY r, n),
+k AS (SELECT r, n, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS b FROM s), t AS (SELECT r, sum(z - a) AS removed, count(*) AS spans, max(z) AS last FROM s GROUP BY r),
+q AS (SELECT r, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS kept FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (r) LEFT JOIN q USING (r)"""
+
+TARGETS_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')))::BIGINT AS size FROM documents GROUP BY ALL),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source), w AS (SELECT source, n, [3, 1, 2][(k % 3 + 1)::INT]::DOUBLE AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 2 * n / w) AS pos, sum(n) OVER () AS total FROM w), l AS (SELECT *, (1.5 * total - coalesce(sum(2 * n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+t AS (SELECT source, n, least(2 * n, w * max(level) OVER ()) AS target FROM l) SELECT doc_id, size, n AS source_size, round(target, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""".replace("RECURSIVE ", "")
+
+
+def _spans_sql(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """Leftmost matches of a pattern: what lies between them gives their places."""
+    return f"""SELECT r, {order} AS o, '{kind}' AS kind, (list_sum(len_s[1:i]) + coalesce(list_sum(len_m[1:i-1]), 0))::BIGINT AS a, len_m[i] AS n FROM (SELECT r, len_s, len_m, len_g, unnest(range(1, len(len_m) + 1)) AS i FROM (SELECT r, list_transform(regexp_split_to_array(text, '{pattern}'), lambda x: length(x)) AS len_s, list_transform(regexp_extract_all(text, '{pattern}', 0), lambda x: length(x)) AS len_m, list_transform(regexp_extract_all(text, '{pattern}', {group}), lambda x: length(x)) AS len_g FROM d)) WHERE len_g[i] >= {least}"""
+
+
+SECRETS_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), s AS ({_spans_sql('assign', 0, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1, 6)} UNION ALL {_spans_sql('access', 1, 'AKIA[A-Z0-9]+', 0, 20)} UNION ALL {_spans_sql('hex', 2, '[0-9a-f]+', 0, 24)}),
+j AS (SELECT r, count(*) FILTER (o = 0) AS n0, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS t FROM s GROUP BY r)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(t, '')) AS base_sha256 FROM d LEFT JOIN j USING (r)"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_mixing, op6_language_id, op7_lm_scoring, op8_nearest_neighbours, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_mixing, op6_language_id, op7_lm_scoring, op8_nearest_neighbours, op9_secret_scan, op10_quality, s5_mixing_targets, s9_secret_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_oracle()}
+    return {"op1_license_scan": license_oracle(), "op2_jaccard_join": JACCARD_SQL, "op4_suffix_dedup": REPEATS_SQL, "s5_mixing_targets": TARGETS_SQL, "s9_secret_base": SECRETS_SQL}
