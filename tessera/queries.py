@@ -875,7 +875,7 @@ def i_embedding_job(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+|[^\s]')) AS t FROM documents), n AS (SELECT doc_id, sum(CASE WHEN regexp_full_match(t, '[a-z0-9]+') THEN length(t) ELSE 1 END) AS n, count(*) FILTER (NOT regexp_full_match(t, '[a-z0-9]+')) AS unknown FROM w GROUP BY 1)
-SELECT doc_id, coalesce(n, 0) + 2 AS n_tokens, coalesce(unknown, 0) AS n_unknown FROM documents LEFT JOIN n USING (doc_id)""")
+SELECT doc_id, (coalesce(n, 0) + 2)::BIGINT AS n_tokens, coalesce(unknown, 0)::BIGINT AS n_unknown FROM documents LEFT JOIN n USING (doc_id)""")
 def b_wordpiece(spark: SparkSession, sf: str) -> DataFrame:
     """Ids by a vocabulary of single letters and digits, first and inner."""
     letters = "abcdefghijklmnopqrstuvwxyz0123456789"
