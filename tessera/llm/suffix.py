@@ -253,11 +253,12 @@ MARKS, SPANS, ASKED, CONTEXTS, KEYS = range(5)
 
 
 def _dealt(kind: int, place: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """Rows for each place; of a table of numbers column after column, which shuffle files compress better."""
     by = np.argsort(place, kind="stable")
     place, columns = place[by], [c[by] for c in columns]
     ids, cut = np.unique(place, return_index=True)
     cut = [*cut, len(place)]
-    return [(kind, int(p), *(c[a:z].tobytes() for c in columns), *[None] * (4 - len(columns))) for p, a, z in zip(ids, cut, cut[1:])]
+    return [(kind, int(p), *(c[a:z].T.tobytes() for c in columns), *[None] * (4 - len(columns))) for p, a, z in zip(ids, cut, cut[1:])]
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -268,6 +269,11 @@ def _read(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
 
 
+def _read_table(column, width: int) -> np.ndarray:
+    """The columns of a table of integers."""
+    return np.concatenate([np.zeros((width, 0), np.int64), *(np.frombuffer(x, np.int64).reshape(width, -1) for x in column.to_pylist() if x)], axis=1)
+
+
 def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text); with_text: and kept, the remaining bytes."""
     _, nbytes = text_bytes(docs)
@@ -301,10 +307,10 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     marked = stored(docs.select("text", "row", "batch").mapInArrow(mark, _SCHEMA))
 
     def gather(key, t):
-        gram, context, packed = _read(t["a"], np.uint64), _read(t["b"], np.uint64), _read(t["c"], np.int64).reshape(-1, 3)
+        gram, context = _read(t["a"], np.uint64), _read(t["b"], np.uint64)
         by = np.lexsort((context, gram))
-        gram, context, packed = gram[by], context[by], packed[by]
-        row, batch, rest = packed.T
+        gram, context = gram[by], context[by]
+        row, batch, rest = _read_table(t["c"], 3)[:, by]
         at, left, right, known = rest >> 17, rest >> 9 & 255, rest >> 1 & 255, rest & 1 == 1
         head = np.ones(len(gram), bool)
         head[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
@@ -349,7 +355,7 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         for p, a, z in zip(ids, cut, [*cut[1:], len(order)]):
             c = order[a:z]
             size, text = bytes_of(c)
-            rows.append((CONTEXTS, int(p), np.stack([row[c], np.full(len(c), home), at[c], left[c], size, is_open[c]], 1).astype(np.int64).tobytes(), text.tobytes(), None, None))
+            rows.append((CONTEXTS, int(p), np.stack([row[c], np.full(len(c), home), at[c], left[c], size, is_open[c]]).astype(np.int64).tobytes(), text.tobytes(), None, None))
         order = np.flatnonzero(large)
         order = order[np.argsort(gram[order], kind="stable")]
         for a in range(0, len(order), CHUNK):
@@ -380,7 +386,7 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         if not t.num_rows:
             return pa.Table.from_batches(found, _ARROW)
         text = _read(t["b"], np.uint8)
-        row, home, at, left, size, is_open = _read(t["a"], np.int64).reshape(-1, 6).T
+        row, home, at, left, size, is_open = _read_table(t["a"], 6)
         spans = [s for s in repeated_offsets(text, np.concatenate([[0], np.cumsum(size)]), left) if is_open[s[0]]]
         c = np.array([s[0] for s in spans], np.int64)
         span = np.array([s[1:] for s in spans], np.int64).reshape(-1, 2) + at[c][:, None]
@@ -393,7 +399,7 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def cut_out(texts, found):
         key = texts["row"].to_numpy()
         buf, off = column_bytes(texts["text"])
-        row, span = _read(found["a"], np.int64), _read(found["b"], np.int64).reshape(-1, 2)
+        row, span = _read(found["a"], np.int64), _read_table(found["b"], 2).T
         by = np.lexsort((span[:, 0], row))
         row, span = row[by], span[by]
         n, removed, runs, digest, kept = np.diff(off), [], [], [], []
