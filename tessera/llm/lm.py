@@ -11,11 +11,13 @@ are excluded there; below the empty context every byte is as likely.
 
 The trie grows with the corpus, so no task and no broadcast holds it.
 Batches of documents name the distinct runs of ORDER + 1 bytes and the
-distinct words that they hold, with training counts.  Runs are gathered by the last two
-bytes of their context, which keeps all their contexts of two bytes or more in
-one place (those of one byte and none have 65,792 entries at most and are
-broadcast); there the code length of each run is computed once, and sent
-back to the batches that named it.  Words are gathered by hash for the base score.
+distinct words that they hold, with training counts, to places by hash.  There equal runs of all batches become
+one, and each goes on once to the place of the last two
+bytes of its context, where all its contexts of two bytes or more
+meet (those of one byte and none have 65,792 entries at most and are
+broadcast).  What a frequent pair of bytes brings together is thus the distinct runs of the corpus, not
+those of every batch.  The code length of each run is computed there, goes back to the run's
+place by hash, and from there to the batches that named it.  Words stay in their places by hash, for the base score.
 
 Edge cases: null and empty texts are one end token; without a training row
 every count is 0; held-out rows are scored only; repeated rows each get a row; a null doc_id is a fold of its own, that of the
@@ -271,33 +273,48 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
         rows = []
         for kind, found_ in parts.items():
             keys, counts = counted(np.concatenate([k for k, _ in found_]), np.concatenate([c for _, c in found_]))
-            place = mix(keys) if kind == WORDS else mix(keys >> U(8) & U(0xFFFF))
-            rows += _dealt(kind, (place % U(places)).astype(np.int64), keys, counts.astype(np.int32), key[0].as_py())
+            rows += _dealt(kind, (mix(keys) % U(places)).astype(np.int64), keys, counts.astype(np.int32), key[0].as_py())
         return _rows(rows)
 
     schema = "kind int, place long, batch long, keys binary, counts binary"
     named = docs.groupBy("batch").applyInArrow(name, schema)
 
-    def answer(key, t):
+    def merge(key, t):
+        """The runs of a place by hash, each once with its count in all batches, dealt by context."""
+        if key[0].as_py() == WORDS:
+            return _rows([])
+        keys, counts = counted(unpacked(t["keys"], np.uint64)[0], unpacked(t["counts"], np.int32)[0].astype(np.int64))
+        return _rows(_dealt(RUNS, (mix(keys >> U(8) & U(0xFFFF)) % U(places)).astype(np.int64), keys, counts, 0))
+
+    def encode(key, t):
+        """The code length of each run, dealt by its hash."""
+        keys, counts = counted(unpacked(t["keys"], np.uint64)[0], unpacked(t["counts"], np.int64)[0])
+        levels = {order: Level(keys[counts > 0], counts[counts > 0])}
+        for k in range(order, 2, -1):
+            levels[k - 1] = Level(*one_shorter(levels[k], k))
+        levels[0], levels[1] = small.value
+        for k in range(order, 1, -1):
+            levels[k].link(levels[k - 1], k)
+        values = code_lengths(keys, [levels[k] for k in range(order + 1)]).astype(np.float32)
+        return _rows(_dealt(RUNS, (mix(keys) % U(places)).astype(np.int64), keys, values, 0))
+
+    # both uses of named.groupBy("kind", "place") read the same exchange
+    encoded = named.groupBy("kind", "place").applyInArrow(merge, schema).groupBy("place").applyInArrow(encode, schema)
+
+    def answer(key, left, right):
         """The code length of each run, or the training count of each word, for every batch that named it."""
-        named_, sizes = unpacked(t["keys"], np.uint64)
-        batch = np.repeat(t["batch"].to_numpy(), sizes)
-        keys, counts = counted(named_, unpacked(t["counts"], np.int32)[0].astype(np.int64))
-        kind = key[0].as_py()
+        named_, sizes = unpacked(left["keys"], np.uint64)
+        batch, kind = np.repeat(left["batch"].to_numpy(), sizes), key[0].as_py()
         if kind == WORDS:
-            values = counts
+            keys, values = counted(named_, unpacked(left["counts"], np.int32)[0].astype(np.int64))
         else:
-            levels = {order: Level(keys[counts > 0], counts[counts > 0])}
-            for k in range(order, 2, -1):
-                levels[k - 1] = Level(*one_shorter(levels[k], k))
-            levels[0], levels[1] = small.value
-            for k in range(order, 1, -1):
-                levels[k].link(levels[k - 1], k)
-            values = code_lengths(keys, [levels[k] for k in range(order + 1)]).astype(np.float32)
+            keys, values = unpacked(right["keys"], np.uint64)[0], np.frombuffer(b"".join(right["counts"].to_pylist()), np.float32)
+            by = np.argsort(keys, kind="stable")
+            keys, values = keys[by], values[by]
         place, _ = found(keys, named_)
         return _rows([(kind, 0, b, k, v) for _, b, _, k, v in _dealt(kind, batch, named_, values[place], 0)])
 
-    answers = named.groupBy("kind", "place").applyInArrow(answer, schema)
+    answers = named.groupBy("kind", "place").cogroup(encoded.groupBy("kind", "place")).applyInArrow(answer, schema)
 
     def score(left, right):
         buf, off = column_bytes(left["text"])
