@@ -45,7 +45,7 @@ def _shapes(w: Words) -> np.ndarray:
     sums = np.add.reduceat(np.where(w.solid, kind[w.low], 0), w.start) if len(w.start) else np.zeros(0, np.int64)
     letters, digits, symbols = sums & 0xFFFFF, (sums >> 20) & 0xFFFFF, sums >> 40
     same = np.zeros(len(sums), np.int64)
-    same[1:] = w.hash[1:] == w.hash[:-1]
+    same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.row[1:] == w.row[:-1])
     return (letters > 0) + 2 * (digits > 0) + 4 * np.minimum(symbols, 3) + 16 * same
 
 

@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, components, decontaminate, jaccard, langid, licenses, lm, mixing, quality, secrets, suffix
+from tessera.llm import ann, components, decontaminate, jaccard, langid, licenses, lm, mixing, quality, secrets, suffix, textkit
 from tessera.llm.common import fold
 
 from .cases import SCHEMA, corpus, frame, words_of
@@ -373,6 +374,34 @@ def test_language(spark, none):
     assert {x.lang_pred for x in langid.predict_language(d, langid.fit_language(none)).collect()} == {"und"}
 
 
+def test_language_model_by_hand():
+    """Scores are the softmax of the average embedding of all subwords, whichever side is summed up."""
+    r = np.random.default_rng(4)
+    texts = ["Ab  cd", "", "x", "Übung macht", "aaaa aaaa", None]
+    buf, off = textkit.column_bytes(pa.array(texts, pa.string()))
+    for k in (3, 20):
+        m = langid.LanguageModel([str(i) for i in range(k)], r.normal(size=(1 << langid.BITS, langid.DIM)), r.normal(size=(langid.DIM, k)), r.normal(size=k), 0.7, 0.0)
+        got = m.probabilities(buf, off)
+        for text, p in zip(texts, got):
+            b = [32 if c in (32, *range(9, 14)) else c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()]
+            rows = []
+            for n in langid.ORDERS:
+                for i in range(len(b) - n + 1):
+                    code = int.from_bytes(bytes(b[i:i + n]), "big")
+                    h = (code * 2654435761 & 0xFFFFFFFF) ^ (n * 0x9E3779B1 & 0xFFFFFFFF)
+                    h = (h ^ h >> 15) * 0x85EBCA77 & 0xFFFFFFFF
+                    rows.append(m.embed[h >> 32 - langid.BITS])
+            z = ((np.mean(rows, axis=0) if rows else np.zeros(langid.DIM)) @ m.out + m.bias) / m.temperature
+            want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            assert np.abs(p - want).max() < 1e-9
+
+
+def test_language_sample(spark):
+    rows = [(i, f"text {i}", "a") for i in range(3000)] + [(i, "same", "b") for i in [7] * 2000] + [(5000 + i, f"t{i}", "c") for i in range(5)] + [(1, "x", None)]
+    got = collections.Counter(x.lang for x in langid.language_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100, 1000).collect())
+    assert 60 <= got["a"] <= 150 and got["b"] == 1 and got["c"] == 5 and len(got) == 3
+
+
 def test_lm(docs, none, rows):
     got = lm.score_texts(docs.select("doc_id", "text"), fold("doc_id", 7) != 2).collect()
     count = collections.Counter()
@@ -505,6 +534,55 @@ def test_secrets(spark, docs, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """At the optimum of the dual, rows beyond the margin have no weight, rows inside it all they may have, and the weights are the sum of the rows."""
+    r = np.random.default_rng(6)
+    feats = [np.unique(r.integers(0, 40, r.integers(1, 12))).astype(np.int32) for _ in range(120)]
+    rows = quality.Rows(pa.chunked_array([pa.array(feats, pa.list_(pa.int32()))]))
+    y = np.where(r.random(120) < 0.4, 1.0, -1.0)
+    values = r.normal(size=40)
+    w, bias = quality.dual_coordinate_descent(rows, values, y, np.arange(120), 0.5, 3000)
+    x = np.zeros((120, 41))
+    for i in range(120):
+        x[i, rows[i]] = values[rows[i]]
+    x[:, 40] = 1
+    top = np.array([0.5 * 120 / (2 * (y == v).sum()) for v in y])
+
+    def loss(v):
+        return 0.5 * v @ v + (top * np.maximum(0, 1 - y * (x @ v))).sum()
+
+    best = loss(np.append(w, bias))
+    for _ in range(400):
+        assert best <= loss(np.append(w, bias) + r.normal(size=41) * r.choice([1e-3, 1e-2, 0.1, 1])) + 1e-3
+    assert best <= loss(np.zeros(41))
+
+
+def test_quality_indicators_by_hand(spark):
+    """Counts of the classes, and so the ratios, are those of a scan word by word."""
+    texts = ["One two two", "two 3 !!", "", "a", "one two two"]
+    for text in texts:
+        b = pa.array([text], pa.string())
+        w = words_of(text)
+        row, feat = quality.indicators(*textkit.column_bytes(b))
+        kinds = [(any(c.isalpha() for c in x), any(c.isdigit() for c in x), sum(not c.isalnum() for c in x)) for x in w]
+        shapes = [a + 2 * d + 4 * min(s, 3) + 16 * (i > 0 and w[i] == w[i - 1]) for i, (a, d, s) in enumerate(kinds)]
+        grams = len(set(w)) + len(set(zip(w, w[1:]))) + len({tuple(shapes[i:i + 4]) for i in range(len(w) - 3)})
+        low = [32 if c in (32, *range(9, 14)) else c for c in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).encode()]
+        assert len(feat) == len(set(feat.tolist())) == grams + len({tuple(low[i:i + 3]) for i in range(len(low) - 2)})
+    d = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, label int").repartition(3)
+    sums = {}
+    for r in d.select("text", "label").mapInArrow(quality._count, "slice int, part int, counts binary").collect():
+        sums[r.slice] = sums.get(r.slice, 0) + np.frombuffer(r.counts, np.int64)
+    per = (1 << quality.BITS) // quality.SLICE
+    for c in (0, 1):
+        want = np.zeros(1 << quality.BITS, np.int64)
+        for i, t in enumerate(texts):
+            if i % 2 == c:
+                want[quality.indicators(*textkit.column_bytes(pa.array([t], pa.string())))[1]] += 1
+        assert (np.concatenate([sums[c * per + i] for i in range(per)]) == want).all()
+    assert sums[2 * per].tolist() == [3, 2]
+
+
 def test_quality(spark, docs, none):
     r = random.Random(2)
     names = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
