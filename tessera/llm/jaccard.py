@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import row_key, stored, summed
 from .components import Contraction, components
 from .native import bit_table
-from .textkit import U, Words, column_bytes, mix, per_row_distinct, pieces
+from .textkit import U, Words, breaks, column_bytes, is_long, mix, per_row_distinct, pieces, words_ahead
 
 FREQUENCY_BITS = 21
 SLICE = 1 << 16
@@ -54,10 +54,22 @@ PERCENT, K = 75, 5
 BUCKET_BYTES, PACK_SETS = 8 << 20, 1500
 
 
+def long_shingles(b: np.ndarray, k: int) -> np.ndarray:
+    """The distinct shingles of k words of one long text, from stretches that read on for k - 1 words."""
+    cuts, parts = breaks(b), []
+    for a, z in zip(cuts, cuts[1:]):
+        part = b[a:words_ahead(b, z, k - 1)]
+        parts.append(np.unique(Words(part, np.array([0, len(part)])).shingles(k, short_rows=False)[1]))
+    return np.unique(np.concatenate(parts))
+
+
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """row and hash of the distinct shingles, by row then hash; size and hash of each row's set (0: empty)."""
-    row, h, _ = Words(buf, offsets).shingles(k)
-    row, h = per_row_distinct(row, h)
+    if is_long(offsets) and len(h := long_shingles(buf, k)):
+        row = np.zeros(len(h), np.int64)
+    else:
+        row, h, _ = Words(buf, offsets).shingles(k)
+        row, h = per_row_distinct(row, h)
     n = np.bincount(row, minlength=len(offsets) - 1)
     sig = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)

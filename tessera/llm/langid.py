@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import Shared, stored
-from .textkit import LOWER, SPACE, column_bytes, pieces
+from .textkit import LOWER, PIECE, SPACE, column_bytes, is_long, pieces
 
 BITS, DIM, ORDERS = 16, 16, (2, 3, 4)
 #: Rows that the model is trained on: about so many of each language, and about so many in all.
@@ -41,7 +41,15 @@ BROADCAST_LANGUAGES = 50_000
 
 
 def subwords(buf: np.ndarray, offsets: np.ndarray):
-    """(row, bucket) arrays, one pair for each length of subword."""
+    """(row, bucket) arrays, a pair for each length of subword; for each stretch of a long text."""
+    if is_long(offsets):
+        for c in range(0, len(buf), PIECE):
+            start = max(0, c - max(ORDERS) + 1)
+            part = buf[start:c + PIECE]
+            for n, (row, bucket) in zip(ORDERS, subwords(part, np.array([0, len(part)]))):
+                done = max(0, c - start - n + 1)  # those that end in the stretch before
+                yield row[done:], bucket[done:]
+        return
     low = np.where(SPACE[buf], 32, LOWER[buf]).astype(np.uint32)
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     code = low
@@ -90,9 +98,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = column_bytes(batch.column("text"))
         for i, b, o in pieces(buf, off):
-            parts = list(subwords(b, o))
-            key = np.concatenate([r.astype(np.int64) << BITS | f for r, f in parts]) if parts else np.zeros(0, np.int64)
-            key, times = np.unique(key, return_counts=True)
+            parts = [np.unique(r.astype(np.int64) << BITS | f, return_counts=True) for r, f in subwords(b, o)]
+            key, back = np.unique(np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([t for _, t in parts] or [np.zeros(0)]), len(key))
             cut = np.searchsorted(key >> BITS, np.arange(len(o)))
             yield pa.record_batch({
                 "lang": batch.column("lang").slice(i, len(o) - 1),

@@ -27,13 +27,14 @@ empty text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Shared, text_bytes
-from .textkit import U, Words, column_bytes, mix, pieces
+from .textkit import PIECE, U, Words, breaks, column_bytes, is_long, mix, pieces
 
 ORDER = 5
 #: What a symbol gives up of its count to symbols not seen; 0.2 to 0.4 score held-out texts best.
@@ -41,7 +42,6 @@ ESCAPE = 0.3
 END, BLANK = 10, 32
 #: Bytes of text in a batch.
 BATCH_BYTES = 8 << 20
-PIECE = 1 << 20
 END_TOKEN = 0x5EED0E2D0C2B1A29
 
 
@@ -63,10 +63,50 @@ def normal_form(w: Words, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     scored = np.ones(total, bool)
     first = np.cumsum(letters) - letters
     scored[(first[:, None] + np.arange(order)).ravel()] = False
-    runs = np.zeros(max(0, total - order), np.uint64)
+    return _runs(out, order)[scored[order:]], row[scored]
+
+
+def _runs(out: np.ndarray, order: int) -> np.ndarray:
+    """Every byte of ``out`` from place ``order`` on, with the bytes before it, as one integer."""
+    runs = np.zeros(max(0, len(out) - order), np.uint64)
     for j in range(order + 1):
-        runs |= out[j:total - order + j] << U(8 * (order - j))
-    return runs[scored[order:]], row[scored]
+        runs |= out[j:len(out) - order + j] << U(8 * (order - j))
+    return runs
+
+
+@dataclass
+class Part:
+    """Some rows from ``first`` on: word hashes and runs with their rows, and the end tokens of each row."""
+
+    first: int
+    rows: int
+    hash: np.ndarray
+    word_row: np.ndarray
+    runs: np.ndarray
+    run_row: np.ndarray
+    ends: np.ndarray
+
+
+def parts_of(buf: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> Iterator[Part]:
+    """All rows in parts; a long row comes in several, the last of which has its end token."""
+    for i, b, o in pieces(buf, offsets, PIECE):
+        if not is_long(o):
+            w = Words(b, o)
+            runs, row = normal_form(w, order)
+            yield Part(i, w.rows, w.hash, w.row, runs, row, np.ones(w.rows, np.int64))
+            continue
+        cuts, before, begun = breaks(b, PIECE), np.full(order, END, np.uint64), False
+        for a, z in zip(cuts, cuts[1:]):
+            w = Words(b[a:z], np.array([0, z - a]))
+            runs, _ = normal_form(w, order)
+            out = runs & U(255)  # words joined by blanks, and an end
+            out = out[:-1] if len(w.hash) else out[:0]
+            lead = np.full(int(begun and len(out) > 0), BLANK, np.uint64)
+            last = np.full(int(z == len(b)), END, np.uint64)
+            whole = np.concatenate([before, lead, out, last])
+            runs = _runs(whole, order)
+            before, begun = whole[len(whole) - order:], begun or len(out) > 0
+            yield Part(i, 1, w.hash, w.row, runs, np.zeros(len(runs), np.int64), np.full(1, int(z == len(b))))
 
 
 def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,11 +250,10 @@ def corpus_sums(docs: DataFrame, places: int) -> tuple[list[Level], int, int]:
         """A task's distinct runs of three bytes and distinct words; n of the words' rows: its tokens, once."""
         seen, words, tokens = np.zeros(1 << 24, bool), [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            for _, b, o in pieces(*column_bytes(batch.column("text")), PIECE):
-                w = Words(b, o)
-                seen[normal_form(w, 2)[0].astype(np.int64)] = True
-                words.append(np.unique(w.hash))
-                tokens += len(w.hash) + w.rows
+            for part in parts_of(*column_bytes(batch.column("text")), 2):
+                seen[part.runs.astype(np.int64)] = True
+                words.append(np.unique(part.hash))
+                tokens += len(part.hash) + int(part.ends.sum())
             words = [np.unique(np.concatenate(words))]
         rows = []
         for kind, keys in ((WORDS, np.append(words[0], U(END_TOKEN)) if tokens else words[0]), (RUNS, np.flatnonzero(seen).astype(np.uint64))):
@@ -260,16 +299,14 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
         train = t["train"].to_numpy().astype(bool)
         buf, off = column_bytes(t["text"])
         parts = {WORDS: [], RUNS: []}
-        for i, b, o in pieces(buf, off, PIECE):
-            w = Words(b, o)
-            mine = train[i:i + w.rows]
-            runs, row = normal_form(w, order)
-            flagged = runs << U(1) | mine[row].astype(np.uint64)
+        for part in parts_of(buf, off, order):
+            mine = train[part.first:part.first + part.rows]
+            flagged = part.runs << U(1) | mine[part.run_row].astype(np.uint64)
             flagged.sort()
             head = np.flatnonzero(np.concatenate([[True], flagged[1:] != flagged[:-1]]))
             many = np.diff(np.append(head, len(flagged))) * (flagged[head] & U(1)).astype(np.int64)
             parts[RUNS].append(counted(flagged[head] >> U(1), many))
-            parts[WORDS].append(counted(np.append(w.hash, U(END_TOKEN)), np.append(mine[w.row].astype(np.int64), mine.sum())))
+            parts[WORDS].append(counted(np.append(part.hash, U(END_TOKEN)), np.append(mine[part.word_row].astype(np.int64), (mine * part.ends).sum())))
         rows = []
         for kind, found_ in parts.items():
             keys, counts = counted(np.concatenate([k for k, _ in found_]), np.concatenate([c for _, c in found_]))
@@ -328,15 +365,13 @@ def score_texts(docs: DataFrame, training: Column, order: int = ORDER) -> DataFr
         n, known, base, total = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
         end = tables[0][np.array([END_TOKEN], np.uint64)][0] if size else 0
         level = np.log10(tokens + types + 1)
-        for i, b, o in pieces(buf, off, PIECE):
-            w = Words(b, o)
-            at = slice(i, i + w.rows)
-            c = tables[0][w.hash].astype(np.float64)
-            n[at] = w.per_row + 1
-            known[at] = np.bincount(w.row, c > 0, w.rows).astype(np.int64) + int(end > 0)
-            base[at] = np.bincount(w.row, np.log10(c + 1) - level, w.rows) + np.log10(end + 1) - level
-            runs, row = normal_form(w, order)
-            total[at] = np.bincount(row, tables[1][runs], w.rows)
+        for part in parts_of(buf, off, order):
+            at = slice(part.first, part.first + part.rows)
+            c = tables[0][part.hash].astype(np.float64)
+            n[at] += np.bincount(part.word_row, minlength=part.rows) + part.ends
+            known[at] += np.bincount(part.word_row, c > 0, part.rows).astype(np.int64) + int(end > 0) * part.ends
+            base[at] += np.bincount(part.word_row, np.log10(c + 1) - level, part.rows) + (np.log10(end + 1) - level) * part.ends
+            total[at] += np.bincount(part.run_row, tables[1][part.runs], part.rows)
         return pa.table({"doc_id": left["doc_id"], "held_out": pa.array(~left["train"].to_numpy().astype(bool)), "n_tokens": n, "n_known": known, "train_tokens": np.full(size, tokens), "base_score": base, "score": total})
 
     # the texts are dealt to their batches once: both uses of docs.groupBy("batch") read the same exchange

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Shared, stored, summed
-from .textkit import SPACE, U, Words, column_bytes, mix, pieces
+from .textkit import SPACE, U, Words, breaks, column_bytes, is_long, mix, pieces, word_before, words_ahead
 
 BITS = 18
 #: Labelled rows that the hinge-loss model is fitted on, and the share of them kept for calibration.
@@ -50,7 +50,19 @@ def _shapes(w: Words) -> np.ndarray:
 
 
 def indicators(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (row, bucket) pairs of some rows, ordered by row."""
+    """The distinct (row, bucket) pairs of some rows, ordered by row.  A long text is read in stretches that begin a word early and go on for three."""
+    if not is_long(offsets):
+        return _indicators(buf, offsets)
+    cuts, feats = breaks(buf), []
+    for a, z in zip(cuts, cuts[1:]):
+        part = buf[word_before(buf, a):words_ahead(buf, z, 3)]
+        feats.append(_indicators(part, np.array([0, len(part)]), from_middle=a > 0)[1])
+    feat = np.unique(np.concatenate(feats))
+    return np.zeros(len(feat), np.int64), feat
+
+
+def _indicators(buf: np.ndarray, offsets: np.ndarray, from_middle: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """from_middle: the first word follows another, which isn't here, so runs of shapes begin at the second."""
     w = Words(buf, offsets)
     rows, feats = [w.row], [mix(w.hash + U(1))]
     pair = np.flatnonzero(w.row[1:] == w.row[:-1])
@@ -58,7 +70,7 @@ def indicators(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     feats.append(mix(w.hash[pair] * U(3) + w.hash[pair + 1] * U(5)))
     shape = _shapes(w).astype(np.uint64)
     if len(shape) > 3:
-        run = np.flatnonzero(w.row[3:] == w.row[:-3])
+        run = np.flatnonzero(w.row[3:] == w.row[:-3])[int(from_middle):]
         code = shape[run] | shape[run + 1] << U(8) | shape[run + 2] << U(16) | shape[run + 3] << U(24)
         rows.append(w.row[run])
         feats.append(mix(code + U(7 << 40)))

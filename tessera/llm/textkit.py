@@ -69,6 +69,49 @@ def pieces(buf: np.ndarray, offsets: np.ndarray, limit: int = 0):
         i = j
 
 
+def breaks(b: np.ndarray, limit: int = 0) -> list[int]:
+    """0, places of white space about ``limit`` bytes apart (more where a word is longer), and len(b)."""
+    limit = limit or PIECE
+    cuts, at, step = [0], limit, 1 << 12
+    while at < len(b):
+        hit = np.flatnonzero(SPACE[b[at:at + step]])
+        if len(hit):
+            cuts.append(at + int(hit[0]))
+            at = cuts[-1] + limit
+        else:
+            at += step
+    return [*cuts, len(b)]
+
+
+def words_ahead(b: np.ndarray, at: int, n: int) -> int:
+    """Where the n-th word after the white space at ``at`` ends."""
+    step = 1 << 10
+    while at + step < len(b):
+        solid = ~SPACE[b[at:at + step]]
+        ends = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
+        if len(ends) >= n:
+            return at + int(ends[n - 1])
+        step *= 4
+    return len(b)
+
+
+def word_before(b: np.ndarray, at: int) -> int:
+    """Where the last word before ``at`` starts; 0 if there is none."""
+    step = 1 << 10
+    while step < at:
+        solid = ~SPACE[b[at - step:at]]
+        starts = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
+        if len(starts):
+            return at - step + int(starts[-1])
+        step *= 4
+    return 0
+
+
+def is_long(offsets: np.ndarray) -> bool:
+    """Whether these rows are one row that is worked on in stretches, so that temporaries don't grow with its length."""
+    return len(offsets) == 2 and offsets[1] - offsets[0] > 2 * PIECE
+
+
 class Words:
     """The words of some rows: 64-bit hash, row, start and end byte of each, in order."""
 
@@ -97,15 +140,15 @@ class Words:
         else:
             self.hash = np.zeros(0, np.uint64)
 
-    def shingles(self, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, hash, index of the first word) of each run of k words; a row of 1..k-1 words has its whole sequence as one."""
+    def shingles(self, k: int = 5, short_rows: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, hash, index of the first word) of each run of k words; a row of 1..k-1 words has its whole sequence as one, if asked."""
         m = len(self.hash)
         weight = [U((int(_BASE) * (2 * j + 3) ** 5 | 1) & (2**64 - 1)) for j in range(k)]
         at = np.flatnonzero(self.row[:m - k + 1] == self.row[k - 1:]) if m >= k else np.zeros(0, np.int64)
         s = np.zeros(len(at), np.uint64)
         for j in range(k):
             s += self.hash[at + j] * weight[j]
-        short = np.flatnonzero((self.per_row > 0) & (self.per_row < k))
+        short = np.flatnonzero((self.per_row > 0) & (self.per_row < k) & short_rows)
         if len(short):
             heads = np.cumsum(self.per_row) - self.per_row
             h0 = heads[short]

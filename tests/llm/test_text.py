@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from tessera.llm import jaccard, langid, lm, quality, textkit
 from tessera.llm.jaccard import divide_skip, group_links
 from tessera.llm.suffix import suffix_array
 from tessera.llm.textkit import Words, column_bytes, pieces
@@ -38,7 +40,7 @@ def test_suffix_array_against_sorting():
     r = random.Random(1)
     for _ in range(400):
         s = [r.randrange(1, r.choice([2, 3, 5, 30]) + 1) for _ in range(r.randrange(0, 50))] + [0]
-        assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+        assert suffix_array(np.array(s)) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
 def test_divide_skip_against_counting():
@@ -69,3 +71,24 @@ def test_group_links_connect_what_is_linked():
             return up
 
         assert classes(links) == classes(linked)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_texts_in_stretches(seed, monkeypatch):
+    """A long text read in stretches gives what it gives read at once."""
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcAB.9*ü", k=r.randrange(1, 30))) for _ in range(60)]
+    text = "".join(r.choice(words) + r.choice([" ", "  ", "\n", "\t \n"]) for _ in range(700)) + "x" * 300 + " " + " ".join(r.choices(words[:3], k=200))
+    buf, off = textkit.column_bytes(pa.array([text]))
+    whole = [jaccard.shingle_sets(buf, off, 5)[1], quality.indicators(buf, off)[1], *lm.normal_form(textkit.Words(buf, off))[:1]]
+    grams = sorted((int(b)) for _, bucket in langid.subwords(buf, off) for b in bucket)
+    for module in (textkit, langid, lm):
+        monkeypatch.setattr(module, "PIECE", 333)
+    assert textkit.is_long(off)
+    assert (jaccard.shingle_sets(buf, off, 5)[1] == whole[0]).all() and (quality.indicators(buf, off)[1] == whole[1]).all()
+    parts = list(lm.parts_of(buf, off))
+    assert len(parts) > 5 and (np.concatenate([p.runs for p in parts]) == whole[2]).all() and sum(int(p.ends.sum()) for p in parts) == 1
+    assert (np.concatenate([p.hash for p in parts]) == textkit.Words(buf, off).hash).all()
+    assert sorted((int(b)) for _, bucket in langid.subwords(buf, off) for b in bucket) == grams
+    one, at = textkit.column_bytes(pa.array(["y" * 2000]))
+    assert len(jaccard.shingle_sets(one, at, 5)[1]) == 1
