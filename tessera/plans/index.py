@@ -23,17 +23,19 @@ class Pass:
     removed: int
 
 
-def index_pass(spark: SparkSession, snapshot: DataFrame, base: str, fingerprint: str = "profile-1", limits: Limits = Limits(), force: bool = False) -> Pass:
+def index_pass(spark: SparkSession, snapshot: DataFrame, base: str, fingerprint: str = "profile-1", limits: Limits = Limits(), force: bool = False, sources: DataFrame | None = None) -> Pass:
     """Bring the tables under ``base`` (files, chunks, vectors) to the snapshot (source_id, relative_path, size_bytes, modified, text).
 
     Unchanged listings are settled without reading text; ids are content addresses, so a pass that is run again
-    writes the same rows.  Vectors are published before chunks and files.
+    writes the same rows.  Vectors are published before chunks and files.  sources (source_id): those that the snapshot lists; files of
+    others are neither compared nor removed.
     """
     def old(name: str, schema: str) -> DataFrame:
         return versions.read(spark, f"{base}/{name}") if versions.current(spark, f"{base}/{name}") else spark.createDataFrame([], schema)
 
     files = old("files", "file_id string, source_id string, relative_path string, content_hash string, size_bytes long, modified long")
-    listing = listing_diff(snapshot, files, force)
+    manifest = files if sources is None else files.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    listing = listing_diff(snapshot, manifest, force)
     open_ = listing.filter(F.col("change").isin("new", "candidate"))
     texts = snapshot.join(open_.select(*KEYS), KEYS, "left_semi").withColumn("content_hash", content_hash(F.col("text")))
     changes = content_diff(listing, texts.select(*KEYS, "content_hash"), files.select(*KEYS, "content_hash"))

@@ -330,6 +330,34 @@ def test_coalescing_state():
     assert r.state == "Degraded" and hints.advanced(r, "request", 64).state == "Queued"
 
 
+def test_manual_requests_expedite_a_waiting_retry():
+    r = hints.advanced(hints.advanced(hints.Recovery(), "request", 2), "start", 0)
+    r = hints.advanced(r, "transient", 0, 1, at=100, base_seconds=30)
+    assert (r.state, r.due) == ("Queued", 130) and hints.advanced(r, "start", 0, at=120) == r
+    assert hints.advanced(r, "start", 0, at=130).state == "Running"
+    assert hints.advanced(hints.advanced(r, "request", 2, at=110), "start", 0, at=120).state == "Queued"
+    assert hints.advanced(hints.advanced(r, "request", 64, at=110), "start", 0, at=110).state == "Running"
+    again = hints.advanced(hints.advanced(r, "start", 0, at=130), "transient", 0, 1, at=140, base_seconds=30)
+    assert again.due == 200 and again.attempt == 2
+
+
+def test_changes_are_indexed(spark, tmp_path):
+    """A hint leads to a pass over its source; the files of other sources stay."""
+    (tmp_path / "in").mkdir()
+    rows = [("a", "x.md", 5, 1, "# A"), ("b", "y.txt", 4, 1, "text")]
+    corpus = spark.createDataFrame(rows, "source_id string, relative_path string, size_bytes long, modified long, text string")
+    base = str(tmp_path / "base")
+    index_pass(spark, corpus, base)
+    now = spark.createDataFrame([("a", "x.md", 6, 2, "# AB"), ("a", "z.md", 3, 1, "# C")], corpus.schema)
+    lines = [{"source_id": "a", "ts": "2024-01-01T00:00:00Z", "kind": "changed"}, {"source_id": "q", "ts": "2024-01-01T01:00:00Z", "kind": "changed"}]
+    (tmp_path / "in/1.json").write_text("\n".join(map(json.dumps, lines)))
+    (tmp_path / "in/2.json").write_text(json.dumps({"source_id": "q", "ts": "2024-01-01T03:00:00Z", "kind": "changed"}))
+    passes = hints.indexing(spark, lambda due: now.join(due, "source_id", "left_semi"), base)
+    hints.index_changes(hints.hints(spark, str(tmp_path / "in")), passes, str(tmp_path / "cp")).awaitTermination(240)
+    got = {(r.source_id, r.relative_path): r.content for r in versions.read(spark, f"{base}/chunks").collect()}
+    assert got == {("a", "x.md"): "# AB", ("a", "z.md"): "# C", ("b", "y.txt"): "text"}
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines = [{"source_id": s, "ts": f"2024-01-01T00:00:{t:06.3f}Z", "kind": k} for s, t, k in (("a", 0, "changed"), ("a", 6, "overflow"), ("a", 20, "error"), ("b", 1, "created"))]
