@@ -57,9 +57,12 @@ def with_provenance(chunks: DataFrame) -> DataFrame:
 
 
 def corpus_fingerprint(files: DataFrame) -> DataFrame:
-    """source_id, fingerprint: a hash over path-ordered hashes of the files, built up in 256 parts by path hash."""
+    """source_id, fingerprint: a hash over path-ordered hashes of the files, built up by hash of the path: 65,536 parts, 256 of these, all."""
     entry = F.sha2(F.concat_ws("\n", "relative_path", "content_hash").cast("binary"), 256)
-    part = F.substring(F.sha2(F.col("relative_path").cast("binary"), 256), 1, 2)
+    part = F.substring(F.sha2(F.col("relative_path").cast("binary"), 256), 1, 4)
     parts = files.groupBy("source_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("relative_path", entry.alias("h")))).alias("e"))
     parts = parts.select("source_id", "part", F.sha2(F.array_join(F.col("e.h"), "\n").cast("binary"), 256).alias("h"))
-    return parts.groupBy("source_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "h"))), "\n").cast("binary"), 256).alias("fingerprint"))
+    for digits in (2, 0):
+        joined = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "h"))), "\n")
+        parts = parts.groupBy("source_id", F.substring("part", 1, digits).alias("up")).agg(F.sha2(joined.cast("binary"), 256).alias("h")).withColumnRenamed("up", "part")
+    return parts.select("source_id", F.col("h").alias("fingerprint"))

@@ -132,9 +132,10 @@ def b_provenance(spark: SparkSession, sf: str) -> DataFrame:
     return tables.with_provenance(tables.evolved(old, CHUNKS, {})).select("chunk_id", "structural_locator", "chunk_kind", "chunker_id", "chunker_version", "chunk_profile_fingerprint")
 
 
-@query(f"""{ctes('files')}, e AS (SELECT source_id, relative_path, substr(sha256(relative_path), 1, 2) AS part, sha256(relative_path || chr(10) || sha256(content)) AS h FROM files),
-p AS (SELECT source_id, part, sha256(string_agg(h, chr(10) ORDER BY relative_path, h)) AS h FROM e GROUP BY ALL)
-SELECT source_id, sha256(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) AS fingerprint FROM p GROUP BY source_id""")
+@query(f"""{ctes('files')}, e AS (SELECT source_id, relative_path, substr(sha256(relative_path), 1, 4) AS part, sha256(relative_path || chr(10) || sha256(content)) AS h FROM files),
+p AS (SELECT source_id, part, sha256(string_agg(h, chr(10) ORDER BY relative_path, h)) AS h FROM e GROUP BY ALL),
+u AS (SELECT source_id, substr(part, 1, 2) AS part, sha256(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) AS h FROM p GROUP BY source_id, substr(part, 1, 2))
+SELECT source_id, sha256(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) AS fingerprint FROM u GROUP BY source_id""")
 def a_corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """A18."""
     f = bound(spark, sf, "files").withColumn("content_hash", tx.content_hash(F.col("content")))
