@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality, near duplicates, benchmark leaks, secrets, mixture."""
+"""The corpus pipeline: quality, near duplicates, benchmark leaks, secrets, mixture.
+
+Edge cases, stage by stage: null and empty texts are scored like others by the quality classifier, are no near duplicates of anything, hold no
+benchmark item and no secret, and have size 0 in the mixture; rows that repeat doc_id and text are one document from the
+second stage on; documents without an id, or that share one, are judged each by its own text; columns of documents go through
+unchanged, whatever their names, but for text (and n_chars) where a secret is masked; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("mixture", mixture)]
-#: SQL can't express the classifier and the draws; tests hold the stages against brute force.
+#: SQL can't express the classifier and the draws; tests/llm/test_pipeline.py holds the stages against what planted documents must come to.
 ORACLE_SQL = None
 
 
