@@ -9,6 +9,10 @@ asked for against brute force over the sample (whose neighbours lie farther
 apart than those among all rows, so the figure is on the safe side), and a
 query goes on past that until its leaves hold ``spare`` times k rows.
 
+A leaf of more than SPLIT_ROWS rows gets a tree of its own, fitted and calibrated in a task on about SAMPLE_ROWS of its rows,
+where neighbours are closer; a query that comes to the leaf walks that tree too.  So the
+share of the table that a query reads falls as the table grows, and what is broadcast is bounded by the two samples.
+
 Leaves lie in buckets of about BUCKET_ROWS rows, neighbours together; a leaf
 of more rows is dealt over several buckets by hash.  Each bucket is one group of a cogroup
 with the queries that visit it, and yields k rows a query at most.
@@ -22,8 +26,10 @@ count; an empty table gives no row.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,43 +40,60 @@ from .common import Shared, stored
 #: Rows that the tree is fitted and calibrated on.
 SAMPLE_ROWS, SAMPLE_QUERIES = 12_000, 200
 BRANCH, LEAF_SAMPLE, BUCKET_ROWS, QUERY_BLOCK = 8, 40, 4096, 256
+#: Rows from which on a leaf is divided by a tree of its own.
+SPLIT_ROWS = 16 * BUCKET_ROWS
 
 
 @dataclass
 class Tree:
-    """Nodes in depth-first order: centre, children (none: a leaf), leaf number (-1: inner)."""
+    """Nodes in depth-first order: centre, children (none: a leaf), leaf number (-1: inner); and the trees of divided leaves."""
 
     centres: np.ndarray
     children: list[list[int]]
     leaf: np.ndarray
     visits: int = 1
+    below: dict[int, Tree] = field(default_factory=dict)
+
+    @property
+    def first(self) -> np.ndarray:
+        """The number of each leaf's first part, and how many there are in all."""
+        parts = np.ones(int((self.leaf >= 0).sum()), np.int64)
+        for number, tree in self.below.items():
+            parts[number] = tree.leaves
+        return np.append(0, np.cumsum(parts))
 
     @property
     def leaves(self) -> int:
-        return int((self.leaf >= 0).sum())
+        return int(self.first[-1])
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf number of each row."""
         out, todo = np.zeros(len(x), np.int32), [(0, np.arange(len(x)))]
+        first = self.first
         while todo:
             node, at = todo.pop()
             kids = self.children[node]
             if not kids:
-                out[at] = self.leaf[node]
+                number = int(self.leaf[node])
+                out[at] = first[number] + (self.below[number].assign(x[at]) if number in self.below else 0)
                 continue
             c = self.centres[kids]
             near = ((c * c).sum(1) - 2 * x[at] @ c.T).argmin(1)
             todo += [(kid, at[near == i]) for i, kid in enumerate(kids) if (near == i).any()]
         return out
 
-    def walk(self, q: np.ndarray) -> Iterator[int]:
-        """Leaf numbers, best bin first."""
-        along = self.centres @ q
+    def walk(self, q: np.ndarray) -> Iterator[list[int]]:
+        """Leaf numbers, best bin first; of a divided leaf those of as many parts as its tree is to visit."""
+        along, first = self.centres @ q, self.first
         queue = [(-along[0], 0)]
         while queue:
             _, node = heapq.heappop(queue)
-            if self.leaf[node] >= 0:
-                yield int(self.leaf[node])
+            number = int(self.leaf[node])
+            if number in self.below:
+                tree = self.below[number]
+                yield [int(first[number]) + part for parts in islice(tree.walk(q), tree.visits) for part in parts]
+            elif number >= 0:
+                yield [int(first[number])]
             for kid in self.children[node]:
                 heapq.heappush(queue, (-along[kid], kid))
 
@@ -120,8 +143,8 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, queries: int = S
         score[i] = -np.inf
         top = np.argsort(-score, kind="stable")[:min(k, len(x) - 1)]
         order = np.zeros(tree.leaves, int)
-        for turn, number in enumerate(tree.walk(x[i]), 1):
-            order[number] = turn
+        for turn, numbers in enumerate(tree.walk(x[i]), 1):
+            order[numbers] = turn
         ranks.append(order[at[top]])
     if not ranks or not len(ranks[0]):
         return tree.leaves
@@ -167,10 +190,32 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
         for b in batches:
             yield pa.record_batch({"vec_id": b.column("vec_id"), "embedding": b.column("embedding"), "_q": b.column("_q"), "leaf": pa.array(held.value.assign(_matrix(b.column("embedding"), dim)))})
 
-    indexed = stored(good.mapInArrow(index, "vec_id long, embedding array<double>, _q boolean, leaf int"))
-    size = np.zeros(tree.leaves, np.int64)
-    for leaf, n in indexed.groupBy("leaf").count().collect():  # a row for each leaf
-        size[leaf] = n
+    def sizes(indexed: DataFrame) -> np.ndarray:
+        out = np.zeros(tree.leaves, np.int64)
+        for leaf, n in indexed.groupBy("leaf").count().collect():  # a row for each leaf
+            out[leaf] = n
+        return out
+
+    schema = "vec_id long, embedding array<double>, _q boolean, leaf int"
+    indexed = stored(good.mapInArrow(index, schema))
+    size = sizes(indexed)
+    if large := [(leaf, min(1.0, sample_rows / int(size[leaf]))) for leaf in range(tree.leaves) if size[leaf] > SPLIT_ROWS]:
+
+        def divide(key, t):
+            own = np.unique(_matrix(t["embedding"], dim), axis=0)
+            part = fit_tree(own)
+            part.visits = calibrate(part, own, k, recall)
+            made = pickle.dumps((part.centres, part.children, part.leaf, part.visits))
+            return pa.table({"leaf": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([made], pa.binary())})
+
+        rates = F.broadcast(spark.createDataFrame(large, "leaf int, rate double"))  # a row for each large leaf
+        place = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        picked = indexed.join(rates, "leaf").filter(place < F.col("rate")).select("leaf", "embedding").distinct()
+        for leaf, made in picked.groupBy("leaf").applyInArrow(divide, "leaf int, tree binary").collect():  # of bounded size, for each leaf of the bounded tree
+            tree.below[leaf] = Tree(*pickle.loads(made))
+        held = Shared(spark, tree)
+        indexed = stored(indexed.drop("leaf").mapInArrow(index, schema))
+        size = sizes(indexed)
     first, parts, at, room = np.zeros(tree.leaves, np.int64), np.ones(tree.leaves, np.int64), 0, BUCKET_ROWS
     for leaf in range(tree.leaves):  # small leaves share a bucket, large ones have several
         if size[leaf] > BUCKET_ROWS:
@@ -187,10 +232,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
             where: dict[tuple[int, int], list[int]] = {}
             for i, q in enumerate(_matrix(b.column("embedding"), dim)):
                 rows = 0
-                for turn, leaf in enumerate(t.walk(q), 1):
-                    rows += size[leaf]
-                    for bucket in range(first[leaf], first[leaf] + parts[leaf]):
-                        where.setdefault((i, bucket), []).append(leaf)
+                for turn, numbers in enumerate(t.walk(q), 1):
+                    for leaf in numbers:
+                        rows += size[leaf]
+                        for bucket in range(first[leaf], first[leaf] + parts[leaf]):
+                            where.setdefault((i, bucket), []).append(leaf)
                     if turn >= t.visits and rows > spare * k:
                         break
             at = np.array([i for i, _ in where], np.int64)

@@ -502,6 +502,29 @@ def test_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], d.schema), F.lit(True)).count() == 0
 
 
+def test_large_leaves_get_trees_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SPLIT_ROWS", 60)
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 80)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 8)) * 3
+    x = np.float32(centres[r.integers(0, 12, 2500)] + r.normal(size=(2500, 8)))
+    d = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = collections.defaultdict(list)
+    for row in ann.nearest(d, F.col("vec_id") % 20 == 0, sample_rows=600).collect():
+        got[row.query_id].append((row.rank, row.vec_id, row.score))
+    x, hit = x.astype(float), 0
+    for q, found in got.items():
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 21)) and all(abs(s - score[i]) < 1e-9 for _, i, s in found)
+        hit += len({f[1] for f in found} & set(np.lexsort((np.arange(2500), -score))[:20].tolist()))
+    assert len(got) == 125 and hit >= 0.9 * 20 * 125
+    tree = ann.fit_tree(x[:600])
+    tree.below[0] = ann.fit_tree(x[600:900])
+    assert tree.below[0].leaves > 1 and len({n for numbers in tree.walk(x[0]) for n in numbers}) <= tree.leaves and tree.assign(x).max() < tree.leaves
+
+
 def test_hot_leaf_is_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(ann, "BUCKET_ROWS", 50)
     rows = [(i, [1.0, 0.0] if i < 300 else [math.cos(i), math.sin(i)]) for i in range(400)]
