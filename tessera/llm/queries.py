@@ -84,14 +84,15 @@ _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCD
 #: Components of all pairs that share a shingle and link, by reachability.
 JACCARD_SQL = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i+4], chr(31)) for i in range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, chr(31))] ELSE [] END) AS g FROM d),
-n AS (SELECT r, doc_id, len(g) AS n FROM s), u AS (SELECT r, unnest(g) AS x FROM s),
-l AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.x = b.x AND a.r <> b.r JOIN n p ON p.r = a.r JOIN n q ON q.r = b.r WHERE 100 * least(p.n, q.n) >= 75 * greatest(p.n, q.n) GROUP BY a.r, b.r HAVING 100 * count(*) >= 75 * (any_value(p.n) + any_value(q.n) - count(*))),
+n AS (SELECT r, doc_id, len(g) AS n FROM s), u AS (SELECT r, hash(x) AS x FROM (SELECT r, unnest(g) AS x FROM s)),
+h AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM u a JOIN u b ON a.x = b.x AND a.r < b.r GROUP BY ALL), k AS (SELECT a, b FROM h JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * common >= 75 * (p.n + q.n - common)), l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
 c(r, t) AS (SELECT r, r FROM n UNION SELECT c.r, l.b FROM c JOIN l ON l.a = c.t)
 SELECT n.doc_id, any_value(n.n)::BIGINT AS n_shingles, min(m.doc_id) AS component_id FROM c JOIN n ON n.r = c.r JOIN n m ON m.r = c.t GROUP BY n.r, n.doc_id"""
 
 #: Every string of 200 bytes of every text, as hexadecimal digits, by how often it starts; then the covered bytes.
 REPEATS_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+b AS (SELECT r, j, n, substr(h, 400 * j + 1, 798) AS h FROM (SELECT r, h, length(h) // 2 AS n, unnest(range(0, (length(h) // 2 + 199) // 200)) AS j FROM d)),
+p AS (SELECT r, 200 * j + i AS i, hash(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, j, n, h, unnest(range(0, 200)) AS i FROM b) WHERE 200 * j + i + 200 <= n),
 f AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1), e AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM p SEMI JOIN f USING (k)),
 g AS (SELECT r, i, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS n FROM e), s AS (SELECT r, n, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY r, n),
 k AS (SELECT r, n, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS b FROM s), t AS (SELECT r, sum(z - a) AS removed, count(*) AS spans, max(z) AS last FROM s GROUP BY r),
