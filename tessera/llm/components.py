@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating stars over links that every task has contracted first."""
+"""Connected components of a table of links, by alternating stars over links that are contracted first."""
 
 from __future__ import annotations
 
@@ -74,19 +74,19 @@ def are_stars(links: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (long).  Returns node, root: the smallest node reachable, for every node of a link between two nodes.
 
-    Each round points the larger neighbours of every node, then the smaller
-    ones, at the least neighbour, and contracts what then lies in one task; it ends when only stars are left.
+    Links meet by their larger node and are contracted there, which leaves about one for every node.  Each round then points the larger
+    neighbours of every node, then the smaller ones, at the least neighbour; it ends when only stars are left.
     Self-links and nulls are left out; repeated links count once.
     """
     e = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = stored(contracted(e.repartition("u")))  # all links of a node from here on: no more are left than there are nodes, about
+    e = stored(contracted(e.repartition("u")))
     for _ in range(MOST_ROUNDS):
         if are_stars(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = contracted(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = stored(contracted(small.unionByName(least.select("u", F.col("m").alias("v")))))
+        e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError(f"components are not found after {MOST_ROUNDS} rounds")
