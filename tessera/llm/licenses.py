@@ -23,6 +23,8 @@ from .common import stored
 from .native import bit_table, rows_with_hits, shingles, words
 
 BANDS, K, CONTAINMENT = 64, 5, 0.75
+#: Templates that need fewer shingles have a screen of their own, which little else passes.
+FEW = 4
 
 # License statements and notices as their publishers word them.
 TEMPLATES = {
@@ -73,9 +75,13 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
         table, bits = bit_table(own.select(F.explode("own").alias("h")), "h")
         # the sizes of the templates, with the fewest shingles that a window of each must hold
         least = own.groupBy("m").agg(F.min(F.ceil(F.size("own") * F.lit(containment) - F.lit(1e-9))).cast("int").alias("least"))
-        flagged = stored(rows_with_hits(docs, kk, table, bits, 1))
-        by_size = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(n).alias("least")) for m, n in least.orderBy("m").collect()))  # a row for each size of a template
-        spots = flagged.select("rid", F.explode("hits.pos").alias("pos"), by_size.alias("sizes"))
+        by_size = least.orderBy("m").collect()  # a row for each size of a template
+        # documents need as many screened shingles as the shortest of the longer templates, or one of a short template, by a screen of its own
+        short, longer = [m for m, n in by_size if n < FEW], [n for _, n in by_size if n >= FEW]
+        single = bit_table(own.filter(F.col("m").isin(short)).select(F.explode("own").alias("h")), "h") if short else None
+        flagged = stored(rows_with_hits(docs, kk, table, bits, min(longer, default=1 << 30), single))
+        of_size = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(n).alias("least")) for m, n in by_size))
+        spots = flagged.select("rid", F.explode("hits.pos").alias("pos"), of_size.alias("sizes"))
         # a shingle at pos lies in windows pos div m and, unless it crosses the end, the one before
         spots = spots.select("rid", "pos", F.explode("sizes").alias("x")).select("rid", "pos", "x.*")
         at = F.floor(F.col("pos") / F.col("m"))

@@ -40,18 +40,25 @@ def bit_table(hashes: DataFrame, column: str, most: int | None = None) -> tuple[
     return F.from_json(F.lit(json.dumps(table)), "array<bigint>"), bits
 
 
+def bit_is_set(h: Column, table: Column, bits: int) -> Column:
+    return F.getbit(F.get(table, F.expr("cast(0 as int)") + F.floor(F.pmod(h, F.lit(bits)) / 64).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+
+
 def screened(hashes: Column, table: Column, bits: int) -> Column:
     """(pos, h) of the hashes whose bit is set: all that the table was made from, and few others."""
     pairs = F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
-    return F.filter(pairs, lambda p: F.getbit(F.get(table, F.expr("cast(0 as int)") + F.floor(F.pmod(p["h"], F.lit(bits)) / 64).cast("int")), F.pmod(p["h"], F.lit(64)).cast("int")) == 1)
+    return F.filter(pairs, lambda p: bit_is_set(p["h"], table, bits))
 
 
-def rows_with_hits(docs: DataFrame, k: int, table: Column, bits: int, least: int) -> DataFrame:
-    """doc_id, key (of doc_id and text), sh, hits and a row id of the documents with ``least`` screened shingles or more.
+def rows_with_hits(docs: DataFrame, k: int, table: Column, bits: int, least: int, single: tuple[Column, int] | None = None) -> DataFrame:
+    """doc_id, key (of doc_id and text), sh, hits and a row id of the documents with ``least`` screened shingles or more, or with one of the table ``single``.
 
     The row id is made in the same projection as the hits: a projection that isn't deterministic keeps the optimizer
     from pushing the filter below it, where it would make the shingles again for every word.
     """
     split = docs.select("doc_id", row_key().alias("key"), words(F.col("text")).alias("w"))
     made = split.select("doc_id", "key", shingles(F.col("w"), k).alias("sh"))
-    return made.select("doc_id", "key", "sh", screened(F.col("sh"), table, bits).alias("hits"), F.monotonically_increasing_id().alias("rid")).filter(F.size("hits") >= least)
+    enough = F.size("hits") >= least
+    if single is not None:
+        enough = enough | F.exists("hits", lambda p: bit_is_set(p["h"], *single))
+    return made.select("doc_id", "key", "sh", screened(F.col("sh"), table, bits).alias("hits"), F.monotonically_increasing_id().alias("rid")).filter(enough)
