@@ -61,11 +61,11 @@ class Shared:
         return self._held
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here and every executor sees the files."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in folders by its last column ``by`` if asked, and read it again: lineage ends here and every executor sees the files."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,8 +13,11 @@ from .licenses import default_templates, oracle as license_oracle, scan_licenses
 from .lm import score_texts
 from .mixing import mix_sources, mixture_digest
 from .quality import fit_quality, labelled_rows, quality_scores
+from .ranked import rank_documents
 from .secrets import scan_secrets
 from .suffix import cut_repeats
+from .tokencount import count_tokens
+from .whitening import whiten
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +70,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # where the box keeps its vocabularies
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def s5_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op5 fixes before it draws: doc_id, size, source_size, target."""
     mixture = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -74,6 +91,11 @@ def s5_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
 
 
+def s13_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op13: vec_id, n, deviation."""
+    return op13_whitening(spark, sf_dir).filter(F.col("component") == 1).select("vec_id", "n", "deviation")
+
+
 def s9_secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base spans of op9."""
     return op9_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -115,9 +137,23 @@ j AS (SELECT r, count(*) FILTER (o = 0) AS n0, count(*) FILTER (o = 1) AS n1, co
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(t, '')) AS base_sha256 FROM d LEFT JOIN j USING (r)"""
 
 
+#: Every match of every document, joined on the term.
+RANKED_SQL = r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM t WHERE len(w) > 0), g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d), p AS (SELECT r, x, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS x FROM t) GROUP BY ALL),
+f AS (SELECT x, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY x, docs),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark), u AS (SELECT q, item_id, unnest(w) AS x FROM i),
+s AS (SELECT q, item_id, r, doc_id, sum(w * (1000000000 * tf // (1000 * tf + 20 * (50 + 50 * n * docs // terms))))::BIGINT AS score FROM u JOIN p USING (x) JOIN f USING (x) JOIN d USING (r), g GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+#: What op13 fixes before it looks for components.
+DEVIATION_SQL = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT + 100000) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS (SELECT r, vec_id, unnest(x) AS x, unnest(range(len(x))) AS d FROM v), s AS (SELECT d, count(*)::BIGINT AS n, sum(x)::BIGINT AS s FROM e GROUP BY d)
+SELECT vec_id, any_value(n) AS n, sum((n * x - s) * (n * x - s))::BIGINT AS deviation FROM e JOIN s USING (d) GROUP BY r, vec_id"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_mixing, op6_language_id, op7_lm_scoring, op8_nearest_neighbours, op9_secret_scan, op10_quality, s5_mixing_targets, s9_secret_base)}
+    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_mixing, op6_language_id, op7_lm_scoring, op8_nearest_neighbours, op9_secret_scan, op10_quality, op11_token_counts, op12_ranked_search, op13_whitening, s5_mixing_targets, s9_secret_base, s13_deviation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_oracle(), "op2_jaccard_join": JACCARD_SQL, "op4_suffix_dedup": REPEATS_SQL, "s5_mixing_targets": TARGETS_SQL, "s9_secret_base": SECRETS_SQL}
+    return {"op1_license_scan": license_oracle(), "op2_jaccard_join": JACCARD_SQL, "op4_suffix_dedup": REPEATS_SQL, "s5_mixing_targets": TARGETS_SQL, "s9_secret_base": SECRETS_SQL, "op12_ranked_search": RANKED_SQL, "s13_deviation": DEVIATION_SQL}

@@ -12,6 +12,9 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+#: ASCII bytes other than letters and digits.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 U = np.uint64
@@ -69,12 +72,12 @@ def pieces(buf: np.ndarray, offsets: np.ndarray, limit: int = 0):
         i = j
 
 
-def breaks(b: np.ndarray, limit: int = 0) -> list[int]:
-    """0, places of white space about ``limit`` bytes apart (more where a word is longer), and len(b)."""
+def breaks(b: np.ndarray, limit: int = 0, gaps: np.ndarray = SPACE) -> list[int]:
+    """0, places of white space (or other ``gaps``) about ``limit`` bytes apart (more where a word is longer), and len(b)."""
     limit = limit or PIECE
     cuts, at, step = [0], limit, 1 << 12
     while at < len(b):
-        hit = np.flatnonzero(SPACE[b[at:at + step]])
+        hit = np.flatnonzero(gaps[b[at:at + step]])
         if len(hit):
             cuts.append(at + int(hit[0]))
             at = cuts[-1] + limit
@@ -113,12 +116,12 @@ def is_long(offsets: np.ndarray) -> bool:
 
 
 class Words:
-    """The words of some rows: 64-bit hash, row, start and end byte of each, in order."""
+    """The words of some rows: 64-bit hash, row, start and end byte of each, in order.  ``gaps``: the bytes between words."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE):
         low = LOWER[buf]
         n = len(low)
-        solid = ~SPACE[low]
+        solid = ~gaps[low]
         first = np.zeros(n + 1, bool)
         first[offsets] = True
         begin = solid.copy()
