@@ -29,6 +29,14 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores as it takes to clash with none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _own: dict[str, str] = {}
 
 

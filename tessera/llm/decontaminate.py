@@ -36,7 +36,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import row_key, stored
+from .common import row_key, stored, unused
 from .native import bit_table, rows_with_hits, shingles, words
 
 RADIUS, BLOCKS, FLIPS = 23, 6, 3
@@ -139,5 +139,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     found = _found(docs, benchmark, similarity, k)
     if found is None:
         return docs
-    bad = stored(found.select(F.col("key").alias("_bad")).distinct())
-    return docs.join(bad, row_key() == F.col("_bad"), "left_anti")
+    key = unused("_bad", docs.columns)
+    bad = stored(found.select(F.col("key").alias(key)).distinct())
+    return docs.join(bad, row_key() == F.col(key), "left_anti")

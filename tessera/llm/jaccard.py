@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import row_key, stored, summed
+from .common import row_key, stored, summed, unused
 from .components import Contraction, components
 from .native import bit_table
 from .textkit import U, Words, breaks, column_bytes, is_long, mix, per_row_distinct, pieces, words_ahead
@@ -422,6 +422,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
     named = named_components(docs, percent, k)
     own = F.when(F.col("n") > 0, F.struct(F.lit(0).alias("kind"), F.col("class").alias("c"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("key").alias("c")))
     first = F.min_by("key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
-    stay = stored(named.groupBy(own.alias("own")).agg(first.alias("_key")).select("_key"))
-    keyed = docs.withColumn("_key", row_key()).dropDuplicates(["_key"])
-    return keyed.join(stay, "_key", "left_semi").drop("_key").select(*docs.columns)
+    key = unused("_key", docs.columns)
+    stay = stored(named.groupBy(own.alias("own")).agg(first.alias(key)).select(key))
+    keyed = docs.withColumn(key, row_key()).dropDuplicates([key])
+    return keyed.join(stay, key, "left_semi").select(*docs.columns)
