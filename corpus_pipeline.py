@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm.common import fold, stored, table
+from tessera.llm.common import fold, stored, table, unused
 from tessera.llm.decontaminate import drop_contaminated
 from tessera.llm.jaccard import keep_one
 from tessera.llm.mixing import mix_sources, mixture_digest
@@ -22,7 +22,8 @@ from tessera.llm.secrets import redact_secrets
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled rows of its own input outside fold 0 of 5."""
     model = fit_quality(labelled_rows(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0))
-    return quality_scores(docs, model, "_quality").filter(F.col("_quality") >= QUALITY_THRESHOLD).select(*docs.columns)
+    score = unused("_quality", docs.columns)
+    return quality_scores(docs, model, score).filter(F.col(score) >= QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
