@@ -22,7 +22,7 @@ TABLES = {
     "recovery": ("events", "SELECT DISTINCT 's' || CAST(user_id % 40 AS STRING) AS source_id, user_id % 40 AS desired_generation, user_id % 40 - user_id % 40 % 3 + CASE WHEN user_id % 40 = 39 THEN 5 ELSE 0 END AS completed_generation, CASE WHEN user_id % 40 % 8 = 0 THEN user_id % 40 END AS active_generation, CASE WHEN user_id % 40 % 4 = 0 THEN 'Running' WHEN user_id % 40 % 4 = 1 THEN 'Clean' WHEN user_id % 40 % 4 = 2 THEN 'Queued' ELSE 'Degraded' END AS state, CASE WHEN user_id % 40 % 4 = 3 THEN 'FileUnstable' END AS code FROM events WHERE user_id % 40 < 40 AND user_id % 2 = 1 OR user_id % 8 = 0"),
     "profiles": ("events", "SELECT DISTINCT 's' || CAST(user_id % 40 AS STRING) AS source_id, 'p' || CAST(user_id % 3 AS STRING) AS active_fingerprint, CASE WHEN user_id % 40 % 5 = 0 THEN 'p9' END AS pending_fingerprint, CASE WHEN user_id % 40 % 5 = 0 THEN 'Reindexing' WHEN user_id % 40 % 13 = 0 THEN 'Failed' ELSE 'Ready' END AS state FROM (SELECT user_id % 40 AS user_id FROM events) e WHERE user_id <> 17"),
     "pages_of": ("conversations", "SELECT conv_id AS doc, turn AS page, text FROM conversations"),
-    "requests": ("benchmark", "SELECT CAST(item_id AS STRING) AS query_id, CASE WHEN item_id % 19 = 0 THEN '  ' ELSE text END AS query, CAST(CASE WHEN item_id % 17 = 0 THEN 0 ELSE 12 END AS INT) AS max_hits, CASE WHEN item_id % 13 = 0 THEN 1.5 ELSE 0.65 END AS alpha, CASE WHEN item_id % 11 = 0 THEN 'Fuzzy' WHEN item_id % 3 = 0 THEN 'Lexical' WHEN item_id % 3 = 1 THEN 'Vector' ELSE 'Hybrid' END AS mode, CASE WHEN item_id % 4 = 0 THEN 'EN' END AS language, CASE WHEN item_id % 7 = 0 THEN '../up' WHEN item_id % 6 = 0 THEN 'e' END AS path_prefix FROM benchmark"),
+    "requests": ("benchmark", "SELECT CAST(item_id AS STRING) AS query_id, CASE WHEN item_id % 19 = 0 THEN '  ' ELSE text END AS query, CAST(CASE WHEN item_id % 17 = 0 THEN 0 ELSE 12 END AS INT) AS max_hits, CASE WHEN item_id % 13 = 0 THEN 1.5 ELSE 0.65 END AS alpha, CASE WHEN item_id % 11 = 0 THEN 'Fuzzy' WHEN item_id % 3 = 0 THEN 'Lexical' WHEN item_id % 3 = 1 THEN 'Vector' ELSE 'Hybrid' END AS mode, CASE WHEN item_id % 4 = 0 THEN 'EN' END AS language, CASE WHEN item_id % 7 = 0 THEN '../up' WHEN item_id % 6 = 0 THEN 'e' END AS path_prefix, CASE WHEN item_id % 20 = 3 THEN 'src1,nowhere' WHEN item_id % 5 < 2 THEN 'src1,src2,src3,src1' WHEN item_id % 25 = 7 THEN '' END AS scope FROM benchmark"),
 }
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,17 +15,24 @@ from ..functions.text import prefixed
 from ..functions.vectors import vector_problem
 
 
+_WORD = re.compile(r"[^\x09-\x0D\x20]+")
+
+
 def hashing_encoder(dimension: int = 384) -> Callable[[list[str]], np.ndarray]:
-    """Signed hashed words, unit length: deterministic and offline."""
+    """Signed hashed words, unit length: deterministic and offline.  A word's place is its MD5's first four hexadecimal digits modulo ``dimension``, its sign that of the fifth being odd."""
+
+    @lru_cache(1 << 16)
+    def place(word: str) -> tuple[int, int]:
+        h = hashlib.md5(word.encode()).hexdigest()
+        return int(h[:4], 16) % dimension, 1 if int(h[4], 16) % 2 else -1
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimension), np.float32)
-        for i, text in enumerate(texts):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                out[i, h % dimension] += 1 if h >> 31 else -1
-        length = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, length, out=out, where=length > 0)
+        out = np.zeros((len(texts), dimension))
+        for row, text in zip(out, texts):
+            for at, sign in map(place, _WORD.findall(text.lower())):
+                row[at] += sign
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, length, out=out, where=length > 0).astype(np.float32)
 
     return encode
 
@@ -34,7 +43,7 @@ def embedded(texts: DataFrame, make_encoder: Callable[[], Callable[[list[str]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
         for batch in batches:
-            v = encode(batch.column("content").to_pylist())
+            v = encode([x or "" for x in batch.column("content").to_pylist()])
             yield pa.record_batch({"content_hash": batch.column("content_hash"), "vector": pa.array(list(v), pa.list_(pa.float32()))})
 
     once = texts.groupBy("content_hash").agg(F.first("content").alias("content")).select("content_hash", prefixed(prefix, F.col("content")).alias("content"))

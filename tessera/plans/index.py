@@ -9,54 +9,57 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import content_hash, file_id
 from ..operators.chunker import Limits, chunk_files
 from ..operators.diff import KEYS, content_diff, listing_diff, run_totals, stale, to_embed
-from ..operators.tables import upserted, without
 from ..sources import versions
 from .embed import embedded
 
+_FILES = "file_id string, source_id string, relative_path string, content_hash string, size_bytes long, modified long"
+_VECTORS = "chunk_id string, file_id string, content_hash string, vector array<float>, embedding_profile_id string"
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
 
 @dataclass
 class Pass:
-    """What one pass did: counts of files, embeddings and upserts by source, and how many chunks were embedded and removed in all."""
+    """What one pass did: counts of files, embeddings and upserts by source, how many chunks were embedded and removed in all, and the buckets written of each table."""
 
     totals: DataFrame
     embedded: int
     removed: int
+    written: dict[str, list[int]]
 
 
-def index_pass(spark: SparkSession, snapshot: DataFrame, base: str, fingerprint: str = "profile-1", limits: Limits = Limits(), force: bool = False, sources: DataFrame | None = None) -> Pass:
+def index_pass(spark: SparkSession, snapshot: DataFrame, base: str, fingerprint: str = "profile-1", limits: Limits = Limits(), force: bool = False, sources: DataFrame | None = None, buckets: int | None = None, **chunking) -> Pass:
     """Bring the tables under ``base`` (files, chunks, vectors) to the snapshot (source_id, relative_path, size_bytes, modified, text).
 
     Unchanged listings are settled without reading text; ids are content addresses, so a pass that is run again
-    writes the same rows.  Vectors are published before chunks and files.  sources (source_id): those that the snapshot lists; files of
-    others are neither compared nor removed.
+    writes the same rows.  All tables are dealt over buckets by file_id: a pass reads and writes the buckets of the files that changed, and
+    none if nothing did.  Vectors are published before chunks and files.  sources (source_id): those that the snapshot lists; files of
+    others are neither compared nor removed.  chunking: further arguments of ``chunk_files``.
     """
-    def old(name: str, schema: str) -> DataFrame:
-        return versions.read(spark, f"{base}/{name}") if versions.current(spark, f"{base}/{name}") else spark.createDataFrame([], schema)
-
-    files = old("files", "file_id string, source_id string, relative_path string, content_hash string, size_bytes long, modified long")
+    files = versions.read(spark, f"{base}/files") if versions.current(spark, f"{base}/files") else spark.createDataFrame([], _FILES)
     manifest = files if sources is None else files.join(sources.select("source_id").distinct(), "source_id", "left_semi")
     listing = listing_diff(snapshot, manifest, force)
     open_ = listing.filter(F.col("change").isin("new", "candidate"))
+    known = files.select(*KEYS, F.col("file_id").alias("known"))
     texts = snapshot.join(open_.select(*KEYS), KEYS, "left_semi").withColumn("content_hash", content_hash(F.col("text")))
-    changes = content_diff(listing, texts.select(*KEYS, "content_hash"), files.select(*KEYS, "content_hash"))
+    texts = texts.join(known, KEYS, "left").withColumn("file_id", file_id(F.col("source_id"), F.col("relative_path"), F.col("known"))).drop("known")
+    changes = versions.staged(content_diff(listing, texts.select(*KEYS, "content_hash"), files.select(*KEYS, "content_hash")), base)
     changed = changes.filter(F.col("change").isin("new", "changed")).select(*KEYS)
-    known = files.select(*KEYS, F.col("file_id").alias("known"))
-    fresh = texts.join(changed, KEYS, "left_semi").join(known, KEYS, "left").withColumn("file_id", file_id(F.col("source_id"), F.col("relative_path"), F.col("known")))
-    new_chunks = versions.staged(chunk_files(fresh.withColumnRenamed("text", "content"), fingerprint, limits), base)
-    chunks = old("chunks", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new_chunks.schema.fields))
-    gone = changes.filter(F.col("change") == "deleted").select(*KEYS)
-    touched_files = fresh.select("file_id").unionByName(files.join(gone, KEYS, "left_semi").select("file_id"))
-    before = chunks.join(touched_files, "file_id", "left_semi")
-    added, dropped = versions.staged(to_embed(new_chunks, before), base), versions.staged(stale(new_chunks, before), base)
-    vectors = old("vectors", "chunk_id string, content_hash string, vector array<float>, embedding_profile_id string")
-    made = added.select("chunk_id", "content_hash").join(embedded(added.select("content_hash", "content")), "content_hash")
-    next_vectors = upserted(without(vectors, dropped, "chunk_id"), made.select("chunk_id", "content_hash", "vector", "embedding_profile_id"), "chunk_id")
-    next_chunks = without(chunks, touched_files, "file_id").unionByName(new_chunks)
-    settled = texts.join(known, KEYS, "left").select(file_id(F.col("source_id"), F.col("relative_path"), F.col("known")).alias("file_id"), *KEYS, "content_hash", "size_bytes", "modified")
-    next_files = upserted(without(files, gone, KEYS), settled, KEYS)
-    counts = (added.count(), dropped.count())
+    new_chunks = versions.staged(chunk_files(texts.join(changed, KEYS, "left_semi").withColumnRenamed("text", "content"), fingerprint, limits, **chunking), base)
+    gone = files.join(changes.filter(F.col("change") == "deleted").select(*KEYS), KEYS, "left_semi").select("file_id")
+    settled = versions.staged(texts.select(*_names(_FILES)), base)
+    touched = versions.staged(settled.join(changed, KEYS, "left_semi").select("file_id").unionByName(gone), base)
+    before = versions.rows_of(spark, f"{base}/chunks", touched, "file_id", new_chunks.schema)
+    added, dropped = versions.staged(to_embed(new_chunks, before), base), stale(new_chunks, before).count()
+    made = added.select("chunk_id", "file_id", "content_hash").join(embedded(added.select("content_hash", "content")), "content_hash").select(*_names(_VECTORS))
+    kept = versions.rows_of(spark, f"{base}/vectors", touched, "file_id", _VECTORS).join(new_chunks.select("chunk_id"), "chunk_id", "left_semi").select(*_names(_VECTORS))
     totals = versions.staged(run_totals(changes, added, new_chunks), base)
-    versions.publish(next_vectors, f"{base}/vectors")
-    versions.publish(next_chunks, f"{base}/chunks", "source_id")
-    versions.publish(next_files, f"{base}/files")
-    return Pass(totals, *counts)
+    gone = versions.staged(gone, base)
+    written = {
+        "vectors": versions.publish_changes(f"{base}/vectors", "file_id", versions.staged(kept.unionByName(made), base), touched, buckets),
+        "chunks": versions.publish_changes(f"{base}/chunks", "file_id", new_chunks, touched, buckets),
+        "files": versions.publish_changes(f"{base}/files", "file_id", settled, gone, buckets),
+    }
+    return Pass(totals, added.count(), dropped, written)

@@ -10,10 +10,15 @@ from .bindings import bound, ctes
 from .functions import states, text as tx, vectors as vx
 from .operators import diff, evaluate, ledger, search, sections, tables
 from .operators.chunker import Limits, Unit, chunk_files
-from .plans.embed import embedded
+from .plans.embed import accepted, embedded, hashing_encoder
+from .plans.index import index_pass
 from .plans.wordpiece import wordpiece
+from .sources import versions
 from .sources.files import assembled_pages
+from .sources.scratch import scratch
+from .sources.versions import staged
 from .streaming.hints import debounced
+from .streaming.timers import fired
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -554,6 +559,12 @@ def j_expired_runs(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.recovered(bound(spark, sf, "runs"), F.lit(NOW)).select("job_id", "status", "cause_mask", "recovered")
 
 
+@query(f"""{ctes('runs')} SELECT job_id, 'retry' AS why, next_attempt AS fired_at FROM runs WHERE status = 'RetryScheduled' AND next_attempt <= {NOW} UNION ALL SELECT job_id, 'lease', lease_expires FROM runs WHERE status = 'Processing' AND lease_expires <= {NOW}""")
+def j_timers(spark: SparkSession, sf: str) -> DataFrame:
+    """The timers that have fired, in batch form."""
+    return fired(bound(spark, sf, "runs"), F.lit(NOW))
+
+
 @query(f"""{ctes('runs')} SELECT job_id FROM runs WHERE generation % 3 = 0""")
 def j_stale_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Two of three outcomes carry an old lease or epoch."""
@@ -573,6 +584,19 @@ def j_debounce(spark: SparkSession, sf: str) -> DataFrame:
     return debounced(e, 21_600_000).select("source_id", F.unix_timestamp("first").alias("first_s"), F.unix_timestamp("fires").alias("fires_s"), "cause_mask", "hints")
 
 
+@query(f"""{ctes('files_new')} SELECT source_id, relative_path, sha256(content) AS content_hash, size_bytes, modified, regexp_matches(content, '\\S')::BIGINT AS n_chunks, CASE WHEN regexp_matches(content, '\\S') THEN sha256(content) END AS chunk_hash, regexp_matches(content, '\\S')::BIGINT AS n_vectors FROM files_new WHERE content IS NOT NULL""")
+def j_incremental_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """The store after a pass over the corpus as it was and one over the corpus as it is; every file is one chunk."""
+    base, large = scratch(spark), Limits(target=1 << 30, most=1 << 30)
+    for name in ("files_old", "files_new"):
+        index_pass(spark, bound(spark, sf, name).filter("content IS NOT NULL").withColumnRenamed("content", "text"), base, limits=large, adapters={})
+    files, chunks, vectors = (versions.read(spark, f"{base}/{t}") for t in ("files", "chunks", "vectors"))
+    c = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.sha2(F.col("content").cast("binary"), 256)).alias("chunk_hash"))
+    v = vectors.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_vectors"))
+    out = files.join(c, "file_id", "left").join(v, "file_id", "left")
+    return out.select("source_id", "relative_path", "content_hash", "size_bytes", "modified", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "chunk_hash", F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"))
+
+
 @query(f"""{ctes('sources', 'profiles', 'runs')} SELECT source_id, coalesce(active_fingerprint, CASE WHEN source_id IN (SELECT source_id FROM runs WHERE status = 'Completed') THEN 'legacy-generic-1' ELSE 'p1' END) AS active_fingerprint FROM sources LEFT JOIN profiles USING (source_id)""")
 def k_profiles_ensured(spark: SparkSession, sf: str) -> DataFrame:
     """K1."""
@@ -684,7 +708,7 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 @query(f"""{ctes('chunks', 'requests')}, {_bm25('requests')} SELECT query_id, chunk_id, score, rank::INT AS rank FROM lex WHERE rank <= 10""")
 def i_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 of every benchmark item over all documents."""
-    index = search.postings(bound(spark, sf, "chunks"))
+    index = search.store_index(bound(spark, sf, "chunks"), scratch(spark))
     hits = search.ranked(search.lexical(bound(spark, sf, "requests"), index), 10)
     return hits.select("query_id", "chunk_id", "score", "rank")
 
@@ -713,7 +737,7 @@ def m_similar_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def _hybrid_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     r = bound(spark, sf, "chunks").filter(F.col("chunk_id").cast("long") % 20 == 0)
     r = r.join(bound(spark, sf, "vectors").select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("query"), F.when(F.col("chunk_id").cast("long") % 60 == 0, "Lexical").when(F.col("chunk_id").cast("long") % 40 == 0, "Vector").otherwise("Hybrid").alias("mode"), F.lit(0.65).alias("alpha"), F.lit(12).alias("limit"))
-    return r, search.lexical(r, search.postings(bound(spark, sf, "chunks"))), _vector_leg(spark, sf)
+    return r, search.lexical(r, search.store_index(bound(spark, sf, "chunks"), scratch(spark))), _vector_leg(spark, sf)
 
 
 _HYBRID = f"""hq AS (SELECT chunk_id AS query_id, content AS query, CASE WHEN chunk_id::BIGINT % 60 = 0 THEN 0.0 WHEN chunk_id::BIGINT % 40 = 0 THEN 1.0 ELSE 0.65 END AS a FROM chunks WHERE chunk_id::BIGINT % 20 = 0 AND chunk_id IN (SELECT chunk_id FROM vectors)), {_VEC}, {_bm25('hq')},
@@ -737,9 +761,9 @@ def i_reciprocal_rank(spark: SparkSession, sf: str) -> DataFrame:
     return search.reciprocal_rank_fused([near, words])
 
 
-_OK_REQUESTS = "ok AS (SELECT * FROM requests WHERE trim(query) <> '' AND max_hits BETWEEN 1 AND 50 AND alpha BETWEEN 0 AND 1 AND mode IN ('Hybrid', 'Lexical', 'Vector') AND (path_prefix IS NULL OR path_prefix NOT LIKE '%..%'))"
+_OK_REQUESTS = "ok AS (SELECT * FROM requests WHERE trim(query) <> '' AND max_hits BETWEEN 1 AND 50 AND alpha BETWEEN 0 AND 1 AND mode IN ('Hybrid', 'Lexical', 'Vector') AND (path_prefix IS NULL OR path_prefix NOT LIKE '%..%') AND (scope IS NULL OR scope NOT LIKE '%nowhere%'))"
 _FITS = "JOIN ok r USING (query_id) JOIN (SELECT chunk_id, language AS cl, relative_path AS cp, source_id AS cs FROM chunks) cc USING (chunk_id)"
-_SCOPE = "WHERE (r.language IS NULL OR lower(cl) = lower(r.language)) AND (r.path_prefix IS NULL OR starts_with(lower(cp), lower(r.path_prefix)))"
+_SCOPE = "WHERE (r.language IS NULL OR lower(cl) = lower(r.language)) AND (r.path_prefix IS NULL OR starts_with(lower(cp), lower(r.path_prefix))) AND (r.scope IS NULL OR list_contains(string_split(r.scope, ','), cs))"
 _BATCH = f"""{_OK_REQUESTS}, {_bm25('ok')},
 lx AS (SELECT * FROM (SELECT sc.query_id, chunk_id, score, row_number() OVER (PARTITION BY sc.query_id ORDER BY score DESC, chunk_id) AS k FROM sc {_FITS} {_SCOPE}) WHERE k <= 50),
 vx AS (SELECT * FROM (SELECT qv.query_id, v.chunk_id, round(list_dot_product(v.vector::DOUBLE[], qv.q::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY qv.query_id ORDER BY round(list_dot_product(v.vector::DOUBLE[], qv.q::DOUBLE[]), 6) DESC, v.chunk_id) AS k FROM vectors v JOIN (SELECT CAST(vec_id // 10 AS VARCHAR) AS query_id, embedding AS q FROM embeddings WHERE vec_id % 10 = 0) qv ON v.embedding_profile_id = 'main' {_FITS.replace('USING (query_id)', 'ON r.query_id = qv.query_id').replace('USING (chunk_id)', 'ON cc.chunk_id = v.chunk_id')} {_SCOPE}) WHERE k <= 50),
@@ -750,7 +774,8 @@ h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 
 def _batch(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    r = bound(spark, sf, "requests").withColumnRenamed("max_hits", "limit").withColumn("source_ids", F.lit(None).cast("array<string>"))
+    named = F.when(F.col("scope") == "", F.array().cast("array<string>")).otherwise(F.split("scope", ","))
+    r = bound(spark, sf, "requests").withColumnRenamed("max_hits", "limit").withColumn("source_ids", named)
     c, v = bound(spark, sf, "chunks"), bound(spark, sf, "vectors").filter("embedding_profile_id = 'main'")
     qv = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 10 = 0").select((F.col("vec_id") / 10).cast("long").cast("string").alias("query_id"), F.col("embedding").alias("vector"), F.lit("main").alias("embedding_profile_id"))
     return r, search.search(r, c, v, qv, c.select("source_id").distinct())
@@ -790,17 +815,31 @@ def m_evidence_set(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- evaluation
 
+_PLACES = 64
+
+
+def _embed_duck(name: str, rows: str, key: str, text: str, d: int) -> str:
+    """CTE {name}_e: the hashing encoder's vectors of ``rows``, as one row for each place that isn't 0."""
+    return rf"""{name}_g AS (SELECT {key}, ('0x' || substr(md5(w), 1, 4))::INT % {d} AS d, sum(CASE WHEN ('0x' || substr(md5(w), 5, 1))::INT % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[^\x09-\x0D\x20]+')) AS w FROM {rows}) GROUP BY ALL),
+{name}_e AS (SELECT {key}, d, (x / l)::FLOAT::DOUBLE AS x FROM {name}_g JOIN (SELECT {key}, sqrt(sum(x * x)) AS l FROM {name}_g GROUP BY ALL) USING ({key}) WHERE l > 0)"""
+
+
+def _scaled_duck(name: str, rows: str) -> str:
+    return f"{name} AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM {rows}) WHERE k <= 50 WINDOW w AS (PARTITION BY query_id))"
+
+
 def _hits_duck(name: str, rows: str) -> str:
-    """CTEs that end in {name}_h: the ten best of ``rows`` (chunk_id, path, content) for every judged query."""
+    """CTEs that end in {name}_h: the ten best of ``rows`` (chunk_id, path, content) for every judged query, by both legs."""
     return rf"""{name}_p AS (SELECT chunk_id, unnest(regexp_extract_all(lower(concat_ws(' ', path, 'markdown', kind, content)), '[\p{{L}}\p{{N}}]+')) AS term FROM {rows}), {name}_n AS (SELECT chunk_id, count(*) AS len FROM {name}_p GROUP BY 1), {name}_t AS (SELECT chunk_id, term, count(*) AS tf FROM {name}_p GROUP BY ALL), {name}_d AS (SELECT term, count(*) AS df FROM {name}_t GROUP BY 1), {name}_s AS (SELECT count(*) AS nn, avg(len) AS mean FROM {name}_n),
-{name}_c AS (SELECT query_id, chunk_id, round(sum(ln(1 + (nn - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM qt JOIN {name}_d USING (term) JOIN {name}_t USING (term) JOIN {name}_n USING (chunk_id), {name}_s GROUP BY ALL),
-{name}_h AS (SELECT * FROM (SELECT query_id, path || ':' || a || '-' || z AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path || ':' || a || '-' || z) AS rank FROM {name}_c JOIN {rows} USING (chunk_id)) WHERE rank <= 10)"""
+{name}_c AS (SELECT query_id, chunk_id, round(sum(ln(1 + (nn - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM qt JOIN {name}_d USING (term) JOIN {name}_t USING (term) JOIN {name}_n USING (chunk_id), {name}_s GROUP BY ALL), {_embed_duck(name, rows, 'chunk_id', 'content', _PLACES)},
+{name}_x AS (SELECT query_id, c.chunk_id, sum(q.x * c.x) AS s FROM q_e q JOIN {name}_e c USING (d) GROUP BY ALL), {name}_y AS (SELECT query_id, chunk_id, round(coalesce(s, 0), 6) AS score FROM j CROSS JOIN (SELECT chunk_id FROM {rows}) LEFT JOIN {name}_x USING (query_id, chunk_id)), {_scaled_duck(f'{name}_a', f'{name}_y')}, {_scaled_duck(f'{name}_b', f'{name}_c')},
+{name}_u AS (SELECT query_id, chunk_id, round(0.65 * coalesce(a.s, 0) + (1 - 0.65) * coalesce(b.s, 0), 6) AS score FROM {name}_a a FULL JOIN {name}_b b USING (query_id, chunk_id)), {name}_h AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {name}_u) WHERE rank <= 10)"""
 
 
 _EVAL = rf"""WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), f AS (SELECT *, doc_id || '.md' AS path, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
 candidate AS (SELECT path || ':' || i || '-' || i AS chunk_id, path, 'line' AS kind, content, i AS a, i AS z FROM f WHERE regexp_matches(content, '\S')), baseline AS (SELECT doc_id || '.md:1-' || len(string_split(text, chr(10))) AS chunk_id, doc_id || '.md' AS path, 'text' AS kind, text AS content, 1 AS a, len(string_split(text, chr(10))) AS z FROM documents WHERE regexp_matches(text, '\S')),
 j AS (SELECT doc_id::VARCHAR AS query_id, path, content AS query, i, coalesce(lang, '-') AS family FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f WHERE doc_id % 20 = 0 AND regexp_matches(content, '\S')) WHERE r = 1),
-qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+')) AS term FROM j), {_hits_duck('candidate', 'candidate')}, {_hits_duck('baseline', 'baseline')},
+qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+')) AS term FROM j), {_embed_duck('q', 'j', 'query_id', 'query', _PLACES)}, {_hits_duck('candidate', 'candidate')}, {_hits_duck('baseline', 'baseline')},
 hits AS (SELECT 'candidate' AS system, * FROM candidate_h UNION ALL SELECT 'baseline', * FROM baseline_h), rel AS (SELECT 'candidate' AS system, query_id, chunk_id, 3 AS grade FROM candidate c JOIN j ON c.path = j.path AND z >= i AND a <= i UNION ALL SELECT 'baseline', query_id, chunk_id, 3 FROM baseline c JOIN j ON c.path = j.path AND z >= i AND a <= i),
 nr AS (SELECT system, query_id, count(*) AS n FROM rel GROUP BY ALL), got AS (SELECT system, query_id, min(rank) AS first, sum(grade / log2(rank + 1)) AS dcg FROM hits JOIN rel USING (system, query_id, chunk_id) GROUP BY ALL),
 m AS (SELECT system, query_id, CASE WHEN first IS NULL THEN 0 ELSE 1 END AS recall, coalesce(1 / first, 0) AS reciprocal_rank, coalesce(dcg / list_sum([3 / log2(x + 1) for x in range(1, least(n, 10) + 1)]), 0) AS ndcg FROM (SELECT query_id FROM j) CROSS JOIN (VALUES ('candidate'), ('baseline')) s(system) LEFT JOIN got USING (system, query_id) LEFT JOIN nr USING (system, query_id)),
@@ -808,22 +847,31 @@ fm AS (SELECT system, family, round(avg(recall), 6) AS recall, round(avg(recipro
 
 
 def _evaluated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(metrics by system and query, families): all documents under two chunkers, an adapter that makes a unit of every line and whole files; judged are the first lines of the documents whose id is divisible by 20."""
+    """(metrics by system and query, families): all documents under two chunkers, an adapter that makes a unit of every line and whole files, each chunked, indexed and embedded once and searched by both legs; judged are the first lines of the documents whose id is divisible by 20."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
     path = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
     files = d.select(F.lit("s").alias("source_id"), path.alias("file_id"), path.alias("relative_path"), F.col("text").alias("content"))
     lines = d.filter("doc_id % 20 = 0").select("doc_id", "lang", path.alias("path"), F.posexplode(F.split("text", "\n", -1)).alias("p", "query")).filter(F.col("query").rlike(r"\S"))
     first = lines.groupBy("doc_id", "lang", "path").agg(F.min_by("query", "p").alias("query"), (F.min("p") + 1).alias("start_line"))
-    j = first.select(F.col("doc_id").cast("string").alias("query_id"), "path", "query", "start_line", F.col("start_line").alias("end_line"), F.lit(3).alias("relevance_grade"), F.coalesce("lang", F.lit("-")).alias("family"))
+    base = scratch(spark)
+    j = staged(first.select(F.col("doc_id").cast("string").alias("query_id"), "path", "query", "start_line", F.col("start_line").alias("end_line"), F.lit(3).alias("relevance_grade"), F.coalesce("lang", F.lit("-")).alias("family")), base)
     by_line = {"lines": ((".md",), lambda text: [Unit("line", None, None, f"line:{i}", i, i) for i, x in enumerate(text, 1) if x.strip()])}
-    out = None
+    asked = j.select("query_id", "query", F.lit("Hybrid").alias("mode"), F.lit(0.65).alias("alpha"))
+
+    def vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
+        hashed = rows.select(key, tx.content_hash(F.col(text)).alias("content_hash"), F.col(text).alias("content"))
+        return hashed.select(key, "content_hash").join(embedded(hashed, lambda: hashing_encoder(_PLACES)), "content_hash")
+
+    asked_vectors, out = staged(vectors(j, "query_id", "query"), base), None
     for system, adapters, limits in (("candidate", by_line, Limits(most=1 << 30)), ("baseline", {}, Limits(target=1 << 30, most=1 << 30))):
         c = chunk_files(files, "p1", limits, adapters)
-        c = c.withColumn("chunk_id", F.concat("relative_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))).drop("symbol_name", "qualified_symbol_name")
-        hits = search.ranked(search.lexical(j.select("query_id", "query"), search.postings(c), pool=10), 10)
+        c = staged(c.withColumn("chunk_id", F.concat("relative_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))).drop("symbol_name", "qualified_symbol_name"), base)
+        words = search.lexical(asked.select("query_id", "query"), search.store_index(c, scratch(spark)))
+        near = search.vector(asked_vectors, vectors(c, "chunk_id", "content"))
+        hits = search.ranked(search.fused(near, words, asked), evaluate.K)
         m = evaluate.query_metrics(hits, evaluate.relevant(c, j), j).withColumn("system", F.lit(system))
         out = m if out is None else out.unionByName(m)
-    return out, j.select("query_id", "family")
+    return staged(out, base), j.select("query_id", "family")
 
 
 @query(f"{_EVAL} SELECT * FROM fm UNION ALL SELECT system, 'all', recall, reciprocal_rank, ndcg FROM om")
@@ -864,15 +912,20 @@ def i_searchability(spark: SparkSession, sf: str) -> DataFrame:
     """Two chunks of each source are searched for by their whole text."""
     c = bound(spark, sf, "chunks")
     s = c.withColumn("r", F.row_number().over(Window.partitionBy("source_id").orderBy("chunk_id"))).filter("r <= 2").select(F.concat_ws(":", "source_id", F.col("r").cast("string")).alias("query_id"), "source_id", F.col("content").alias("query"), F.col("content").alias("expected"))
-    hits = search.ranked(search.lexical(s.select("query_id", "query"), search.postings(c)), 5)
+    hits = search.ranked(search.lexical(s.select("query_id", "query"), search.store_index(c, scratch(spark))), 5)
     return search.searchability(s.drop("query"), hits, c)
 
 
-@query()
+@query(f"""WITH t AS (SELECT DISTINCT sha256(text) AS content_hash, text AS content FROM documents WHERE text IS NOT NULL), {_embed_duck('t', 't', 'content_hash', 'content', 384)}, s AS (SELECT content_hash, round(sum(abs(x)), 4) AS total, round(sum(abs(x) * d), 3) AS moment, count(*) FILTER (x < 0) AS negative FROM t_e GROUP BY 1)
+SELECT content_hash, 384 AS dimension, coalesce(total, 0) AS total, coalesce(moment, 0) AS moment, coalesce(negative, 0)::INT AS negative, CASE WHEN total IS NULL THEN 'norm' END AS problem FROM t LEFT JOIN s USING (content_hash)""")
 def i_embedding_job(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct texts, hashed."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").select(tx.content_hash(F.col("text")).alias("content_hash"), F.col("text").alias("content"))
-    return embedded(d).select("content_hash", F.size("vector").alias("dimension"), F.round(vx.norm(F.col("vector")), 4).alias("norm"))
+    """Distinct texts, hashed, validated and quarantined; the sum of the components' sizes, their first moment and the number of negative ones stand for the vector."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL").select(tx.content_hash(F.col("text")).alias("content_hash"), F.col("text").alias("content"))
+    good, bad = accepted(embedded(d), 384)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x))
+    moment = F.aggregate(F.transform("vector", lambda x, i: F.abs(x).cast("double") * i), F.lit(0.0), lambda s, x: s + x)
+    both = good.withColumn("problem", F.lit(None).cast("string")).unionByName(bad)
+    return both.select("content_hash", F.size("vector").alias("dimension"), F.round(total, 4).alias("total"), F.round(moment, 3).alias("moment"), F.size(F.filter("vector", lambda x: x < 0)).alias("negative"), "problem")
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+|[^\s]')) AS t FROM documents), n AS (SELECT doc_id, sum(CASE WHEN regexp_full_match(t, '[a-z0-9]+') THEN length(t) ELSE 1 END) AS n, count(*) FILTER (NOT regexp_full_match(t, '[a-z0-9]+')) AS unknown FROM w GROUP BY 1)

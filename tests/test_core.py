@@ -2,20 +2,26 @@
 
 import io
 import json
+import math
+import random
+import re
+import time
 import zipfile
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import queries
 from tessera.functions import states, text as tx, vectors as vx
-from tessera.operators import chunker, diff, evaluate, ledger, search, sections, tables
+from tessera.operators import blocks, chunker, diff, evaluate, ledger, lexical, search, sections, tables
 from tessera.plans.embed import accepted, compatible, embedded, hashing_encoder
 from tessera.plans.index import index_pass
 from tessera.plans.wordpiece import wordpiece
 from tessera.schemas import CHUNKS
 from tessera.sources import files, versions
-from tessera.streaming import hints
+from tessera.streaming import hints, timers
 
 
 def one(df):
@@ -168,12 +174,78 @@ def test_report(spark, tmp_path):
     assert one(spark.read.json(str(tmp_path / "r"))).recall == 0.5
 
 
-def test_vector_search_in_blocks(spark, monkeypatch):
-    v = spark.createDataFrame([(f"c{i}", [float(i % 7), float(i % 5)], "p") for i in range(60)], "chunk_id string, vector array<float>, embedding_profile_id string")
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, value in (("BROADCAST_BYTES", 0), ("QUERY_BYTES", 600), ("PART_BYTES", 2000), ("BLOCK_ROWS", 7), ("KNOWN", 2)):
+        monkeypatch.setattr(blocks, name, value)
+    monkeypatch.setattr(lexical, "PILOT", 3)
+
+
+def test_vector_search_in_blocks(spark, request):
+    rows = [(f"c{i}", [float(i % 7), float(i % 5)], "p" if i % 4 else "q") for i in range(60)] + [("none", None, "p"), ("odd", [1.0], "p"), ("part", [1.0, None], "p"), ("lost", [1.0, 2.0], None)]
+    v = spark.createDataFrame(rows, "chunk_id string, vector array<float>, embedding_profile_id string").repartition(3)
     q = v.withColumnRenamed("chunk_id", "query_id")
-    want = sorted(map(tuple, search.vector(q, v, pool=4).collect()))
-    monkeypatch.setattr(search, "BROADCAST_BYTES", 3000)
-    assert sorted(map(tuple, search.vector(q, v, pool=4).collect())) == want and len(want) == 240
+    real = [r for r in rows if r[1] and None not in r[1] and r[2]]
+    want = []
+    for i, a, p in real:
+        scored = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b, o in real if o == p and len(b) == len(a) and j != i)
+        want += [(i, j, -s) for s, j in scored[:4]]
+    assert sorted(map(tuple, search.vector(q, v, pool=4, exclude_self=True).collect())) == sorted(want) and len(want) == 240
+    request.getfixturevalue("small_blocks")
+    assert sorted(map(tuple, search.vector(q, v, pool=4, exclude_self=True).collect())) == sorted(want)
+    plans = [search.vector(q.limit(n), v)._jdf.queryExecution().optimizedPlan().toString().count("Join") for n in (1, 60)]
+    assert plans == [1, 1]  # the plan is the same for any number of queries
+    assert search.vector(q.limit(0), v).count() == search.vector(q, v.limit(0)).count() == 0
+
+
+def _bm25(chunks, queries, pool):
+    """queries: (id, text, sources, language, prefix); chunks: (id, text, source, language, path)."""
+    bags = {c[0]: Counter(re.findall(r"[^\W_]+", f"{c[4]} {c[3] or ''} {c[1]}".lower())) for c in chunks}
+    df = Counter(t for b in bags.values() for t in b)
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    out = []
+    for q, text, sources, language, prefix in queries:
+        scored = []
+        for i, _, source, own, path in chunks:
+            b, n = bags[i], sum(bags[i].values())
+            hit = [t for t in set(re.findall(r"[^\W_]+", text.lower())) if t in b]
+            if not hit or sources is not None and source not in sources or language and (own or "").lower() != language.lower() or prefix and not path.lower().startswith(prefix.lower()):
+                continue
+            s = sum(math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * n / mean)) for t in hit)
+            scored.append((-round(s, 6), i))
+        out += [(q, i, -s) for s, i in sorted(scored)[:pool]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_lexical_search(spark, tmp_path, request, small):
+    """The stored index, searched with thresholds from a pilot and lists that are left early, gives what all sums give."""
+    if small:
+        request.getfixturevalue("small_blocks")
+    r = random.Random(4)
+    names = [f"t{i}" for i in range(60)]
+    text = lambda k: " ".join(r.choices(names, [1 / (i + 1) for i in range(60)], k=k))
+    chunks = [(f"c{i}", text(r.randrange(1, 60)), f"s{i % 4}", ["en", "DE", None][i % 3], f"{'ab'[i % 2]}/x{i}.md") for i in range(150)] + [("empty", "", "s0", "en", "q"), *((f"copy{i}", "t1 t2 t3", "s1", "en", "z") for i in range(30))]
+    queries = [(f"q{i}", text(r.choice([1, 3, 12])), None, None, None) for i in range(12)] + [("src", "t1 t2 t9", ["s1", "s2"], None, None), ("no", "t1", [], None, None), ("lang", "t0 t4", None, "de", None), ("path", "t0 t5 t6", ["s1", "s3"], None, "B/"), ("none", "absent", None, None, None), ("blank", " ", None, None, None)]
+    c = spark.createDataFrame([(*x, i) for i, x in enumerate(chunks)], "chunk_id string, content string, source_id string, language string, relative_path string, ordinal int").repartition(3)
+    q = spark.createDataFrame(queries, "query_id string, query string, want_sources array<string>, want_language string, want_prefix string")
+    index = lexical.store_index(c, str(tmp_path / "index"))
+    assert index.chunks == len(chunks) and (index.pilots > 0 or not small)
+    for pool in (5, 50):
+        assert sorted(map(tuple, lexical.lexical(q, index, pool).collect())) == _bm25(chunks, queries, pool)
+    again = lexical.open_index(spark, str(tmp_path / "index"))
+    assert lexical.lexical(q.select("query_id", "query"), again, 5).count() > 0 and again.mean == index.mean
+    assert lexical.lexical(q, lexical.store_index(c.limit(0), str(tmp_path / "none"))).count() == 0
+
+
+def test_lists_are_left_early():
+    """Once no other chunk can reach the threshold, long lists are only looked up."""
+    n, r = 4000, np.random.default_rng(1)
+    lists = [(np.array([5, 9]), np.array([1.0, 0.9])), (np.arange(n), r.uniform(0.1, 0.2, n)), (np.arange(n), r.uniform(0.1, 0.2, n))]
+    idf = np.array([9.0, 0.1, 0.1])
+    at, score = lexical._best(lists, idf, np.array([9.0, 0.02, 0.02]), n, 8.0, None, 2)
+    assert at.tolist() == [5, 9] and abs(score[0] - (9 + 0.1 * (lists[1][1][5] + lists[2][1][5]))) < 1e-5
+    assert lexical._best(lists, idf, np.array([9.0, 0.02, 0.02]), n, 9.1, None, 2) is None
 
 
 def test_section_families_are_chunked(spark):
@@ -237,6 +309,57 @@ def test_index_passes_converge(spark, tmp_path):
     assert versions.read(spark, f"{tmp_path}/chunks", 1).count() == 64  # a pinned version stays
 
 
+def _folders(base):
+    return {t: {str(p.relative_to(base / t)) for p in (base / t / "data").glob("*/_bucket=*")} for t in ("files", "chunks", "vectors")}
+
+
+def test_a_pass_writes_what_it_touches(spark, tmp_path):
+    texts = {f"f{i}.txt": (f"text number {i}", 1) for i in range(64)}
+    first = index_pass(spark, _corpus(spark, texts), str(tmp_path), buckets=8)
+    before, pinned = _folders(tmp_path), [versions.current(spark, f"{tmp_path}/{t}") for t in ("files", "chunks", "vectors")]
+    assert first.written == {t: list(range(8)) for t in ("files", "chunks", "vectors")} and pinned == [1, 1, 1]
+    again = index_pass(spark, _corpus(spark, texts), str(tmp_path))
+    assert again.written == {"files": [], "chunks": [], "vectors": []} and _folders(tmp_path) == before
+    assert [versions.current(spark, f"{tmp_path}/{t}") for t in ("files", "chunks", "vectors")] == pinned
+    texts["f7.txt"] = ("text number seven", 2)
+    third = index_pass(spark, _corpus(spark, texts), str(tmp_path))
+    new = {t: f - before[t] for t, f in _folders(tmp_path).items()}
+    assert all(len(third.written[t]) == 1 and [x[-1] for x in new[t]] == [str(third.written[t][0])] for t in new)
+    texts["f8.txt"] = (texts["f8.txt"][0], 3)  # touched only: the listing changes, chunks and vectors stay
+    fourth = index_pass(spark, _corpus(spark, texts), str(tmp_path))
+    assert len(fourth.written["files"]) == 1 and fourth.written["chunks"] == fourth.written["vectors"] == []
+    assert {r.modified for r in versions.read(spark, f"{tmp_path}/files").collect()} == {1, 2, 3}
+    assert {r.content for r in versions.read(spark, f"{tmp_path}/chunks").collect()} == {t for t, _ in texts.values()}
+    assert {r.content for r in versions.read(spark, f"{tmp_path}/chunks", 1).collect()} == {f"text number {i}" for i in range(64)}
+
+
+def test_bucketed_versions(spark, tmp_path):
+    base = str(tmp_path / "t")
+    rows = lambda ids, v: spark.createDataFrame([(f"k{i}", v) for i in ids], "k string, v int")
+    none = rows([], 0)
+    assert versions.publish_changes(base, "k", rows(range(40), 1), none, buckets=4) == [0, 1, 2, 3]
+    state = lambda n=None: {r.k: r.v for r in versions.read(spark, base, n).collect()}
+    # a writer that breaks off before it points to its version leaves readers where they are, and the next one goes on
+    versions._written(rows([1], 9), base, "k", 4)
+    spark.createDataFrame([(0, "nowhere", 1, 4)], versions.MANIFEST).write.json(f"{base}/_manifest/v=2")
+    assert state() == {f"k{i}": 1 for i in range(40)}
+    versions.publish_changes(base, "k", rows([1, 50], 2), rows([2, 99], 0))
+    assert versions.current(spark, base) == 3 and state() == {f"k{i}": 1 for i in range(40) if i not in (1, 2)} | {"k1": 2, "k50": 2} and len(state(1)) == 40
+    # a writer whose version has been overtaken fails instead of undoing the other's work
+    with pytest.raises(versions.Conflict):
+        versions._publish(spark, base, 1, 4, {})
+    assert versions.rebucketed(spark, base, "k", 7) > 3 and len(state()) == 40 and versions.manifest(spark, base)[1] == 7
+    whole = state()
+    assert versions.vacuum(spark, base, keep=1) > 0 and state() == whole and versions.vacuum(spark, base, keep=1) == 0
+    assert versions.publish_changes(base, "k", none, versions.read(spark, base)) == list(range(7)) and state() == {}
+    versions.publish_changes(base, "k", rows([5], 5), none)
+    assert state() == {"k5": 5}
+    # tables in one folder a version: two writers never share a number
+    assert [versions.publish(rows([i], i), str(tmp_path / "w")) for i in range(2)] == [1, 2]
+    rows([8], 8).write.parquet(f"{tmp_path}/w/v=3")
+    assert versions.publish(rows([9], 9), str(tmp_path / "w")) == 4 and versions.read(spark, str(tmp_path / "w")).first().v == 9
+
+
 def test_file_scan_and_documents(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "bin").mkdir()
@@ -377,6 +500,60 @@ def test_streams(spark, tmp_path):
     assert {(r.source_id, r.desired, r.completed, r.state) for r in spark.table("ledger").collect()} == {("a", 2, 1, "Queued"), ("b", 1, 0, "Queued")}
 
 
+def test_timers_need_no_event(spark, tmp_path):
+    """A waiting retry starts, and a run past its lease is scheduled and started again, while no event comes."""
+    columns = "source_id string, seq long, event string, mask int, generation long"
+    events = [("a", 1, "request", 2, 0), ("a", 2, "start", 0, 0), ("a", 3, "transient", 0, 1), ("b", 1, "request", 1, 0), ("b", 2, "start", 0, 0), ("c", 1, "request", 1, 0), ("c", 2, "start", 0, 0), ("c", 3, "complete", 0, 1)]
+    spark.createDataFrame(events, columns).coalesce(1).write.parquet(str(tmp_path / "ev"))
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    timers.with_timers(spark)
+    try:
+        stream = timers.timed_generations(spark.readStream.schema(columns).parquet(str(tmp_path / "ev")), base_seconds=2, lease_seconds=4)
+        q = stream.writeStream.format("memory").queryName("timed").outputMode("update").trigger(processingTime="500 milliseconds").option("checkpointLocation", str(tmp_path / "cp")).start()
+        rows, end = [], time.time() + 120
+        while time.time() < end and not ({("a", "retry"), ("b", "lease"), ("b", "retry")} <= {(r.source_id, r.why) for r in rows}):
+            time.sleep(0.5)
+            assert q.exception() is None
+            rows = spark.table("timed").collect()
+        q.stop()
+    finally:
+        if provider:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        else:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    first = {(r.source_id, r.why): r for r in sorted(rows, key=lambda r: -r.at_ms)}
+    assert first["a", "events"].state == "Queued" and first["a", "events"].attempt == 1
+    assert first["a", "retry"].state == "Running" and first["a", "retry"].at_ms >= first["a", "events"].due * 1000
+    assert first["b", "events"].state == "Running" and first["b", "lease"].state == "Queued" and first["b", "lease"].pending_mask & 128
+    assert first["b", "lease"].at_ms >= first["b", "events"].lease_ends * 1000 and first["b", "retry"].state == "Running"
+    assert first["c", "events"].state == "Clean" and ("c", "retry") not in first
+
+
+def test_order_statistic(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "CELLS", 7)
+    monkeypatch.setattr(evaluate, "SORTED", 5)
+    r = random.Random(3)
+    for values in ([r.gauss(0, 1000) for _ in range(300)], [float(r.randrange(9)) for _ in range(300)], [3.0] * 50, [1e300, -1e300, 0.0, 5.0, 5.0, 7.0, 8.0], [2.0], [None, 4.0, None], []):
+        d = spark.createDataFrame([(v,) for v in values], "v double")
+        real = sorted(v for v in values if v is not None)
+        for share in (0.95, 0.5, 0.01):
+            want = real[max(1, math.ceil(share * len(real) - 1e-9)) - 1] if real else None
+            assert evaluate.nearest_rank(d, "v", share) == want
+
+
+def test_relevance_by_bins(spark):
+    r = random.Random(5)
+    chunks = [(f"c{i}", "long.py", a, a + r.choice([0, 3, 70, 400])) for i, a in enumerate(r.randrange(1, 900) for _ in range(60))] + [("odd", "long.py", 9, 3), ("other", "b.py", 1, 999)]
+    judged = [(f"q{i % 9}", "long.py", a, a + r.choice([0, 10, 200]), 1 + i % 3) for i, a in enumerate(r.randrange(1, 900) for _ in range(40))]
+    want = {}
+    for q, path, a, z, g in judged:
+        for c, where, s, e in chunks:
+            if where == path and e >= s and e >= a and s <= z:
+                want[q, c] = max(g, want.get((q, c), 0))
+    got = evaluate.relevant(spark.createDataFrame(chunks, "chunk_id string, relative_path string, start_line int, end_line int"), spark.createDataFrame(judged, "query_id string, path string, start_line int, end_line int, relevance_grade int"))
+    assert {(x.query_id, x.chunk_id): x.grade for x in got.collect()} == want and got.count() == len(want)
+
+
 def test_ledger_rules(spark):
     runs = spark.createDataFrame([(f"j{i}", "s", i, st, i) for i, st in enumerate(["Completed", "Failed", "Completed", "Completed", "Completed"], 1)], "job_id string, source_id string, generation long, status string, completed long")
     assert {r.job_id for r in ledger.prunable(runs, 2).collect()} == {"j1", "j2", "j3"}
