@@ -12,12 +12,15 @@ from dataclasses import astuple
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.states import CAUSES
 from .hints import Recovery, advanced
 
 STATE = "desired long, completed long, active long, active_mask int, pending_mask int, attempt int, state string, due long"
+_KINDS = {"long": LongType(), "int": IntegerType(), "string": StringType()}
+#: As types, since the processor's own process has no session to read a schema text with.
+_STORED = StructType([StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in f"{STATE}, lease_ends long".split(", "))])
 #: What made a row: an event of the stream, a retry whose time has come, or a lease that ran out.
 ROW = f"source_id string, {STATE}, lease_ends long, why string, at_ms long"
 
@@ -41,7 +44,7 @@ class Generations(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("recovery", StructType.fromDDL(f"{STATE}, lease_ends long"))
+        self.value = handle.getValueState("recovery", _STORED)
 
     def _held(self) -> tuple[Recovery, int]:
         if not self.value.exists():
