@@ -12,7 +12,7 @@ from .operators import diff, evaluate, ledger, search, sections, tables
 from .operators.chunker import Limits, Unit, chunk_files
 from .plans.embed import accepted, embedded, hashing_encoder
 from .plans.index import index_pass
-from .plans.wordpiece import wordpiece
+from .plans.wordpiece import learned_vocabulary, wordpiece
 from .sources import versions
 from .sources.files import assembled_pages
 from .sources.scratch import scratch
@@ -795,22 +795,24 @@ def g_response_stats(spark: SparkSession, sf: str) -> DataFrame:
     return search.response_stats(hits, r)
 
 
-@query(f"""{ctes('chunks')}, h AS (SELECT 'q' || (chunk_id::BIGINT % 5) AS query_id, chunk_id AS hit_id, file_id, ordinal AS o FROM chunks WHERE chunk_id::BIGINT % 9 = 0) SELECT query_id, hit_id, c.chunk_id, c.ordinal - o AS distance FROM h JOIN chunks c ON c.file_id = h.file_id AND c.ordinal BETWEEN o - 1 AND o + 1""")
+@query(f"""{ctes('chunks', 'requests')}, {_bm25('requests')}, h AS (SELECT query_id, chunk_id AS hit_id, file_id, ordinal AS o FROM lex JOIN chunks USING (chunk_id) WHERE rank <= 10) SELECT query_id, hit_id, c.chunk_id, c.ordinal - o AS distance FROM h JOIN chunks c ON c.file_id = h.file_id AND c.ordinal BETWEEN o - 1 AND o + 1""")
 def m_context_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    """M1."""
-    c = bound(spark, sf, "chunks")
-    n = F.col("chunk_id").cast("long")
-    return search.expanded(c.filter(n % 9 == 0).select(F.concat(F.lit("q"), (n % 5).cast("string")).alias("query_id"), "chunk_id"), c)
+    """M1: what stands round the hits of a lexical search."""
+    return search.expanded(_lexical_hits(spark, sf), bound(spark, sf, "chunks"))
+
+
+def _lexical_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return search.ranked(search.lexical(bound(spark, sf, "requests"), search.store_index(bound(spark, sf, "chunks"), scratch(spark))), 10)
 
 
-@query(f"""{ctes('chunks')}, h AS (SELECT 't' || (chunk_id::BIGINT % 50) AS topic, chunk_id, language AS file_id, start_line, end_line, (chunk_id::BIGINT * 7919 % 1000) / 1000 AS score FROM chunks),
+@query(f"""{ctes('chunks', 'requests')}, {_bm25('requests')}, h AS (SELECT 't' || (query_id::BIGINT // 3) AS topic, chunk_id, language AS file_id, start_line, end_line, max(score) AS score FROM lex JOIN chunks USING (chunk_id) WHERE rank <= 10 GROUP BY ALL),
 r AS (SELECT *, CASE WHEN start_line <= max(end_line) OVER (PARTITION BY topic, file_id ORDER BY start_line, end_line, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM h), i AS (SELECT *, sum(n) OVER (PARTITION BY topic, file_id ORDER BY start_line, end_line, chunk_id ROWS UNBOUNDED PRECEDING) AS k FROM r),
-p AS (SELECT *, row_number() OVER (PARTITION BY topic, file_id, k ORDER BY score DESC, chunk_id) AS x FROM i), t AS (SELECT topic, chunk_id, file_id, score, row_number() OVER (PARTITION BY topic ORDER BY score DESC, chunk_id) AS rank FROM p WHERE x = 1) SELECT topic, chunk_id, file_id, score, rank::INT AS rank FROM t WHERE rank <= 6""")
+pk AS (SELECT *, row_number() OVER (PARTITION BY topic, file_id, k ORDER BY score DESC, chunk_id) AS x FROM i), t AS (SELECT topic, chunk_id, file_id, score, row_number() OVER (PARTITION BY topic ORDER BY score DESC, chunk_id) AS rank FROM pk WHERE x = 1) SELECT topic, chunk_id, file_id, score, rank::INT AS rank FROM t WHERE rank <= 6""")
 def m_evidence_set(spark: SparkSession, sf: str) -> DataFrame:
-    """M3."""
-    n = F.col("chunk_id").cast("long")
-    h = bound(spark, sf, "chunks").select(F.concat(F.lit("t"), (n % 50).cast("string")).alias("topic"), "chunk_id", F.col("language").alias("file_id"), "start_line", "end_line", ((n * 7919 % 1000) / 1000).alias("score"))
-    return search.evidence(h)
+    """M3: topics are three requests each; the chunks of a language stand for those of a file, so that regions overlap."""
+    facts = bound(spark, sf, "chunks").select("chunk_id", F.col("language").alias("file_id"), "start_line", "end_line")
+    topic = F.concat(F.lit("t"), F.floor(F.col("query_id").cast("long") / 3).cast("string"))
+    return search.evidence(_lexical_hits(spark, sf).join(facts, "chunk_id").select(topic.alias("topic"), "chunk_id", "file_id", "start_line", "end_line", "score"))
 
 
 # ---- evaluation
@@ -888,13 +890,18 @@ def i_gates(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.gates(evaluate.overall_metrics(m), evaluate.family_metrics(m, families))
 
 
-@query(f"""{ctes('chunks')}, j AS (SELECT item_id::VARCHAR AS query_id, (SELECT relative_path FROM chunks c WHERE c.chunk_id = (item_id * 3)::VARCHAR) AS path, (item_id % 60 + 1)::INT AS a, (item_id % 60 + 40)::INT AS z, item_id % 3 + 1 AS grade FROM benchmark)
-SELECT query_id, chunk_id, max(grade)::INT AS grade FROM chunks JOIN j ON path = relative_path AND end_line >= a AND start_line <= z GROUP BY ALL""")
+_LINES = "l AS (SELECT doc_id, i FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)), n AS (SELECT doc_id, max(i) AS n FROM l GROUP BY 1)"
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT doc_id || ':' || i || '-' || z AS chunk_id, doc_id, i AS a, z FROM (SELECT doc_id, i, i AS z FROM l UNION ALL SELECT doc_id, i, least(i + 9, n) FROM l JOIN n USING (doc_id) WHERE i % 5 = 1 AND n > 1) GROUP BY ALL),
+j AS (SELECT doc_id || '/' || i AS query_id, doc_id, i AS a, i + doc_id % 200 AS z, doc_id % 3 + 1 AS grade FROM l WHERE i % 3 = 1) SELECT query_id, chunk_id, max(grade)::INT AS grade FROM c JOIN j ON c.doc_id = j.doc_id AND c.z >= j.a AND c.a <= j.z GROUP BY ALL""")
 def d_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    """D9."""
-    c, i = bound(spark, sf, "chunks"), F.col("item_id")
-    b = spark.read.parquet(f"{sf}/benchmark.parquet").withColumn("chunk_id", (i * 3).cast("string")).join(c.select("chunk_id", F.col("relative_path").alias("path")), "chunk_id")
-    j = b.select(i.cast("string").alias("query_id"), "path", (i % 60 + 1).cast("int").alias("start_line"), (i % 60 + 40).cast("int").alias("end_line"), (i % 3 + 1).cast("int").alias("relevance_grade"))
+    """Documents cut into lines and into windows of ten lines, with a judgment from every third line on."""
+    d, i = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("relative_path"), "doc_id", F.size(F.split("text", "\n", -1)).alias("n")).filter("n > 0"), F.col("i")
+    l = d.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))  # noqa: E741
+    c = l.select("relative_path", i.alias("start_line"), i.alias("end_line")).unionByName(l.filter((i % 5 == 1) & (F.col("n") > 1)).select("relative_path", i.alias("start_line"), F.least(i + 9, F.col("n")).alias("end_line"))).distinct()
+    c = c.withColumn("chunk_id", F.format_string("%s:%d-%d", "relative_path", "start_line", "end_line"))
+    j = l.filter(i % 3 == 1).select(F.format_string("%s/%d", "relative_path", "i").alias("query_id"), F.col("relative_path").alias("path"), i.alias("start_line"), (i + F.col("doc_id") % 200).cast("int").alias("end_line"), (F.col("doc_id") % 3 + 1).cast("int").alias("relevance_grade"))
     return evaluate.relevant(c, j)
 
 
@@ -928,14 +935,24 @@ def i_embedding_job(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("content_hash", F.size("vector").alias("dimension"), F.round(total, 4).alias("total"), F.round(moment, 3).alias("moment"), F.size(F.filter("vector", lambda x: x < 0)).alias("negative"), "problem")
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+|[^\s]')) AS t FROM documents), n AS (SELECT doc_id, sum(CASE WHEN regexp_full_match(t, '[a-z0-9]+') THEN length(t) ELSE 1 END) AS n, count(*) FILTER (NOT regexp_full_match(t, '[a-z0-9]+')) AS unknown FROM w GROUP BY 1)
-SELECT doc_id, (coalesce(n, 0) + 2)::BIGINT AS n_tokens, coalesce(unknown, 0)::BIGINT AS n_unknown FROM documents LEFT JOIN n USING (doc_id)""")
+_SINGLES = "abcdefghijklmnopqrstuvwxyz0123456789_"
+
+
+def _commonest(first: int, n: int) -> str:
+    return f"SELECT p FROM (SELECT substr(w, {first}, {n}) AS p FROM w WHERE regexp_full_match(w, '[a-z0-9_]{{2,}}')) WHERE len(p) > 1 GROUP BY p ORDER BY count(*) DESC, p LIMIT 400"
+
+
+@query(rf"""WITH RECURSIVE w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+|[^\s]')) AS w FROM documents), s AS (SELECT unnest(range(1, 38)) AS i), a AS ({_commonest(1, 4)}), b AS (SELECT '##' || p AS p FROM ({_commonest(5, 3)})),
+v AS (SELECT p, row_number() OVER (ORDER BY g, k, p) + 3 AS id FROM (SELECT substr('{_SINGLES}', i, 1) AS p, 0 AS g, i AS k FROM s UNION ALL SELECT '##' || substr('{_SINGLES}', i, 1), 1, i FROM s UNION ALL SELECT p, 2, 0 FROM a UNION ALL SELECT p, 3, 0 FROM b)), l AS (SELECT map(list(p), list(id)) AS ids FROM v),
+m(w, pos, n, total) AS (SELECT DISTINCT w, 1, 0, 0::BIGINT FROM w WHERE regexp_full_match(w, '[a-z0-9_]+') UNION ALL SELECT w, pos + len(piece), n + 1, total + ids[mark || piece] FROM (SELECT *, CASE WHEN map_contains(ids, mark || substr(w, pos, 4)) THEN substr(w, pos, 4) WHEN map_contains(ids, mark || substr(w, pos, 3)) THEN substr(w, pos, 3) WHEN map_contains(ids, mark || substr(w, pos, 2)) THEN substr(w, pos, 2) ELSE substr(w, pos, 1) END AS piece FROM (SELECT *, CASE WHEN pos > 1 THEN '##' ELSE '' END AS mark FROM m, l WHERE pos <= len(w)))),
+f AS (SELECT w, n, total FROM m WHERE pos > len(w)), c AS (SELECT doc_id, sum(coalesce(n, 1)) AS n, sum(coalesce(total, 1)) AS total, count(*) FILTER (n IS NULL) AS unknown FROM w LEFT JOIN f USING (w) GROUP BY 1)
+SELECT doc_id, (coalesce(n, 0) + 2)::BIGINT AS n_tokens, (coalesce(total, 0) + 5)::BIGINT AS id_sum, coalesce(unknown, 0)::BIGINT AS n_unknown FROM documents LEFT JOIN c USING (doc_id)""")
 def b_wordpiece(spark: SparkSession, sf: str) -> DataFrame:
-    """Ids by a vocabulary of single letters and digits, first and inner."""
-    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
-    words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *(f"##{c}" for c in letters)]
-    ids = wordpiece(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text"), {w: i for i, w in enumerate(words)}, 1 << 30)
-    return ids.select(F.col("id").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), F.size(F.filter("ids", lambda i: i == 1)).cast("long").alias("n_unknown"))
+    """Ids by a vocabulary that is learned from the documents."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = wordpiece(d.select(F.col("doc_id").alias("id"), "text"), learned_vocabulary(d), 1 << 30)
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)
+    return ids.select(F.col("id").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), total.alias("id_sum"), F.size(F.filter("ids", lambda i: i == 1)).cast("long").alias("n_unknown"))
 
 
 @query("""SELECT doc_id::VARCHAR AS id, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-5' || substr(h, 16, 1) || substr(h, 13, 2) || '-' || (['8', '9', 'a', 'b'])[(instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1] || substr(h, 18, 1) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT doc_id, sha256(doc_id::VARCHAR) AS h FROM documents)""")
