@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .bindings import bound, ctes
 from .functions import states, text as tx, vectors as vx
 from .operators import diff, evaluate, ledger, search, sections, tables
-from .operators.chunker import Limits, Unit, chunk_files
+from .operators.chunker import Limits, Unit, chunk_files, register_chunk_table
 from .plans.embed import accepted, embedded, hashing_encoder
 from .plans.index import index_pass
 from .plans.wordpiece import learned_vocabulary, wordpiece
@@ -309,6 +309,22 @@ def c_chunk_files(spark: SparkSession, sf: str) -> DataFrame:
     return _chunked(spark, sf).select("chunk_id", "file_id", "chunker_id", "outcome", "chunk_kind", "structural_locator", "start_line", "end_line", "ordinal", "token_count")
 
 
+_WINDOWS = Limits(400, 600, 16)
+_STOP = f"list_filter(range(a + 1, n + 1), lambda z: NOT (z < n AND 2 + s[z + 2] - s[a + 1] <= {_WINDOWS.most} AND (sz[z] > 0 OR 2 + s[z + 1] - s[a + 1] < {_WINDOWS.target})))[1]"
+
+
+@query(rf"""WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '\s', '', 'g'))) AS sz FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, sz, len(sz) AS n, list_transform(range(0, len(sz) + 1), lambda i: coalesce(list_sum(sz[1:i]), 0)) AS s FROM l),
+w(doc_id, a, z) AS (SELECT doc_id, 0, {_STOP} FROM (SELECT *, 0 AS a FROM d) UNION ALL SELECT doc_id, a, {_STOP} FROM (SELECT d.*, greatest(w.z - {_WINDOWS.back}, w.a + 1) AS a FROM w JOIN d USING (doc_id) WHERE w.z < d.n)),
+t AS (SELECT doc_id, a, z, s[z + 1] - s[a + 1] AS size FROM w JOIN d USING (doc_id)), k AS (SELECT doc_id, a, z, size, unnest(CASE WHEN size + 2 > {_WINDOWS.most} THEN range(0, CAST(ceil(size / {_WINDOWS.most - 2}) AS BIGINT)) ELSE [0] END) AS k FROM t WHERE size > 0), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, k) AS o FROM k)
+SELECT doc_id, (o - 1)::INT AS ordinal, 'lines:' || (a + 1) || '-' || z || CASE WHEN size + 2 > {_WINDOWS.most} THEN ':segment:' || o ELSE '' END AS locator, (a + 1)::INT AS start_line, z::INT AS end_line, (2 + CASE WHEN size + 2 > {_WINDOWS.most} THEN least({_WINDOWS.most - 2}, size - k * {_WINDOWS.most - 2}) ELSE size END)::INT AS tokens FROM o""")
+def c_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping line windows of all documents and the pieces of lines that are too long, by the table function."""
+    register_chunk_table(spark, "line_windows", _WINDOWS)
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lit("a.txt").alias("path"), "text")
+    c = spark.sql("SELECT d.doc_id, c.ordinal, c.structural_locator AS locator, c.start_line, c.end_line, c.content FROM {d} d, LATERAL line_windows(d.path, d.text) c", d=d)
+    return c.withColumn("tokens", tx.token_upper_bound(F.col("content")).cast("int")).drop("content")
+
+
 @query("""WITH l AS (SELECT doc_id::VARCHAR AS file_id, unnest(string_split(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10))) AS line FROM documents)
 SELECT file_id, count(*) AS lines, 0::BIGINT AS breaks FROM l WHERE regexp_matches(line, '\\S') GROUP BY file_id""".replace("\\\\", "\\"))
 def c_chunk_constraints(spark: SparkSession, sf: str) -> DataFrame:
