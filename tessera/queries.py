@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -309,6 +310,43 @@ def c_chunk_files(spark: SparkSession, sf: str) -> DataFrame:
     return _chunked(spark, sf).select("chunk_id", "file_id", "chunker_id", "outcome", "chunk_kind", "structural_locator", "start_line", "end_line", "ordinal", "token_count")
 
 
+_NESTED = {
+    # ending: (lines before the members, lines of a member, lines after them); {d}: document, {i}: member, {c}: letters of its text
+    "cs": (["namespace N{d}", "{{", "public class A{d}", "{{"], ["    public void f{i}(int x)", "    {{", "        x++; // }} {c}", "    }}"], ["}}", "}}"]),
+    "ts": (["export namespace N{d} {{"], ["  function f{i}(a) {{", "    return a; // }} {c}", "  }}"], ["}}"]),
+    "py": (["class A{d}:"], ["    def f{i}(self):", "        return 1  # {c}"], []),
+    "xml": (["<r{d}>"], ["<f{i}>{c}</f{i}>"], ["</r{d}>"]),
+}
+
+
+@query("""WITH d AS (SELECT doc_id, (['cs', 'ts', 'py', 'xml'])[doc_id % 4 + 1] AS t, doc_id // 4 % 5 + 1 AS m FROM documents), f AS (SELECT *, unnest(range(0, m)) AS i FROM d)
+SELECT doc_id, 'namespace' AS kind, 'N' || doc_id AS symbol, 'N' || doc_id AS qualified, 1 AS start_line, CASE t WHEN 'cs' THEN 6 + 4 * m ELSE 2 + 3 * m END::INT AS end_line FROM d WHERE t IN ('cs', 'ts')
+UNION ALL SELECT doc_id, 'class', 'A' || doc_id, CASE t WHEN 'cs' THEN 'N' || doc_id || '.' ELSE '' END || 'A' || doc_id, CASE t WHEN 'cs' THEN 3 ELSE 1 END, CASE t WHEN 'cs' THEN 5 + 4 * m ELSE 1 + 2 * m END FROM d WHERE t IN ('cs', 'py')
+UNION ALL SELECT doc_id, CASE t WHEN 'cs' THEN 'member' WHEN 'ts' THEN 'function' WHEN 'py' THEN 'def' ELSE 'element' END, 'f' || i, CASE t WHEN 'cs' THEN 'N' || doc_id || '.A' || doc_id WHEN 'ts' THEN 'N' || doc_id WHEN 'py' THEN 'A' || doc_id ELSE 'r' || doc_id END || '.f' || i,
+CASE t WHEN 'cs' THEN 5 + 4 * i WHEN 'ts' THEN 2 + 3 * i ELSE 2 + CASE t WHEN 'py' THEN 2 ELSE 1 END * i END, CASE t WHEN 'cs' THEN 8 + 4 * i WHEN 'ts' THEN 4 + 3 * i WHEN 'py' THEN 3 + 2 * i ELSE 2 + i + (i = m - 1)::INT END FROM f""")
+def c_nested_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds, symbols, qualified names and line spans of all units of files with nested declarations, one made from every document."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    letters = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), "[^a-z ]", "")
+    out = None
+    for k, (ending, (ahead, member, behind)) in enumerate(_NESTED.items()):
+        mine = d.filter(F.col("doc_id") % 4 == k)
+
+        def filled(line: str, i=None):
+            parts = [F.lit(x.replace("{{", "{").replace("}}", "}")) if j % 2 == 0 else {"d": F.col("doc_id").cast("string"), "i": i, "c": letters}[x] for j, x in enumerate(re.split(r"(?<!\{)\{([dic])\}(?!\})", line))]
+            return F.concat(*parts)
+
+        def repeated(i):
+            return F.array(*(filled(x, i.cast("string")) for x in member))  # noqa: B023  called before the next round
+
+        members = F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.col("doc_id") / 4) % 5), repeated))
+        text = F.array_join(F.concat(F.array(*map(filled, ahead)), members, *([F.array(*map(filled, behind))] if behind else [])), "\n")
+        one = mine.select("source", F.col("doc_id").cast("string").alias("file_id"), F.concat(F.col("doc_id").cast("string"), F.lit(f".{ending}")).alias("relative_path"), text.alias("content"))
+        out = one if out is None else out.unionByName(one)
+    c = chunk_files(out.withColumnRenamed("source", "source_id"), "p1", Limits(target=1 << 30, most=1 << 30))
+    return c.filter(F.col("symbol_name").isNotNull()).select(F.col("file_id").cast("long").alias("doc_id"), F.col("chunk_kind").alias("kind"), F.col("symbol_name").alias("symbol"), F.col("qualified_symbol_name").alias("qualified"), "start_line", "end_line")
+
+
 _WINDOWS = Limits(400, 600, 16)
 _STOP = f"list_filter(range(a + 1, n + 1), lambda z: NOT (z < n AND 2 + s[z + 2] - s[a + 1] <= {_WINDOWS.most} AND (sz[z] > 0 OR 2 + s[z + 1] - s[a + 1] < {_WINDOWS.target})))[1]"
 
