@@ -103,6 +103,16 @@ def s9_secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+#: Every window of op3 that has a shingle of an item, against all items of its size; shingles count as often as they occur.
+DECONTAMINATION_SQL = r"""WITH i AS (SELECT row_number() OVER () AS q, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+z AS (SELECT q, item_id, w, len(w) AS m, least(len(w), 5) AS k FROM i WHERE len(w) > 0), e AS (SELECT q, m, k, p, w[p + 1:p + k] AS s FROM (SELECT *, unnest(range(m - k + 1)) AS p FROM z)),
+b AS (SELECT r, k, n, p, w[p + 1:p + k] AS s FROM (SELECT r, w, k, len(w) - k + 1 AS n, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM z) WHERE len(w) >= k)),
+h AS (SELECT r, n, q, m, m - k + 1 AS span, b.p, e.p AS o, s FROM b JOIN e USING (k, s)), u AS (SELECT r, n, m, span, greatest(0, least(p - o, n - span)) AS a FROM h UNION SELECT r, n, m, span, greatest(0, least(p, n - span)) FROM h),
+g AS (SELECT r, q, n, span, m, s, p, count(*) AS times FROM h GROUP BY ALL), c AS (SELECT r, q, m, span, n, a, s, least(count(*), any_value(times)) AS c FROM u JOIN g USING (r, n, m, span) WHERE p >= a AND p < a + span GROUP BY ALL),
+v AS (SELECT r, q, m, a, sum(c)::BIGINT / (span + least(span, n) - sum(c)::BIGINT) AS similarity FROM c GROUP BY r, q, m, a, span, n)
+SELECT doc_id, item_id, similarity, a::INT AS start_word, m::INT AS n_words FROM v JOIN d USING (r) JOIN z USING (q, m) WHERE similarity >= 0.75 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, a, m) = 1"""
+
 #: Components of all pairs that share a shingle and link, by reachability.
 JACCARD_SQL = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i+4], chr(31)) for i in range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, chr(31))] ELSE [] END) AS g FROM d),
@@ -156,4 +166,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_oracle(), "op2_jaccard_join": JACCARD_SQL, "op4_suffix_dedup": REPEATS_SQL, "s5_mixing_targets": TARGETS_SQL, "s9_secret_base": SECRETS_SQL, "op12_ranked_search": RANKED_SQL, "s13_deviation": DEVIATION_SQL}
+    return {"op1_license_scan": license_oracle(), "op2_jaccard_join": JACCARD_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op4_suffix_dedup": REPEATS_SQL, "s5_mixing_targets": TARGETS_SQL, "s9_secret_base": SECRETS_SQL, "op12_ranked_search": RANKED_SQL, "s13_deviation": DEVIATION_SQL}

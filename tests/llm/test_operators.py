@@ -269,17 +269,28 @@ def test_decontamination_repeated_and_null_ids(spark):
 
 
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
-    assert decontaminate.RADIUS < (decontaminate.FLIPS + 1) * decontaminate.BLOCKS
+    assert decontaminate.BLOCKS * decontaminate.BITS == 128 and decontaminate.RADIUS < (decontaminate.FLIPS + 1) * decontaminate.BLOCKS
     r = random.Random(15)
-    rows = []
+    left, right = [], []
     for i in range(60):
-        f = r.getrandbits(64)
-        g = f
-        for bit in r.sample(range(64), r.randrange(decontaminate.RADIUS + 1)):
-            g ^= 1 << bit
-        rows.append((i, f - (f >> 63 << 64), g - (g >> 63 << 64)))
-    d = spark.createDataFrame(rows, "i int, f long, g long")
-    assert d.filter(F.arrays_overlap(decontaminate.blocks("f"), decontaminate.near_blocks("g"))).count() == 60
+        near = own = r.getrandbits(128)
+        for bit in r.sample(range(128), decontaminate.RADIUS if i < 30 else r.randrange(decontaminate.RADIUS)):
+            near ^= 1 << bit
+        for side, x in ((left, own), (right, near)):
+            side.append((i, *(h - (h >> 63 << 64) for h in (x & (1 << 64) - 1, x >> 64))))
+    a, b = (spark.createDataFrame(x, "i int, f long, g long") for x in (left, right))
+    pairs = a.withColumn("x", decontaminate.blocks()).alias("a").join(b.withColumn("y", decontaminate.near_blocks()).alias("b"), "i")
+    assert pairs.filter(F.arrays_overlap("x", "y") & (decontaminate.distance("a", "b") <= decontaminate.RADIUS)).count() == 60
+    assert pairs.filter(decontaminate.distance("a", "b") == decontaminate.RADIUS).count() >= 30
+
+
+def test_fingerprint_is_the_majority_of_each_bit(spark):
+    r = random.Random(16)
+    hashes = [[r.getrandbits(63) for _ in range(n)] for n in (1, 2, 7, 40)]
+    got = decontaminate.with_simhash(spark.createDataFrame([(x,) for x in hashes], "h array<long>"), "h").withColumn("h2", F.transform("h", lambda h: F.xxhash64(h))).collect()
+    for row in got:
+        for half, votes in ((row.f, row.h), (row.g, row.h2)):
+            assert half & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in votes) > len(votes))
 
 
 def test_decontamination_moved_parts(spark):
