@@ -10,7 +10,8 @@ were predicted rightly.
 
 The sample has about SAMPLE_ROWS rows in all and SAMPLE_PER_LANGUAGE of a
 language: a language's rows are picked by hash, at the rate that gives so many
-different ones, so no task gathers a language.  Every language is learned; what is
+different ones, so no task gathers a language.  Of a row with more than SAMPLE_BUCKETS subwords those of least hash
+are learned from, so the sample is bounded in bytes; predictions use all.  Every language is learned; what is
 broadcast is the embeddings (2**BITS x DIM numbers) and DIM + 1 numbers a language.
 
 Edge cases: a null text and a text without a letter are ``und`` with score
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import Shared, stored
-from .textkit import LOWER, PIECE, SPACE, column_bytes, is_long, pieces
+from .textkit import LOWER, PIECE, SPACE, column_bytes, is_long, least_hashed, pieces
 
 BITS, DIM, ORDERS = 16, 16, (2, 3, 4)
 #: Rows that the model is trained on: about so many of each language, and about so many in all.
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 800, 12_000
+#: Buckets of a sampled row that are learned from: the sample takes 8 bytes for each, 400 MB at most.
+SAMPLE_BUCKETS = 4096
 #: Languages whose rates (two values each) are broadcast; those of more are joined by shuffle.
 BROADCAST_LANGUAGES = 50_000
 
@@ -94,19 +97,25 @@ class LanguageModel:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, off = column_bytes(batch.column("text"))
-        for i, b, o in pieces(buf, off):
-            parts = [np.unique(r.astype(np.int64) << BITS | f, return_counts=True) for r, f in subwords(b, o)]
-            key, back = np.unique(np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)]), return_inverse=True)
-            times = np.bincount(back, np.concatenate([t for _, t in parts] or [np.zeros(0)]), len(key))
-            cut = np.searchsorted(key >> BITS, np.arange(len(o)))
-            yield pa.record_batch({
-                "lang": batch.column("lang").slice(i, len(o) - 1),
-                "feats": pa.array([(key[x:y] & ((1 << BITS) - 1)).astype(np.int32) for x, y in zip(cut, cut[1:])], pa.list_(pa.int32())),
-                "times": pa.array([times[x:y].astype(np.float32) for x, y in zip(cut, cut[1:])], pa.list_(pa.float32())),
-            })
+def _counts(most: int):
+    """A task that gives the buckets of each row and how often it has them, at most ``most`` of a row, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = column_bytes(batch.column("text"))
+            for i, b, o in pieces(buf, off):
+                parts = [np.unique(r.astype(np.int64) << BITS | f, return_counts=True) for r, f in subwords(b, o)]
+                key, back = np.unique(np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)]), return_inverse=True)
+                times = np.bincount(back, np.concatenate([t for _, t in parts] or [np.zeros(0)]), len(key))
+                cut = np.searchsorted(key >> BITS, np.arange(len(o)))
+                rows = [x + least_hashed(key[x:y] & ((1 << BITS) - 1), most) for x, y in zip(cut, cut[1:])]
+                yield pa.record_batch({
+                    "lang": batch.column("lang").slice(i, len(o) - 1),
+                    "feats": pa.array([(key[r] & ((1 << BITS) - 1)).astype(np.int32) for r in rows], pa.list_(pa.int32())),
+                    "times": pa.array([times[r].astype(np.float32) for r in rows], pa.list_(pa.float32())),
+                })
+
+    return run
 
 
 def language_sample(training: DataFrame, per_language: int, total: int) -> DataFrame:
@@ -123,9 +132,9 @@ def language_sample(training: DataFrame, per_language: int, total: int) -> DataF
     return picked.groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text")
 
 
-def fit_language(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, total: int = SAMPLE_ROWS, epochs: int = 6, rate: float = 2.0, accept: float = 0.995) -> LanguageModel:
-    """training: doc_id, text, lang."""
-    rows = language_sample(training, per_language, total).select("text", "lang").mapInArrow(_counts, "lang string, feats array<int>, times array<float>").toArrow()
+def fit_language(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, total: int = SAMPLE_ROWS, epochs: int = 6, rate: float = 2.0, accept: float = 0.995, buckets: int = SAMPLE_BUCKETS) -> LanguageModel:
+    """training: doc_id, text, lang.  per_language, total, buckets: bounds of the sample that is learned from."""
+    rows = language_sample(training, per_language, total).select("text", "lang").mapInArrow(_counts(buckets), "lang string, feats array<int>, times array<float>").toArrow()
     lang = np.array(rows["lang"].to_pylist(), object)
     languages = sorted(set(lang))
     if not languages:

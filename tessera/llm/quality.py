@@ -3,7 +3,8 @@
 N-gram indicators are scaled by class log-count ratios (counted over every
 labelled training row), then a linear hinge-loss model is fitted by dual
 coordinate descent on a bounded sample of the labelled rows and calibrated
-to a probability.
+to a probability.  Of a sampled row with more than SAMPLE_BUCKETS indicators those of least hash are
+fitted on, so the sample is bounded in bytes; ratios and scores use all.
 
 Indicators of a text, hashed to 2**BITS buckets: words and word pairs, runs
 of three bytes, and runs of four word shapes (letters, digits, symbols,
@@ -28,11 +29,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Shared, stored, summed
-from .textkit import SPACE, U, Words, breaks, column_bytes, is_long, mix, pieces, word_before, words_ahead
+from .textkit import SPACE, U, Words, breaks, column_bytes, is_long, least_hashed, mix, pieces, word_before, words_ahead
 
 BITS = 18
 #: Labelled rows that the hinge-loss model is fitted on, and the share of them kept for calibration.
 SAMPLE_ROWS, CALIBRATE = 4000, 0.25
+#: Indicators of a sampled row that the hinge-loss model is fitted on: the sample takes 4 bytes for each, 256 MB at most.
+SAMPLE_BUCKETS = 16_384
 SLICE = 1 << 12
 
 
@@ -148,13 +151,19 @@ class Rows:
         return self.flat[self.cut[i]:self.cut[i + 1]]
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, off = column_bytes(batch.column("text"))
-        for i, b, o in pieces(buf, off):
-            row, feat = indicators(b, o)
-            cut = np.searchsorted(row, np.arange(len(o)))
-            yield pa.record_batch({"label": batch.column("label").slice(i, len(o) - 1), "feats": pa.array([feat[x:y].astype(np.int32) for x, y in zip(cut, cut[1:])], pa.list_(pa.int32()))})
+def _features(most: int):
+    """A task that gives the buckets of each row's indicators, at most ``most`` of a row, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = column_bytes(batch.column("text"))
+            for i, b, o in pieces(buf, off):
+                row, feat = indicators(b, o)
+                cut = np.searchsorted(row, np.arange(len(o)))
+                rows = [x + least_hashed(feat[x:y], most) for x, y in zip(cut, cut[1:])]
+                yield pa.record_batch({"label": batch.column("label").slice(i, len(o) - 1), "feats": pa.array([feat[r].astype(np.int32) for r in rows], pa.list_(pa.int32()))})
+
+    return run
 
 
 def dual_coordinate_descent(rows: Rows, values: np.ndarray, y: np.ndarray, train: np.ndarray, cost: float, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:
@@ -200,11 +209,11 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(b[0], 1e-3)), float(b[1])
 
 
-def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, cost: float = 0.1, epochs: int = 20, blend: float = 0.25) -> QualityModel:
+def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, cost: float = 0.1, epochs: int = 20, blend: float = 0.25, buckets: int = SAMPLE_BUCKETS) -> QualityModel:
     """labelled: columns doc_id, text, label (0 or 1), training rows only.
 
     Ratios come from all of these rows; the hinge-loss model from one text of each of the ``sample_rows``
-    ids of smallest hash.
+    ids of smallest hash, with at most ``buckets`` of its indicators.
     """
     rows = labelled.select("text", F.col("label").cast("int")).mapInArrow(_count, "slice int, part int, counts binary")
     parts = {s: np.frombuffer(c, np.int64) for s, _, c in summed(stored(rows)).collect()}
@@ -218,7 +227,7 @@ def fit_quality(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, cost: float
     ratio = np.log(p / (docs[1] + 2)) - np.log(q / (docs[0] + 2))
     chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     picked = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("label").cast("int").alias("label"))
-    rows = picked.select("text", "label").mapInArrow(_features, "label int, feats array<int>").toArrow()
+    rows = picked.select("text", "label").mapInArrow(_features(buckets), "label int, feats array<int>").toArrow()
     feats = Rows(rows["feats"])
     y = np.where(rows["label"].to_numpy() == 1, 1.0, -1.0)[feats.order]
     values = ratio / np.sqrt(max(1.0, np.median(np.diff(feats.cut))))

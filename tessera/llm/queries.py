@@ -91,6 +91,11 @@ def s5_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
 
 
+def s7_lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that don't depend on the model."""
+    return op7_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
 def s13_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact columns of op13: vec_id, n, deviation."""
     return op13_whitening(spark, sf_dir).filter(F.col("component") == 1).select("vec_id", "n", "deviation")
@@ -137,6 +142,13 @@ o AS (SELECT *, row_number() OVER (ORDER BY 2 * n / w) AS pos, sum(n) OVER () AS
 t AS (SELECT source, n, least(2 * n, w * max(level) OVER ()) AS target FROM l) SELECT doc_id, size, n AS source_size, round(target, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""".replace("RECURSIVE ", "")
 
 
+#: CRC-32 of the id byte by byte, by the table of its polynomial; then words, with an empty one for each end.
+LM_BASE_SQL = f"""WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_append({_WORDS}, '') AS w, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 7 = 2 AS held_out FROM documents, t),
+k AS (SELECT r, unnest(w) AS x FROM d), c AS (SELECT x, count(*) FILTER (NOT held_out) AS c FROM k JOIN d USING (r) GROUP BY x), g AS (SELECT sum(c)::BIGINT AS n, count(*) FILTER (c > 0) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens, round(sum(log10((c + 1) / (n + v + 1))), 3) AS base_score FROM k JOIN c USING (x) JOIN d USING (r), g GROUP BY r, doc_id"""
+
+
 def _spans_sql(kind: str, order: int, pattern: str, group: int, least: int) -> str:
     """Leftmost matches of a pattern: what lies between them gives their places."""
     return f"""SELECT r, {order} AS o, '{kind}' AS kind, (list_sum(len_s[1:i]) + coalesce(list_sum(len_m[1:i-1]), 0))::BIGINT AS a, len_m[i] AS n FROM (SELECT r, len_s, len_m, len_g, unnest(range(1, len(len_m) + 1)) AS i FROM (SELECT r, list_transform(regexp_split_to_array(text, '{pattern}'), lambda x: length(x)) AS len_s, list_transform(regexp_extract_all(text, '{pattern}', 0), lambda x: length(x)) AS len_m, list_transform(regexp_extract_all(text, '{pattern}', {group}), lambda x: length(x)) AS len_g FROM d)) WHERE len_g[i] >= {least}"""
@@ -162,8 +174,8 @@ SELECT vec_id, any_value(n) AS n, sum((n * x - s) * (n * x - s))::BIGINT AS devi
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_mixing, op6_language_id, op7_lm_scoring, op8_nearest_neighbours, op9_secret_scan, op10_quality, op11_token_counts, op12_ranked_search, op13_whitening, s5_mixing_targets, s9_secret_base, s13_deviation)}
+    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op4_suffix_dedup, op5_mixing, op6_language_id, op7_lm_scoring, op8_nearest_neighbours, op9_secret_scan, op10_quality, op11_token_counts, op12_ranked_search, op13_whitening, s5_mixing_targets, s7_lm_base, s9_secret_base, s13_deviation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_oracle(), "op2_jaccard_join": JACCARD_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op4_suffix_dedup": REPEATS_SQL, "s5_mixing_targets": TARGETS_SQL, "s9_secret_base": SECRETS_SQL, "op12_ranked_search": RANKED_SQL, "s13_deviation": DEVIATION_SQL}
+    return {"op1_license_scan": license_oracle(), "op2_jaccard_join": JACCARD_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op4_suffix_dedup": REPEATS_SQL, "s5_mixing_targets": TARGETS_SQL, "s7_lm_base": LM_BASE_SQL, "s9_secret_base": SECRETS_SQL, "op12_ranked_search": RANKED_SQL, "s13_deviation": DEVIATION_SQL}

@@ -33,6 +33,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def least_hashed(buckets: np.ndarray, most: int) -> np.ndarray:
+    """Places, in order, of the ``most`` of some different buckets whose hashes are least; of all, if they aren't more."""
+    if len(buckets) <= most:
+        return np.arange(len(buckets))
+    return np.sort(np.argsort(mix(buckets.astype(np.uint64) + U(1)), kind="stable")[:most])
+
+
 _pow = np.ones(1, np.uint64)
 
 

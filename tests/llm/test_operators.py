@@ -591,6 +591,25 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert best <= loss(np.zeros(41))
 
 
+def test_sampled_rows_are_bounded_by_buckets(spark):
+    r = random.Random(3)
+    long = " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(4000))
+    rows = [pa.record_batch({"lang": ["a", "b"], "label": pa.array([1, 0], pa.int32()), "text": [long, "one two three four"]})]
+    for task, columns in ((langid._counts, ("feats", "times")), (quality._features, ("feats",))):
+        every, few = ([b.to_pydict() for b in task(most)(iter(rows))] for most in (1 << 30, 100))
+        every, few = ({c: [x for b in side for x in b[c]] for c in columns} for side in (every, few))
+        assert len(every["feats"][0]) > 5000 and len(few["feats"][0]) == 100
+        assert all(few[c][1] == every[c][1][:] for c in columns) and len(few["feats"][1]) < 100
+        # the buckets that stay are the same in every row, and keep their counts
+        first = [dict(zip(x["feats"][0], x[columns[-1]][0])) for x in (every, few)]
+        assert first[1].items() <= first[0].items()
+        order = textkit.mix(np.array(every["feats"][0], np.uint64) + np.uint64(1))
+        assert set(few["feats"][0]) == {f for _, f in sorted(zip(order.tolist(), every["feats"][0]))[:100]}
+    texts = [(i, " ".join(r.choice(("good", "fine") if i % 2 else ("bad", "poor")) for _ in range(30)), i % 2) for i in range(200)]
+    model = quality.fit_quality(spark.createDataFrame(texts, "doc_id long, text string, label int"), buckets=8)
+    assert np.isfinite(model.weight).all()
+
+
 def test_quality_indicators_by_hand(spark):
     """Counts of the classes, and so the ratios, are those of a scan word by word."""
     texts = ["One two two", "two 3 !!", "", "a", "one two two"]
