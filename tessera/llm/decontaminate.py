@@ -117,8 +117,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, similarity: float, k: int) ->
         windows = stored(with_simhash(windows, "here"))
         a = windows.select("rid", "m", "start", "f", "g", F.explode(blocks()).alias("x")).select("rid", "m", "start", "f", "g", "x.*").alias("a")
         b = own.select("iid", "m", "f", "g", F.explode(near_blocks()).alias("x")).select("iid", "m", "f", "g", "x.*").alias("b")
+        # merged at every size: an item has some 20,000 near values, which are never broadcast
         same = (F.col("a.m") == F.col("b.m")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value"))
-        near = a.join(b, same & (distance("a", "b") <= RADIUS)).select("rid", "iid", "start", "a.m").distinct()
+        near = a.join(b.hint("merge"), same & (distance("a", "b") <= RADIUS)).select("rid", "iid", "start", "a.m").distinct()
         pairs = windows.select("rid", "m", "start", "here").join(near, ["rid", "m", "start"]).join(own.select("iid", "own"), "iid")
         pairs = verified(pairs, similarity).join(own.select("iid", "item_id"), "iid").join(flagged.select("rid", "doc_id", "key"), "rid").select("doc_id", "key", "item_id", "similarity", "start", "m")
         found = pairs if found is None else found.unionByName(pairs)
