@@ -22,10 +22,14 @@ Lyndon prefix, and one ascending pass emits each group's order: a suffix comes
 when the suffix behind its Lyndon prefix has come.  Nothing is renamed or sorted again.
 
 Open contexts of a gram meet in one task (about 400 bytes each) where the gram
-has at most GRAM_MOST contexts.  Beyond that no context travels: each batch hashes the
-strings of LENGTH bytes of its own contexts at every offset, and what it has not found twice
-is dealt by (gram, offset, string), each once for every CHUNK contexts.  Marks (40
-bytes each) still meet by gram; equal contexts meet once for each input batch.
+has at most GRAM_MOST contexts.  Larger grams are divided.  The strings of LENGTH bytes that
+start t bytes before a mark, for a band of ``width`` neighbouring t, have LENGTH - width + 1 bytes in
+common, their core, and two contexts can only share one of them if they share its core.  So contexts are
+dealt by band and core, each with the ring of width - 1 bytes on either side of the core, and rings
+of a core are sorted by the two suffix arrays as whole contexts are.  Equal rings of a batch go
+as one.  Grams of more than 64 * GRAM_MOST contexts have bands of two offsets: a ring is one byte
+on either side then, so a core has at most 257 * 257 of them, however many contexts share it.
+Marks (40 bytes each) still meet by gram; equal contexts, and equal rings, meet once for each input batch.
 A row is known by two independent 64-bit hashes of doc_id and text: one picks its batch, one finds it there.
 
 Edge cases: null and empty texts have no byte and the SHA-256 of nothing; texts
@@ -54,8 +58,10 @@ BLOCK, LEFT_BLOCK = 40, 42
 POSITION_BITS = 31
 #: Bytes of text in a batch, and that are marked at a time.
 BATCH_BYTES, MARKED = 8 << 20, 1 << 20
-#: Contexts of a gram that may meet in one task, and contexts whose strings are hashed at a time.
+#: Contexts of a gram that may meet in one task, and contexts or rings that are handled at a time.
 GRAM_MOST, CHUNK = 4096, 8192
+#: Neighbouring offsets of a band, for large and for very large grams.
+WIDE, NARROW = 34, 2
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _inverse = np.ones(1, np.uint64)
 
@@ -209,47 +215,89 @@ def around(text: np.ndarray, mark: np.ndarray, step: int, length: np.ndarray, wi
 
 def repeated_offsets(text: np.ndarray, offsets: np.ndarray, left: np.ndarray) -> list[tuple[int, int, int]]:
     """(context, start, end) of repeated strings, joined where neighbours, relative to the mark; text: the contexts, one after the other."""
-    m = len(left)
     mark = offsets[:-1] + left
     right = offsets[1:] - mark
-    after, agree_after = sorted_rows(around(text, mark, 1, right, LENGTH), BLOCK)
-    before, agree_before = sorted_rows(around(text, mark, -1, left, LEFT), LEFT_BLOCK)
+    return repeats_in_order(around(text, mark, 1, right, LENGTH), BLOCK, around(text, mark, -1, left, LEFT), LEFT_BLOCK, left, right, LENGTH)
+
+
+def repeats_in_order(after: np.ndarray, block: int, before: np.ndarray, left_block: int, left: np.ndarray, right: np.ndarray, length: int, head: int = 0) -> list[tuple[int, int, int]]:
+    """What ``repeated_offsets`` gives, for strings of ``length`` bytes.  after, before: what follows each mark and, backwards, what precedes it; the first ``head`` bytes of after are no part of the string but have to agree."""
+    m = len(left)
+    after, agree_after = sorted_rows(after, block)
+    before, agree_before = sorted_rows(before, left_block)
     spans = []
     open_at = np.full(m, -1)
-    for t in range(LEFT, -2, -1):
+    for t in range(int(left.max(initial=-1)), -2, -1):
         here = np.zeros(m, bool)
         if t >= 0:
-            c = np.flatnonzero((left >= t) & (right >= LENGTH - t))
-            key = np.cumsum(agree_after < LENGTH - t)[after[c]] * (m + 1) + np.cumsum(agree_before < t)[before[c]]
+            c = np.flatnonzero((left >= t) & (right >= length - t))
+            key = np.cumsum(agree_after < head + length - t)[after[c]] * (m + 1) + np.cumsum(agree_before < t)[before[c]]
             _, back, times = np.unique(key, return_inverse=True, return_counts=True)
             here[c[times[back] > 1]] = True
         for c in np.flatnonzero(here & (open_at < 0)):
             open_at[c] = t
         for c in np.flatnonzero(~here & (open_at >= 0)):
-            spans.append((int(c), -int(open_at[c]), LENGTH - t - 1))
+            spans.append((int(c), -int(open_at[c]), length - t - 1))
             open_at[c] = -1
     return spans
 
 
-def offset_keys(gram: np.ndarray, text: np.ndarray, offsets: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A key of (gram, offset, string) for every string of LENGTH bytes around the marks, each once: key, context, offset before the mark; and contexts x offsets, whether the string is there twice."""
-    m, h, mark = len(gram), Hashes(text), offsets[:-1] + left
+def rings(gram: np.ndarray, text: np.ndarray, offsets: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """context, first offset of the band, and bytes of every ring: hash of the core, what follows the core, what precedes it backwards, and how many bytes there are of the one (as 1 more) and the other."""
+    w, h, mark = width - 1, Hashes(text), offsets[:-1] + left
     right = offsets[1:] - mark
-    twice = np.zeros((m, LEFT + 1), bool)
     parts = []
-    for t in range(LEFT + 1):
-        c = np.flatnonzero((left >= t) & (right >= LENGTH - t))
-        key, first, back, times = np.unique(mix(h(mark[c] - t, LENGTH) + mix(gram[c] + U(t))), return_index=True, return_inverse=True, return_counts=True)
-        twice[c, t] = times[back] > 1
-        parts.append((key, c[first], np.full(len(key), t)))
-    key, context, offset = (np.concatenate(x) for x in zip(*parts))
-    return key, context, offset, twice
+    for low in range(0, LEFT + 1, width):
+        high = low + w
+        c = np.flatnonzero(np.maximum(low, LENGTH - right) <= np.minimum(high, left))
+        core = mix(h(mark[c] - low, LENGTH - w) + mix(gram[c] + U(low * 256 + width)))
+        before, after = np.minimum(left[c] - low, w), np.minimum(right[c] - LENGTH + high, w)
+        ring = np.concatenate([
+            core[:, None].view(np.uint8), around(text, mark[c] + LENGTH - high, 1, after, w), around(text, mark[c] - low, -1, before, w), np.stack([before, after + 1], 1).astype(np.uint8),
+        ], 1)
+        parts.append((c, np.full(len(c), low), ring))
+    context, low, ring = (np.concatenate(x) for x in zip(*parts))
+    return context, low, ring
+
+
+def distinct_rings(ring: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What np.unique gives for the rows: a row of each value, in the order of their cores; the value of each row; times.  No ring ends in a zero byte."""
+    _, first, back, times = np.unique(np.ascontiguousarray(ring).view(f"S{ring.shape[1]}").ravel(), return_index=True, return_inverse=True, return_counts=True)
+    return first, back, times
+
+
+def ring_sides(ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes there are before and after the core."""
+    return ring[:, -2].astype(np.int64), ring[:, -1].astype(np.int64) - 1
+
+
+def repeated_rings(ring: np.ndarray) -> list[tuple[int, int, int]]:
+    """(ring, start, end) of repeated strings, relative to the first byte before which the band's first string starts; ring: different ones, in the order of their cores."""
+    w = (ring.shape[1] - 10) // 2
+    core = ring[:, :8].copy().view(np.uint64).ravel()
+    new = np.flatnonzero(np.append(True, core[1:] != core[:-1])) if len(core) else np.zeros(0, np.int64)
+    size = np.diff(np.append(new, len(core)))
+    shared = np.flatnonzero(np.repeat(size, size) > 1)
+    heads = np.flatnonzero(np.append(True, core[shared][1:] != core[shared][:-1])) if len(shared) else shared
+    # whole cores, about CHUNK rings at a time
+    cuts = [0]
+    for head in [*heads[1:], len(shared)]:
+        if head - cuts[-1] >= CHUNK or head == len(shared):
+            cuts.append(head)
+    spans = []
+    for a, z in zip(cuts, cuts[1:]):
+        mine = shared[a:z]
+        before, after = ring_sides(ring[mine])
+        block, left_block = -(-(8 + w) // 2), -(-w // 2)
+        follows, precedes = (np.pad(x, ((0, 0), (0, 2 * b - x.shape[1]))) for x, b in ((ring[mine, :8 + w], block), (ring[mine, 8 + w:8 + 2 * w], left_block)))
+        spans += [(int(mine[i]), begin, end + LENGTH - w) for i, begin, end in repeats_in_order(follows, block, precedes, left_block, before, after, w, 8)]
+    return spans
 
 
 _SCHEMA = "kind int, place long, a binary, b binary, c binary, d binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("place", pa.int64()), *((x, pa.binary()) for x in "abcd")])
-#: kind: marks to gather (gram, context; row, batch and packed place, sides and 1 if known to be repeated); spans of a batch (row, start and end); contexts that a batch is asked for (row, place, gram, 1 if open and 2 if of a large gram); contexts (gram, facts, bytes); keys of strings (key, row, batch, place and offset and 1 if open and 2 if known to be repeated).
-MARKS, SPANS, ASKED, CONTEXTS, KEYS = range(5)
+#: kind: marks to gather (gram, context; row, batch and packed place, sides and 1 if known to be repeated); spans of a batch (row, start and end); contexts that a batch is asked for (row, place, gram, 1 if open and 2 if of a large gram and 4 if of a very large one); contexts (gram, facts, bytes); rings of bands of WIDE and of NARROW offsets (row, batch, place and offset and 1 if open and 2 if known to be repeated; bytes).
+MARKS, SPANS, ASKED, CONTEXTS, WIDE_RINGS, NARROW_RINGS = range(6)
 
 
 def _dealt(kind: int, place: np.ndarray, *columns: np.ndarray) -> list[tuple]:
@@ -274,6 +322,17 @@ def _read_table(column, width: int) -> np.ndarray:
     return np.concatenate([np.zeros((width, 0), np.int64), *(np.frombuffer(x, np.int64).reshape(width, -1) for x in column.to_pylist() if x)], axis=1)
 
 
+def ring_spans(at: np.ndarray, low: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Start and end in the row of all strings of a band."""
+    before, after = ring_sides(ring)
+    return np.stack([at - low - before, at - low + LENGTH - (ring.shape[1] - 10) // 2 + after], 1)
+
+
+def _read_bytes(column, width: int) -> np.ndarray:
+    """The rows of a table of bytes that was sent column by column."""
+    return np.concatenate([np.zeros((0, width), np.uint8), *(np.frombuffer(x, np.uint8).reshape(width, -1).T for x in column.to_pylist() if x)])
+
+
 def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text); with_text: and kept, the remaining bytes."""
     _, nbytes = text_bytes(docs)
@@ -323,14 +382,15 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         group = np.cumsum(new) - 1
         contexts, closed = np.bincount(group), np.bincount(group, full)
         asked = start[(contexts[group] > 1) & (closed[group] < contexts[group])]
+        meeting = contexts[group[number[asked]]]
         rows = _dealt(SPANS, batch[spans], row[spans], np.stack([at - left, at + right], 1)[spans])
-        rows += _dealt(ASKED, batch[asked], row[asked], at[asked], gram[asked], (~full[number[asked]] + 2 * (contexts[group[number[asked]]] > most)).astype(np.int64))
+        rows += _dealt(ASKED, batch[asked], row[asked], at[asked], gram[asked], ~full[number[asked]] + 2 * (meeting > most) + 4 * (meeting > 64 * most))
         return _rows(rows)
 
     gathered = stored(marked.filter(F.col("kind") == MARKS).groupBy("place").applyInArrow(gather, _SCHEMA))
 
     def fetch(key_, texts, asked):
-        """The contexts that were asked for: kind CONTEXTS, by gram; of large grams the keys of their strings, and spans of what is repeated here."""
+        """The contexts that were asked for: kind CONTEXTS, by gram; of large grams the rings, and spans of those that are repeated here."""
         home, key = key_[0].as_py(), texts["row"].to_numpy()
         buf, off = column_bytes(texts["text"])
         row, at, gram, flags = (_read(asked[c], k) for c, k in zip("abcd", (np.int64, np.int64, np.uint64, np.int64)))
@@ -356,18 +416,20 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             c = order[a:z]
             size, text = bytes_of(c)
             rows.append((CONTEXTS, int(p), np.stack([row[c], np.full(len(c), home), at[c], left[c], size, is_open[c]]).astype(np.int64).tobytes(), text.tobytes(), None, None))
-        order = np.flatnonzero(large)
-        order = order[np.argsort(gram[order], kind="stable")]
-        for a in range(0, len(order), CHUNK):
-            c = order[a:a + CHUNK]
-            size, text = bytes_of(c)
-            keys, context, offset, twice = offset_keys(gram[c], text, np.concatenate([[0], np.cumsum(size)]), left[c])
-            rest = at[c][context] * 1024 + offset * 4 + is_open[c][context] + 2 * twice[context, offset]
-            rows += _dealt(KEYS, (keys % U(places)).astype(np.int64), keys, row[c][context], np.full(len(keys), home), rest)
-            # runs of offsets whose strings are there twice, as spans
-            step = np.diff(np.pad(twice & (is_open[c] == 1)[:, None], ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            (i, low), (_, high) = np.nonzero(step == 1), np.nonzero(step == -1)
-            rows += _dealt(SPANS, np.full(len(i), home), row[c][i], np.stack([at[c][i] - high + 1, at[c][i] - low + LENGTH], 1))
+        for kind, width, order in ((WIDE_RINGS, WIDE, np.flatnonzero(large & (flags < 4))), (NARROW_RINGS, NARROW, np.flatnonzero(flags >= 4))):
+            order = order[np.argsort(gram[order], kind="stable")]
+            for a in range(0, len(order), CHUNK):
+                c = order[a:a + CHUNK]
+                size, text = bytes_of(c)
+                context, low, ring = rings(gram[c], text, np.concatenate([[0], np.cumsum(size)]), left[c], width)
+                c = c[context]
+                first, back, times = distinct_rings(ring)
+                again = (times[back] > 1) & (is_open[c] == 1)
+                rows += _dealt(SPANS, np.full(again.sum(), home), row[c][again], ring_spans(at[c][again], low[again], ring[again]))
+                c, low, ring = c[first], low[first], ring[first]
+                core = ring[:, :8].copy().view(np.uint64).ravel()
+                rest = at[c] * 1024 + low * 4 + (is_open[c] & (times == 1)) + 2 * (times > 1)
+                rows += _dealt(kind, (mix(core) % U(places)).astype(np.int64), np.stack([row[c], np.full(len(c), home), rest], 1), ring)
         return _rows(rows)
 
     wanted = gathered.filter(F.col("kind") == ASKED).withColumnRenamed("place", "batch")
@@ -375,13 +437,21 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     def sort(key, t):
         kind = t["kind"].to_numpy()
-        keys = t.filter(pa.array(kind == KEYS))
-        value, owner, home, rest = _read(keys["a"], np.uint64), *(_read(keys[c], np.int64) for c in "bcd")
-        _, back, times = np.unique(value, return_inverse=True, return_counts=True)
-        known = np.bincount(back, rest // 2 % 2, len(times)) > 0
-        again = ((times > 1) | known)[back] & (rest % 4 == 1)
-        begin = (rest // 1024 - rest // 4 % 256)[again]
-        found = [*t.filter(pa.array(kind == SPANS)).to_batches(), *_rows(_dealt(SPANS, home[again], owner[again], np.stack([begin, begin + LENGTH], 1))).to_batches()]
+        found = t.filter(pa.array(kind == SPANS)).to_batches()
+        for mine, width in ((WIDE_RINGS, WIDE), (NARROW_RINGS, NARROW)):
+            if not (kind == mine).any():
+                continue
+            part = t.filter(pa.array(kind == mine))
+            (owner, home, rest), ring = _read_table(part["a"], 3), _read_bytes(part["b"], 2 * width + 8)
+            at, low, is_open = rest >> 10, rest >> 2 & 255, rest & 1 == 1
+            first, back, times = distinct_rings(ring)
+            many = (times > 1) | (np.bincount(back, rest >> 1 & 1) > 0)
+            again = many[back] & is_open
+            found += _rows(_dealt(SPANS, home[again], owner[again], ring_spans(at[again], low[again], ring[again]))).to_batches()
+            spans = [(first[i], begin, end) for i, begin, end in repeated_rings(ring[first]) if is_open[first[i]] and not many[i]]
+            c = np.array([x[0] for x in spans], np.int64)
+            span = np.array([x[1:] for x in spans], np.int64).reshape(-1, 2) + (at - low)[c][:, None]
+            found += _rows(_dealt(SPANS, home[c], owner[c], span)).to_batches()
         t = t.filter(pa.array(kind == CONTEXTS))
         if not t.num_rows:
             return pa.Table.from_batches(found, _ARROW)

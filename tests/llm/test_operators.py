@@ -190,6 +190,40 @@ def test_repeats_are_read_off_the_suffix_order(monkeypatch):
     assert covered() != want
 
 
+@pytest.mark.parametrize("width", [suffix.WIDE, suffix.NARROW, 13])
+def test_rings_of_cores_give_the_same_repeats(width, monkeypatch):
+    """Bands and cores lose nothing: each core's rings, sorted by themselves, cover what whole contexts cover."""
+    monkeypatch.setattr(suffix, "CHUNK", 50)
+    text, offsets, left, want = _contexts(seed=8, m=90)
+    context, low, ring = suffix.rings(np.zeros(len(left), np.uint64), text, offsets, left, width)
+    first, back, times = suffix.distinct_rings(ring)
+    covered = set()
+    for x in np.flatnonzero(times[back] > 1):
+        (begin, end), = suffix.ring_spans(np.zeros(1, np.int64), low[[x]], ring[[x]])
+        covered |= {(context[x], j) for j in range(begin, end)}
+    for i, begin, end in suffix.repeated_rings(ring[first]):
+        covered |= {(context[x], j - low[x]) for x in np.flatnonzero(back == i) for j in range(begin, end)}
+    assert want and covered == want
+
+
+@pytest.mark.parametrize("most", [suffix.GRAM_MOST, 100])
+def test_suffix_dedup_of_a_gram_in_20000_contexts(spark, most, monkeypatch):
+    """A gram of more than GRAM_MOST contexts, and of more than 64 times as many."""
+    monkeypatch.setattr(suffix, "GRAM_MOST", most)
+    r = random.Random(21)
+    letters = lambda k: "".join(r.choices("abcdefgh ", k=k))
+    passage, heads, tails = letters(170), [letters(40) for _ in range(3)], [letters(40) for _ in range(3)]
+    texts = []
+    for _ in range(20_000):
+        h, t = r.randrange(41), r.randrange(41)
+        texts.append(letters(r.randrange(30)) + r.choice(heads)[40 - h:] + passage + r.choice(tails)[:t] + letters(r.randrange(30)))
+    _, _, gram, context, _ = suffix.marks(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert max(collections.Counter(g for g, _ in set(zip(gram.tolist(), context.tolist()))).values()) > max(8192, 64 * 100)
+    frame_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {x.doc_id: tuple(x)[1:] for x in suffix.cut_repeats(frame_).collect()}
+    assert got == dict(enumerate(_repeats(texts)))
+
+
 def test_suffix_dedup_of_long_texts(spark, monkeypatch):
     r = random.Random(13)
     passage = "".join(r.choices("abcdefgh ", k=700))
