@@ -19,7 +19,9 @@ by a 64-bit hash of its members, so copies cost nothing further.
    each; what reaches T is then compared set by set.
 4. A group of more than GROUP_MOST sets is dealt into blocks.  The sets that most
    resemble the whole group visit every block, which connects most of it; then what is
-   not yet connected with the group's largest component meets all blocks.
+   not yet connected with the group's largest component meets all blocks.  Where groups, blocks
+   and packs are counted, a set of a long text counts once for every SET_BYTES, so what one task holds is bounded
+   in bytes too (but for single texts, and the HUBS sets that visit a block).
 
 Edge cases: null and empty texts have no shingle and link with nothing; a
 text of fewer than k words is one shingle; repeated rows of a doc_id with
@@ -50,8 +52,8 @@ LIST_MOST, GROUP_MOST, HUBS = 2048, 1024, 16
 #: Members of a component that are compared one by one before all are at once.
 SINGLY = 12
 PERCENT, K = 75, 5
-#: Bytes of text whose lists one task makes, and sets whose links one task looks for.
-BUCKET_BYTES, PACK_SETS = 8 << 20, 1500
+#: Bytes of text whose lists one task makes, sets whose links one task looks for, and bytes of text for each of which a set counts as one more there.
+BUCKET_BYTES, PACK_SETS, SET_BYTES = 8 << 20, 1500, 32 << 10
 
 
 def long_shingles(b: np.ndarray, k: int) -> np.ndarray:
@@ -323,7 +325,7 @@ def named_components(docs: DataFrame, percent: int, k: int) -> DataFrame:
     posted = docs.select("text").mapInArrow(post, "bucket long, token binary, sig binary")
     lists = stored(posted.groupBy("bucket").applyInArrow(gather, "list long, sigs array<long>").dropDuplicates(["list"]))
     rare.unpersist()
-    sets = stored(members.filter("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch")))
+    sets = stored(members.filter("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.min_by("bytes", "key").alias("bytes")))
     sketched = sets.select("sig", "sketch")
     rows = lists.filter(F.size("sigs") <= LIST_MOST).select("list", F.explode("sigs").alias("sig")).join(sketched, "sig")
     whole = None
@@ -347,13 +349,14 @@ def named_components(docs: DataFrame, percent: int, k: int) -> DataFrame:
 
     near = rows.mapInArrow(screen, "a long, b long")
     groups = components(near if whole is None else near.unionByName(whole))
-    held = groups.groupBy("root").agg(F.count(F.lit(1)).alias("held"))
-    live = stored(groups.join(held, "root").join(sets.withColumnRenamed("sig", "node"), "node").select("node", "root", "held", "key", "sketch"))
-    sums = live.agg(F.count(F.lit(1)), F.max("held")).first()
+    weight = F.greatest(F.lit(1), F.ceil(F.col("bytes") / SET_BYTES)).alias("weight")
+    weighed = stored(groups.join(sets.withColumnRenamed("sig", "node"), "node").select("node", "root", "key", "sketch", weight))
+    live = weighed.join(weighed.groupBy("root").agg(F.sum("weight").alias("held")), "root")
+    sums = live.agg(F.count(F.lit(1)), F.max("held"), F.sum("weight")).first()
     table, bits = bit_table(live.select("key"), "key", sums[0])
     mine = F.pmod(F.col("key"), F.lit(bits))
     wanted = F.getbit(F.get(table, F.floor(mine / 64).cast("int")), F.pmod(F.col("key"), F.lit(64)).cast("int")) == 1
-    packs = 1 + sums[0] // PACK_SETS
+    packs = 1 + (sums[2] or 0) // PACK_SETS
 
     def search(key, t):
         t = t.sort_by("root").combine_chunks()
@@ -399,7 +402,7 @@ def named_components(docs: DataFrame, percent: int, k: int) -> DataFrame:
         first = components(links_of(placed.unionByName(spread)))
         # sets outside their group's largest component, dealt into parts, meet all blocks of the group
         now = stored(large.drop("sketch").join(first.withColumnsRenamed({"root": "_part"}), "node", "left").withColumn("known", F.coalesce("_part", "node")).drop("_part"))
-        per = now.groupBy("root", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("known", F.struct("n", "known")).alias("main"), (F.sum("n") - F.max("n")).alias("loose"))
+        per = now.groupBy("root", "known").agg(F.sum("weight").alias("n")).groupBy("root").agg(F.max_by("known", F.struct("n", "known")).alias("main"), (F.sum("n") - F.max("n")).alias("loose"))
         now = now.join(per.filter("loose > 0"), "root").withColumn("parts", F.ceil(F.col("loose") / GROUP_MOST).cast("int"))
         here = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         loose = now.filter("known <> main").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,26 @@ def test_jaccard_null_and_repeated_ids(spark):
     assert kept.columns == d.columns and sorted((str(x.doc_id), x.text) for x in kept.collect()) == sorted([("5", " ".join(base)), ("5", odd), ("9", None), ("None", "")], key=str)
 
 
+def test_jaccard_of_very_long_texts(spark, tmp_path):
+    """Texts of 64 MB, each of which outweighs GROUP_MOST sets: the links are those of the sets."""
+    r = random.Random(17)
+    words = [f"w{r.randrange(10**9)}" for _ in range(20_000)]
+    body = " ".join(words)
+    copies = (64 << 20) // len(body) + 1
+    long_, near, half = " ".join([body] * copies), " ".join([body] * copies + ["a b c d e f"]), " ".join(words[:10_000])
+    small = [" ".join(r.choices(words, k=60)) for _ in range(4)]
+    texts = [half, near, long_, *small, small[0] + " end", body]
+    assert len(long_) >= 64 << 20
+    for i, t in enumerate(texts):
+        pq.write_table(pa.table({"doc_id": pa.array([i], pa.int64()), "text": [t]}), tmp_path / f"{i}.parquet")
+    d = spark.read.parquet(str(tmp_path))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in (half, " ".join([body, body, "a b c d e f"]), " ".join([body, body]), *texts[3:]))]
+    want = list(enumerate(zip(map(len, sets), _linked(sets))))
+    assert [x[1][1] for x in want] == [0, 1, 1, 3, 4, 5, 6, 3, 1]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(d).collect()}
+    assert got == dict(want)
+
+
 def _linked(sets, percent=75):
     up = list(range(len(sets)))
     for i in range(len(sets)):
