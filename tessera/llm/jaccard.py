@@ -350,8 +350,8 @@ def named_components(docs: DataFrame, percent: int, k: int) -> DataFrame:
     near = rows.mapInArrow(screen, "a long, b long")
     groups = components(near if whole is None else near.unionByName(whole))
     weight = F.greatest(F.lit(1), F.ceil(F.col("bytes") / SET_BYTES)).alias("weight")
-    weighed = stored(groups.join(sets.withColumnRenamed("sig", "node"), "node").select("node", "root", "key", "sketch", weight))
-    live = weighed.join(weighed.groupBy("root").agg(F.sum("weight").alias("held")), "root")
+    weighed = groups.join(sets.withColumnRenamed("sig", "node"), "node").select("node", "root", "key", "sketch", weight)
+    live = stored(weighed.join(weighed.groupBy("root").agg(F.sum("weight").alias("held")), "root"))
     sums = live.agg(F.count(F.lit(1)), F.max("held"), F.sum("weight")).first()
     table, bits = bit_table(live.select("key"), "key", sums[0])
     mine = F.pmod(F.col("key"), F.lit(bits))
