@@ -95,7 +95,7 @@ def summed(rows: DataFrame) -> DataFrame:
     schema = "slice int, part int, counts binary"
 
     def add(key, t):
-        total = np.sum([np.frombuffer(x, np.int64) for x in t["counts"].to_pylist()], axis=0)
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in t["counts"])
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     left = (rows.agg(F.max("part")).first()[0] or 0) + 1

@@ -46,12 +46,15 @@ from .native import bit_table
 from .textkit import U, Words, breaks, column_bytes, is_long, mix, per_row_distinct, pieces, words_ahead
 
 FREQUENCY_BITS = 21
-SLICE = 1 << 16
+#: Counters in one row: 64 KB, as rows of half a megabyte each fill whole regions of the heap.
+SLICE = 1 << 13
 SKETCH, SKETCH_LEAST = 64, 20
 LIST_MOST, GROUP_MOST, HUBS = 2048, 1024, 16
 #: Members of a component that are compared one by one before all are at once.
 SINGLY = 12
 PERCENT, K = 75, 5
+#: Bytes of text whose postings are sorted and sent at once.
+POST_BYTES = 4 << 20
 #: Bytes of text whose lists one task makes, sets whose links one task looks for, and bytes of text for each of which a set counts as one more there.
 BUCKET_BYTES, PACK_SETS, SET_BYTES = 8 << 20, 1500, 32 << 10
 
@@ -263,7 +266,7 @@ def named_components(docs: DataFrame, percent: int, k: int) -> DataFrame:
             buf, off = column_bytes(batch.column("text"))
             for i, b, o in pieces(buf, off):
                 row, h, n, sig = shingle_sets(b, o, k)
-                counts += np.bincount((h >> U(64 - FREQUENCY_BITS)).astype(np.int64), minlength=size).astype(np.int32)
+                np.add.at(counts, (h >> U(64 - FREQUENCY_BITS)).astype(np.int64), 1)
                 m = len(n)
                 mh = sketches(row, h, n)
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, m), "key": batch.column("key").slice(i, m), "n": pa.array(n, pa.int64()), "sig": pa.array(sig), "sketch": pa.array([x.tobytes() for x in mh], pa.binary()), "bytes": pa.array(np.diff(o)), "slice": empty(m, pa.int32()), "part": empty(m, pa.int32()), "counts": empty(m, pa.binary())})
@@ -285,27 +288,27 @@ def named_components(docs: DataFrame, percent: int, k: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = column_bytes(batch.column("text"))
-            tokens, sigs = [], []
-            for _, b, o in pieces(buf, off):
-                row, h, n, sig = shingle_sets(b, o, k)
-                f = rare.value[(h >> U(64 - FREQUENCY_BITS)).astype(np.int64)]
-                order = np.lexsort((h, f, row))
-                row, h = row[order], h[order]
-                rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-                first = rank < (n - -(-percent * n // 100) + 1)[row]
-                tokens.append(h[first])
-                sigs.append(sig[row[first]])
-            token, sig = (np.concatenate(tokens), np.concatenate(sigs)) if tokens else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            bucket = (token % U(buckets)).astype(np.int64)
-            order = np.lexsort((sig, token, bucket))
-            token, sig, bucket = token[order], sig[order], bucket[order]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-            token, sig, bucket = token[new], sig[new], bucket[new]
-            ids, cut = np.unique(bucket, return_index=True)
-            cut = [*cut, len(token)]
-            yield pa.record_batch({"bucket": pa.array(ids, pa.int64()), "token": pa.array([token[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary()), "sig": pa.array([sig[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())})
+            for _, some, cuts in pieces(*column_bytes(batch.column("text")), POST_BYTES):
+                tokens, sigs = [], []
+                for _, b, o in pieces(some, cuts):
+                    row, h, n, sig = shingle_sets(b, o, k)
+                    f = rare.value[(h >> U(64 - FREQUENCY_BITS)).astype(np.int64)]
+                    order = np.lexsort((h, f, row))
+                    row, h = row[order], h[order]
+                    rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                    first = rank < (n - -(-percent * n // 100) + 1)[row]
+                    tokens.append(h[first])
+                    sigs.append(sig[row[first]])
+                token, sig = (np.concatenate(tokens), np.concatenate(sigs)) if tokens else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                bucket = (token % U(buckets)).astype(np.int64)
+                order = np.lexsort((sig, token, bucket))
+                token, sig, bucket = token[order], sig[order], bucket[order]
+                new = np.ones(len(token), bool)
+                new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
+                token, sig, bucket = token[new], sig[new], bucket[new]
+                ids, cut = np.unique(bucket, return_index=True)
+                cut = [*cut, len(token)]
+                yield pa.record_batch({"bucket": pa.array(ids, pa.int64()), "token": pa.array([token[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary()), "sig": pa.array([sig[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())})
 
     def gather(key, t):
         token = np.concatenate([np.frombuffer(x, np.uint64) for x in t["token"].to_pylist()])

@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Shared, text_bytes
-from .textkit import PIECE, U, Words, breaks, column_bytes, is_long, mix, pieces
+from .textkit import U, Words, breaks, column_bytes, is_long, mix, pieces
 
 ORDER = 5
 #: What a symbol gives up of its count to symbols not seen; 0.2 to 0.4 score held-out texts best.
 ESCAPE = 0.3
 END, BLANK = 10, 32
-#: Bytes of text in a batch.
-BATCH_BYTES = 8 << 20
+#: Bytes of text in a batch, and of those that are read at once, whose equal runs are merged.
+BATCH_BYTES, PIECE = 8 << 20, 1 << 20
 END_TOKEN = 0x5EED0E2D0C2B1A29
 
 

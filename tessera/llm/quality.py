@@ -246,8 +246,9 @@ def quality_scores(docs: DataFrame, model: QualityModel, name: str = "score") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.scores(*column_bytes(batch.column("text")))
-            yield pa.record_batch([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
+            for i, b, o in pieces(*column_bytes(batch.column("text"))):
+                part = batch.slice(i, len(o) - 1)
+                yield pa.record_batch([*part.columns, pa.array(shared.value.scores(b, o))], names=[*batch.schema.names, name])
 
     docs = docs.drop(name)
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -92,3 +93,33 @@ def test_long_texts_in_stretches(seed, monkeypatch):
     assert sorted((int(b)) for _, bucket in langid.subwords(buf, off) for b in bucket) == grams
     one, at = textkit.column_bytes(pa.array(["y" * 2000]))
     assert len(jaccard.shingle_sets(one, at, 5)[1]) == 1
+
+
+def test_memory_of_a_batch():
+    """What a worker takes to read a batch of texts stays a fraction of a task's memory; nulls don't make it copy the batch."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=r.randrange(2, 10))) for _ in range(5000)]
+    col = pa.array([None if i % 50 == 0 else " ".join(r.choices(words, k=300)) for i in range(2500)], pa.string())
+    buf, off = column_bytes(col)
+    assert np.shares_memory(buf, np.frombuffer(col.buffers()[2], np.uint8)) and len(buf) > 4 << 20
+    assert all(off[i + 1] == off[i] for i in range(0, 2500, 50))
+    model = quality.QualityModel(np.zeros(1 << quality.BITS), 0.0, 1.0, 0.0)
+
+    def sets():
+        for _, b, o in pieces(buf, off):
+            row, h, n, _ = jaccard.shingle_sets(b, o, 5)
+            jaccard.sketches(row, h, n)
+
+    for work in (lambda: model.scores(buf, off), sets):
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 24 << 20, most
+
+
+def test_null_texts_that_hold_bytes():
+    held = pa.Array.from_buffers(pa.string(), 3, [pa.py_buffer(bytes([0b101])), pa.py_buffer(np.array([0, 1, 3, 4], np.int32)), pa.py_buffer(b"axyb")])
+    for col, text, ends in ((held, b"ab", [0, 1, 1, 2]), (held.slice(1), b"b", [0, 0, 1]), (pa.nulls(2, pa.string()), b"", [0, 0, 0])):
+        buf, off = column_bytes(col)
+        assert buf.tobytes() == text and off.tolist() == ends
