@@ -19,6 +19,8 @@ KEY = r"^([^\s#][^:#]*):(?:\s|$)"
 TABLE = r"^\s*\[\[?([^\]]+)\]\]?\s*(?:#.*)?$"
 FAMILIES = {"markdown": ([".md"], HEADING, "section"), "json": ([".json"], PROPERTY, "property"), "yaml": ([".yaml", ".yml"], KEY, "key"), "toml": ([".toml"], TABLE, "table")}
 BLANK = r"(?U)^\s*$"
+#: What says nothing about brackets: closed quotes, in which a backslash shields what follows, what stands behind a # outside quotes, and all other characters.
+PLAIN = r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|#.*|[^\[\]{}'"#]++"""
 
 
 def family(path: Column) -> Column:
@@ -32,19 +34,17 @@ def _per_family(index: int) -> Column:
 
 def balanced(value: Column) -> Column:
     """Whether quotes close and brackets pair up before any # outside quotes; a backslash inside quotes shields what follows."""
-    start = F.struct(F.lit("").alias("open"), F.lit("").alias("quote"), F.lit(False).alias("shield"), F.lit(False).alias("bad"), F.lit(False).alias("end"))
+    left = F.regexp_replace(value, PLAIN, "")  # brackets in their order, and quotes that don't close
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("bad"))
 
     def step(s: Column, c: Column) -> Column:
-        quoted = s["quote"] != ""
-        top = F.substring(s["open"], -1, 1)
-        opens, closes = ~quoted & c.isin("[", "{"), ~quoted & c.isin("]", "}")
+        top, closes = F.substring(s["open"], -1, 1), c.isin("]", "}")
         fits = ((c == "]") & (top == "[")) | ((c == "}") & (top == "{"))
-        stack = F.when(opens, F.concat(s["open"], c)).when(closes & fits, F.substring(s["open"], F.lit(1), F.greatest(F.lit(0), F.length(s["open"]) - 1))).otherwise(s["open"])
-        quote = F.when(quoted & ~s["shield"] & (c == s["quote"]), "").when(~quoted & c.isin("'", '"'), c).otherwise(s["quote"])
-        after = F.struct(stack.alias("open"), quote.alias("quote"), (quoted & ~s["shield"] & (c == "\\")).alias("shield"), (s["bad"] | (closes & ~fits)).alias("bad"), (~quoted & (c == "#")).alias("end"))
-        return F.when(s["end"], s).otherwise(after)
+        stack = F.when(c.isin("[", "{"), F.concat(s["open"], c)).when(closes & fits, F.substring(s["open"], F.lit(1), F.greatest(F.lit(0), F.length(s["open"]) - 1))).otherwise(s["open"])
+        return F.struct(stack.alias("open"), (s["bad"] | (closes & ~fits)).alias("bad"))
 
-    return F.aggregate(F.split(value, ""), start, step, lambda s: ~s["bad"] & (s["quote"] == "") & (s["open"] == ""))
+    nested = F.aggregate(F.split(left, ""), start, step, lambda s: ~s["bad"] & (s["open"] == ""))
+    return F.when(~value.rlike("['\"\\[\\]{}]"), True).when(left == "", True).when(left.rlike("['\"]"), False).otherwise(nested)
 
 
 def malformed(files: DataFrame) -> Column:
@@ -72,14 +72,22 @@ def malformed(files: DataFrame) -> Column:
 
 
 def sections(files: DataFrame) -> DataFrame:
-    """Units of the files of the four families, heads first found by pattern; malformed files must be left out before."""
+    """Units of the files of the four families, heads first found by pattern; malformed files must be left out before.
+
+    Every text is read once: it gives a row for each head, and one at line 0 that stands for the file.
+    """
+    def full(line: Column) -> Column:
+        return ~line.rlike(BLANK) & ~(F.col("family").isin("yaml", "toml") & F.ltrim(line).startswith("#"))
+
     f = files.select("file_id", family(F.col("relative_path")).alias("family"), lines(F.col("content")).alias("l")).filter(F.col("family").isNotNull())
-    rows = f.select("file_id", "family", F.size("l").alias("total"), F.posexplode("l").alias("p", "line")).withColumn("at", F.col("p") + 1)
+    f = f.select("file_id", "family", F.size("l").alias("total"), F.array_position(F.transform("l", full), True).cast("int").alias("first"), "l")
+    rows = f.select("file_id", "family", "total", "first", F.posexplode(F.concat(F.array(F.lit("")), "l")).alias("at", "line"))
     name = reduce(lambda out, k: F.when(F.col("family") == k, F.regexp_extract("line", FAMILIES[k][1], 1)).otherwise(out), FAMILIES, F.lit(""))
-    heads = rows.withColumn("name", F.trim(name)).filter(F.col("name") != "")
+    heads = rows.withColumn("name", F.trim(name)).filter((F.col("name") != "") | (F.col("at") == 0))
+    level = F.when(F.col("family") == "markdown", F.length(F.regexp_extract("line", "^(#*)", 1))).otherwise(1)
+    heads = heads.withColumn("level", F.when(F.col("at") > 0, level)).drop("line")
     by_line = Window.partitionBy("file_id").orderBy("at")
-    heads = heads.withColumn("level", F.when(F.col("family") == "markdown", F.length(F.regexp_extract("line", "^(#*)", 1))).otherwise(1))
-    heads = heads.withColumn("end_line", F.coalesce(F.lead("at").over(by_line) - 1, F.col("total"))).withColumn("first_head", F.min("at").over(Window.partitionBy("file_id")))
+    heads = heads.withColumn("next", F.lead("at").over(by_line))
     # ancestors: the last heading of each shallower level, unless one as shallow or shallower came after it
     before = by_line.rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.last(F.when(F.col("level") == k, F.struct("at", "name")), ignorenulls=True).over(before) for k in range(1, 6)}
@@ -88,20 +96,15 @@ def sections(files: DataFrame) -> DataFrame:
     for k in range(1, 6):
         shadow = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"_{j}")["at"] > F.col(f"_{k}")["at"], F.lit(False)) for j in range(1, k)), F.lit(False))
         path.append(F.when((F.col("level") > k) & ~shadow, F.col(f"_{k}")["name"]))
-    qualified = F.concat_ws(" / ", *path, F.col("name"))
-    kind = _per_family(2)
-    label = F.when(F.col("family") == "markdown", "heading").otherwise(kind)
-    span = F.concat(F.lit("lines:"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
-    named = heads.withColumn("qualified", qualified).withColumn("start_line", F.col("at")).select("file_id", kind.alias("kind"), F.col("name").alias("symbol"), "qualified", F.concat(label, F.lit(":"), F.col("qualified"), F.lit("@"), span).alias("locator"), "start_line", "end_line")
+    head, markdown, kind = F.col("at") > 0, F.col("family") == "markdown", _per_family(2)
     # what stands before the first heading, where it isn't blank, and whole files without a head
-    filled = rows.filter(~F.col("line").rlike(BLANK) & ~(F.col("family").isin("yaml", "toml") & F.ltrim("line").startswith("#"))).groupBy("file_id", "family", "total").agg(F.min("at").alias("first"))
-    tops = filled.join(heads.groupBy("file_id").agg(F.min("at").alias("head")), "file_id", "left")
-    lead_in = tops.filter((F.col("family") == "markdown") & (F.col("first") < F.col("head"))).select("file_id", F.lit("section").alias("kind"), F.concat(F.lit("preamble:lines:1-"), (F.col("head") - 1).cast("string")).alias("locator"), F.lit(1).alias("start_line"), (F.col("head") - 1).alias("end_line"))
-    prefix = F.when(F.col("family") == "markdown", "section").otherwise(F.col("family"))
-    bare = F.when(F.col("family") == "json", "object").otherwise(_per_family(2))
-    whole = tops.filter(F.col("head").isNull()).select("file_id", bare.alias("kind"), F.concat(prefix, F.lit(":lines:1-"), F.col("total").cast("string")).alias("locator"), F.lit(1).alias("start_line"), F.col("total").alias("end_line"))
-    rest = lead_in.unionByName(whole).select("file_id", "kind", F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("qualified"), "locator", "start_line", "end_line")
-    return named.unionByName(rest)
+    lead_in, whole = ~head & markdown & (F.col("first") > 0) & (F.col("first") < F.col("next")), ~head & (F.col("first") > 0) & F.col("next").isNull()
+    units = heads.withColumn("qualified", F.when(head, F.concat_ws(" / ", *path, F.col("name")))).filter(head | lead_in | whole)
+    units = units.withColumn("start_line", F.greatest("at", F.lit(1))).withColumn("end_line", F.coalesce(F.col("next") - 1, F.col("total")))
+    label = F.when(head, F.concat(F.when(markdown, "heading").otherwise(kind), F.lit(":"), F.col("qualified"), F.lit("@"))).when(whole, F.concat(F.when(markdown, "section").otherwise(F.col("family")), F.lit(":"))).otherwise("preamble:")
+    locator = F.concat(label, F.lit("lines:"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    bare = F.when(whole & (F.col("family") == "json"), "object").otherwise(kind)
+    return units.select("file_id", bare.alias("kind"), F.when(head, F.col("name")).alias("symbol"), "qualified", locator.alias("locator"), "start_line", "end_line")
 
 
 def gaps(files: DataFrame, units: DataFrame) -> DataFrame:
